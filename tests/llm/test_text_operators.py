@@ -1,0 +1,222 @@
+"""Rules, URLs, personal data, decontamination and fingerprints against brute force on small tables."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+import xxhash
+
+from tessera.llm import components, decontamination, pii, quality_rules, queries, simhash, url_filters
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(texts)], DOCS)
+
+
+def random_texts(seed, n, words="the of and to inea onou éa x1 A.b 22"):
+    r = random.Random(seed)
+    seps = [" ", " ", " ", "\n", "\t", "  "]
+    out = ["".join(r.choice(words.split()) + r.choice(seps) for _ in range(r.randint(0, 90))) for _ in range(n)]
+    return [*out, None, "", " \n ", "one", "two words", out[0], "Aa " * 3000]
+
+
+def quality_base(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen = Counter(zip(words, words[1:], words[2:]))
+    hit = {i + k for i, w in enumerate(zip(words, words[1:], words[2:])) if seen[w] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text)),
+        len(lines) - len(set(lines)),
+        len(hit),
+        len(words) < 50 or 100 * len(hit) > 50 * len(words),
+    )
+
+
+def test_quality_counts(spark):
+    texts = [*random_texts(1, 60), "a#*$ |<>& b", "x\ny\nx\n\n\nx"]
+    rows = quality_rules.clean_lines(docs_of(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+        assert got == quality_base(texts[r.doc_id]), r.doc_id
+
+
+def test_line_rules(spark):
+    good = " ".join(f"word{i}" for i in range(80)) + "."
+    texts = [
+        good,
+        good + "\n" + "home | about | contact\n" * 3,
+        "home | about | contact | help " * 30,
+        good.upper().replace(" ", "!! "),
+        "\n".join(["See our privacy policy and terms of use page."] * 2 + [f"a{i} b{i} c{i} d{i}" for i in range(9)]) * 2,
+    ]
+    rows = {r.doc_id: r for r in quality_rules.clean_lines(docs_of(spark, texts)).collect()}
+    assert [rows[i].kept for i in range(4)] == [True, True, False, False]
+    assert rows[1].clean_text == good + "\n"
+    assert "policy" not in rows[4].clean_text
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op6_pii", "op7_decontamination"])
+def test_empty_tables(spark, tmp_path, name):
+    docs_of(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
+
+
+def url_brute(url, rules, default="allow"):
+    if url is None or "://" not in url:
+        return "", "", None, default
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fit = []
+    for verdict, rule in rules:
+        h, p = rule.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
+            fit.append((len(rule), len(h), verdict == "block", rule, verdict))
+    best = max(fit, default=None)
+    return host, path, best and best[3], best[4] if best else default
+
+
+def test_url_rules(spark):
+    urls = [
+        "http://a.example.net/en/x?q#f", "http://EXAMPLE.net", "https://x.net/", "ftp://example.com/de/a", "example.com/de/",
+        None, "", "://org/fr/", "http://b.org/fr", "http://b.org/fr/://x.net/", "http://?x.net/", "http://net./", "http://..net/a",
+        "http://ÄB.org/fr/\nnet", "http://notexample.net/en/", "http://a.example.net/en/x?q#f", "x\ny://k.net/é",
+    ]
+    rules = [*queries.URL_RULES, ("block", "b.org/fr/://x"), ("allow", "k.net/é"), ("allow", "net/")]
+    pages = spark.createDataFrame([(i, u, "x", "clash") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
+    for limit in (100, 1):
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages, url_filters.rule_table(spark, rules), broadcast_rules=limit).collect()}
+        assert got == {i: url_brute(u, rules) for i, u in enumerate(urls)}
+    assert url_filters.judge(pages.limit(0), url_filters.rule_table(spark, rules)).count() == 0
+    assert url_filters.judge(pages, url_filters.rule_table(spark, rules).limit(0)).where("rule is not null").count() == 0
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def pii_brute(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            d = "".join(re.findall("[0-9]", m[0]))
+            ok = {
+                "email": True,
+                "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else False,
+                "card": 13 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(d[::-1])) % 10 == 0,
+                "phone": 9 <= len(d) <= 15,
+            }[kind]
+            if ok:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_pii_base(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice(["a", "b@", "@", ".", "c.d", "_", " ", "+", "1", "22", "255", ".", "-", "(", "é", "4111111111111111"]) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    texts += ["a@b.com_x@y.org", "x@y.z@q.r", "4111 1111-1111 1111", "+1 (743) 555-3824", "1.2.3.4.5.6.7.8", "256.1.1.1", "é a@b.c"]
+    for t in texts:
+        assert [x[:3] for x in pii.spans_of(t) if x[0] in pii.BASE] == pii_brute(t), t
+    rows = pii.digests(docs_of(spark, [*texts[-7:], None, ""])).collect()
+    for row, t in zip(sorted(rows), [*texts[-7:], "", ""], strict=True):
+        spans = ",".join(f"{k}:{a}:{b}" for k, a, b in pii_brute(t))
+        assert row.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
+def test_pii_added(spark):
+    text = 'pay DE89 3704 0044 0532 0130 00 not DE89 3704 0044 0532 0130 01, token = "24be64439e3e49cf46b2d7c90f3602a3" b7d7c90f3602a324be64439e3e49cf46'
+    assert [x[0] for x in pii.spans_of(text)] == ["iban", "secret"]
+    masked = pii.mask(docs_of(spark, [text, None, "x a@b.com y"])).collect()
+    assert [r.text for r in masked][1:] == [None, "x <EMAIL> y"]
+    assert "3704 0044 0532 0130 00" not in masked[0].text
+
+
+def hits_brute(text, items, window=10):
+    words, hit, found = decontamination.words_of(text), set(), set()
+    for i, t in items:
+        w = decontamination.words_of(t)
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            for j in range(len(words) - n + 1):
+                if words[j : j + n] == w[k : k + n]:
+                    hit.update(range(j, j + n))
+                    found.add(str(i))
+    return len(words), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize(("window", "block"), [(10, 100_000), (4, 40), (1, 100_000)])
+def test_decontamination(spark, window, block):
+    texts = random_texts(2, 50, "a b c d")
+    items = [(i, t) for i, t in enumerate(random_texts(3, 10, "a b c d")[:10])] + [(50, None), (51, "A b"), (52, "c"), (53, "zz"), (1, "d d d d d")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.with_hits(docs_of(spark, texts), table, window=window, block_words=block)
+    for r in found.collect():
+        got = (r._found.n_words, sum(b - a for a, b in r._found.spans), sorted(r._found["items"]))
+        assert got == hits_brute(texts[r.doc_id], items, window), r.doc_id
+
+
+def test_remove_hits(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    texts = ["Before it. " + item.replace(" ", ", ").upper() + "! After " + "more text here " * 5, item, "clean", None]
+    rows = decontamination.remove_hits(docs_of(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in rows} == {0: "Before it. ! After " + "more text here " * 5, 2: "clean", 3: None}
+
+
+def fp_brute(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in ([" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)])]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints(spark):
+    texts = random_texts(4, 40)
+    got = {r.doc_id: r.fp % 2**64 for r in simhash.fingerprints(docs_of(spark, texts)).collect()}
+    assert got == {i: fp_brute(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("pairs_up_to", [64, 2, 0])
+def test_links_and_components(spark, pairs_up_to):
+    r = random.Random(6)
+    fps = [r.getrandbits(64) for _ in range(40)]
+    for f in fps[:12]:
+        for _ in range(6):
+            fps.append(f)
+            for b in r.sample(range(64), r.randint(1, 3)):
+                fps[-1] ^= 1 << b
+    fps = [f - (1 << 64) if f >> 63 else f for f in [*fps, fps[3], 0, 1, 3, 7]]
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    found = simhash.links(table, 2, pairs_up_to)
+    assert all(((x.a ^ x.b) % 2**64).bit_count() <= 2 for x in found.collect())
+    root = {f: f for f in fps}
+    for _ in fps:
+        for a in root:
+            for b in root:
+                if ((a ^ b) % 2**64).bit_count() <= 2:
+                    root[a] = root[b] = min(root[a], root[b])
+    got = {x.node: x.root for x in components.components(found).collect()}
+    assert {f: got.get(f, f) for f in fps} == root
+
+
+def test_near_duplicates(spark):
+    texts = [None, "a b c d e", "A b c\nd e", "", "other words entirely", "a b c d e"]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 4, 5: 1}
+    assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
