@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, pii, quality_rules, simhash, url_filters
-from .common import table
+from . import decontamination, packing, pii, quality_rules, simhash, token_binary, url_filters
+from .common import scratch, table
 
 #: The rules of the URL query.
 URL_RULES = (
@@ -31,6 +31,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=1024)
+
+
+def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    files, by_rank = token_binary.write_files(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    return token_binary.digests(token_binary.read_files(files, path, by_rank))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, URL_RULES))
 
@@ -58,6 +74,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_packing": op2_packing,
+    "op3_token_binary": op3_token_binary,
     "op5_url_filters": op5_url_filters,
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,

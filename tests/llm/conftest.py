@@ -1,3 +1,7 @@
+import os
+
+os.environ["OPENBLAS_NUM_THREADS"] = os.environ["OMP_NUM_THREADS"] = "1"  # its threads and forks can deadlock
+
 import pytest
 from pyspark.sql import SparkSession
 
