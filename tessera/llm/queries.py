@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, pii, quality_rules, simhash, token_binary, url_filters
+from . import decontamination, packing, pii, quality_rules, simhash, suffix_dedup, token_binary, url_filters
 from .common import scratch, table
 
 #: The rules of the URL query.
@@ -72,6 +72,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -80,6 +91,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
+    "op9_suffix_array": op9_suffix_array,
 }
 
 _W = r"[^\x20\x09-\x0D]+"
