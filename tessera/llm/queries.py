@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, pii, quality_rules, simhash, suffix_dedup, token_binary, url_filters
+from . import classifier, decontamination, packing, pii, quality_rules, simhash, suffix_dedup, token_binary, url_filters
 from .common import scratch, table
 
 #: The rules of the URL query.
@@ -47,6 +47,16 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.digests(token_binary.read_files(files, path, by_rank))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classifier.with_scores(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id",
+        classifier.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, URL_RULES))
 
@@ -87,6 +97,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op3_token_binary": op3_token_binary,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": op5_url_filters,
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
