@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontamination, packing, pii, quality_rules, simhash, suffix_dedup, token_binary, url_filters
+from . import classifier, decontamination, packing, pii, quality_rules, simhash, suffix_dedup, token_binary, url_filters, warc
 from .common import scratch, table
 
 #: The rules of the URL query.
@@ -93,6 +93,23 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    files = warc.write_records(warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))), path)
+    return warc.read_records(files, path).select(
+        warc.field("X-Page-Id").cast("long").alias("page_id"),
+        "record_type",
+        "record_id",
+        "refers_to",
+        "target_uri",
+        warc.field("Content-Type").alias("content_type"),
+        F.length("block").cast("long").alias("content_length"),
+        warc.field("WARC-Block-Digest").alias("block_digest"),
+        warc.field("WARC-Source-Payload-Digest").alias("payload_digest"),
+        warc.field("WARC-Source-Content-Type").alias("source_content_type"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -103,6 +120,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_suffix_array": op9_suffix_array,
+    "op10_warc": op10_warc,
 }
 
 _W = r"[^\x20\x09-\x0D]+"
