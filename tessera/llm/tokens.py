@@ -1,24 +1,50 @@
 """Token ids of whole texts, by a tokenizer file of the ``tokenizers`` library.
 
-A byte-level tokenizer that splits words at spaces never joins what stands before a space to what follows it, unless the
-space lies within a longer run of white space. So a text is cut at its spaces and each piece, with its space, is encoded
-by the library once and then remembered; only texts with a space that ends or continues such a run are encoded as they
-are. The memory of pieces holds ``REMEMBERED`` entries at most and then starts anew, and texts are taken in slices, so a
-worker's memory does not grow with its input. Strings of special tokens in a text are ordinary text.
+A byte-level tokenizer first cuts a text into pieces, and never joins what stands before a single space or line break to
+what follows it. So a text is cut there, and each word with what stands before it is encoded once and remembered. Letters
+alone are one piece, which goes to the file's model as it is; marks at the end of a word are pieces of their own; any
+other word goes through the library's whole encoding. Texts in which white space follows white space are encoded as they
+are, and so is every text if the file has another kind of pre-tokenizer, or a normalizer. When ``REMEMBERED`` words are
+held, those that were not asked for since it was half that are forgotten. Texts are taken in slices, so a worker's memory
+does not grow with its input. Strings of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 SLICE = 2_000_000
-INNER_SPACE = re.compile(r"\s (?!\S)")
+WIDE_GAP = re.compile(r"\s\s")
+#: Marks that end words.
+MARKS = ".,;:!?"
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else one of those
+    from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
+class Words(dict):
+    """The ids of words, which are found when they are first asked for. A word that starts with a line break stands
+    first in its line; all others follow a space."""
+
+    def __init__(self, owner: Encoder, older: dict):
+        self.owner, self.older = owner, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.older.get(word) or self.owner.word(word)
+        return ids
 
 
 class Encoder:
@@ -28,32 +54,52 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        before = parts.get("pre_tokenizer") or {}
+        by_word = (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True))
+        self.by_word = by_word == ("ByteLevel", False, True) and not parts.get("normalizer")
+        self.line_break, self.model = self.whole("\n"), self.tokenizer.model
+        self.letters = byte_letters()
+        self.as_letters = str.maketrans({b: c for b, c in enumerate(self.letters) if b < 128})
+        self.marks = {c: self.whole(c) for c in MARKS}
+        self.known = Words(self, {})
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii():
+            piece = piece.translate(self.as_letters)
+        else:
+            piece = "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """The ids of a word with what stands before it."""
+        if word[:1] == "\n":
+            word = word[1:]
+            if word.isalpha():
+                return self.line_break + self._piece(word)
+            return self.line_break + self.whole(word)
+        if word.isalpha():
+            return self._piece(" " + word)
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return self.known[word[:-1]] + self.marks[word[-1]]
+        return self.whole(" " + word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as unsigned little-endian 32-bit integers."""
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
-        known, cut, first, odd = self.pieces, [], [], []
+        if len(self.known) > REMEMBERED // 2:
+            self.known = Words(self, dict(self.known))
+        get, out = self.known.__getitem__, []
         for t in texts:
-            if INNER_SPACE.search(t):
-                odd.append(t)
-                cut.append(None)
+            if self.by_word and not WIDE_GAP.search(t):
+                words = ("\n" + t).replace("\n", " \n").split(" ")
+                out.append(b"".join(map(get, words[1:]))[len(self.line_break) :])
             else:
-                head, *tail = t.split(" ")
-                first.append(head)
-                cut.append(tail)
-        new = list({w for tail in cut if tail for w in tail if w not in known})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            known.update(zip(part, self._whole([" " + w for w in part]), strict=True))
-        heads, odds = iter(self._whole(first)), iter(self._whole(odd))
-        get = known.__getitem__
-        return [next(odds) if tail is None else b"".join((next(heads), *map(get, tail))) for tail in cut]
+                out.append(self.whole(t))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
