@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 SLICE = 2_000_000
 WIDE_GAP = re.compile(r"\s\s")
 #: Marks that end words.
