@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 #: White space, characters between which a space is kept, obligation words and their classes.
 WS_CHARS = r"\t\n\x0B\f\r\x20   -     　﻿"
@@ -92,7 +93,8 @@ def single_modal_contexts(c: Column) -> Column:
     shown = lambda s, i: F.concat(
         F.substr(s, i, F.lit(1)), F.lit(":"), F.substr(s, F.lit(1), i - 1), F.lit("<"), F.substr(s, i, F.lit(1)), F.lit(">"), F.substr(s, i + 1)
     )
-    return F.flatten(F.transform(clauses, lambda s: F.transform(marks(s), lambda i: shown(s, i))))
+    found = F.flatten(F.transform(clauses, lambda s: F.transform(marks(s), lambda i: shown(s, i))))
+    return F.when(c.rlike("[应须]"), found).otherwise(F.array().cast("array<string>"))
 
 
 def article_of(c: Column) -> Column:
@@ -329,7 +331,7 @@ def first_json(s: str) -> str | None:
 # -- Arrow functions ---------------------------------------------------------------------------------------------
 
 
-def _each(function, kind: str):
+def _each(function, kind: DataType):
     @pandas_udf(kind)
     def apply(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else function(x))
@@ -337,15 +339,15 @@ def _each(function, kind: str):
     return apply
 
 
-nfkc = _each(lambda s: unicodedata.normalize("NFKC", s), "string")
-date_tokens = _each(lambda s: list(dict.fromkeys(t for _, _, t in date_spans(s))), "array<string>")
-number_tokens = _each(lambda s: [t for _, _, t in number_spans(s)], "array<string>")
-skeleton = _each(claim_skeleton, "string")
-digest = _each(fnv1a64, "string")
-json_of = _each(first_json, "string")
+nfkc = _each(lambda s: unicodedata.normalize("NFKC", s), StringType())
+date_tokens = _each(lambda s: list(dict.fromkeys(t for _, _, t in date_spans(s))), ArrayType(StringType()))
+number_tokens = _each(lambda s: [t for _, _, t in number_spans(s)], ArrayType(StringType()))
+skeleton = _each(claim_skeleton, StringType())
+digest = _each(fnv1a64, StringType())
+json_of = _each(first_json, StringType())
 
 
-@pandas_udf("struct<start:int,end:int>")
+@pandas_udf(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 def norm_range(text: pd.Series, query: pd.Series) -> pd.DataFrame:
     found = [None if None in (t, q) else normalized_range(t, q) for t, q in zip(text, query, strict=True)]
     return pd.DataFrame([(None, None) if f is None else f for f in found], columns=["start", "end"]).astype("Int32")
