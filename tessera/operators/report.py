@@ -92,7 +92,7 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) ->
 def with_titles(items: DataFrame, sources: DataFrame) -> DataFrame:
     """Items (… source_id) with the source's title, or its id where it has none."""
     titles = sources.groupBy("source_id").agg(F.min("title").alias("_t"))
-    return items.join(titles, "source_id", "left").withColumn("source_title", F.coalesce("_t", "source_id")).drop("_t")
+    return items.join(titles, "source_id", "left").withColumn("source_title", F.coalesce("_t", F.col("source_id").cast("string"))).drop("_t")
 
 
 def dimension_of(category: Column) -> Column:
