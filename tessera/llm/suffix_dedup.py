@@ -35,7 +35,7 @@ from .common import drop, scratch, text_of, written
 from .decontamination import merged
 
 GRAM = 16
-SLICE = 4_000_000
+SLICE = 1_000_000
 TOP = np.uint64(2**64 - 1)
 #: Odd multipliers of the hashes: multiples of the golden ratio's and of pi's fraction.
 MULTIPLIERS = [np.uint64((k * 0x9E3779B97F4A7C15 ^ k * 0x243F6A8885A308D3) % 2**64 | 1) for k in range(3, 9)]
@@ -95,7 +95,8 @@ def _slices(batch: pa.RecordBatch, length: int):
 
 
 def _buckets(grams: np.ndarray, n: int) -> np.ndarray:
-    return ((grams >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """Even buckets, though anchors are those with the lowest hashes."""
+    return ((_mixed(grams * MULTIPLIERS[5]) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
