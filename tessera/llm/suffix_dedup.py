@@ -28,6 +28,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,14 +75,26 @@ class Slice:
         left = np.repeat(self.ends, sizes) - np.arange(n)
         self.hashes = np.where(left >= GRAM, gram_hashes(self.data), TOP)
         if n < length:
+            self.least = np.zeros(n + width + length, np.uint64)
             self.anchors = np.zeros(0, np.int64)
         else:
             least = np.where(left[: n - width + 1] >= length, _sliding(self.hashes, width, np.minimum), np.uint64(0))
             edge = np.zeros(width - 1, np.uint64)
             most = _sliding(np.concatenate((edge, least, edge)), width, np.maximum)
             self.anchors = np.flatnonzero((self.hashes == most) & (most > 0))
+            self.least = np.concatenate((edge, least, np.zeros(length, np.uint64)))
         self.rows = np.searchsorted(self.ends, self.anchors, "right")
 
+    def reach(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many bytes before and after each anchor the windows cover of which it is the lowest."""
+        width = length - GRAM + 1
+        before, after = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for back in range(width):
+            mine = self.least[at - back + width - 1] == self.hashes[at]
+            before[mine] = back
+            after[mine & (after == 0)] = length - back
+        return before, after
+
 
 def _slices(batch: pa.RecordBatch, length: int):
     """(first row, Slice) over a batch with the column ``text``."""
@@ -179,8 +192,8 @@ def release(spark: SparkSession) -> None:
 
 
 def hits(docs: DataFrame, length: int, n_batches: int, n_buckets: int) -> DataFrame:
-    """(doc_id, gram): the anchors whose gram more documents than one hold, possibly repeated. Builds the index family
-    over ``docs`` (doc_id not null, text) batch by batch."""
+    """(doc_id, grams): for each document the grams of its anchors that more documents than one hold, possibly repeated.
+    Builds the index family over ``docs`` (doc_id not null, text) batch by batch."""
     spark = docs.sparkSession
     shares = [k / n_batches for k in range(1, n_batches)]
     bounds = docs.agg(F.percentile_approx("doc_id", shares, 1000 * n_batches)).first()[0] if shares else []
@@ -231,8 +244,12 @@ def hits(docs: DataFrame, length: int, n_batches: int, n_buckets: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["doc_id", "gram"])
 
     if out is None:
-        return spark.createDataFrame([], "doc_id long, gram long")
-    return out.mapInArrow(flat, "doc_id long, gram long")
+        return spark.createDataFrame([], "doc_id long, grams array<long>")
+    flat_rows = out.mapInArrow(flat, "doc_id long, gram long")
+    by_doc = written(flat_rows.groupBy("doc_id").agg(F.collect_list("gram").alias("grams")), "hits")
+    for path in found:
+        drop(spark, path)
+    return by_doc
 
 
 def _window_hashes(around: np.ndarray, length: int) -> np.ndarray:
@@ -357,8 +374,7 @@ def _around_rows(batches, length: int, n: int):
             found = [np.isin(mine[a:b], w) for a, b, w in zip(cuts, cuts[1:], wanted, strict=False)]
             at = s.anchors[np.concatenate(found)] if found else s.anchors
             row = np.searchsorted(s.ends, at, "right")
-            before = np.minimum(at - s.starts[row], reach)
-            after = np.minimum(s.ends[row] - at, length)
+            before, after = s.reach(at, length)
             place = np.arange(-reach, length)
             padded = np.concatenate((np.zeros(reach, np.uint8), s.data, np.zeros(length, np.uint8)))
             around = padded[at[:, None] + (place + reach)]
@@ -369,7 +385,8 @@ def _around_rows(batches, length: int, n: int):
             b = _buckets(left.grams, n)
             order = np.argsort(b, kind="stable")
             starts, _ = _runs(b[order])
-            cut = lambda x: pa.array([p.tobytes() for p in np.split(x[order], starts[1:])] if len(starts) else [], pa.binary())  # noqa: B023, E731
+            pack = zstandard.ZstdCompressor(level=1).compress
+            cut = lambda x: pa.array([pack(p.tobytes()) for p in np.split(x[order], starts[1:])] if len(starts) else [], pa.binary())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
                 [pa.array(b[order][starts], pa.int32()), *(cut(getattr(left, f)) for f, _ in Around.fields), cut(left.around)]
                 + [pa.nulls(len(starts), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())],
@@ -379,14 +396,14 @@ def _around_rows(batches, length: int, n: int):
 
 def _compared_rows(batches, length: int):
     """All rows of a bucket: spans pass, the hits of each gram are compared."""
-    held = []
+    held, unpack = [], zstandard.ZstdDecompressor().decompress
     for batch in batches:
         spans = batch.filter(batch.column("doc_id").is_valid())
         if len(spans):
             yield spans.select(SPAN_NAMES)
         for row in zip(*(batch.column(c) for c in AROUND_NAMES[1:-4]), strict=True):
             if row[0].is_valid:
-                held.append([np.frombuffer(x.as_buffer(), t) for x, t in zip(row, [t for _, t in Around.fields] + [np.uint8], strict=True)])
+                held.append([np.frombuffer(unpack(x.as_buffer()), t) for x, t in zip(row, [t for _, t in Around.fields] + [np.uint8], strict=True)])
     if held:
         *columns, around = [np.concatenate(x) for x in zip(*held, strict=True)]
         del held
@@ -402,7 +419,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, n_batches: int = 4, bucket
     mine = docs.select("doc_id", text_of().alias("text")).where("doc_id is not null")
     total = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(16, -(-total // bucket_bytes))
-    found = written(hits(mine, length, n_batches, n).groupBy("doc_id").agg(F.collect_list("gram").alias("grams")), "hits")
+    found = hits(mine, length, n_batches, n)
     release(spark)
     near = mine.withColumn("key", F.xxhash64("text")).join(found, "doc_id").mapInArrow(partial(_around_rows, length=length, n=n), AROUND)
     dealt = near.repartitionById(n, F.coalesce("bucket", F.pmod(F.hash("doc_id", "start"), F.lit(n))))
