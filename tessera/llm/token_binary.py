@@ -46,24 +46,29 @@ SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint
 
 def encode_numbers(x: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit numbers."""
-    x = x.astype("<u4")
-    more = (x > 0xFF).astype(np.uint8) + (x > 0xFFFF) + (x > 0xFFFFFF)
+    wide = len(x) and int(x.max()) > 0xFFFF
+    more = (x > 0xFF).astype(np.uint8)
+    if wide:
+        more += (x > 0xFFFF).astype(np.uint8) + (x > 0xFFFFFF)
     padded = np.zeros(-(-len(x) // 4) * 4, np.uint8)
     padded[: len(x)] = more
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    used = np.arange(4) <= more[:, None]
-    return control.tobytes(), x.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    p = padded.reshape(-1, 4)
+    control = p[:, 0] | p[:, 1] << 2 | p[:, 2] << 4 | p[:, 3] << 6
+    size = 4 if wide else 2
+    used = np.arange(size, dtype=np.uint8) <= more[:, None]
+    return control.tobytes(), x.astype(f"<u{size}").view(np.uint8).reshape(-1, size)[used].tobytes()
 
 
 def decode_numbers(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers of documents with ``counts`` numbers, each from a new control byte, one after the other."""
-    slots = -(-counts // 4) * 4
-    firsts = np.cumsum(slots) - slots
-    kept = np.arange(int(slots.sum())) - np.repeat(firsts, slots) < np.repeat(counts, slots)
-    sizes = SIZES[control].ravel()[kept].astype(np.int64)
-    at = np.cumsum(sizes) - sizes
-    out = data[at].astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
+    last = np.cumsum(-(-counts // 4) * 4)  # the slots after a document's numbers, up to the next control byte, are free
+    kept = np.ones(4 * len(control), bool)
     for k in range(1, 4):
+        kept[(last - k)[(-counts) % 4 >= k]] = False
+    sizes = SIZES[control].ravel()[kept]
+    at = np.cumsum(sizes, dtype=np.int64) - sizes
+    out = data[at].astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
+    for k in range(1, int(sizes.max(initial=1))):
         longer = np.flatnonzero(sizes > k)
         out[longer] |= data[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -95,20 +100,31 @@ def read_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
     return [d if k else None for d, k in zip(doc_ids, known, strict=True)], counts, numbers, before
 
 
+TOKENS = "doc_id long, ids binary, wide boolean, seen binary"
+
+
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): ids with the end id as bytes, of two bytes each where all fit, else of four (``wide``)."""
+    """(doc_id, ids, wide, seen): ids with the end id as bytes, of two bytes each where all fit, else of four (``wide``).
+    The first row of a batch also has how often it saw each id, as pairs (id, n) of eight bytes each."""
 
     def rows(batches):
         for batch in batches:
-            small, wide = [], []
+            small, wide, total = [], [], np.zeros(0, np.int64)
             for _, ids in encoded(batch, "text", tokenizer, end_id):
                 x = np.frombuffer(ids, "<u4")
                 wide.append(bool(x.max() > 0xFFFF))
                 small.append(ids if wide[-1] else x.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(small, pa.binary()), pa.array(wide)], ["doc_id", "ids", "wide"])
+                new = np.bincount(x)
+                if len(new) > len(total):
+                    new, total = total, new
+                total[: len(new)] += new
+            some = np.flatnonzero(total)
+            seen = [np.stack((some, total[some]), axis=1).astype("<i8").tobytes()] + [None] * (len(batch) - 1)
+            arrays = [batch.column("doc_id"), pa.array(small, pa.binary()), pa.array(wide, pa.bool_()), pa.array(seen[: len(batch)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "wide", "seen"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(rows, "doc_id long, ids binary, wide boolean")
+    return source.mapInArrow(rows, TOKENS)
 
 
 def _numbers(ids: bytes, wide: bool) -> np.ndarray:
@@ -116,20 +132,16 @@ def _numbers(ids: bytes, wide: bool) -> np.ndarray:
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
-    """(id, n) over all rows of ``token_ids``."""
+    """(id, n) over all rows of ``token_ids``; reads the counts alone."""
 
     def rows(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, wide in zip(batch.column("ids"), batch.column("wide").to_pylist(), strict=True):
-                new = np.bincount(_numbers(ids.as_buffer(), wide))
-                if len(new) > len(total):
-                    total = np.concatenate((total, np.zeros(len(new) - len(total), np.int64)))
-                total[: len(new)] += new
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], ["id", "n"])
+            for seen in batch.column("seen"):
+                pairs = np.frombuffer(seen.as_buffer(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["id", "n"])
 
-    return tokens.mapInArrow(rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = tokens.select("seen").where("seen is not null").mapInArrow(rows, "id long, n long")
+    return found.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, part_ids: int = 8_000_000, file_ids: int = 2_000_000) -> tuple[DataFrame, np.ndarray]:
@@ -137,8 +149,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, par
     and the ids by rank."""
     spark = docs.sparkSession
     held = scratch(spark, "token-ids")
-    token_ids(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(held)
-    tokens = spark.read.schema("doc_id long, ids binary, wide boolean").parquet(held)
+    token_ids(docs, tokenizer, end_id).write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}).parquet(held)
+    tokens = spark.read.schema(TOKENS).parquet(held)
     counts = id_counts(tokens).orderBy(F.desc("n"), "id").collect()
     by_rank = np.array([r.id for r in counts], np.uint32)
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
@@ -189,7 +201,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, par
         if held:
             yield close()
 
-    coded = tokens.mapInArrow(code, "doc_id long, part int, n long, control binary, data binary")
+    coded = tokens.select("doc_id", "ids", "wide").mapInArrow(code, "doc_id long, part int, n long, control binary, data binary")
     dealt = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id")
     files = written(dealt.mapInArrow(write, "part int, path string, n_ids long"), "token-files")
     drop(spark, held)

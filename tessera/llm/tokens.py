@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -22,8 +21,7 @@ import pyarrow as pa
 
 REMEMBERED = 1_000_000
 SLICE = 2_000_000
-WIDE_GAP = re.compile(r"\s\s")
-#: Marks that end words.
+#: Marks that end words. In a byte-level vocabulary "Ġ" stands for the space.
 MARKS = ".,;:!?"
 
 
@@ -47,6 +45,10 @@ class Words(dict):
         return ids
 
 
+class WideGap(Exception):
+    """White space follows white space."""
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -77,14 +79,15 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """The ids of a word with what stands before it."""
-        if word[:1] == "\n":
-            word = word[1:]
-            if word.isalpha():
-                return self.line_break + self._piece(word)
-            return self.line_break + self.whole(word)
         if word.isalpha():
-            return self._piece(" " + word)
-        if word[-1:] in MARKS and word[:-1].isalpha():
+            return array("I", [t.id for t in self.model.tokenize("Ġ" + word)]).tobytes() if word.isascii() else self._piece(" " + word)
+        first = word[:1] == "\n"
+        bare = word[1:] if first else word
+        if not bare or bare[0].isspace() or bare[-1].isspace():
+            raise WideGap
+        if first:
+            return self.line_break + (self._piece(bare) if bare.isalpha() else self.whole(bare))
+        if word[-1] in MARKS and word[:-1].isalpha():
             return self.known[word[:-1]] + self.marks[word[-1]]
         return self.whole(" " + word)
 
@@ -94,11 +97,14 @@ class Encoder:
             self.known = Words(self, dict(self.known))
         get, out = self.known.__getitem__, []
         for t in texts:
-            if self.by_word and not WIDE_GAP.search(t):
+            if self.by_word:
                 words = ("\n" + t).replace("\n", " \n").split(" ")
-                out.append(b"".join(map(get, words[1:]))[len(self.line_break) :])
-            else:
-                out.append(self.whole(t))
+                try:
+                    out.append(b"".join(map(get, words[1:]))[len(self.line_break) :])
+                    continue
+                except WideGap:
+                    pass
+            out.append(self.whole(t))
         return out
 
 
