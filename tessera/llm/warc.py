@@ -64,12 +64,10 @@ def plain_text(markup: str) -> str:
             out.append("\n")
         last = m.end()
     out.append(markup[last:])
-    lines = (" ".join(x.split()) for x in _line_breaks("".join(out)))
-    return "\n".join(x for x in lines if x)
-
-
-def _line_breaks(text: str) -> list[str]:
-    return [html.unescape(x) for x in text.split("\n")]
+    lines = "".join(out).split("\n")
+    if "&" in markup:
+        lines = map(html.unescape, lines)
+    return "\n".join(filter(None, [" ".join(x.split()) for x in lines]))
 
 
 def record_id(kind: str, *parts: str | None) -> str:
@@ -103,6 +101,11 @@ def _in_batches(rows: Iterator[tuple], most: int = 8_000_000) -> Iterator[pa.Rec
         yield _batch(held)
 
 
+def _rows(batch: pa.RecordBatch, at_once: int = 100) -> Iterator[dict]:
+    for k in range(0, len(batch), at_once):
+        yield from batch.slice(k, at_once).to_pylist()
+
+
 def _clean(value: str) -> str:
     """A field's value on one line."""
     return " ".join(value.split())
@@ -174,7 +177,7 @@ def derivatives(records: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            yield from _in_batches(r for k in range(len(batch)) for r in _derived(batch.slice(k, 1).to_pylist()[0]))
+            yield from _in_batches(r for row in _rows(batch) for r in _derived(row))
 
     return records.where(F.col("record_type") == "response").mapInArrow(rows, RECORD)
 
@@ -211,7 +214,7 @@ def parse(stream) -> Iterator[tuple]:
         yield own.get("warc-type"), own.get("warc-record-id"), own.get("warc-refers-to"), own.get("warc-target-uri"), fields, block
 
 
-def write_records(records: DataFrame, path: str, file_bytes: int = 64_000_000) -> DataFrame:
+def write_records(records: DataFrame, path: str, file_bytes: int = 64_000_000, level: int = 1) -> DataFrame:
     """Write ``records`` under ``path``; returns the table of files (path, n_records)."""
 
     def rows(batches):
@@ -220,12 +223,11 @@ def write_records(records: DataFrame, path: str, file_bytes: int = 64_000_000) -
         task, out, name, n, size, files = TaskContext.get(), None, None, 0, 0, 0
         done = lambda: pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], ["path", "n_records"])
         for batch in batches:
-            for k in range(len(batch)):
-                row = batch.slice(k, 1).to_pylist()[0]
+            for row in _rows(batch):
                 if out is None:
                     name = f"{root}/part-{task.partitionId():06d}-{files:04d}-{uuid.uuid4().hex}.warc.gz"
                     out, n, size, files = store.open_output_stream(name, compression=None), 0, 0, files + 1
-                member = gzip.compress(to_bytes(tuple(row[c] for c in _NAMES)), 5, mtime=0)
+                member = gzip.compress(to_bytes(tuple(row[c] for c in _NAMES)), level, mtime=0)
                 out.write(member)
                 n, size = n + 1, size + len(member)
                 if size >= file_bytes:
