@@ -174,4 +174,38 @@ f as (
   from (select *, row_number() over () as k from u) u left join rules r
     on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path))
 select page_id, host, path, rule, coalesce(rv, 'allow') as verdict from f where n = 1""",
+    "op7_decontamination": r"""
+with d as (
+  select doc_id, row_number() over () as k, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+b as (
+  select item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+i as (select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as p from b where len(w) > 0),
+iw as (select distinct item_id, n, array_to_string(w[p:p + n - 1], ' ') as g from i),
+s as (select distinct n from iw),
+dp as (select k, w, n, unnest(range(1, len(w) - n + 2)) as p from d, s),
+h as (select dp.k, dp.p, iw.n, iw.item_id from dp join iw on iw.n = dp.n and iw.g = array_to_string(dp.w[dp.p:dp.p + dp.n - 1], ' ')),
+hw as (select k, count(distinct j) as n_hit from (select k, unnest(range(p, p + n)) as j from h) group by k),
+hi as (select k, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct k, item_id::varchar as id from h) group by k)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hw using (k) left join hi using (k)""",
+    "op9_suffix_array": r"""
+with d as (select doc_id, row_number() over () as k, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select doc_id, k, i, md5(substr(h, 2 * i + 1, 100)) as x from (
+  select doc_id, k, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) as i from d where doc_id is not null)),
+f as (select x, min(doc_id) as first_doc from p group by x having min(doc_id) < max(doc_id)),
+g as (select k, i from p join f using (x) where first_doc < doc_id),
+r as (select k, i, case when i - lag(i) over (partition by k order by i) <= 50 then 0 else 1 end as new from g),
+n as (select k, i, sum(new) over (partition by k order by i) as run from r),
+s as (select k, run, min(i) as a, max(i) + 50 as b from n group by k, run),
+e as (select k, a, b, lag(b, 1, 0) over (partition by k order by a) as kept_from from s),
+t as (select k, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last,
+             string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' order by a) as kept from e join d using (k) group by k)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(from_hex(coalesce(kept || substr(h, 2 * last + 1), h))) as kept_sha256
+from d left join t using (k)""",
 }
