@@ -13,7 +13,8 @@ Hits are then compared byte by byte. Each is sent with all bytes around it that
 surroundings are one entry, of the smallest document; all others that hold them lose them whole. Where a gram has
 several surroundings, their windows are compared one place at a time. What a task has found to be equal within a slice
 is reduced before it is shuffled, both for the arrays and for the surroundings, so a passage that very many documents
-share costs each task one entry. Texts are shuffled twice, by document; nothing of them passes the driver, which keeps
+share costs each task one entry. A text that a smaller document has whole goes whole, without being compared. Texts are
+shuffled twice, compressed, by document; nothing of them passes the driver, which keeps
 only the batch bounds.
 
 Defined results: a null text is empty; texts shorter than ``length`` bytes lose nothing; rows with equal ids do not
@@ -96,11 +97,31 @@ class Slice:
         return before, after
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, packed): the key and the compressed bytes of each text, for what shuffles texts."""
+
+    def rows(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            z = pa.array([pack(t.as_buffer() or b"") for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), z], ["doc_id", "key", "packed"])
+
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    return keyed.mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, packed binary")
+
+
+def _texts(batch: pa.RecordBatch):
+    if "packed" in batch.schema.names:
+        unpack = zstandard.ZstdDecompressor().decompress
+        return (unpack(x.as_buffer()) for x in batch.column("packed"))
+    return (bytes(x.as_buffer() or b"") for x in batch.column("text"))
+
+
 def _slices(batch: pa.RecordBatch, length: int):
-    """(first row, Slice) over a batch with the column ``text``."""
+    """(first row, Slice) over a batch with the column ``text`` or ``packed``."""
     held, first, n = [], 0, 0
-    for k, t in enumerate(batch.column("text")):
-        held.append(bytes(t.as_buffer()) if t.is_valid and len(t.as_buffer() or b"") else b"")
+    for k, t in enumerate(_texts(batch)):
+        held.append(t)
         n += len(held[-1])
         if n > SLICE or k + 1 == len(batch):
             yield first, Slice(held, length)
@@ -246,7 +267,7 @@ def hits(docs: DataFrame, length: int, n_batches: int, n_buckets: int) -> DataFr
     if out is None:
         return spark.createDataFrame([], "doc_id long, grams array<long>")
     flat_rows = out.mapInArrow(flat, "doc_id long, gram long")
-    by_doc = written(flat_rows.groupBy("doc_id").agg(F.collect_list("gram").alias("grams")), "hits")
+    by_doc = written(flat_rows.groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "hits")
     for path in found:
         drop(spark, path)
     return by_doc
@@ -412,6 +433,16 @@ def _compared_rows(batches, length: int):
         yield _span_rows(left.windows()).select(SPAN_NAMES)
 
 
+def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id) of documents with a text that no smaller document has whole, and (doc_id, key, n) of the rows whose text
+    one has. Those lose all they have without being compared."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n"))
+    rows = written(rows, "copies")
+    least = rows.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1")
+    later = written(rows.join(least, "sha").where("doc_id > least").select("doc_id", "key", "n"), "copies")
+    return rows.join(later.select("doc_id", "key"), ["doc_id", "key"], "left_anti").select("doc_id").distinct(), later
+
+
 def repeated_spans(docs: DataFrame, length: int = 50, n_batches: int = 4, bucket_bytes: int = 32_000_000) -> DataFrame:
     """(doc_id, key, start, end): byte spans of ``docs`` (doc_id, text) that cover what goes; they may overlap. The key
     is the XXH64 of the text, which tells rows with equal ids apart."""
@@ -421,9 +452,13 @@ def repeated_spans(docs: DataFrame, length: int = 50, n_batches: int = 4, bucket
     n = max(16, -(-total // bucket_bytes))
     found = hits(mine, length, n_batches, n)
     release(spark)
-    near = mine.withColumn("key", F.xxhash64("text")).join(found, "doc_id").mapInArrow(partial(_around_rows, length=length, n=n), AROUND)
+    first, later = copies(mine)
+    found = found.join(first, "doc_id", "left_semi")
+    near = packed(mine).join(found, "doc_id").mapInArrow(partial(_around_rows, length=length, n=n), AROUND)
     dealt = near.repartitionById(n, F.coalesce("bucket", F.pmod(F.hash("doc_id", "start"), F.lit(n))))
-    spans = written(dealt.mapInArrow(partial(_compared_rows, length=length), SPAN), "spans")
+    spans = dealt.mapInArrow(partial(_compared_rows, length=length), SPAN)
+    whole = later.where(F.col("n") >= length).select("doc_id", "key", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))
+    spans = written(spans.union(whole), "spans")
     del near, dealt
     release(spark)
     return spans
@@ -439,8 +474,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, n_batches: int = 4, bucket
     def rows(batches):
         for batch in batches:
             out, kept, sizes = [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-                raw = bytes(text.as_buffer() or b"")
+            for raw, spans in zip(_texts(batch), batch.column("spans").to_pylist(), strict=True):
                 gone = merged([(x["start"], x["end"]) for x in spans or []])
                 edges = [0, *(e for span in gone for e in span), len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
@@ -451,6 +485,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, n_batches: int = 4, bucket
                 ["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    both = docs.select("doc_id", text_of().alias("text")).withColumn("key", F.xxhash64("text")).join(by_doc, ["doc_id", "key"], "left")
+    both = packed(docs.select("doc_id", text_of().alias("text"))).join(by_doc, ["doc_id", "key"], "left")
     return both.mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, spans array<array<int>>, kept binary")
 
