@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import classifier, decontamination, packing, pii, simhash
-from tessera.llm.common import scratch, table
+from tessera.llm.common import scratch, small_batches, table
 from tessera.llm.queries import tokenizer_path
 
 #: A document with a lower score goes.
@@ -27,6 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id; of its repeated rows one. Rows with a null id
     stay, as no other row can stand for them."""
+    small_batches(spark)
     groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
@@ -40,11 +41,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data masked; n_chars follows the text."""
+    small_batches(spark)
     return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path(), end_id=0, capacity=1024)
 
 

@@ -200,7 +200,17 @@ def _scan(texts: list[str | None], found: list[dict | None], auto: Automaton) ->
     return out
 
 
-def _pass(docs: DataFrame, text: str, found: str, items, window: int, key: str) -> DataFrame:
+def _cut(text: str, spans: list[list[int]]) -> str:
+    at, out, last = [m.span() for m in WORD.finditer(text)], [], 0
+    for a, b in spans:
+        out.append(text[last : at[a][0]])
+        last = at[b - 1][1]
+    return "".join([*out, text[last:]])
+
+
+def _pass(docs: DataFrame, text: str, found: str, items, window: int, key: str, max_coverage: float | None = None) -> DataFrame:
+    """One block's hits added to ``found``. With ``max_coverage`` the texts come out cut, without the rows that are mostly
+    hit and without ``found``: one Python worker then does what else two in a row would hold memory for."""
     schema = T.StructType([f for f in docs.schema if f.name != found] + [T.StructField(found, FOUND)])
     has = found in docs.columns
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
@@ -218,17 +228,30 @@ def _pass(docs: DataFrame, text: str, found: str, items, window: int, key: str)
                 if k < len(batch):
                     held += len(texts[k].as_buffer() or b"") if texts[k].is_valid else 0
             rest = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != found]
+            if max_coverage is not None:
+                n_hit = [sum(b - a for a, b in x["spans"]) for x in out]
+                kept = [k for k, x in enumerate(out) if n_hit[k] <= max_coverage * max(x["n_words"], 1)]
+                new = [_cut(texts[k].as_py(), out[k]["spans"]) if n_hit[k] else texts[k].as_py() for k in kept]
+                at = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == text else c.take(at) for c, n in rest], [n for _, n in rest])
+                continue
             yield pa.RecordBatch.from_arrays([c for c, _ in rest] + [pa.array(out, kind)], [n for _, n in rest] + [found])
 
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(rows, schema if max_coverage is None else T.StructType([f for f in schema if f.name != found]))
 
 
 def with_hits(
-    docs: DataFrame, items: DataFrame, text: str = "text", found: str = "_found", window: int = 10, block_words: int = 100_000
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    found: str = "_found",
+    window: int = 10,
+    block_words: int = 100_000,
+    max_coverage: float | None = None,
 ) -> DataFrame:
     """``docs`` with the struct ``found``: n_words, spans of hit words [start, end), and ids of the items that occur.
 
-    ``items`` has item_id and text."""
+    ``items`` has item_id and text. With ``max_coverage`` it is ``remove_hits``."""
     sized = items.select(
         F.col("item_id").cast("string").alias("item_id"),
         "text",
@@ -240,7 +263,7 @@ def with_hits(
     for block in range(n):
         rows = [(r.item_id, r.text) for r in sized.where(F.col("block") == block).collect()]
         shared = spark.sparkContext.broadcast(rows)
-        docs = _pass(docs, text, found, shared, window, uuid.uuid4().hex)
+        docs = _pass(docs, text, found, shared, window, uuid.uuid4().hex, max_coverage if block == n - 1 else None)
     return docs
 
 
@@ -260,25 +283,4 @@ def judge(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
 def remove_hits(docs: DataFrame, items: DataFrame, text: str = "text", window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` without the hit spans of their texts, and without documents of which more than ``max_coverage`` of the
     words is hit. A span goes from the start of its first word to the end of its last."""
-    df = with_hits(docs, items, text, window=window)
-    n_hit = F.aggregate("_found.spans", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
-    df = df.where(n_hit <= max_coverage * F.greatest("_found.n_words", F.lit(1).cast("long")))
-    schema = docs.schema
-
-    def cut(t: str, spans: list[list[int]]) -> str:
-        at, out, last = [m.span() for m in WORD.finditer(t)], [], 0
-        for a, b in spans:
-            out.append(t[last : at[a][0]])
-            last = at[b - 1][1]
-        return "".join([*out, t[last:]])
-
-    def rows(batches):
-        for batch in batches:
-            spans = batch.column("_found").field("spans").to_pylist()
-            texts = batch.column(text)
-            kept = [cut(texts[k].as_py(), s) if s else texts[k].as_py() for k, s in enumerate(spans)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kept, pa.string()) if n == text else batch.column(n) for n in schema.names], schema.names
-            )
-
-    return df.mapInArrow(rows, schema)
+    return with_hits(docs, items, text, window=window, max_coverage=max_coverage)

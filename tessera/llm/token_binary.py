@@ -103,14 +103,14 @@ def read_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
 TOKENS = "doc_id long, ids binary, wide boolean, seen binary"
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int, remembered: int = 600_000) -> DataFrame:
     """(doc_id, ids, wide, seen): ids with the end id as bytes, of two bytes each where all fit, else of four (``wide``).
     The first row of a batch also has how often it saw each id, as pairs (id, n) of eight bytes each."""
 
     def rows(batches):
         for batch in batches:
             small, wide, total = [], [], np.zeros(0, np.int64)
-            for _, ids in encoded(batch, "text", tokenizer, end_id):
+            for _, ids in encoded(batch, "text", tokenizer, end_id, remembered):
                 x = np.frombuffer(ids, "<u4")
                 wide.append(bool(x.max() > 0xFFFF))
                 small.append(ids if wide[-1] else x.astype("<u2").tobytes())

@@ -6,7 +6,8 @@ alone are one piece, which goes to the file's model as it is; marks at the end o
 other word goes through the library's whole encoding. Texts in which white space follows white space are encoded as they
 are, and so is every text if the file has another kind of pre-tokenizer, or a normalizer. When ``REMEMBERED`` words are
 held, those that were not asked for since it was half that are forgotten. Texts are taken in slices, so a worker's memory
-does not grow with its input. Strings of special tokens in a text are ordinary text.
+does not grow with its input; a caller with memory to spare can have more words held. Strings of special tokens in a
+text are ordinary text.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 SLICE = 2_000_000
 #: Marks that end words. In a byte-level vocabulary "Ġ" stands for the space.
 MARKS = ".,;:!?"
@@ -50,7 +51,8 @@ class WideGap(Exception):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -93,7 +95,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as unsigned little-endian 32-bit integers."""
-        if len(self.known) > REMEMBERED // 2:
+        if len(self.known) > self.remembered // 2:
             self.known = Words(self, dict(self.known))
         get, out = self.known.__getitem__, []
         for t in texts:
@@ -111,14 +113,15 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """The worker's encoder for a tokenizer file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].remembered = remembered
     return _ENCODERS[path]
 
 
-def encoded(batch: pa.RecordBatch, text: str, path: str, end_id: int) -> Iterator[tuple[int, bytes]]:
+def encoded(batch: pa.RecordBatch, text: str, path: str, end_id: int, remembered: int = REMEMBERED) -> Iterator[tuple[int, bytes]]:
     """(row, ids with the end id) of each row of a batch, in order; a null text has the end id alone."""
     end, column = np.array([end_id], "<u4").tobytes(), batch.column(text)
     first, held, n = 0, [], 0
@@ -126,6 +129,6 @@ def encoded(batch: pa.RecordBatch, text: str, path: str, end_id: int) -> Iterato
         held.append(column[k].as_py() or "")
         n += len(held[-1])
         if n > SLICE or k + 1 == len(batch):
-            for i, ids in enumerate(encoder(path).encode(held), first):
+            for i, ids in enumerate(encoder(path, remembered).encode(held), first):
                 yield i, ids + end
             first, held, n = k + 1, [], 0
