@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage reads the Parquet that the one before it wrote, and works on all its rows.
 
-quality classifier (documents that it rejects go), SimHash near-duplicates (the document with the smallest id of each
-group stays), benchmark decontamination (hit passages go, and documents that are mostly hits), personal data (spans are
+quality classifier (documents that it rejects go), near-duplicates (five-word shingles, a similarity of at least 0.8; the
+document with the smallest id of each group stays), benchmark decontamination (hit passages go, and documents that are mostly hits), personal data (spans are
 masked), packing (a row per piece of a document). All stages but the last return the columns of ``documents``.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import classifier, decontamination, packing, pii, simhash
+from tessera.llm import classifier, decontamination, near_copies, packing, pii
 from tessera.llm.common import scratch, small_batches, table
 from tessera.llm.queries import tokenizer_path
 
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates the document with the smallest id; of its repeated rows one. Rows with a null id
     stay, as no other row can stand for them."""
     small_batches(spark)
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    groups = near_copies.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 

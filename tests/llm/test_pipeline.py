@@ -69,3 +69,39 @@ def test_empty(spark, tmp_path, stage):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert stage(spark, spark.createDataFrame([], DOCS), str(tmp_path)).count() == 0
+
+
+def test_near_copies_with_changed_words(spark, monkeypatch):
+    """Copies of similarity 0.8 and more go, whether their buckets are crowded or not; the rest stays."""
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    docs, last, n_copies = [], 0, 0
+    for group in range(40):
+        base = r.choices(vocabulary, k=r.randint(80, 400))
+        docs.append((last := last + 1, base))
+        for _ in range(60 if group == 0 else 4):
+            copy = list(base)
+            for k in r.sample(range(len(base)), r.randint(1, 1 + len(base) // 30)):
+                copy[k] = r.choice(vocabulary)
+            docs.append((last := last + 1, copy))
+    sets = {i: shingles(t) for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(1, i):
+            common = len(sets[i] & sets[j])
+            if common and common / len(sets[i] | sets[j]) >= 0.8:
+                n_copies += common / len(sets[i] | sets[j]) < 0.95
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    assert n_copies > 100
+    monkeypatch.setattr(corpus_pipeline.near_copies, "CROWDED", 8)
+    table = spark.createDataFrame([(i, " ".join(t), "xx", "s", 0) for i, t in docs], DOCS).repartition(3)
+    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, table, "").collect()}
+    assert kept == {i for i in root if find(i) == i}
