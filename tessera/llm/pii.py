@@ -33,6 +33,17 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_END = re.compile(r"(?![A-Za-z0-9])")
+#: Letters and digits of an account number by country.
+IBAN_SIZES = dict(
+    (x[:2], int(x[2:]))
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 "
+        "FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 "
+        "LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 "
+        "SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+)
 SECRET = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])")
 DIGIT = re.compile("[0-9]")
 
@@ -74,6 +85,23 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers that pass their check. What follows in capitals or digits may look like more of the number, so the
+    end is sought among the ends of words: first at the size of the country's numbers, then the longest."""
+    m = IBAN.search(text)
+    while m:
+        start, at = m.span()[0], m.start() + 2
+        ends = [x.start() for x in IBAN_END.finditer(text, start + 15, m.end() + 1) if x.start() <= m.end() and text[x.start() - 1] != " "]
+        size = IBAN_SIZES.get(text[start : start + 2])
+        for end in sorted(ends, key=lambda e: (len(text[start:e].replace(" ", "")) != size, -e)):
+            number = text[start:end].replace(" ", "")
+            if len(number) >= 15 and mod97(number) and (size in (None, len(number)) or end == m.end()):
+                yield start, end
+                at = end
+                break
+        m = IBAN.search(text, at)
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -89,7 +117,7 @@ def spans_of(text: str, min_score: float = 0.5) -> list[tuple[str, int, int, flo
         found += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             found += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
-        found += [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+        found += [("iban", a, b) for a, b in ibans(text)]
         found += [("secret", *m.span()) for m in SECRET.finditer(text)]
     out = []
     for kind, a, b in found:

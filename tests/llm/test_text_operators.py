@@ -220,3 +220,12 @@ def test_near_duplicates(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(spark, texts)).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 4, 5: 1}
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("number", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " BIC COBADEFF", " BEFORE", " I will", " A B C", " 12 UHR", " FR14 2004 1010 0505 0001 3M02 606 X", ", BIC"])
+@pytest.mark.parametrize("before", ["", "to ", "AB12 ", "XX99 ABCD "])
+def test_account_numbers_before_capitals(number, after, before):
+    text = before + number + after
+    spans = [text[a:b] for kind, a, b, _ in pii.spans_of(text) if kind == "iban"]
+    assert spans == [number, *(["FR14 2004 1010 0505 0001 3M02 606"] if "FR14" in after else [])]
