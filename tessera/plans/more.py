@@ -184,7 +184,7 @@ select start, event_type, count(*)::bigint as n from x group by start, event_typ
 def stream_activity(spark, d):
     s = stream_of(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     base = new_path(spark, "streams/activity")
-    out = logs.run_available(logs.activity(s), f"{base}/out", f"{base}/checkpoint")
+    out = logs.run_activity(s.select("ts", "event_type"), f"{base}/out", f"{base}/checkpoint")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 

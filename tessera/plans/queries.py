@@ -691,7 +691,7 @@ def _folders(spark, name):
 def stream_without_repeats(spark, d):
     s = stream_of(spark, d, "events")
     twice = s.unionByName(s)
-    return logs.run_available(logs.without_repeats(twice.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), "event_id").select("event_id", "event_type"), *_folders(spark, "repeats"))
+    return logs.run_available(logs.without_repeats(twice.select("event_id", "event_type"), "event_id"), *_folders(spark, "repeats"))
 
 
 @query(f"with {_UNITS} select source_id, paragraph_index, text from units")
@@ -711,4 +711,4 @@ def stream_chain(spark, d):
         F.lit("").alias("after_hash"),
         F.timestamp_seconds("turn").alias("ts"),
     )
-    return logs.run_available(logs.fold_chains(x, "conv_id"), *_folders(spark, "chain"))
+    return logs.fold_chains(logs.run_available(x, *_folders(spark, "chain")), "conv_id")
