@@ -52,7 +52,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Of each position the hash of the GRAM bytes from there; ``data`` has GRAM bytes more than positions."""
     n = len(data) - GRAM
     first, second = (np.ndarray((n,), "<u8", data, k, (1,)) for k in (0, 8))
-    return _mixed(_mixed(first * MULTIPLIERS[1]) + second * MULTIPLIERS[2])
+    return _mixed(_mixed(first * MULTIPLIERS[1] + MULTIPLIERS[3]) + second * MULTIPLIERS[2])
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -77,13 +77,17 @@ class Slice:
         self.hashes = np.where(left >= GRAM, gram_hashes(self.data), TOP)
         if n < length:
             self.least = np.zeros(n + width + length, np.uint64)
+            self.window = np.zeros(n + width + length, bool)
             self.anchors = np.zeros(0, np.int64)
         else:
-            least = np.where(left[: n - width + 1] >= length, _sliding(self.hashes, width, np.minimum), np.uint64(0))
+            window = left[: n - width + 1] >= length
+            least = np.where(window, _sliding(self.hashes, width, np.minimum), np.uint64(0))
             edge = np.zeros(width - 1, np.uint64)
             most = _sliding(np.concatenate((edge, least, edge)), width, np.maximum)
-            self.anchors = np.flatnonzero((self.hashes == most) & (most > 0))
+            near = _sliding(np.concatenate((edge.astype(bool), window, edge.astype(bool))), width, np.maximum)
+            self.anchors = np.flatnonzero((self.hashes == most) & near)
             self.least = np.concatenate((edge, least, np.zeros(length, np.uint64)))
+            self.window = np.concatenate((edge.astype(bool), window, np.zeros(length, bool)))
         self.rows = np.searchsorted(self.ends, self.anchors, "right")
 
     def reach(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +95,8 @@ class Slice:
         width = length - GRAM + 1
         before, after = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         for back in range(width):
-            mine = self.least[at - back + width - 1] == self.hashes[at]
+            k = at - back + width - 1
+            mine = (self.least[k] == self.hashes[at]) & self.window[k]
             before[mine] = back
             after[mine & (after == 0)] = length - back
         return before, after

@@ -54,3 +54,14 @@ def test_remove_repeats(spark, seed, batches, size, monkeypatch):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.QUERIES["op9_suffix_array"](spark, str(tmp_path)).collect() == []
+
+
+def test_runs_of_nul_bytes(spark):
+    r = random.Random(5)
+    part = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    shared = [part(20) + "\0" * n + part(20) for n in (15, 16, 17, 40, 120)]
+    docs = [(i, part(30) + shared[i % 5] + part(30)) for i in range(15)] + [(20, "\0" * 60), (21, "x" + "\0" * 60)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = suffix_dedup.remove_repeats(table, 50, 2, 2000).collect()
+    got = sorted((True, x.doc_id, x.n_bytes, sum(b - a for a, b in x.spans), len(x.spans), bytes(x.kept)) for x in rows)
+    assert got == brute(docs, 50)
