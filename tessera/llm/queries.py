@@ -44,7 +44,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     files, by_rank = token_binary.write_files(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
-    return token_binary.digests(token_binary.read_files(files, path, by_rank))
+    return token_binary.read_files(files, path, by_rank, digests=True)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,12 @@ def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     return _ENCODERS[path]
 
 
+def highest_id(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
 def encoded(batch: pa.RecordBatch, text: str, path: str, end_id: int, remembered: int = REMEMBERED) -> Iterator[tuple[int, bytes]]:
     """(row, ids with the end id) of each row of a batch, in order; a null text has the end id alone."""
     end, column = np.array([end_id], "<u4").tobytes(), batch.column(text)

@@ -83,10 +83,15 @@ def test_patterns_use_each_piece_once():
 def test_numbers_round_trip():
     r = random.Random(4)
     docs = [[r.choice([0, 1, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1]) for _ in range(n)] for n in (0, 1, 3, 4, 5, 0, 40)]
-    coded = [token_binary.encode_numbers(np.array(d, np.uint32)) for d in docs]
-    control, data = (np.frombuffer(b"".join(c[k] for c in coded), np.uint8) for k in (0, 1))
-    got = token_binary.decode_numbers(control, data, np.array([len(d) for d in docs]))
-    assert got.tolist() == [x for d in docs for x in d]
+    for some in (docs, docs[:1], [[1, 2, 3]], [d and [1, 300] for d in docs], []):
+        counts = np.array([len(d) for d in some], np.int64)
+        control, data, n_control, n_data = token_binary.encode_numbers(np.array([x for d in some for x in d], np.uint32), counts)
+        assert (n_control.sum(), n_data.sum()) == (len(control), len(data))
+        assert token_binary.decode_numbers(control, data, counts).tolist() == [x for d in some for x in d]
+        at, of = 0, 0
+        for d, n, m in zip(some, n_control, n_data, strict=True):
+            assert token_binary.decode_numbers(control[of : of + n], data[at : at + m], np.array([len(d)])).tolist() == d
+            at, of = at + m, of + n
 
 
 def test_token_files(spark):
@@ -102,6 +107,25 @@ def test_token_files(spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in rows) == want
 
 
+def test_token_files_with_hot_ids(spark):
+    """An id, and the rows without one, that fill many parts are dealt to all of them."""
+    texts = [f"text {k} " * 20 for k in range(200)]
+    rows = [(7 if k < 90 else None if k < 140 else k, t) for k, t in enumerate(texts)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), scratch(spark, "hot-tokens")
+    files, by_rank = token_binary.write_files(docs, path, PATH, 2, part_ids=1000)
+    sizes = [r.n for r in files.groupBy("part").agg({"n_ids": "sum"}).toDF("part", "n").collect()]
+    assert len(sizes) > 8 and max(sizes) < 4 * sum(sizes) / len(sizes)
+    got = sorted(token_binary.read_files(files, path, by_rank).collect(), key=lambda r: r.start)
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids) and [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    want = sorted((i or 0, np.array(whole(t, 2), "<u4").tobytes()) for i, t in rows)
+    assert sorted((r.doc_id or 0, bytes(r.ids)) for r in got) == want
+    crc = token_binary.read_files(files, path, by_rank, digests=True).collect()
+    assert sorted((r.start, r.ids_crc32) for r in crc) == [(r.start, zlib.crc32(r.ids)) for r in got]
+    with pytest.raises(TypeError):
+        token_binary.write_files(docs.selectExpr("'a' as doc_id", "text"), path, PATH)
+
+
 @pytest.mark.parametrize("name", ["op2_packing", "op3_token_binary"])
 def test_empty_table(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
