@@ -11,15 +11,16 @@ table of written files names only those of attempts that ended well. No step shu
 
 Text conversion is one pass over the markup: comments, scripts, styles and the like go, block elements break lines, other
 tags go, references are resolved, white space within a line becomes one space, and blank lines go. What is not closed
-ends with the document.
+ends with the document. Every pattern takes time in proportion to the page, whatever it holds.
 
 Defined results: a null URL leaves the target URI out, a null or empty page has an empty payload and text; repeated rows
 are derived each, with equal ids; records other than responses give no derivatives; the input's other columns are not
-read; an empty table gives no files and an empty result.
+read; a very long page is held whole by the task that converts it; an empty table gives no files and an empty result.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import html
@@ -48,12 +49,27 @@ BLOCKS = frozenset(
 )
 _MARKUP = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({HIDDEN})(?=[\s/>])[^>]*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
-    r"|</?([a-zA-Z][^\s/<>]*+)(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[!?][^>]*+>",
+    r"|</?([a-zA-Z][^\s/<>]*+)(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[!?][^<>]*+>",
     re.S | re.I,
 )
-_TITLE = re.compile(r"<title(?=[\s>])[^>]*+>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_LINK = re.compile(r"<a\s[^>]*?href\s*=", re.I)
-_LANG = re.compile(r"<html\s[^>]*?lang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+#: Of these tags attributes are read up to the next bracket, so that a page is read in time that its length bounds.
+_TITLE = re.compile(r"<title(?=[\s>])[^<>]*+>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
+_LINK = re.compile(r"<a\s[^<>]*?(?<![\w-])href\s*=", re.I)
+_ROOT = re.compile(r"<html(?=\s)([^<>]*+)", re.I)
+_LANG = re.compile(r"(?<![\w:-])lang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+#: Leading zeros of character references, and references beyond all characters.
+_ZEROS, _BEYOND = re.compile(r"(?<=&#)0{9,}|(?<=&#[xX])0{9,}"), re.compile(r"&#(?:0*+[1-9][0-9]{8,}|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{8,});?")
+
+
+def unescaped(text: str) -> str:
+    if "&#" in text:
+        text = _BEYOND.sub("\ufffd", _ZEROS.sub("0", text))
+    return html.unescape(text)
+
+
+def language(markup: str) -> str | None:
+    found = (_LANG.search(m[1]) for m in _ROOT.finditer(markup))
+    return next((m[1].lower() for m in found if m), None)
 
 
 def plain_text(markup: str) -> str:
@@ -66,7 +82,7 @@ def plain_text(markup: str) -> str:
     out.append(markup[last:])
     lines = "".join(out).split("\n")
     if "&" in markup:
-        lines = map(html.unescape, lines)
+        lines = map(unescaped, lines)
     return "\n".join(filter(None, [" ".join(x.split()) for x in lines]))
 
 
@@ -101,9 +117,10 @@ def _in_batches(rows: Iterator[tuple], most: int = 8_000_000) -> Iterator[pa.Rec
         yield _batch(held)
 
 
-def _rows(batch: pa.RecordBatch, at_once: int = 100) -> Iterator[dict]:
+def _rows(batch: pa.RecordBatch, at_once: int = 100) -> Iterator[tuple]:
     for k in range(0, len(batch), at_once):
-        yield from batch.slice(k, at_once).to_pylist()
+        part = batch.slice(k, at_once)
+        yield from zip(*(part.column(c).to_pylist() for c in _NAMES), strict=True)
 
 
 def _clean(value: str) -> str:
@@ -111,33 +128,37 @@ def _clean(value: str) -> str:
     return " ".join(value.split())
 
 
+def _responses(batch: pa.RecordBatch, date: str) -> Iterator[tuple]:
+    """A response record of each page in a batch."""
+    for k in range(0, len(batch), 100):
+        part = batch.slice(k, 100)
+        for page_id, url, page in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+            payload = (page or "").encode("utf-8", "surrogatepass")
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
+            fields = [
+                ("WARC-Date", date),
+                ("Content-Type", "application/http; msgtype=response"),
+                ("WARC-Payload-Digest", digest(payload)),
+                ("X-Page-Id", None if page_id is None else str(page_id)),
+            ]
+            rid = record_id("response", str(page_id), url, fields[2][1])
+            yield _record("response", rid, None, None if url is None else _clean(url), fields, head.encode() + payload)
+
+
 def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Response records of ``pages`` (page_id, url, html), as they would stand in a crawl's files."""
 
     def rows(batches):
         for batch in batches:
-            yield from _in_batches(
-                _response(i, u, (h or "").encode("utf-8", "surrogatepass"))
-                for i, u, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
-            )
-
-    def _response(page_id, url, payload):
-        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
-        uri = None if url is None else _clean(url)
-        fields = [
-            ("WARC-Date", date),
-            ("Content-Type", "application/http; msgtype=response"),
-            ("WARC-Payload-Digest", digest(payload)),
-            ("X-Page-Id", None if page_id is None else str(page_id)),
-        ]
-        return _record("response", record_id("response", str(page_id), url, fields[2][1]), None, uri, fields, head.encode() + payload)
+            yield from _in_batches(_responses(batch, date))
 
     return pages.select("page_id", "url", "html").mapInArrow(rows, RECORD)
 
 
-def _derived(row: dict) -> Iterator[tuple]:
-    fields = {f["name"].lower(): f["value"] for f in row["fields"]}
-    head, _, payload = row["block"].partition(b"\r\n\r\n")
+def _derived(row: tuple) -> Iterator[tuple]:
+    _, source_id, _, uri, named, whole = row
+    fields = {f["name"].lower(): f["value"] for f in named}
+    head, _, payload = whole.partition(b"\r\n\r\n")
     status, *lines = head.decode("latin-1").split("\r\n")
     http = [(n.strip(), v.strip()) for n, _, v in (x.partition(":") for x in lines) if n.strip()]
     by_name = {n.lower(): v for n, v in http}
@@ -146,12 +167,12 @@ def _derived(row: dict) -> Iterator[tuple]:
         markup = payload.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         markup = payload.decode("utf-8", "replace")
-    title, lang = _TITLE.search(markup), _LANG.search(markup)
+    title = _TITLE.search(markup)
     known = [
         ("status", _clean(status)),
         *((f"http-{n.lower()}", _clean(v)) for n, v in http),
-        ("title", _clean(html.unescape(title[1])) if title else None),
-        ("language", lang[1].lower() if lang else None),
+        ("title", _clean(unescaped(title[1])) if title else None),
+        ("language", language(markup)),
         ("links", str(len(_LINK.findall(markup)))),
         ("payload-bytes", str(len(payload))),
     ]
@@ -160,7 +181,7 @@ def _derived(row: dict) -> Iterator[tuple]:
     source = fields.get("warc-payload-digest") or digest(payload)
     carried = [
         ("WARC-Date", fields.get("warc-date")),
-        ("WARC-Refers-To-Target-URI", row["target_uri"]),
+        ("WARC-Refers-To-Target-URI", uri),
         ("WARC-Refers-To-Date", fields.get("warc-date")),
         ("WARC-Source-Payload-Digest", source),
         ("WARC-Source-Content-Type", by_name.get("content-type")),
@@ -168,8 +189,7 @@ def _derived(row: dict) -> Iterator[tuple]:
         ("X-Page-Id", fields.get("x-page-id")),
     ]
     for kind, content_type, block in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", text)):
-        rid = record_id(kind, row["record_id"], source)
-        yield _record(kind, rid, row["record_id"], row["target_uri"], [*carried, ("Content-Type", content_type)], block)
+        yield _record(kind, record_id(kind, source_id, source), source_id, uri, [*carried, ("Content-Type", content_type)], block)
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -214,35 +234,59 @@ def parse(stream) -> Iterator[tuple]:
         yield own.get("warc-type"), own.get("warc-record-id"), own.get("warc-refers-to"), own.get("warc-target-uri"), fields, block
 
 
+def _to_files(rows: Iterator[tuple], path: str, file_bytes: int, level: int) -> Iterator[pa.RecordBatch]:
+    """Write records to files of a task's own under ``path``; yields (path, n_records) of each file."""
+    store, root = fs.FileSystem.from_uri(path)
+    store.create_dir(root, recursive=True)
+    task, out, name, n, size, files = TaskContext.get(), None, None, 0, 0, 0
+    done = lambda: pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], ["path", "n_records"])
+    for row in rows:
+        if out is None:
+            name = f"{root}/part-{task.partitionId():06d}-{files:04d}-{uuid.uuid4().hex}.warc.gz"
+            out, n, size, files = store.open_output_stream(name, compression=None), 0, 0, files + 1
+        member = gzip.compress(to_bytes(row), level, mtime=0)
+        out.write(member)
+        n, size = n + 1, size + len(member)
+        if size >= file_bytes:
+            out.close()
+            yield done()
+            out = None
+    if out is not None:
+        out.close()
+        yield done()
+
+
+FILES = "path string, n_records long"
+
+
 def write_records(records: DataFrame, path: str, file_bytes: int = 64_000_000, level: int = 1) -> DataFrame:
     """Write ``records`` under ``path``; returns the table of files (path, n_records)."""
+    rows = lambda batches: _to_files((r for b in batches for r in _rows(b)), path, file_bytes, level)
+    return written(records.mapInArrow(rows, FILES), "warc-files")
+
+
+def write_derivatives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", file_bytes: int = 64_000_000, level: int = 1) -> DataFrame:
+    """Write the derivatives of the responses of ``pages`` (page_id, url, html) under ``path``, as ``write_records`` of
+    ``derivatives`` of ``responses`` does, but a record goes from page to file within one task's worker."""
+    derived = lambda batches: (r for b in batches for response in _responses(b, date) for r in _derived(response))
+    rows = lambda batches: _to_files(derived(batches), path, file_bytes, level)
+    return written(pages.select("page_id", "url", "html").mapInArrow(rows, FILES), "warc-files")
 
-    def rows(batches):
-        store, root = fs.FileSystem.from_uri(path)
-        store.create_dir(root, recursive=True)
-        task, out, name, n, size, files = TaskContext.get(), None, None, 0, 0, 0
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], ["path", "n_records"])
-        for batch in batches:
-            for row in _rows(batch):
-                if out is None:
-                    name = f"{root}/part-{task.partitionId():06d}-{files:04d}-{uuid.uuid4().hex}.warc.gz"
-                    out, n, size, files = store.open_output_stream(name, compression=None), 0, 0, files + 1
-                member = gzip.compress(to_bytes(tuple(row[c] for c in _NAMES)), level, mtime=0)
-                out.write(member)
-                n, size = n + 1, size + len(member)
-                if size >= file_bytes:
-                    out.close()
-                    yield done()
-                    out = None
-        if out is not None:
-            out.close()
-            yield done()
 
-    return written(records.mapInArrow(rows, "path string, n_records long"), "warc-files")
+def verified(row: tuple) -> tuple:
+    """A record whose block has the digest that it names: SHA-256 or SHA-1, in hexadecimal or base 32; others pass."""
+    named = next((f["value"] for f in row[4] if f["name"].lower() == "warc-block-digest"), "")
+    kind, _, value = named.partition(":")
+    if kind.lower() in ("sha256", "sha1"):
+        made = hashlib.new(kind.lower(), row[5]).digest()
+        if value.lower() != made.hex() and value.upper().rstrip("=") != base64.b32encode(made).decode().rstrip("="):
+            raise ValueError(f"block of {row[1]} does not have its digest")
+    return row
 
 
-def read_records(files: DataFrame, path: str) -> DataFrame:
-    """The records of ``files`` (path), which lie on the file system that ``path`` names; gzipped if named ``.gz``."""
+def read_records(files: DataFrame, path: str, verify: bool = True) -> DataFrame:
+    """The records of ``files`` (path), which lie on the file system that ``path`` names; gzipped if named ``.gz``. Each
+    file is a task's; a block that does not have the digest its record names ends the job, unless ``verify`` is off."""
 
     def rows(batches):
         store, _ = fs.FileSystem.from_uri(path)
@@ -250,9 +294,9 @@ def read_records(files: DataFrame, path: str) -> DataFrame:
             for name in batch.column("path").to_pylist():
                 with store.open_input_stream(name, compression=None) as raw:
                     stream = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw
-                    yield from _in_batches(parse(stream))
+                    yield from _in_batches(map(verified, parse(stream)) if verify else parse(stream))
 
-    return files.select("path").repartition(files.sparkSession.sparkContext.defaultParallelism * 4, "path").mapInArrow(rows, RECORD)
+    return files.select("path").repartition(min(max(files.count(), 1), 100_000)).mapInArrow(rows, RECORD)
 
 
 def field(name: str):

@@ -1,11 +1,14 @@
 """WARC derivatives against a parser of its own kind, and the files' round trip."""
 
+import base64
 import gzip
 import hashlib
 import io
 import random
+import time
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import queries, warc
@@ -100,3 +103,37 @@ def test_query(spark, tmp_path):
     assert sorted(r.record_type for r in rows) == ["conversion", "metadata"] and {r.page_id for r in rows} == {1}
     table.limit(0).write.parquet(f"{tmp_path}/e/pages.parquet")
     assert queries.QUERIES["op10_warc"](spark, f"{tmp_path}/e").where(F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("part", ["<html ", "<a ", "<a href ", "<title ", "<!", "<!-", "<script ", "</", "<a '", '<a "', "<b x='\"", "&#", "&#1", "&#x", "&#0", "<?", "<html lang", "lang= ", "</title ", "< "])
+def test_long_pages_take_linear_time(part):
+    """A megabyte of any opening takes little time, and does not end the job."""
+    page = part * (1_000_000 // len(part))
+    row = ("response", "<urn:x>", None, None, [], b"HTTP/1.1 200 OK\r\n\r\n" + page.encode())
+    start = time.process_time()
+    assert len(list(warc._derived(row))) == 2
+    assert time.process_time() - start < 2
+
+
+def test_references_with_many_digits():
+    assert warc.plain_text("&#" + "0" * 9000 + "65; &#" + "1" * 9000 + "; &#x" + "0" * 9000 + "41;") == "A \ufffd A"
+
+
+def test_wrong_digest_ends_the_job(spark):
+    path = scratch(spark, "warc-test")
+    rows = [("resource", "<urn:a>", None, None, [{"name": "WARC-Block-Digest", "value": d}], b"block") for d in (warc.digest(b"block"), "sha1:" + base64.b32encode(hashlib.sha1(b"block").digest()).decode(), "md5:x")]
+    good = spark.createDataFrame(rows, warc.RECORD)
+    assert warc.read_records(warc.write_records(good, path), path).count() == 3
+    bad = spark.createDataFrame([(*rows[0][:5], b"other")], warc.RECORD)
+    files = warc.write_records(bad, path)
+    with pytest.raises(Exception, match="does not have its digest"):
+        warc.read_records(files, path).count()
+    assert warc.read_records(files, path, verify=False).count() == 1
+
+
+def test_fused_writing_gives_the_same_records(spark):
+    table = spark.createDataFrame([(k, f"http://h/{k}" if k % 3 else None, p) for k, p in enumerate([*pages()[:40], None, ""])], "page_id long, url string, html string")
+    apart, fused = scratch(spark, "warc-a"), scratch(spark, "warc-b")
+    a = warc.read_records(warc.write_records(warc.derivatives(warc.responses(table)), apart), apart)
+    b = warc.read_records(warc.write_derivatives(table, fused), fused)
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
