@@ -2,15 +2,20 @@
 
 Four base kinds (email, ip, card, phone) are proposed leftmost and without overlap within a kind, and kept if they pass
 their check: address parts of at most 255, Luhn's sum, a number of digits. Two kinds are added: account numbers (IBAN,
-confirmed by their remainder modulo 97) and secrets (long hexadecimal strings, which need a word such as "token" or
-"key" shortly before them). A span's score starts at its kind's prior and rises with each context word of its kind within
-``CONTEXT`` characters before it; added kinds need ``min_score``. Base kinds are never dropped for their score.
-
-Spans are in code points, with the end exclusive. The texts are read once, row by row, without a shuffle. A text without
-a digit is searched for addresses only, and one without ``@`` for none.
-
-Defined results: a null or empty text has no spans; each repeated row gets its own result; spans of different kinds may
-overlap; other columns are not read.
+confirmed by their remainder modulo 97) and secrets (keys in the forms of issuers, private keys, signed tokens, values
+that are assigned to a name such as "password", and long hexadecimal strings). A span's score starts at the prior of its
+form, rises with each context word of its kind within ``CONTEXT`` characters before it, and falls with each word that
+speaks against it, such as "example" or "checksum"; spans of added kinds need ``min_score``. So a hexadecimal string needs
+a word such as "token" near it, and a proper account number in an example is none. Base kinds are never dropped for their
+score.
+
+Spans are in code points, with the end exclusive. The texts are read once, row by row, without a shuffle, in time that
+the length of a text bounds. A text without a digit is searched for addresses and assigned secrets only.
+
+Defined results: a null or empty text has no spans; a very long text is held whole by its task; each repeated row gets its
+own result; spans of different kinds may overlap, and of overlapping secrets the first stays, of those with equal starts
+the longest; other columns, whatever their names, stay in ``find_spans`` but for one named like its result, and are not
+read by ``digests``.
 """
 
 from __future__ import annotations
@@ -44,11 +49,22 @@ IBAN_SIZES = dict(
         "SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
     ).split()
 )
-SECRET = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])")
+#: Forms of secrets, each with its prior score.
+SECRETS = (
+    (re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:(?!-----END)[^-]|-(?!----END))*+(?:-----END (?:[A-Z]+ )?PRIVATE KEY-----)?"), 1.0),
+    (re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), 0.9),
+    (re.compile(r"(?<![A-Za-z0-9])gh[opsu]_[A-Za-z0-9]{36,}+"), 0.9),
+    (re.compile(r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+"), 0.9),
+    (re.compile(r"(?<![A-Za-z0-9_-])[ps]k[-_](?:live[-_]|test[-_])?[A-Za-z0-9]{20,}+"), 0.9),
+    (re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"), 0.9),
+    (re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])"), 0.3),
+)
+ASSIGNED = re.compile(r"(?:password|passwd|secret|token|api[_-]?key)[\"']?\s*+[:=]\s*+[\"']?([^\s\"',;]{6,}+)", re.I)
+ASSIGNED_PRIOR = 0.2
 DIGIT = re.compile("[0-9]")
 
-#: Prior score, and the words that raise it by 0.3 each.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "secret": 0.3}
+#: Prior scores, and the words that raise them by 0.3 each, or lower those of added kinds by 0.5 each.
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
 WORDS = {
     "email": ("mail", "contact"),
     "ip": ("ip", "host", "server", "address"),
@@ -57,6 +73,7 @@ WORDS = {
     "iban": ("iban", "account", "bank"),
     "secret": ("token", "key", "secret", "password", "passwd"),
 }
+AGAINST = {"iban": ("example", "sample", "dummy"), "secret": ("example", "sample", "dummy", "checksum", "digest", "commit", "etag")}
 
 
 def luhn(digits: str) -> bool:
@@ -86,19 +103,18 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    """Account numbers that pass their check. What follows in capitals or digits may look like more of the number, so the
-    end is sought among the ends of words: first at the size of the country's numbers, then the longest."""
+    """Account numbers that pass their check. What follows in capitals or digits may look like more of the number, so it
+    ends where it has as many letters and digits as its country's numbers have, which must be the end of a word."""
     m = IBAN.search(text)
     while m:
-        start, at = m.span()[0], m.start() + 2
-        ends = [x.start() for x in IBAN_END.finditer(text, start + 15, m.end() + 1) if x.start() <= m.end() and text[x.start() - 1] != " "]
-        size = IBAN_SIZES.get(text[start : start + 2])
-        for end in sorted(ends, key=lambda e: (len(text[start:e].replace(" ", "")) != size, -e)):
-            number = text[start:end].replace(" ", "")
-            if len(number) >= 15 and mod97(number) and (size in (None, len(number)) or end == m.end()):
-                yield start, end
-                at = end
-                break
+        start, at, left = m.start(), m.start() + 2, IBAN_SIZES.get(text[m.start() : m.start() + 2], 0)
+        end = start
+        while left and end < m.end():
+            left -= text[end] != " "
+            end += 1
+        if end > start and not left and IBAN_END.match(text, end) and mod97(text[start:end].replace(" ", "")):
+            yield start, end
+            at = end
         m = IBAN.search(text, at)
 
 
@@ -106,25 +122,40 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def secrets(text: str, has_digit: bool) -> Iterator[tuple[int, int, float]]:
+    """(start, end, prior) of all forms of secrets, those that overlap an earlier one left out."""
+    found = []
+    if has_digit:
+        found += [(*m.span(), prior) for form, prior in SECRETS for m in form.finditer(text)]
+    if ":" in text or "=" in text:
+        found += [(*m.span(1), ASSIGNED_PRIOR) for m in ASSIGNED.finditer(text) if not m[1].isalpha()]
+    last = -1
+    for a, b, prior in sorted(found, key=lambda x: (x[0], -x[1], -x[2])):
+        if a >= last:
+            yield a, b, prior
+            last = b
+
+
 def spans_of(text: str, min_score: float = 0.5) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind as in BASE and ADDED, then by start."""
     found: list[tuple[str, int, int]] = []
     if "@" in text:
         found += [("email", a, b) for a, b in emails(text)]
-    if DIGIT.search(text):
+    has_digit = DIGIT.search(text) is not None
+    if has_digit:
         if "." in text:
-            found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m[0].split("."))]
+            found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or 0) < 256 for x in m[0].split("."))]
         found += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             found += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
         found += [("iban", a, b) for a, b in ibans(text)]
-        found += [("secret", *m.span()) for m in SECRET.finditer(text)]
+    scored = [(kind, a, b, PRIOR[kind]) for kind, a, b in found] + [("secret", *x) for x in secrets(text, has_digit)]
     out = []
-    for kind, a, b in found:
+    for kind, a, b, prior in scored:
         near = text[max(0, a - CONTEXT) : a].lower()
-        score = min(1.0, PRIOR[kind] + 0.3 * sum(w in near for w in WORDS[kind]))
-        if kind in BASE or score >= min_score:
-            out.append((kind, a, b, score))
+        score = prior + 0.3 * sum(w in near for w in WORDS[kind]) - 0.5 * sum(w in near for w in AGAINST.get(kind, ()))
+        if kind in BASE or score >= min_score - 1e-9:
+            out.append((kind, a, b, min(1.0, max(0.0, score))))
     return out
 
 
@@ -169,7 +200,8 @@ def mask(docs: DataFrame, text: str = "text", min_score: float = 0.5) -> DataFra
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores) of each row of ``docs`` (doc_id, text); the
+    scores stand in the order of the spans, with two decimals."""
     df = find_spans(docs.select("doc_id", "text"))
     of = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("_spans", lambda x: x["kind"].isin(*BASE))
@@ -178,4 +210,5 @@ def digests(docs: DataFrame) -> DataFrame:
         *(F.size(F.filter(F.col("_spans.kind"), F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(F.array_join(F.transform(base, of), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("_spans", of), ",").alias("spans"),
+        F.array_join(F.transform("_spans", lambda x: F.format_number(x["score"], 2)), ",").alias("scores"),
     )
