@@ -29,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a folder of this machine where
-    the session names none, as in tests. It is also made the checkpoint folder of a context that has none."""
+    the session names none and runs in local mode, as in tests. It is also made the checkpoint folder of a context that has
+    none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -60,6 +63,24 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key with more rows than this is hot if it has more than this share of all rows, so at most ``HOT_KEYS`` keys are.
+HOT_ROWS, HOT_KEYS = 1_000, 100_000
+
+
+def join_counted(rows: DataFrame, known: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` left joined with ``known``, which has each key once and in ``n`` how many of the rows have it. The rows of
+    hot keys stay where they are, as the at most ``HOT_KEYS`` hot keys are broadcast, and rows without a key are not joined;
+    the rest is shuffled. ``rows`` is read three times, so it should be a table as it was written."""
+    limit = max(HOT_ROWS, (known.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS)
+    named = rows.where(F.col(key).isNotNull())
+    first = named.join(F.broadcast(known.where(F.col(n) > limit).withColumn("_hot", F.lit(True))), key, "left")
+    hot = first.where("_hot").drop("_hot")
+    rest = first.where("_hot is null").select(*rows.columns).join(known.where(F.col(n) <= limit), key, "left")
+    bare = rows.where(F.col(key).isNull())
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in known.schema if f.name != key]
+    return hot.unionByName(rest).unionByName(bare.select(*rows.columns, *more)).drop(n)
+
+
 def text_of(column: str = "text") -> Column:
     """A text column in which a null is the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -95,7 +95,7 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
-    files = warc.write_records(warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))), path)
+    files = warc.write_derivatives(table(spark, sf_dir, "pages"), path)
     return warc.read_records(files, path).select(
         warc.field("X-Page-Id").cast("long").alias("page_id"),
         "record_type",

@@ -14,7 +14,8 @@ hot buckets cost rows in proportion to their size, and nothing is capped.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0, which links like any other; texts of
 fewer words than a shingle are one shingle; repeated rows share a fingerprint; rows with a null id get the component of
-their fingerprint; other columns are not read; an empty table gives an empty one.
+their fingerprint; a very long text costs time and memory in proportion to its words; other columns are not read; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_counted, written
 from .components import components
 
 BITS = 64
@@ -129,10 +130,10 @@ def links(fps: DataFrame, radius: int = 2, pairs_up_to: int = 64) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) for each row: the smallest id that is reachable over links, its own included."""
     fps = written(fingerprints(docs, doc_id, text, words), "fingerprints")
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "known")
     roots = components(links(fps, radius)).withColumnRenamed("node", "fp")
-    linked = written(roots.join(first, "fp"), "linked")
+    linked = written(roots.join(first.drop("n"), "fp"), "linked")
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     classes = linked.join(least, "root").select("fp", "least_id")
-    known = first.join(classes, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return fps.join(known, "fp", "left").select("doc_id", "fp", "component_id")
+    known = first.join(classes, "fp", "left").select("fp", "n", F.coalesce("least_id", "first_id").alias("component_id"))
+    return join_counted(fps, written(known, "named"), "fp").select("doc_id", "fp", "component_id")

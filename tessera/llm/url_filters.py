@@ -6,12 +6,13 @@ expressions, so a join finds all rules that fit: first on the leading hex digits
 whole digests and the expressions must agree. Of the rules that fit, the longest wins; of two as long, that with the
 longer host, then the one that blocks.
 
-Rows are first reduced to distinct URLs, so a hot URL is judged once. The rule side is broadcast only when its counted
+Rows are first reduced to distinct URLs, so a hot URL is judged once, and its rows are not shuffled to get its verdict. The rule side is broadcast only when its counted
 number of rows is within ``broadcast_rules``; a larger list is joined by a shuffle. The lengths of rule paths are
 gathered as a distinct list, which is bounded by the longest path.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and gets the default
-verdict; repeated rows stay; the input's other columns are not read; with no rules all get the default.
+verdict; repeated rows stay; a very long URL has as many expressions as its host has labels times the rules' path lengths;
+the input's other columns are not read; with no rules all get the default; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_counted, written
+
 PREFIX_DIGITS = 8
 
 
@@ -47,7 +50,7 @@ def rule_table(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def expressions(urls: DataFrame, lengths: Sequence[int]) -> DataFrame:
-    """A row per distinct expression of each row's ``host`` and ``path``: columns url, expr_host, expr_path."""
+    """A row per distinct expression of each row's ``host`` and ``path``: columns url, n, expr_host, expr_path."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
@@ -55,8 +58,8 @@ def expressions(urls: DataFrame, lengths: Sequence[int]) -> DataFrame:
     fits = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]
     return (
         urls.where(F.col("host") != "")
-        .select("url", F.explode(suffixes).alias("expr_host"), F.array_compact(F.array(*fits)).alias("_paths"))
-        .select("url", "expr_host", F.explode("_paths").alias("expr_path"))
+        .select("url", "n", F.explode(suffixes).alias("expr_host"), F.array_compact(F.array(*fits)).alias("_paths"))
+        .select("url", "n", "expr_host", F.explode("_paths").alias("expr_path"))
     )
 
 
@@ -73,7 +76,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", broadcast_
     hashed = _hashed(rules.dropDuplicates(["rule_verdict", "rule"]), "rule_host", "rule_path")
     small = len(hashed.select(F.lit(1)).take(broadcast_rules + 1)) <= broadcast_rules
     keyed = pages.select("page_id", "url")
-    urls = keyed.select("url").distinct().withColumns({"host": host_of(), "path": path_of()})
+    urls = keyed.where("url is not null").groupBy("url").agg(F.count("*").alias("n")).withColumns({"host": host_of(), "path": path_of()})
     best = F.max(
         F.struct(
             F.length("rule").alias("n"),
@@ -89,9 +92,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", broadcast_
         .join((F.broadcast(hashed) if small else hashed).alias("r"), "prefix")
         .where("u.digest = r.digest and expr_host = rule_host and expr_path = rule_path")
         .groupBy("url")
-        .agg(best)
+        .agg(best, F.max("u.n").alias("n"))
     )
-    return keyed.join(fitting, "url", "left").select(
+    return join_counted(keyed, written(fitting, "verdicts"), "url").select(
         "page_id",
         host_of().alias("host"),
         path_of().alias("path"),
