@@ -6,13 +6,17 @@ that length reaches ``window``, the last ``window`` words are an item's window;
 a whole. All words inside such occurrences are hit.
 
 Only stretches whose neighbouring words are neighbours in some item, and that are long enough, can hold an occurrence;
-numpy finds them, and the automaton reads nothing else. The items are taken in blocks of at most ``block_words`` words
-(an item with more is a block of its own), each block a narrow pass over the documents, so that no task holds more than
-one block's automaton and no shuffle is needed: the hits found so far travel with the row.
-
-Defined results: a null or empty text has no words, no hits and no items; an item without words never occurs; a repeated
-item counts once by its id, one with a null id is matched but not listed; repeated documents are judged each on its own;
-other columns stay as they are.
+numpy finds them, and the automaton reads nothing else. Equal items are one, with all their ids. Tasks pack them by size
+into block files of at most ``block_words`` words in the shared folder (an item with more is a block of its own); of them
+the driver sees only the names. One pass over the documents does all blocks: a worker turns texts into numbers by the
+items' distinct words, holds at most ``HELD`` bytes of texts where there are several blocks, and builds one block's
+automaton after the other for them. So it holds one automaton at a time, no shuffle is needed, and more blocks cost time
+to build them once for each ``HELD`` bytes.
+
+Defined results: a null or empty text has no words, no hits and no items; a very long text is held whole by its task; an
+item without words never occurs; a repeated item counts once by its id, one with a null id is matched but not listed;
+repeated documents are judged each on its own; other columns stay as they are, but for one named like ``found``, which is
+replaced; ties do not arise, as all items that occur are listed.
 """
 
 from __future__ import annotations
@@ -23,13 +27,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import scratch, written
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _KEEP = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
-SLICE = 4_000_000
+SLICE, HELD = 4_000_000, 64_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,18 +47,19 @@ def words_of(text: str | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton of word sequences, with the items of every window marked at its state."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        self.window, self.vocab = window, {}
+    def __init__(self, items: list[tuple[list[str], str]], window: int, vocab: dict[bytes, int]):
+        """``items`` are ids and text of each; ``vocab`` has a number for each of their words."""
+        self.window, self.vocab = window, vocab
         self.next, self.link, self.length = [{}], [-1], [0]
         self.marks: dict[int, tuple[int, set]] = {}
         self.single: dict[int, set] = {}
-        texts = [(i, [self.vocab.setdefault(w, len(self.vocab)) for w in words_of(t)]) for i, t in items]
+        texts = [(i, [vocab[w] for w in words_of(t)]) for i, t in items]
         texts = [(i, t) for i, t in texts if t]
         longer = [(i, t) for i, t in texts if len(t) > 1 and window > 1]
         for i, t in texts:
             if len(t) == 1 or window == 1:
                 for w in t:
-                    self.single.setdefault(w, set()).update([] if i is None else [i])
+                    self.single.setdefault(w, set()).update(i)
         for _, t in longer:
             last = 0
             for w in t:
@@ -103,7 +111,7 @@ class Automaton:
             return self.next[s][w], n + 1
         return 0, 0
 
-    def _mark(self, item: str | None, words: list[int]) -> None:
+    def _mark(self, ids: list[str], words: list[int]) -> None:
         size, s, n = min(self.window, len(words)), 0, 0
         for k, w in enumerate(words):
             s, n = self.step(s, n, w)
@@ -111,7 +119,7 @@ class Automaton:
                 t = s
                 while self.length[self.link[t]] >= size:
                     t = self.link[t]
-                self.marks.setdefault(t, (size, set()))[1].update([] if item is None else [item])
+                self.marks.setdefault(t, (size, set()))[1].update(ids)
 
     def _ends(self) -> list[tuple[int, ...]]:
         """For each state the marked states among itself and those it links to."""
@@ -156,15 +164,75 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_BUILT: dict[object, Automaton] = {}
+def block_files(items: DataFrame, block_words: int) -> list[str]:
+    """Names of files with all distinct items (item_id, text) that have words, each file of at most ``block_words``."""
+    path = scratch(items.sparkSession, "items")
+    named = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
+    once = written(named.groupBy("text").agg(F.collect_set("item_id").alias("ids")), "distinct-items")
+    most = once.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 1  # words
+
+    def rows(batches):
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        held, n = [], 0
+
+        def close():
+            name = f"{uuid.uuid4().hex}.arrow"
+            table = pa.table({"ids": pa.array([i for i, _ in held], pa.list_(pa.string())), "text": pa.array([t for _, t in held], pa.string())})
+            with store.open_output_stream(f"{root}/{name}") as out, pa.ipc.new_stream(out, table.schema) as writer:
+                writer.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["path"])
+
+        for batch in batches:
+            for ids, text in zip(batch.column("ids").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                size = len(words_of(text))
+                if held and n + size > block_words:
+                    yield close()
+                    held, n = [], 0
+                if size:
+                    held.append((ids, text))
+                    n += size
+        if held:
+            yield close()
+
+    dealt = once.repartition(max(1, int(most // (16 * block_words))))
+    return [f"{path}/{r.path}" for r in written(dealt.mapInArrow(rows, "path string"), "blocks").collect()]
+
+
+def _items(name: str) -> list[tuple[list[str], str]]:
+    store, path = fs.FileSystem.from_uri(name)
+    with store.open_input_stream(path) as f, pa.ipc.open_stream(f) as reader:
+        table = reader.read_all()
+    return list(zip(table.column("ids").to_pylist(), table.column("text").to_pylist(), strict=True))
+
+
+class Blocks:
+    """The blocks of items as a worker sees them: the numbers of all words, and the automaton asked for last."""
+
+    def __init__(self, names: list[str], window: int):
+        self.names, self.window, self.vocab, self.last = names, window, {}, (None, None)
+        for name in names:
+            for _, text in _items(name):
+                for w in words_of(text):
+                    self.vocab.setdefault(w, len(self.vocab))
+
+    def automata(self):
+        for name in self.names:
+            if self.last[0] != name:
+                self.last = (None, None)
+                self.last = (name, Automaton(_items(name), self.window, self.vocab))
+            yield self.last[1]
 
 
-def _automaton(key: object, items, window: int) -> Automaton:
-    """The automaton of a block, built once in a worker; only one is kept."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton(items, window)
-    return _BUILT[key]
+_KNOWN: dict[str, Blocks] = {}
+
+
+def _blocks(key: str, names: list[str], window: int) -> Blocks:
+    """A worker's blocks of one query; those of the query before are let go."""
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = Blocks(names, window)
+    return _KNOWN[key]
 
 
 FOUND = T.StructType(
@@ -176,28 +244,43 @@ FOUND = T.StructType(
 )
 
 
-def _scan(texts: list[str | None], found: list[dict | None], auto: Automaton) -> list[dict]:
-    """What ``auto`` finds in each text, added to what earlier blocks found."""
-    ids, sizes, get = [], [], auto.vocab.get
-    for t in texts:
-        words = words_of(t)
-        sizes.append(len(words))
-        ids.extend(map(get, words, repeat(-1)))
-        ids.append(-1)
-    starts = np.cumsum([0] + [n + 1 for n in sizes])
-    by_text: dict[int, list] = {}
-    for a, b, items in auto.hits(np.array(ids, np.int64)):
-        by_text.setdefault(int(np.searchsorted(starts, a, "right")) - 1, []).append((a, b, items))
-    out = []
-    for k, (n, before) in enumerate(zip(sizes, found, strict=True)):
-        spans, items = [], set()
-        if before:
-            spans, items = [tuple(x) for x in before["spans"]], set(before["items"])
-        if new := by_text.get(k):
-            spans = merged(spans + [(a - int(starts[k]), b - int(starts[k])) for a, b, _ in new])
-            items = items.union(*(x for _, _, x in new))
-        out.append({"n_words": n, "spans": [list(x) for x in spans], "items": sorted(items)})
-    return out
+def _numbers(column: pa.Array, vocab: dict[bytes, int]):
+    """(first row, ids, starts) of slices of a column of texts: the numbers of all their words, with -1 for other words
+    and after each text, and where each text starts."""
+    first, held, n = 0, [], 0
+    for k in range(len(column) + 1):
+        if k == len(column) or n > SLICE:
+            ids, sizes, get = [], [], vocab.get
+            for t in held:
+                words = words_of(t)
+                sizes.append(len(words) + 1)
+                ids.extend(map(get, words, repeat(-1)))
+                ids.append(-1)
+            yield first, np.array(ids, np.int32), np.cumsum([0, *sizes])
+            first, held, n = k, [], 0
+        if k < len(column):
+            held.append(column[k].as_py())
+            n += len(held[-1] or "")
+
+
+def _scan(columns: list[pa.Array], blocks: Blocks) -> list[list[dict]]:
+    """What occurs in each text of each column: n_words, spans and items."""
+    slices = [(out, *part) for out, c in enumerate(columns) for part in _numbers(c, blocks.vocab)]
+    found = [[{"n_words": 0, "spans": [], "items": []} for _ in range(len(c))] for c in columns]
+    for out, first, _, starts in slices:
+        for k, n in enumerate(np.diff(starts).tolist(), first):
+            found[out][k]["n_words"] = n - 1
+    for auto in blocks.automata():
+        for out, first, ids, starts in slices:
+            for a, b, items in auto.hits(ids.astype(np.int64)):
+                k = int(np.searchsorted(starts, a, "right")) - 1
+                one, start = found[out][first + k], int(starts[k])
+                one["spans"].append((a - start, b - start))
+                one["items"].append(items)
+    for one in (x for column in found for x in column if x["spans"]):
+        one["spans"] = [list(x) for x in merged(one["spans"])]
+        one["items"] = sorted(set().union(*one["items"]))
+    return found
 
 
 def _cut(text: str, spans: list[list[int]]) -> str:
@@ -208,38 +291,6 @@ def _cut(text: str, spans: list[list[int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def _pass(docs: DataFrame, text: str, found: str, items, window: int, key: str, max_coverage: float | None = None) -> DataFrame:
-    """One block's hits added to ``found``. With ``max_coverage`` the texts come out cut, without the rows that are mostly
-    hit and without ``found``: one Python worker then does what else two in a row would hold memory for."""
-    schema = T.StructType([f for f in docs.schema if f.name != found] + [T.StructField(found, FOUND)])
-    has = found in docs.columns
-    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
-
-    def rows(batches):
-        auto = _automaton(key, items.value, window)
-        for batch in batches:
-            texts = batch.column(text)
-            before = batch.column(found).to_pylist() if has else [None] * len(batch)
-            out, a, held = [], 0, 0
-            for k in range(len(batch) + 1):
-                if k == len(batch) or held > SLICE:
-                    out += _scan(texts.slice(a, k - a).to_pylist(), before[a:k], auto)
-                    a, held = k, 0
-                if k < len(batch):
-                    held += len(texts[k].as_buffer() or b"") if texts[k].is_valid else 0
-            rest = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != found]
-            if max_coverage is not None:
-                n_hit = [sum(b - a for a, b in x["spans"]) for x in out]
-                kept = [k for k, x in enumerate(out) if n_hit[k] <= max_coverage * max(x["n_words"], 1)]
-                new = [_cut(texts[k].as_py(), out[k]["spans"]) if n_hit[k] else texts[k].as_py() for k in kept]
-                at = pa.array(kept, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == text else c.take(at) for c, n in rest], [n for _, n in rest])
-                continue
-            yield pa.RecordBatch.from_arrays([c for c, _ in rest] + [pa.array(out, kind)], [n for _, n in rest] + [found])
-
-    return docs.mapInArrow(rows, schema if max_coverage is None else T.StructType([f for f in schema if f.name != found]))
-
-
 def with_hits(
     docs: DataFrame,
     items: DataFrame,
@@ -251,20 +302,36 @@ def with_hits(
 ) -> DataFrame:
     """``docs`` with the struct ``found``: n_words, spans of hit words [start, end), and ids of the items that occur.
 
-    ``items`` has item_id and text. With ``max_coverage`` it is ``remove_hits``."""
-    sized = items.select(
-        F.col("item_id").cast("string").alias("item_id"),
-        "text",
-        (F.length(F.coalesce("text", F.lit(""))) / 2 + 1).alias("most_words"),
-    )
-    n = int(-(-(sized.agg(F.sum("most_words")).first()[0] or 1) // block_words))
-    sized = sized.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    spark = docs.sparkSession
-    for block in range(n):
-        rows = [(r.item_id, r.text) for r in sized.where(F.col("block") == block).collect()]
-        shared = spark.sparkContext.broadcast(rows)
-        docs = _pass(docs, text, found, shared, window, uuid.uuid4().hex, max_coverage if block == n - 1 else None)
-    return docs
+    ``items`` has item_id and text. With ``max_coverage`` it is ``remove_hits``: the texts come out cut, without the rows
+    that are mostly hit and without ``found``, so one Python worker does what two in a row would hold memory for."""
+    names, key = block_files(items, block_words), uuid.uuid4().hex
+    kept_fields = [f for f in docs.schema if f.name != found]
+    schema = T.StructType(kept_fields + ([T.StructField(found, FOUND)] if max_coverage is None else []))
+    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
+
+    def finished(batch: pa.RecordBatch, out: list[dict]) -> pa.RecordBatch:
+        rest = [(f.name, batch.column(f.name)) for f in kept_fields]
+        if max_coverage is None:
+            return pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(out, kind)], [n for n, _ in rest] + [found])
+        n_hit, texts = [sum(b - a for a, b in x["spans"]) for x in out], batch.column(text)
+        kept = [k for k, x in enumerate(out) if n_hit[k] <= max_coverage * max(x["n_words"], 1)]
+        new = [_cut(texts[k].as_py(), out[k]["spans"]) if n_hit[k] else texts[k].as_py() for k in kept]
+        at = pa.array(kept, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == text else c.take(at) for n, c in rest], [n for n, _ in rest])
+
+    def rows(batches):
+        blocks = _blocks(key, names, window)
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.column(text).nbytes
+            if len(names) < 2 or n > HELD:
+                yield from map(finished, held, _scan([b.column(text) for b in held], blocks))
+                held, n = [], 0
+        if held:
+            yield from map(finished, held, _scan([b.column(text) for b in held], blocks))
+
+    return docs.mapInArrow(rows, schema)
 
 
 def judge(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:

@@ -201,6 +201,34 @@ def test_decontamination(spark, window, block):
         assert got == hits_brute(texts[r.doc_id], items, window), r.doc_id
 
 
+def test_decontamination_by_blocks(spark, monkeypatch):
+    """Many blocks are one Python pass; equal items are one, and an item with more words than a block is a block."""
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 200))) for _ in range(40)]
+    items = [(i, " ".join(r.choices(words, k=r.randint(1, 30)))) for i in range(30)]
+    items += [(100 + i, " ".join(texts[3].split()[:15])) for i in range(300)] + [(500, " ".join(r.choices(words, k=400)))]
+    table = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    monkeypatch.setattr(decontamination, "HELD", 3_000)
+    names = decontamination.block_files(table, 60)
+    sizes = [sum(len(decontamination.words_of(t)) for _, t in decontamination._items(n)) for n in names]
+    assert len(names) >= 8 and max(sizes) == 400 and sorted(sizes)[-2] <= 60
+    assert sum(t == items[-2][1] for n in names for _, t in decontamination._items(n)) == 1
+    found = decontamination.with_hits(docs_of(spark, texts).repartition(2), table, window=4, block_words=60)
+    assert found._jdf.queryExecution().toString().split("Physical Plan")[1].count("MapInArrow") == 1
+    for x in found.collect():
+        assert (x._found.n_words, sum(b - a for a, b in x._found.spans), sorted(x._found["items"])) == hits_brute(texts[x.doc_id], items, 4)
+
+
+def test_decontamination_of_long_texts_and_clashing_columns(spark):
+    long = "x y " * 200_000 + "a b c d e f g h i j k" + " z" * 100_000
+    docs = spark.createDataFrame([(1, long, "clash"), (2, None, None)], "doc_id long, text string, _found string")
+    rows = decontamination.with_hits(docs, spark.createDataFrame([("q", "a b c d e f g h i j k")], "item_id string, text string")).collect()
+    assert {r.doc_id: (r._found.n_words, r._found.spans, r._found["items"]) for r in rows} == {1: (500_011, [[400_000, 400_011]], ["q"]), 2: (0, [], [])}
+    cut = decontamination.remove_hits(docs, spark.createDataFrame([("q", "a b c d e f g h i j k")], "item_id string, text string")).collect()
+    assert len(cut) == 2 and not any("a b c" in (r.text or "") for r in cut)
+
+
 def test_remove_hits(spark):
     item = " ".join(f"w{i}" for i in range(12))
     texts = ["Before it. " + item.replace(" ", ", ").upper() + "! After " + "more text here " * 5, item, "clean", None]
