@@ -1,16 +1,19 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles.
+"""Near copies: the SimHash search on five-word shingles, widened to a similarity of sets of shingles.
 
-Each text gets the minima of ``BANDS`` x ``ROWS`` hash functions over its set of shingles. Texts meet in a bucket if all
-minima of a band agree, which texts of similarity 0.8 miss in all bands with a chance of (1 - 0.8^5)^24, or 0.00007. Whoever
-meets is compared by the sets themselves, so each link is exact.
+Texts first meet in the covering tables of ``simhash``: fingerprints of their shingles that differ in at most 2 bits. Few
+texts of similarity 0.8 are that close, so each text also gets the minima of ``BANDS`` x ``ROWS`` hash functions over its
+set of shingles, and texts meet in a bucket if all minima of a band agree, which texts of similarity 0.8 miss in all bands
+with a chance of (1 - 0.8^5)^24, or 0.00007. Whoever meets is compared by the sets themselves, so each link is exact.
 
-Equal sets are one node before anything meets. In each bucket all nodes are first compared with its smallest one, which
-makes one component of most groups of copies for rows in proportion to their size. Crowded buckets that still hold several
-components then take other leaders in turn. Last, all pairs of a bucket whose nodes are in different components are
-compared; pairs within one component cannot change it. Nothing is capped.
+Equal sets are one node before anything meets. In each bucket that holds several components all nodes are compared with
+one leader, which makes one component of most groups of copies for rows in proportion to their size. Crowded buckets that
+still hold several components then take as leaders, in turn, the nodes whose shingles most of the others have. Last, nodes in different components are compared: in buckets of at most
+``CROWDED`` nodes all pairs, and the nodes of crowded ones where their sets share one of their rarest shingles, which all
+of the wanted similarity do. Pairs within one component cannot change it. Nothing is capped.
 
 Defined results: a null or empty text, or one without words, has the empty set, which equals only itself; texts of fewer
-words than a shingle are one shingle; rows with a null id connect others but name no component.
+words than a shingle are one shingle; a very long text costs time and memory in proportion to its words; rows with a null
+id connect others but name no component; other columns are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_counted, text_of, written
 from .components import components
-from .simhash import SLICE, text_hashes
+from .simhash import SLICE, links, majorities, text_hashes
 
 BANDS, ROWS = 24, 5
 CROWDED, ROUNDS = 64, 3
@@ -45,30 +48,39 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([of(row) for row in minima], np.uint64).view(np.int64)
 
 
+def text_digest() -> Column:
+    """What tells the texts of a table apart; a null is the empty text."""
+    return F.unhex(F.sha2(text_of(), 256))
+
+
 def shingle_sets(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
-    """(doc_id, node, keys, hashes) of each row of ``docs`` (doc_id, text): a digest of its set of shingles, the keys of
-    its bands, and the set."""
+    """(doc_id, sha, node, fp, keys, hashes) of each row of ``docs`` (doc_id, text): the digest of its text, a digest of
+    its set of shingles, their SimHash fingerprint, the keys of its bands, and the set."""
 
     def rows(batches):
         for batch in batches:
-            held, first, n = [], 0, 0
-            for k, t in enumerate(batch.column(1)):
-                held.append(np.unique(np.array(text_hashes(t.as_py(), words, seed), np.uint64)))
-                n += len(held[-1])
+            lists, first, n = [], 0, 0
+            for k, t in enumerate(batch.column("text")):
+                lists.append(text_hashes(t.as_py(), words, seed))
+                n += len(lists[-1])
                 if n > SLICE or k + 1 == len(batch):
+                    held = [np.unique(np.array(x, np.uint64)) for x in lists]
                     some = [x for x in held if len(x)]
                     found = iter(band_keys(some) if some else [])
                     columns = [
-                        batch.column(0).slice(first, len(held)),
+                        batch.column("doc_id").slice(first, len(held)),
+                        batch.column("sha").slice(first, len(held)),
                         pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in held], pa.binary()),
+                        pa.array(majorities(lists)),
                         pa.array([next(found) if len(x) else [] for x in held], pa.list_(pa.int64())),
                         pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64())),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "keys", "hashes"])
-                    held, first, n = [], k + 1, 0
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "node", "fp", "keys", "hashes"])
+                    lists, first, n = [], k + 1, 0
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, node binary, keys array<long>, hashes array<long>")
+    source = docs.select("doc_id", text_digest().alias("sha"), "text")
+    return source.mapInArrow(rows, f"doc_id {kind}, sha binary, node binary, fp long, keys array<long>, hashes array<long>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, fifths: int) -> DataFrame:
@@ -79,44 +91,101 @@ def _alike(pairs: DataFrame, sets: DataFrame, fifths: int) -> DataFrame:
     return both.where(common * (5 + fifths) >= total * fifths).select("a", "b")
 
 
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def simhash_pairs(nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) that connect all whose fingerprints differ in at most ``radius`` bits."""
+    heads = written(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "heads")
+    same = join_counted(nodes, heads, "fp").where("node <> head").select(*_ordered("node", "head"))
+    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"at_{c}"))
+    near = links(heads.select("fp"), radius).join(of("a"), "a").join(of("b"), "b")
+    return same.union(near.select(*_ordered("at_a", "at_b"))).distinct()
+
+
+def shared_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, size, hs) of ``nodes`` (node): the size of its set, and (c, h) of its shingles that c > 1 of the nodes have,
+    the rarest first."""
+    x = written(sets.join(nodes, "node"), "crowd")
+    each = x.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+    seen = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").withColumn("c", F.col("n"))
+    rare = join_counted(each, written(seen, "shingles"), "h").where("c is not null")
+    return written(rare.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("hs")), "shared")
+
+
+def prefix_pairs(nodes: DataFrame, shared: DataFrame, fifths: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, root) with different roots, among them all of a similarity of at least ``fifths``
+    / 5: of two such sets, both sorted from the rarest shingle on, the first ones have one in common, as many as a set can
+    lack and one more; and from the first one in common on both have enough left. A shingle that no other of the nodes has
+    joins nothing, so it is only counted."""
+    most = (F.col("size") - F.ceil(F.col("size") * fifths / 5) + 1).cast("int")
+    alone = F.col("size") - F.size("hs")
+    parts = F.posexplode(F.slice("hs", F.lit(1), most - alone)["h"]).alias("at", "h")
+    prefix = shared.join(nodes, "node").where(most > alone).select("node", "root", "size", alone.alias("alone"), parts)
+    prefix = written(prefix.select("h", "node", "root", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
+    of = lambda c: prefix.select("h", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "root", "size", "left")))
+    near = (5 + fifths) * F.least("x_left", "y_left") >= fifths * (F.col("x_size") + F.col("y_size"))
+    near &= (F.col("x_root") != F.col("y_root")) & (F.col("x_node") > F.col("y_node"))
+    return of("x").join(of("y"), "h").where(near).select(*_ordered("x_node", "y_node")).distinct()
+
+
 def near_copies(docs: DataFrame, words: int = 5, fifths: int = 4) -> DataFrame:
-    """(doc_id, component_id) for each row: the smallest id that is reachable over links, its own included. Texts link if
-    their sets of shingles of ``words`` words have a similarity of at least ``fifths`` / 5."""
+    """(doc_id, sha, component_id, stays) for each row: the digest of its text, the smallest id that is reachable over
+    links, its own included, and whether the row stands for its component: of the rows with that id those with the
+    smallest digest. Texts link if their sets of shingles of ``words`` words have a similarity of at least ``fifths`` / 5.
+    Components of different texts with one id have the same component_id, and each has a row that stays."""
     rows = written(shingle_sets(docs, words), "sets")
-    known = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    members = rows.select("node", F.explode("keys").alias("key")).distinct()
+    known = rows.groupBy("node").agg(
+        F.min("fp").alias("fp"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "sha"))).alias("first"), F.count("*").alias("n")
+    )
+    known = written(known, "known")
+    members = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key")).distinct()
+    members = written(members, "members")
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(members.join(sizes, "key"), "buckets")
-    met = shared.select("node").distinct()
+    seeds = written(simhash_pairs(known.select("node", "fp")), "seeds")
+    met = shared.select("node").union(seeds.select("a")).union(seeds.select("b")).distinct()
     sets = written(rows.select("node", "hashes").join(met, "node", "left_semi").dropDuplicates(["node"]), "met")
 
-    def with_roots(links: DataFrame) -> DataFrame:
+    def with_roots(found: DataFrame) -> DataFrame:
         """The members of buckets that hold several components."""
-        roots = components(links).withColumnRenamed("node", "of")
+        roots = components(found).withColumnRenamed("node", "of")
         x = shared.join(roots, F.col("node") == F.col("of"), "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
         several = x.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         return written(x.join(several, "key"), "open")
 
-    def to_leaders(x: DataFrame, seed: int) -> DataFrame:
-        best = x.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "root")).alias("leader"))
-        return x.join(best, "key").where("root <> leader.root").select(F.greatest("node", "leader.node").alias("a"), F.least("node", "leader.node").alias("b")).distinct()
-
-    links = written(_alike(to_leaders(shared.withColumn("root", F.col("node")), 0), sets, fifths), "alike")
-    still = with_roots(links)
-    for k in range(1, ROUNDS + 1):
-        crowd = still.where(F.col("n") > CROWDED)
-        if crowd.isEmpty():
+    def to_leaders(x: DataFrame, rank: Column) -> DataFrame:
+        best = x.groupBy("key").agg(F.max(F.struct(rank.alias("r"), "node", "root")).alias("leader"))
+        return x.join(best, "key").where("root <> leader.root").select(*_ordered("node", "leader.node")).distinct()
+
+    alike = written(_alike(seeds, sets, fifths), "alike")
+    still = with_roots(alike)
+    alike = written(alike.union(_alike(to_leaders(still, F.xxhash64("node")), sets, fifths)), "alike")
+    still = with_roots(alike)
+    crowd = lambda: still.where(F.col("n") > CROWDED)
+    shingles = shared_shingles(crowd().select("node").distinct(), sets)
+    central = shingles.select("node", (F.aggregate("hs", F.lit(0).cast("double"), lambda a, x: a + x["c"]) / F.col("size")).alias("central"))
+    central = written(central, "central")
+    for k in range(ROUNDS):
+        open_ = crowd().join(central, "node", "left")
+        if open_.isEmpty():
             break
-        links = written(links.union(_alike(to_leaders(crowd, k), sets, fifths)), "alike")
-        still = with_roots(links)
-    most = still.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
-    sides = still.join(most, "key").select("key", "node", "root", (F.col("root") == F.col("main")).alias("in_main"))
-    a = sides.where("not in_main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    b = sides.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"), "in_main")
-    rest = a.join(b, "key").where("x_root <> y_root and (in_main or x > y)").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    roots = components(written(links.union(_alike(rest, sets, fifths)), "alike"))
-    linked = written(roots.join(known, "node"), "linked")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    classes = linked.join(least, "root").select("node", "least_id")
-    named = known.join(classes, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id"))
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+        if k:  # a leader from outside the largest component
+            main = open_.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
+            open_ = open_.join(main, "key").withColumn("central", F.when(F.col("root") != F.col("main"), F.col("central")))
+        alike = written(alike.union(_alike(to_leaders(open_, F.col("central")), sets, fifths)), "alike")
+        still = with_roots(alike)
+    few = still.where(F.col("n") <= CROWDED)
+    a, b = (few.select("key", F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "xy")
+    rest = a.join(b, "key").where("x_root <> y_root and x > y").select(*_ordered("x", "y"))
+    rest = rest.union(prefix_pairs(crowd().select("node", "root").distinct(), shingles, fifths)).distinct()
+    roots = components(written(alike.union(_alike(rest, sets, fifths)), "alike"))
+    linked = written(roots.join(known.drop("n"), "node"), "linked")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    classes = linked.join(least, "root").select("node", "least")
+    named = written(known.join(classes, "node", "left").select("node", "n", F.coalesce("least", "first").alias("of")), "named")
+    stays = (F.col("doc_id") == F.col("of.doc_id")) & (F.col("sha") == F.col("of.sha"))
+    return join_counted(rows.select("doc_id", "sha", "node"), named, "node").select(
+        "doc_id", "sha", F.col("of.doc_id").alias("component_id"), F.coalesce(stays, F.lit(False)).alias("stays")
+    )
