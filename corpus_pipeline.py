@@ -25,12 +25,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; of its repeated rows one. Rows with a null id
-    stay, as no other row can stand for them."""
+    """Of each group of near-duplicates one row: the one with the smallest id, of rows with that id the one with the
+    smallest digest of its text, and of repeated rows the one that is least in all columns. Different texts with one id are
+    groups of their own. Rows with a null id stay, as no other row can stand for them."""
     small_batches(spark)
-    groups = near_copies.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    stay = near_copies.near_copies(docs).where("stays").select("doc_id", "sha").distinct()
+    named = docs.where("doc_id is not null").withColumn("sha", near_copies.text_digest()).join(stay, ["doc_id", "sha"], "left_semi")
+    one = named.groupBy("doc_id", "sha").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
