@@ -1,6 +1,6 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a small network with calibrated scores.
 
-The ``VOCABULARY`` words that the whole corpus has most often have a vector each; a rarer word falls by its hash in one of
+The at most ``VOCABULARY`` words that the whole corpus has most often have a vector each; a rarer word falls by its hash in one of
 ``TAIL`` buckets, and every word's shape (letters folded to their case, digits to 9, repeats to one) in one of ``SHAPES``.
 Each of these has a sparse random index vector. Its context vector is the sum of the index vectors of the words beside it
 over the whole corpus: each task sums its own words, and a grouped sum adds the tasks up, so the table that comes back has
@@ -13,8 +13,8 @@ tenth of them are kept back to fit the temperature that divides its output.
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out: their labels are never read. A score depends on the text only.
 
 Defined results: a null or empty text has zero features and still gets a score; a very long text is held whole by its
-task; repeated rows get the same score; words with equal counts are taken in the order of their bytes, and labels with
-equal hashes by id, label and features; a document labelled both ways is learnt both ways; null labels are not used; with
+task; repeated rows get the same score; words with equal counts are all in the vocabulary or none is, and labels with equal
+hashes are taken by id, label and features; a document labelled both ways is learnt both ways; null labels are not used; with
 labels of fewer than two kinds every score is the share of label 1, or 0.5 without labels; other columns stay as they are
 in ``with_scores``, but for one named like the score, which is replaced; an empty table gives an empty one.
 """
@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 VOCABULARY, TAIL, SHAPES, DIM, NONZERO = 32_768, 8_192, 2_048, 32, 2
 SLICE = 1_000_000
@@ -93,7 +95,8 @@ def _slices(batch: pa.RecordBatch, text: str):
 
 
 def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> list[bytes]:
-    """The ``size`` words that all rows together have most often."""
+    """The at most ``size`` words that all rows together have most often, by their bytes: those with a count above the
+    highest one that would bring more."""
 
     def counts(batches):
         seen = Counter()
@@ -107,8 +110,14 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> l
                     seen.clear()
         yield out()
 
-    words = docs.select(text).mapInArrow(counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(size).collect()]
+    words = written(docs.select(text).mapInArrow(counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    least, above = 0, 0
+    for r in words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size + 1).collect():
+        above += r.words
+        if above > size:
+            least = r.n
+            break
+    return sorted(bytes(r.word) for r in words.where(F.col("n") > least).collect())
 
 
 def word_vectors(docs: DataFrame, words, text: str = "text") -> np.ndarray:
