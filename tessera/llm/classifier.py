@@ -4,7 +4,7 @@ The at most ``VOCABULARY`` words that the whole corpus has most often have a vec
 ``TAIL`` buckets, and every word's shape (letters folded to their case, digits to 9, repeats to one) in one of ``SHAPES``.
 Each of these has a sparse random index vector. Its context vector is the sum of the index vectors of the words beside it
 over the whole corpus: each task sums its own words, and a grouped sum adds the tasks up, so the table that comes back has
-one row per vector for a corpus of any size (at most ``VOCABULARY + TAIL + SHAPES`` rows of ``DIM`` numbers: 5.5 MB) and
+one row per vector for a corpus of any size (at most ``VOCABULARY + TAIL + SHAPES`` rows of ``DIM`` numbers: 1.9 MB) and
 can be broadcast. A document is the mean and the spread of its word vectors and the mean of its shape vectors. A network
 with one hidden layer is trained in one task on at most ``max_train`` labelled rows, taken in the order of a hash of their
 ids; that bound holds for the labels and again for the rows of documents with those ids, of which features alone travel. A
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-VOCABULARY, TAIL, SHAPES, DIM, NONZERO = 32_768, 8_192, 2_048, 32, 2
+VOCABULARY, TAIL, SHAPES, DIM, NONZERO = 4_096, 8_192, 2_048, 32, 2
 SLICE = 1_000_000
 #: A task's counts go out when it has so many different words; a worker remembers so many words.
 MOST_COUNTED, REMEMBERED = 400_000, 200_000
