@@ -21,7 +21,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 #: White space, characters between which a space is kept, obligation words and their classes.
-WS_CHARS = r"\t\n\x0B\f\r\x20   -     　﻿"
+WS_CHARS = r"\t\n\x0B\f\r\x20\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = f"[{WS_CHARS}]"
 KEEP_BETWEEN = "A-Za-z0-9〇零一二三四五六七八九两"
 MODALS = ("严禁", "不得", "禁止", "必须", "应当", "可以", "不应", "宜")
@@ -49,6 +49,8 @@ CREDENTIALS = (
 ARTICLE = rf"^{WS}*(第[〇零一二三四五六七八九十百千万两0-9]+条)"
 
 _SPACE = re.compile(WS)
+#: Every character of WS.
+WHITE = "".join(chr(c) for c in range(0x10000) if _SPACE.match(chr(c)))
 
 
 # -- native expressions ------------------------------------------------------------------------------------------
@@ -70,7 +72,7 @@ def collapse_ws(c: Column) -> Column:
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def compact(c: Column) -> Column:
@@ -117,11 +119,6 @@ def in_order(wanted: Column, offered: Column) -> Column:
     return F.aggregate(wanted, F.lit(0), step) >= 0
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Edits between code points."""
-    return F.levenshtein(a, b)
-
-
 def utc_timestamp_valid(c: Column) -> Column:
     return F.coalesce(
         c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?Z$") & F.try_to_timestamp(c).isNotNull(), F.lit(False)
@@ -132,23 +129,28 @@ def utc_timestamp_valid(c: Column) -> Column:
 
 
 def numeral(s: str) -> int | None:
-    """A Chinese numeral: positional digits, or units up to 兆."""
+    """A Chinese numeral: positional digits, or digits with units up to 兆.
+
+    Read from left to right: a digit waits for its unit; 十, 百 and 千 add to the section below the next large unit; a
+    large unit multiplies all that came since the last unit as large."""
     if s and all(c in DIGITS for c in s):
         return int("".join(str(DIGITS[c]) for c in s))
-    for mark, worth in LARGE:
-        if mark in s:
-            high, _, low = s.partition(mark)
-            parts = (numeral(high) if high else 1, numeral(low) if low else 0)
-            return None if None in parts else parts[0] * worth + parts[1]
-    total = held = 0
+    held: list[tuple[int, int]] = []  # (unit, value), units falling
+    section, digit, large = 0, None, dict(LARGE)
     for c in s:
         if c in DIGITS:
-            held = DIGITS[c]
+            digit = DIGITS[c]
         elif c in SMALL:
-            total, held = total + (held or 1) * SMALL[c], 0
+            section, digit = section + (digit or 1) * SMALL[c], None
+        elif c in large:
+            value, bare = section + (digit or 0), digit is None and not section
+            while held and held[-1][0] < large[c]:
+                value, bare = value + held.pop()[1], False
+            held.append((large[c], (1 if bare else value) * large[c]))
+            section, digit = 0, None
         else:
             return None
-    return total + held if s else None
+    return sum(v for _, v in held) + section + (digit or 0) if s else None
 
 
 _CN, _CN10 = "[〇零一二三四五六七八九]", "[〇零一二三四五六七八九十]"
@@ -197,7 +199,7 @@ class Taken:
 
 
 _VALUE = r"(?:[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?|[〇零一二三四五六七八九十百千万亿兆两]+%s(?:点[〇零一二三四五六七八九两]+)?)"
-_UNITS = [*sorted(CURRENCY, key=lambda u: -CURRENCY[u]), "%", "‰", *"项个次笔家人倍年月日条", "万", "亿"]
+_UNITS = [*sorted(CURRENCY, key=lambda u: -CURRENCY[u]), "%", "‰", *COUNTED, "万", "亿"]
 #: Ratios, values with units, values after a currency, bare values.
 RATIO = re.compile(rf"(百分之|千分之){_GAP}({_VALUE % ''})")
 WITH_UNIT = re.compile(rf"({_VALUE % '?'}){_GAP}({'|'.join(_UNITS)})")
@@ -242,6 +244,15 @@ def number_spans(s: str) -> list[tuple[int, int, str]]:
 
 
 _MODAL = re.compile("|".join(MODALS))
+_SENTENCE = re.compile("[^。！？!?；;\r\n]+")
+
+
+def sentences(s: str) -> list[str]:
+    return [m[0].strip() for m in _SENTENCE.finditer(s) if m[0].strip()]
+
+
+def modals_in(s: str) -> list[str]:
+    return _MODAL.findall(s)
 
 
 def _typed(token: str) -> str:

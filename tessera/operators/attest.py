@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 #: The resolutions.
 RESOLUTIONS = (
     "automatic_passed",
@@ -101,3 +103,30 @@ def work_queue(resolved: DataFrame) -> DataFrame:
     bad = resolved.groupBy("finding_id").agg(F.max(F.col("resolution") == "attestation_integrity_failed").alias("integrity_failed"))
     open_ = resolved.where(F.col("resolution").isin("manual_review_pending", "manual_rejected"))
     return open_.join(bad, "finding_id")
+
+
+def with_messages(validations: DataFrame, texts: dict[str, tuple[str, str]], manual: str) -> DataFrame:
+    """``validations`` (rule, status) with severity and message; ``texts`` has what is said of a rule that passes, and of
+    one that fails."""
+    table = lambda k: F.create_map(*(F.lit(x) for rule, said in texts.items() for x in (rule, said[k])))[F.col("rule")]
+    status = F.col("status")
+    return validations.withColumns(
+        {
+            "severity": F.when(status == "passed", "info").when(status == "manual_review_required", "warning").otherwise("error"),
+            "message": F.when(status == "passed", table(0)).when(status == "manual_review_required", manual).otherwise(table(1)),
+        }
+    )
+
+
+def read_attestations(lines: DataFrame, rules: tuple[str, ...], column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(records, issues) of stored attestations, one JSON object a row. A row with other keys, without a decision or with
+    a time that is not UTC is an issue, which keeps finding_id and rule if it names a finding and a known rule."""
+    fields = ("finding_id", "rule", "decision", "source_evidence_hash", "finding_hash", "atomic_requirement_hash", "reviewer", "reviewed_at", "reason")
+    x = lines.withColumns({"r": F.from_json(column, ", ".join(f"{f} string" for f in fields)), "_keys": F.json_object_keys(column)})
+    filled = lambda f: F.coalesce(T.trim_ws(F.col(f"r.{f}")) != "", F.lit(False))
+    named = filled("finding_id") & F.coalesce(F.col("r.rule").isin(*rules), F.lit(False))
+    good = F.coalesce(F.array_sort("_keys") == F.array(*map(F.lit, sorted(fields))), F.lit(False)) & named
+    good &= F.coalesce(F.col("r.decision").isin("confirmed", "rejected"), F.lit(False)) & filled("reviewer") & filled("reason") & T.utc_timestamp_valid(F.col("r.reviewed_at"))
+    x = x.withColumns({"_good": good, "_named": F.coalesce(named, F.lit(False))})
+    issues = x.where(~F.col("_good")).select(*(F.when(F.col("_named"), F.col(f"r.{f}")).alias(f) for f in ("finding_id", "rule")), F.lit("malformed attestation").alias("why"))
+    return x.where("_good").select("r.*"), issues

@@ -24,6 +24,7 @@ def check_policy(max_chars: int, overlap: int) -> None:
 def segments(sources: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, by: str = "source_id", content: str = "content") -> DataFrame:
     """(source_id, segment_index, start, end): pieces of at most max_chars // (overlap + 1) characters; an empty source
     has one empty piece."""
+    check_policy(max_chars, overlap)
     size = max(1, max_chars // (overlap + 1))
     n = F.length(F.coalesce(content, F.lit("")))
     count = F.greatest(F.ceil(n / size).cast("int"), F.lit(1))
@@ -117,6 +118,7 @@ def admitted(authorized: DataFrame) -> DataFrame:
     return authorized.groupBy("node_id", "finding_id").agg(F.bool_and("authorized").alias("ok")).where("ok").drop("ok")
 
 
-def fixed_chunk_of(segment: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:
-    """The first chunk that holds a segment when all segments are full: a chunk has overlap + 1 of them."""
-    return F.greatest(segment - overlap, F.lit(0))
+def source_ids(units: DataFrame, by: str, order: str = "ord") -> DataFrame:
+    """(by, source_ids): the sources of each chunk, run or version, each once, in order of first sight."""
+    first = units.groupBy(by, "source_id").agg(F.min(order).alias("_o"))
+    return first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "source_id"))), lambda s: s["source_id"]).alias("source_ids"))

@@ -126,3 +126,21 @@ def gate(metrics: DataFrame) -> DataFrame:
     ]
     failures = F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in checks)))
     return metrics.withColumn("failures", failures).withColumn("passed", F.size("failures") == 0)
+
+
+def release_report(expected: DataFrame, actual: DataFrame, keys: list[str], pages: DataFrame, cited: DataFrame) -> DataFrame:
+    """One row with all metrics of a release, its failures and whether it passes: matches of ``expected`` and ``actual``
+    (id, category, claim_type and ``keys``) per critical category and for atomic requirements, citations (``cited``: valid,
+    total, rate), page accuracy (``pages``: errors, n_chars, needs_review, is_extra), unmarked inferences and omissions."""
+    found = match(expected, actual, keys)
+    kind = F.coalesce(critical_category(F.col("category")), F.when(F.col("category") == "atomic_requirement", "atomic"))
+    e, a = expected.withColumn("kind", kind), actual.withColumn("kind", kind)
+    kinds = [*CRITICAL, "atomic"]
+    by = counts(e, a, found, "kind")
+    cells = by.agg(*(F.max(F.when(F.col("kind") == k, F.col(m))).alias(f"{m}_{k}") for k in kinds for m in ("precision", "recall")))
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    ocr = pages.agg(
+        (1 - F.sum("errors") / F.nullif(F.sum("n_chars"), F.lit(0))).alias("ocr_accuracy"), F.coalesce(~F.bool_or("is_extra"), F.lit(False)).alias("ocr_coverage"), F.count_if("needs_review").alias("n_pending")
+    )
+    one = cells.crossJoin(n(unmarked_inferences(actual), "n_unmarked")).crossJoin(n(omissions(expected, found), "n_omissions"))  # one row each
+    return gate(one.crossJoin(cited.select(F.col("rate").alias("citation_rate"))).crossJoin(ocr))

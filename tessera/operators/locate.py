@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
+UNITS_AT_ONCE = 1_000
+
 
 def line_units(sources: DataFrame, source_id: str = "source_id", content: str = "content") -> DataFrame:
     """One unit per line that is not blank: source_id, paragraph_index from 0 and text, trimmed. CRLF and CR end lines."""
@@ -52,29 +54,30 @@ def unique_sources(sources: DataFrame) -> DataFrame:
 
 
 def authorized_units(units: DataFrame, sources: DataFrame) -> DataFrame:
-    """Units of a source that is known once, has their type, and contains their text. The content meets all units of
-    its source in one row, so it is not copied for each."""
-    kept = units.groupBy("source_id").agg(F.collect_list(F.struct(*units.columns)).alias("_units"))
-    single = sources.groupBy("source_id").agg(
-        F.count("*").alias("n"), F.min("source_type").alias("_type"), T.squeeze(F.min("content")).alias("_content")
-    )
-    inside = F.filter("_units", lambda u: (u["source_type"] == F.col("_type")) & F.contains(F.col("_content"), T.squeeze(u["text"])))
-    rows = kept.join(single.where("n = 1"), "source_id").select(F.explode(inside).alias("u"))
-    return rows.select("u.*")
+    """Units of a source that is known once, has their type, and contains their text, once both are normalized. Units are
+    cut to parts of at most ``UNITS_AT_ONCE`` of a source, and the content meets each part in one row, so it is copied
+    neither for each unit nor do all units of a source stand in one row."""
+    x = units.withColumn("_text", T.normalize("text"))
+    part = F.pmod(F.xxhash64(*units.columns), F.ceil(F.count("*").over(Window.partitionBy("source_id")) / UNITS_AT_ONCE))
+    kept = x.withColumn("_part", part).groupBy("source_id", "_part").agg(F.collect_list(F.struct("_text", *units.columns)).alias("_units"))
+    single = sources.groupBy("source_id").agg(F.count("*").alias("n"), F.min("source_type").alias("_type"), F.min("content").alias("_raw"))
+    single = single.where("n = 1").select("source_id", "_type", T.normalize("_raw").alias("_content"))
+    inside = F.filter("_units", lambda u: (u["source_type"] == F.col("_type")) & F.contains(F.col("_content"), u["_text"]))
+    return kept.join(single, "source_id").select(F.explode(inside).alias("u")).select(*(F.col(f"u.{c}") for c in units.columns))
 
 
 def locate_quotes(anchors: DataFrame, units: DataFrame, keys: tuple[str, ...] = ("finding_id", "anchor_ord")) -> DataFrame:
     """For each citation whether a unit agrees in page, then paragraph, then article, then contains the quote. Texts are
-    compared squeezed; ``anchors`` has source_id, page, paragraph_index, article and quote besides ``keys``.
+    compared normalized (``functions.text.normalize``); ``anchors`` has source_id, page, paragraph_index, article and quote besides ``keys``.
 
     Pages are joined as distinct keys and units by paragraph, so a long page is not met by all of its citations."""
-    a = anchors.withColumns({"_article": T.squeeze(F.coalesce("article", F.lit(""))), "_quote": T.squeeze(F.col("quote"))})
+    a = anchors.withColumns({"_article": T.normalize(F.coalesce("article", F.lit(""))), "_quote": T.normalize("quote")})
     u = units.select(
         F.col("source_id").alias("u_source"),
         F.col("page").alias("u_page"),
         F.col("paragraph_index").alias("u_paragraph"),
-        T.squeeze(F.coalesce("article", F.lit(""))).alias("u_article"),
-        T.squeeze(F.col("text")).alias("u_text"),
+        T.normalize(F.coalesce("article", F.lit(""))).alias("u_article"),
+        T.normalize("text").alias("u_text"),
     )
     page = (F.col("source_id") == F.col("p_source")) & F.col("page").eqNullSafe(F.col("p_page"))
     pages = units.select(F.col("source_id").alias("p_source"), F.col("page").alias("p_page")).distinct()
@@ -102,18 +105,35 @@ def every(rows: DataFrame, owners: DataFrame, key: str, checks: list[str]) -> Da
     return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in checks})
 
 
-def passages(items: DataFrame, docs: DataFrame, broadcast_chars: int = 4_000_000) -> DataFrame:
-    """(item_id, doc_id): texts of ``items`` that occur verbatim in ``docs``. A stated set of items against all rows: it
-    is broadcast if its counted size is small, and else split by the items' first word, on which both sides meet."""
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    i = items.where("text <> ''").select("item_id", F.col("text").alias("item_text"))
-    d = docs.select("doc_id", "text")
-    if size <= broadcast_chars:
-        return d.join(F.broadcast(i), F.contains("text", "item_text")).select("item_id", "doc_id")
-    word = r"[^\s]+"
-    i = i.withColumn("w", F.regexp_extract("item_text", word, 0))
-    first = d.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), 0))).alias("w"))
-    return first.join(i, "w").where(F.contains("text", "item_text")).select("item_id", "doc_id").distinct()
+GRAM, STEP = 16, 8
+
+
+def passages(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id): texts of ``items`` that occur verbatim in ``docs``.
+
+    An occurrence of an item of at least GRAM + STEP - 1 characters has, within its first STEP characters, a place that is
+    a multiple of STEP in the document. So documents give their grams of GRAM characters at every STEP, items those at
+    their first STEP places, and both meet where grams are equal; only then is the text compared, at the one place where
+    the item must stand. Shorter items have no such gram: for each length that one of them has, the documents give all
+    their pieces of that length, each once. Equal texts are looked through once."""
+    i = items.where("text <> ''").select("item_id", F.col("text").alias("item_text")).distinct()
+    named = docs.select("doc_id", "text", F.sha2("text", 256).alias("_key")).where("text is not null")
+    texts, d = named.select("_key", "text").dropDuplicates(["_key"]), named.select("_key", "doc_id").distinct()
+    least = GRAM + STEP - 1
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(STEP)), lambda k: F.xxhash64(F.substr(F.col("item_text"), k, F.lit(GRAM))))).alias("at", "h")
+    asked = i.where(F.length("item_text") >= least).select("item_id", at)
+    places = F.sequence(F.lit(0), F.floor((F.length("text") - GRAM) / STEP).cast("int"))
+    grams = F.transform(places, lambda k: F.struct(F.xxhash64(F.substr(F.col("text"), k * STEP + 1, F.lit(GRAM))).alias("h"), (k * STEP).alias("start")))
+    found = texts.where(F.length("text") >= least).select("_key", F.explode(grams).alias("g")).select("_key", "g.h", "g.start")
+    near = found.join(asked, "h").select("item_id", "_key", (F.col("start") - F.col("at")).alias("start")).distinct()
+    checked = near.join(i, "item_id").join(texts, "_key")
+    held = checked.where(F.substr(F.col("text"), F.col("start") + 1, F.length("item_text")) == F.col("item_text")).select("item_id", "_key")
+    short = i.where(F.length("item_text") < least)
+    for n in sorted(r[0] for r in short.select(F.length("item_text")).distinct().collect()):  # at most least - 1 lengths
+        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda k: F.substr(F.col("text"), k, F.lit(n))))  # noqa: B023
+        mine = texts.where(F.length("text") >= n).select("_key", F.explode(pieces).alias("item_text"))
+        held = held.unionByName(mine.join(short, "item_text").select("item_id", "_key"))
+    return held.distinct().join(d, "_key").select("item_id", "doc_id").distinct()
 
 
 def uncovered(sources: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -125,11 +145,13 @@ def order_units(units: DataFrame) -> DataFrame:
     return units.orderBy(F.coalesce("page", F.lit(0)), "paragraph_index")
 
 
-def pairs_of_project(sources: DataFrame) -> DataFrame:
-    """Each official source with all regulatory sources of its project: project_id, official_source_id,
-    primary_source_ids."""
-    primary = sources.where("source_type = 'regulatory_text'").groupBy("project_id").agg(
-        F.array_sort(F.collect_set("source_id")).alias("primary_source_ids")
-    )
-    official = sources.where("source_type = 'official_interpretation'").select("project_id", F.col("source_id").alias("official_source_id"))
-    return official.join(primary, "project_id", "left").withColumn("primary_source_ids", F.coalesce("primary_source_ids", F.array().cast("array<string>")))
+def pairs_of_project(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each official source with all regulatory sources of its project, as two tables: (project_id, official_source_id,
+    n_primary, primary_digest) and the members (project_id, primary_source_id). Their join by project is all pairs; most
+    uses need membership or the set's digest, a sum of hashes that is combined before it is shuffled."""
+    members = sources.where("source_type = 'regulatory_text'").select("project_id", F.col("source_id").alias("primary_source_id")).distinct()
+    part = F.conv(F.substring(F.sha2(F.col("primary_source_id").cast("string"), 256), 1, 8), 16, 10).cast("long")
+    of = members.groupBy("project_id").agg(F.count("*").alias("n_primary"), F.sum(part).alias("primary_digest"))
+    official = sources.where("source_type = 'official_interpretation'").select("project_id", F.col("source_id").alias("official_source_id")).distinct()
+    x = official.join(of, "project_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_primary", "primary_digest")})
+    return x, members

@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 
+def text_key(column: str) -> Column:
+    """A digest of a text in NFKC with white space collapsed: what stands for it as a key, so that texts are not shuffled."""
+    return F.unhex(F.sha2(T.collapse_ws(T.nfkc(column)), 256))
+
+
 def dedup_key() -> list[Column]:
-    """claim type, and category and statement with white space collapsed."""
-    return [F.col("claim_type"), T.collapse_ws(F.col("category")), T.collapse_ws(F.col("statement"))]
+    """claim type, and digests of category and statement."""
+    return [F.col("claim_type"), text_key("category"), text_key("statement")]
 
 
 def first_of(df: DataFrame, keys: list[Column], order: str = "ord") -> DataFrame:

@@ -81,7 +81,10 @@ def route(findings: DataFrame, sections, by: str = "project_id", order: str = "o
     x = findings.select("*", F.explode(F.array_compact(each)).alias("_s"))
     x = x.select(*findings.columns, F.col("_s.k").alias("section_ord"), F.col("_s.s").alias("section"), F.col("_s.n").alias("_limit"))
     rank = F.row_number().over(Window.partitionBy(by, "section_ord").orderBy(order))
-    return x.withColumn("item_ord", rank).where("_limit is null or item_ord <= _limit").drop("_limit")
+    most = max([n for _, _, n in sections if n], default=0)
+    # a bound that Spark knows lets each task drop rows before the shuffle; sections without a limit are numbered apart
+    cut = x.where("_limit is not null").withColumn("item_ord", rank).where(F.col("item_ord") <= most).where("item_ord <= _limit")
+    return cut.unionByName(x.where("_limit is null").withColumn("item_ord", rank)).drop("_limit")
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -132,3 +135,21 @@ def step_gate(projects: DataFrame) -> DataFrame:
         .when(~F.col("gate_passed"), "quality gate failed")
     )
     return projects.withColumn("reason", why).withColumn("allowed", F.col("reason").isNull())
+
+
+def report_status(projects: DataFrame) -> DataFrame:
+    """``projects`` (finalized, parse_complete, n_eligible) with the report's status, its watermark, and whether a draft can
+    be looked at."""
+    final = F.coalesce("finalized", F.lit(False))
+    return projects.withColumns(
+        {
+            "review_status": F.when(final, "human_finalized").otherwise("ai_draft"),
+            "watermark": F.when(~final, "AI草稿，未经人工复核"),
+            "can_preview": F.coalesce(F.col("parse_complete") & (F.col("n_eligible") > 0), F.lit(False)),
+        }
+    )
+
+
+def by_source_type(sources: DataFrame) -> DataFrame:
+    """Sources in the order of reading: regulations first, then official sources, each by ``ord``."""
+    return sources.orderBy(F.when(F.col("source_type") == "regulatory_text", 0).otherwise(1), "ord")

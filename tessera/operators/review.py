@@ -14,14 +14,15 @@ from tessera.functions import text as T
 from tessera.sources.shared import checkpointed
 
 
-def chain(log: DataFrame, key: str, before: str, after: str, time: str, seq: str = "seq") -> DataFrame:
-    """``log`` with link_ok (the digest before is the digest after of the row before) and time_ok (time increases)."""
+def chain(log: DataFrame, key: str, before: str, after: str, time: str, seq: str = "seq", rising: bool = True) -> DataFrame:
+    """``log`` with link_ok (the digest before is the digest after of the row before) and time_ok (time does not fall, or with
+    ``rising`` it increases)."""
     w = Window.partitionBy(key).orderBy(seq)
     first = F.lag(F.lit(1)).over(w).isNull()
     return log.withColumns(
         {
             "link_ok": first | F.coalesce(F.lag(after).over(w) == F.col(before), F.lit(False)),
-            "time_ok": first | F.coalesce(F.lag(time).over(w) < F.col(time), F.lit(False)),
+            "time_ok": first | F.coalesce((F.lag(time).over(w) < F.col(time)) if rising else (F.lag(time).over(w) <= F.col(time)), F.lit(False)),
         }
     )
 
@@ -89,21 +90,23 @@ def attest_commands(commands: DataFrame, validations: DataFrame, existing: DataF
     return x.where("why is null").select(*commands.columns), x.where("why is not null").select(*commands.columns, "why")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000, compact: int = 8) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, compact: int = 8) -> DataFrame:
     """(node, depth): what is reachable from ``seeds`` (node) along ``edges`` (parent, child), cycles included. Each round
-    joins the new nodes alone with the edges, and is checkpointed; every ``compact`` rounds the rounds become one table."""
+    joins the new nodes alone with the edges and is written; every ``compact`` rounds the rounds become one table. It ends
+    when a round finds nothing new, after as many rounds as the longest shortest path."""
+    edges = checkpointed(edges.select("parent", "child"))
     front = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    seen = [front]
-    for depth in range(1, most_rounds + 1):
+    seen, depth = [front], 0
+    while True:
+        depth += 1
         every = reduce(DataFrame.unionByName, seen)
         reached = front.join(edges, front["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
-        front = checkpointed(reached.join(every, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        front = checkpointed(reached.join(every.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return every
         seen.append(front)
         if len(seen) > compact:
             seen = [checkpointed(reduce(DataFrame.unionByName, seen))]
-    raise ValueError("the graph is deeper than most_rounds")
 
 
 def request_reanalysis(findings: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -169,5 +172,72 @@ def slices(runs: DataFrame, sizes: Column, by: str, order: str) -> DataFrame:
 
 def group_digest(df: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame:
     """(by, digest) of each group's rows in order."""
-    body = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(order, *columns))), lambda s: F.struct(*(s[c].alias(c) for c in sorted(columns)))))
-    return df.groupBy(by).agg(F.sha2(body, 256).alias("digest"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), F.struct(*sorted(columns)).alias("row"))))
+    return df.groupBy(by).agg(F.sha2(F.to_json(F.transform(rows, lambda s: s["row"])), 256).alias("digest"))
+
+
+def cancel_request(sessions: DataFrame, requests: DataFrame) -> DataFrame:
+    """``sessions`` (project_id, step, …) of projects whose request (project_id, step_before) is cancelled, back at the
+    step before it; others stay."""
+    back = requests.groupBy("project_id").agg(F.min("step_before").alias("_back"))
+    return sessions.join(back, "project_id", "left").withColumn("step", F.coalesce("_back", "step")).drop("_back")
+
+
+def authorized_results(results: DataFrame, targets: DataFrame, sources: DataFrame, stages: list[str]) -> DataFrame:
+    """(project_id, rule, ok) of the results (project_id, finding_id, stage, source_id) of a reanalysis: they are of its
+    stages and sources, and their findings are exactly its targets."""
+    key = ["project_id", "finding_id"]
+    allowed = sources.select("project_id", "source_id").distinct().withColumn("_s", F.lit(True))
+    x = results.join(allowed, ["project_id", "source_id"], "left").groupBy("project_id").agg(
+        F.bool_and(F.col("stage").isin(stages)).alias("a"), F.bool_and(F.coalesce("_s", F.lit(False))).alias("b")
+    )
+    both = results.select(*key).distinct().withColumn("_r", F.lit(True)).join(targets.select(*key).distinct().withColumn("_t", F.lit(True)), key, "full_outer")
+    both = both.groupBy("project_id").agg(F.lit("results_are_targets").alias("rule"), F.bool_and(F.coalesce(F.col("_r") & F.col("_t"), F.lit(False))).alias("ok"))
+    each = F.array(F.struct(F.lit("stages_allowed").alias("rule"), F.col("a").alias("ok")), F.struct(F.lit("sources_allowed").alias("rule"), F.col("b").alias("ok")))
+    return x.select("project_id", F.inline(each)).unionByName(both)
+
+
+def action_ids(actions: DataFrame) -> DataFrame:
+    """``actions`` with action_id: a digest of the fields that make an action of its kind what it is."""
+    kind = F.col("action")
+    body = F.to_json(
+        F.struct("action", "finding_id", F.when(kind != "add_human", F.col("before_hash")).alias("before_hash"), "after_hash", "reviewer", "acted_at", F.when(kind == "add_human", F.col("purpose")).alias("purpose")),
+        {"ignoreNullFields": "false"},
+    )
+    return actions.withColumn("action_id", F.concat(F.lit("act-"), F.sha2(body, 256)))
+
+
+def migrate_actions(actions: DataFrame, purpose: str = "human_review") -> DataFrame:
+    """Actions of an earlier form: added judgments without a purpose get ``purpose`` and a new id."""
+    old = (F.col("action") == "add_human") & F.col("purpose").isNull()
+    kept = actions.withColumns({"_old": F.col("action_id"), "_was": F.coalesce(old, F.lit(False))})
+    new = action_ids(kept.withColumn("purpose", F.when(F.col("_was"), purpose).otherwise(F.col("purpose"))))
+    return new.withColumn("action_id", F.when(F.col("_was"), F.col("action_id")).otherwise(F.col("_old"))).drop("_old", "_was")
+
+
+def state_digests(tables: dict[str, DataFrame], by: str = "project_id", leave_out: tuple[str, ...] = ()) -> DataFrame:
+    """(by, digest) of what tables hold of each project, in any order of rows: for each table the number of its rows and
+    the sum of their hashes, which are combined before the shuffle. Columns in ``leave_out`` do not count."""
+    out = None
+    for name, df in sorted(tables.items()):
+        columns = sorted(c for c in df.columns if c not in (*leave_out, by))
+        h = F.xxhash64(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
+        one = df.groupBy(by).agg(F.concat_ws(":", F.lit(name), F.count("*"), F.sum(h)).alias(f"_{name}"))
+        out = one if out is None else out.join(one, by, "full_outer")
+    return out.select(by, F.sha2(F.concat_ws("|", *(F.coalesce(f"_{n}", F.lit("")) for n in sorted(tables))), 256).alias("digest"))
+
+
+def seal(sessions: DataFrame, columns: list[str]) -> DataFrame:
+    """``sessions`` with content_hash over ``columns``."""
+    return sessions.withColumn("content_hash", F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256))
+
+
+def broken_seals(sessions: DataFrame, columns: list[str]) -> DataFrame:
+    """Sessions whose content_hash is not that of ``columns``."""
+    told = sessions.withColumn("_told", F.col("content_hash"))
+    return seal(told, columns).where(~F.col("content_hash").eqNullSafe(F.col("_told"))).drop("content_hash").withColumnRenamed("_told", "content_hash")
+
+
+def with_metrics(projects: DataFrame, metrics: DataFrame) -> DataFrame:
+    """``projects`` with their metrics as columns; a project without any has nulls."""
+    return projects.join(metrics, "project_id", "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import locate
+from tessera.sources.shared import checkpointed
 
 #: The rules in their order, and closed sets of values.
 RULES = (
@@ -222,7 +223,8 @@ def claim_rules(findings: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def validate_findings(findings: DataFrame, sources: DataFrame, units: DataFrame, pairs: DataFrame, structures: DataFrame | None = None) -> DataFrame:
     """(finding_id, rule, rule_ord, status, passed): the rules of all findings. ``structures`` (finding_id, status,
-    strength_review) has the outcome for atomic requirements; those without one fail, and other findings pass."""
+    strength_review), as ``checks.atomic_structure`` gives it, has the outcome for atomic requirements; those without one
+    fail, and other findings pass."""
     a = locate.explode_anchors(findings)
     known = a.join(locate.unique_sources(sources), "source_id", "left")
     want = F.create_map(*(F.lit(v) for kv in REQUIRED_TYPE.items() for v in kv))[F.col("claim_type")]
@@ -265,27 +267,38 @@ def validate_findings(findings: DataFrame, sources: DataFrame, units: DataFrame,
     return rows.withColumn("passed", F.col("status") == "passed")
 
 
-def tilings(fields: DataFrame, texts: DataFrame) -> DataFrame:
-    """(req_id, n_tilings): in how many ways the fields of a requirement cover its text exactly once, each once.
+def tilings(fields: DataFrame, texts: DataFrame, in_order: int = 0) -> DataFrame:
+    """(req_id, n_tilings): in how many ways the fields of a requirement cover its text exactly once, each once; the fields
+    below ``in_order`` must all be there and stand in the order of their numbers.
 
-    ``fields`` has req_id, field (a small number from 0) and value; ``texts`` has req_id and text. Each round extends
-    every partial cover by one field that starts where the cover ends, so a round is an equi-join on requirement and
-    place; the number of rounds is the number of fields. A text whose length is not the sum of its fields' has none."""
-    size = fields.groupBy("req_id").agg(F.sum(F.length("value")).alias("total"), F.count("*").alias("n"), F.max("field").alias("last"))
-    open_ = texts.join(size, "req_id").where((F.length("text") == F.col("total")) & (F.col("n") > 0))
-    most = size.agg(F.max("n")).first()[0] or 0
+    ``fields`` has req_id, field (a number from 0) and value; ``texts`` has req_id and text. Each round extends every
+    partial cover by one field that starts where the cover ends, so a round is an equi-join on requirement and place; the
+    number of rounds is the number of fields. A text whose length is not the sum of its fields' has none."""
+    size = fields.groupBy("req_id").agg(F.sum(F.length("value")).alias("total"), F.count("*").alias("n"), F.count_if(F.col("field") < in_order).alias("core"))
+    open_ = texts.join(size, "req_id").where((F.length("text") == F.col("total")) & (F.col("n") > 0) & (F.col("core") == in_order))
+    open_ = checkpointed(open_)
+    most = open_.agg(F.max("n")).first()[0] or 0
     near = fields.join(open_.select("req_id", "text"), "req_id")
     starts = F.filter(
         F.sequence(F.lit(0), F.greatest(F.length("text") - F.length("value"), F.lit(0))),
         lambda i: F.substr(F.col("text"), i + 1, F.length("value")) == F.col("value"),
     )
-    spans = near.where("length(value) > 0").select("req_id", "field", F.explode(starts).alias("at"), F.length("value").alias("len"))
-    covers = open_.select("req_id", F.lit(0).alias("at"), F.lit(0).cast("long").alias("used"), F.lit(1).cast("long").alias("ways"), "total")
-    for _ in range(most):
-        bit = F.expr("shiftleft(1L, field)")
-        done = covers.where("at = total")
-        longer = covers.join(spans, ["req_id", "at"]).where(F.col("used").bitwiseAND(bit) == 0)
-        longer = longer.select("req_id", (F.col("at") + F.col("len")).alias("at"), F.col("used").bitwiseOR(bit).alias("used"), "ways", "total")
-        covers = longer.unionByName(done).groupBy("req_id", "at", "used", "total").agg(F.sum("ways").alias("ways"))
+    spans = near.where("length(value) > 0").select("req_id", F.col("field").cast("int").alias("field"), F.explode(starts).alias("at"), F.length("value").alias("len"))
+    spans = checkpointed(spans)
+    covers = open_.select("req_id", F.lit(0).alias("at"), F.array().cast("array<int>").alias("used"), F.lit(1).cast("long").alias("ways"), "total")
+    whole = F.col("at") == F.col("total")
+    fits = ~F.array_contains("used", F.col("field"))
+    if in_order:
+        fits &= (F.col("field") == 0) | (F.col("field") >= in_order) | F.array_contains("used", F.col("field") - 1)
+    for _ in range(most):  # no span starts where a cover is whole, so the left join keeps it as it is
+        longer = covers.join(spans, ["req_id", "at"], "left").where(whole | fits)
+        longer = longer.select(
+            "req_id",
+            F.when(whole, F.col("at")).otherwise(F.col("at") + F.col("len")).alias("at"),
+            F.when(whole, F.col("used")).otherwise(F.array_sort(F.array_append("used", F.col("field")))).alias("used"),
+            "ways",
+            "total",
+        )
+        covers = longer.groupBy("req_id", "at", "used", "total").agg(F.sum("ways").alias("ways"))
     found = covers.where("at = total").groupBy("req_id").agg(F.sum("ways").alias("n_tilings"))
     return texts.select("req_id").join(found, "req_id", "left").select("req_id", F.coalesce("n_tilings", F.lit(0)).cast("long").alias("n_tilings"))

@@ -80,7 +80,7 @@ def requirement_variants(spark, d):
 
 
 @query("""with w as (select conv_id, turn, text, lag(sha256(text)) over (partition by conv_id order by turn) as prev from conversations)
-select conv_id, 'V' || (turn + 1) as version_id, case when turn % 4 = 3 then false else true end as number_ok, turn % 5 <> 4 or prev is null as parent_ok from w""")
+select conv_id, case when turn % 4 = 3 then 'W' else 'V' end || (turn + 1) as version_id, case when turn % 4 = 3 then false else true end as number_ok, turn % 5 <> 4 or prev is null as parent_ok from w""")
 def version_chain(spark, d):
     t = table(spark, d, "conversations")
     before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.sha2("text", 256).alias("_b"))
@@ -92,8 +92,7 @@ def version_chain(spark, d):
         F.when((F.col("turn") % 5 == 4) & F.col("_b").isNotNull(), "x").otherwise(F.col("_b")).alias("parent_version_hash"),
         F.col("turn").alias("created_at"),
     )
-    checked = review.versions_ok(x)
-    return checked.select(F.col("project_id").alias("conv_id"), F.regexp_replace("version_id", "^W", "V").alias("version_id"), "number_ok", "parent_ok")
+    return review.versions_ok(x).select(F.col("project_id").alias("conv_id"), "version_id", "number_ok", "parent_ok")
 
 
 @query("""select o_orderkey as finding_id, o_orderstatus as hash from orders o where o_orderkey % 3 = 0 and not exists (

@@ -137,9 +137,9 @@ def passage_in_documents(spark, d):
     return locate.passages(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 5 = 0)")
 def uncovered_customers(spark, d):
-    anchors = table(spark, d, "orders").select(F.col("o_custkey").alias("source_id"))
+    anchors = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("source_id"))
     sources = table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"))
     return locate.uncovered(sources, anchors).withColumnRenamed("source_id", "c_custkey")
 
@@ -179,14 +179,16 @@ def repeated_texts(spark, d):
 
 
 def planted_findings(spark, d, units):
-    """A fact per unit with planted faults, in the shape of findings."""
+    """A finding per unit with planted faults: every tenth says a date that it does not quote, is an atomic requirement, or
+    is an inference without parents."""
     a = planted_anchors(units).withColumn("source_type", F.lit("regulatory_text"))
+    a = a.withColumn("k", F.substring_index("finding_id", "-", -1).cast("long") % 10)
     anchor = F.struct("source_id", "source_type", "page", "article", "paragraph_index", "quote")
     return a.select(
         "finding_id",
-        F.lit("regulatory_fact").alias("claim_type"),
-        F.lit("key_matter:core_requirement").alias("category"),
-        F.col("quote").alias("statement"),
+        F.when(F.col("k") == 9, "ai_inference").otherwise("regulatory_fact").alias("claim_type"),
+        F.when(F.col("k") == 8, "atomic_requirement").otherwise("key_matter:core_requirement").alias("category"),
+        F.when(F.col("k") == 5, F.concat("quote", F.lit(" 2031-02-03"))).otherwise(F.col("quote")).alias("statement"),
         F.array(anchor).alias("source_anchors"),
         F.array().cast("array<string>").alias("inference_parents"),
     )
@@ -194,24 +196,29 @@ def planted_findings(spark, d, units):
 
 @query(f"""with {_FILLED},
 n as (select *, paragraph_index // 20 as page, coalesce(article, '') as a from filled),
-q as (select source_id, page, case when paragraph_index % 7 = 6 then paragraph_index + 1 else paragraph_index end as p,
+q as (select source_id, page, paragraph_index % 20 as k, case when paragraph_index % 7 = 6 then paragraph_index + 1 else paragraph_index end as p,
         case when paragraph_index % 4 = 2 then a || 'x' else a end as art,
         case when paragraph_index % 4 = 3 then text || '#' else text end as quote from n),
-j as (select u.source_id is not null as p_ok, u.source_id is not null and replace(a, ' ', '') = replace(art, ' ', '') as a_ok,
+j as (select k, u.source_id is not null as p_ok, u.source_id is not null and replace(a, ' ', '') = replace(art, ' ', '') as a_ok,
         u.source_id is not null and replace(a, ' ', '') = replace(art, ' ', '') and contains(text, quote) as q_ok
       from q left join n u on q.source_id = u.source_id and q.page = u.page and q.p = u.paragraph_index),
-s as (select count(*) as n, count(*) filter (p_ok) as p, count(*) filter (a_ok) as a, count(*) filter (q_ok) as q from j)
-select rule, n_passed::bigint as n_passed, (n - n_passed)::bigint as n_failed from (
-  select n, unnest(['source_id', 'source_type', 'locator_page', 'locator_paragraph', 'locator_article', 'quote_match', 'atomic_structure',
+r as (select unnest(['source_id', 'source_type', 'locator_page', 'locator_paragraph', 'locator_article', 'quote_match', 'atomic_structure',
                     'modal_strength', 'dates', 'numbers', 'inference_parent']) as rule,
-         unnest([n, n, n, p, a, q, n, n, n, n, n]) as n_passed from s)""")
+         unnest(['passed', 'passed', 'passed', case when p_ok then 'passed' else 'failed' end, case when a_ok then 'passed' else 'failed' end, case when q_ok then 'passed' else 'failed' end,
+                 case when k = 8 then 'manual_review_required' when k = 18 then 'failed' else 'passed' end,
+                 case when k % 10 = 5 then 'failed' when k = 8 then 'manual_review_required' when k = 18 then 'failed' else 'passed' end,
+                 case when k % 10 = 5 then 'failed' else 'passed' end, case when k % 10 = 5 then 'failed' else 'passed' end, case when k % 10 = 9 then 'failed' else 'passed' end]) as status from j)
+select rule, status, count(*)::bigint as n from r group by all""")
 def validate_findings(spark, d):
     units = filled_units(spark, d).withColumns({"page": F.floor(F.col("paragraph_index") / 20), "source_type": F.lit("regulatory_text")})
     sources = sources_of(spark, d).withColumn("source_type", F.lit("regulatory_text"))
     pairs = spark.createDataFrame([], "official_source_id long, primary_source_ids array<string>")
-    found = rules.validate_findings(planted_findings(spark, d, units), sources, units, pairs)
-    n = F.count_if(F.col("passed"))
-    return found.groupBy("rule").agg(n.alias("n_passed"), (F.count("*") - n).alias("n_failed"))
+    findings = planted_findings(spark, d, units)
+    atomic = findings.where("category = 'atomic_requirement'").withColumn("k", F.substring_index("finding_id", "-", -1).cast("long") % 20)
+    single = F.col("k") == 8
+    structures = atomic.select("finding_id", F.when(single, "manual_review_required").otherwise("failed").alias("status"), single.alias("strength_review"))
+    found = rules.validate_findings(findings, sources, units, pairs, structures)
+    return found.groupBy("rule", "status").agg(F.count("*").alias("n"))
 
 
 @query("""with w as (select p_partkey as req_id, [p_brand, p_type, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)] as w from part),
@@ -344,13 +351,16 @@ _COLLAPSE = f"regexp_replace(regexp_replace(%s, '{_WS}+', ' ', 'g'), '^ | $', ''
 from documents group by lang, {_COLLAPSE % 'text'}""")
 def dedup_merge(spark, d):
     x = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
-    return merge.first_of(x, [F.col("lang"), T.collapse_ws(F.col("text"))], "doc_id").drop("text")
+    return merge.first_of(x, [F.col("lang"), merge.text_key("text")], "doc_id").drop("text")
 
 
-@query(f"""select doc_id as finding_id, min(doc_id) over (partition by lang, {_COLLAPSE % 'text'}) as canonical_id, false as conflict from documents""")
+@query(f"""with c as (select doc_id // 2 as finding_id, min(doc_id // 2) over (partition by lang, {_COLLAPSE % 'text'}) as canonical_id from documents)
+select finding_id, min(canonical_id) as canonical_id, count(distinct canonical_id) > 1 as conflict from c group by finding_id""")
 def merge_aliases(spark, d):
-    x = table(spark, d, "documents").select(F.col("doc_id").alias("finding_id"), F.col("doc_id").alias("ord"), "lang", "text")
-    return merge.aliases(x, [F.col("lang"), T.collapse_ws(F.col("text"))])
+    """Two documents share an id, which is a conflict unless they are one claim."""
+    half = F.floor(F.col("doc_id") / 2)
+    x = table(spark, d, "documents").select(half.alias("finding_id"), F.col("doc_id").alias("ord"), "lang", "text")
+    return merge.aliases(x, [F.col("lang"), merge.text_key("text")])
 
 
 def turn_findings(spark, d):
@@ -558,13 +568,19 @@ def accepted_revisions(spark, d):
     return review.accept_revisions(c, s).select("o_orderkey", "accepted")
 
 
-@query("""select doc_id, source, string_agg(official, ',' order by official) as pairs from (
-  select a.doc_id, a.source, b.doc_id::varchar as official from documents a join documents b on a.source = b.source and b.lang = 'en' where a.lang = 'es') group by all""")
+@query("""with p as (select source, count(distinct doc_id)::bigint as n, sum(('0x' || substr(sha256(doc_id::varchar), 1, 8))::bigint)::bigint as h from documents where lang = 'en' group by source)
+select d.doc_id, d.source, coalesce(n, 0) as n_primary, coalesce(h, 0) as primary_digest from documents d left join p using (source) where d.lang = 'es'""")
 def project_pairs(spark, d):
     kind = F.when(F.col("lang") == "en", "regulatory_text").when(F.col("lang") == "es", "official_interpretation")
     x = table(spark, d, "documents").select(F.col("source").alias("project_id"), F.col("doc_id").cast("string").alias("source_id"), kind.alias("source_type"))
-    found = locate.pairs_of_project(x).where(F.size("primary_source_ids") > 0)
-    return found.select(F.col("official_source_id").cast("long").alias("doc_id"), F.col("project_id").alias("source"), F.array_join("primary_source_ids", ",").alias("pairs"))
+    official, _ = locate.pairs_of_project(x)
+    return official.select(F.col("official_source_id").cast("long").alias("doc_id"), F.col("project_id").alias("source"), "n_primary", "primary_digest")
+
+
+@query("select source as project_id, doc_id as primary_source_id from documents where lang = 'en'")
+def project_primaries(spark, d):
+    x = table(spark, d, "documents").select(F.col("source").alias("project_id"), F.col("doc_id").alias("source_id"), F.when(F.col("lang") == "en", "regulatory_text").otherwise("x").alias("source_type"))
+    return locate.pairs_of_project(x)[1]
 
 
 # -- reports -----------------------------------------------------------------------------------------------------
@@ -636,7 +652,7 @@ def quick_commentary(spark, d):
     return report.route(doc_findings(spark, d), report.QUICK).select("project_id", "section_ord", "item_ord", "ord")
 
 
-@query("""select doc_id, (case when quality = 0 then -100 else 0 end + case when toxic = 1 then 20 else 0 end + case when doc_id % 2 = 0 then 10 else 0 end
+@query("""select doc_id, (case when quality = 0 then -100 else 0 end + case when toxic = 1 then 20 else 0 end + case when doc_id % 2 = 0 and quality <> 0 then 10 else 0 end
   + case when doc_id % 3 = 0 then 5 else 0 end)::int as score from labels""")
 def review_queue(spark, d):
     i = F.col("doc_id")
@@ -645,9 +661,8 @@ def review_queue(spark, d):
         F.when(F.col("quality") == 0, "deleted").when(i % 2 == 0, "pending").otherwise("confirmed").alias("review_status"),
         (F.col("toxic") == 1).alias("required_review"),
         F.when(i % 3 == 0, "regulatory_fact").otherwise("ai_inference").alias("claim_type"),
-        F.when((F.col("quality") == 0) & (i % 2 == 0), 10).otherwise(0).alias("_more"),
     )
-    return report.review_queue(x).select(F.col("ord").alias("doc_id"), (F.col("score") + F.col("_more")).alias("score"))
+    return report.review_queue(x).select(F.col("ord").alias("doc_id"), "score")
 
 
 # -- text --------------------------------------------------------------------------------------------------------

@@ -172,11 +172,11 @@ def verify_artifacts(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def strict_json(lines: DataFrame, schema: str, allowed: list[str], column: str = "value") -> DataFrame:
-    """Parsed rows with refused: not JSON of this schema, or with keys that are not allowed."""
+    """``lines`` with the parsed ``row`` and ``refused``: no JSON object, or with keys that are not allowed."""
     keys = F.json_object_keys(column)
     parsed = F.from_json(column, schema)
     refused = F.when(keys.isNull(), "not an object").when(F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) > 0, "unknown key")
-    return lines.select(parsed.alias("row"), refused.alias("refused"))
+    return lines.withColumns({"row": parsed, "refused": refused})
 
 
 def message_text(content: str = "content") -> Column:
@@ -184,3 +184,22 @@ def message_text(content: str = "content") -> Column:
     parts = F.from_json(content, "array<struct<text:string>>")
     whole = F.from_json(F.concat(F.lit('{"v":'), F.col(content), F.lit("}")), "v string")["v"]
     return F.when(F.trim(content).startswith("["), F.array_join(F.transform(parts, lambda p: p["text"]), "")).otherwise(F.coalesce(whole, F.col(content)))
+
+
+def long_texts(sources: DataFrame, least: int = LONG_TEXT) -> DataFrame:
+    """Sources of at least ``least`` characters, as a manifest's long documents must be, with their first bytes."""
+    return sources.where(F.length("content") >= least).select("source_id", F.length("content").alias("n_chars"), F.hex(F.substring(F.col("content").cast("binary"), 1, 5)).alias("head"))
+
+
+def bind_ground_truth(truths: DataFrame, scans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(expected pages, rejects) of ground truth (source_id, sha256, pages: array of page and text) for scans (source_id,
+    sha256): another file, no scan, and repeated pages are rejected with ``why``."""
+    known = scans.groupBy("source_id").agg(F.min("sha256").alias("_sha"))
+    pages = F.transform("pages", lambda p: p["page"])
+    x = truths.join(known, "source_id", "left")
+    why = (
+        F.when(F.col("_sha").isNull(), "no scan").when(F.col("_sha") != F.col("sha256"), "another file").when(F.size(F.array_distinct(pages)) < F.size(pages), "page twice")
+    )
+    x = x.withColumn("why", why)
+    good = x.where("why is null").select("source_id", F.inline("pages"))
+    return good, x.where("why is not null").select("source_id", "why")

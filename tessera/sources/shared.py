@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it names none, as in tests, a folder of this machine."""
+    """``spark.checkpoint.dir`` of the session; where it names none and runs in local mode, a folder of this machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -24,6 +26,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the shared folder, which cuts its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared folder and read again, which cuts its lineage and computes it once."""
+    path = new_path(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -286,3 +286,74 @@ def test_queries_without_sql(spark, name):
 
         for r in rows:
             assert r.squeezed == hashlib.sha256(T.squeezed(docs[r.doc_id]).encode()).hexdigest()
+
+
+def test_passages_anywhere(spark):
+    """Items of all lengths are found within words too, wherever they stand."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab c") for _ in range(r.randint(0, 120))) for _ in range(60)] + [None, "", "tomcat sat here", "foobar x", "cat sat"]
+    texts += [texts[3], "é" * 50 + "x" + "é" * 50]
+    items = ["cat sat", " ", "foo", "", None, "é" * 23, "é" * 30 + "x" + "é" * 9]
+    for t in [t for t in texts if t]:
+        for _ in range(3):
+            a = r.randint(0, len(t))
+            items.append(t[a : a + r.choice([1, 5, 16, 22, 23, 24, 31, 60])])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted(tuple(x) for x in locate.passages(table, docs).collect())
+    assert got == sorted((i, d) for i, a in enumerate(items) if a for d, t in enumerate(texts) if t and a in t)
+
+
+def test_full_width_forms_are_equal(spark):
+    units = spark.createDataFrame([("s", "t", 1, None, 0, "ABC12 text")], UNIT)
+    sources = spark.createDataFrame([("s", "t", "x ＡＢＣ12 text")], "source_id string, source_type string, content string")
+    anchors = spark.createDataFrame([("f", 0, "s", 1, None, 0, "ＡＢＣ１２")], "finding_id string, anchor_ord int, source_id string, page int, article string, paragraph_index int, quote string")
+    valid = locate.authorized_units(units, sources)
+    assert valid.count() == 1 and locate.locate_quotes(anchors, valid).first().quote_ok
+    x = spark.createDataFrame([("a", "t", "ＡＢＣ", "s 1", 1), ("b", "t", "ABC", " s　1", 2)], "finding_id string, claim_type string, category string, statement string, ord long")
+    assert {(r.finding_id, r.canonical_id) for r in merge.aliases(x).collect()} == {("a", "a"), ("b", "a")}
+
+
+def test_tilings_in_order(spark):
+    fields = [(1, k, v) for k, v in enumerate(["ab", "cd", "ef", "gh", "xy"])] + [(2, k, v) for k, v in enumerate(["ab", "cd", "ef", "gh"])] + [(3, 0, "ab"), (3, 2, "ef"), (3, 3, "gh")]
+    texts = [(1, "xyabcdefgh"), (2, "abefcdgh"), (3, "abefgh")]
+    got = rules.tilings(spark.createDataFrame(fields, "req_id long, field int, value string"), spark.createDataFrame(texts, "req_id long, text string"), in_order=4)
+    assert {r.req_id: r.n_tilings for r in got.collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("é\n b".encode())
+    (tmp_path / "b.exe").write_bytes(b"x")
+    files = ingest.admit(ingest.read_files(spark, str(tmp_path)))
+    assert {r.path.rsplit("/", 1)[1]: r.refused for r in files.collect()} == {"a.txt": None, "b.exe": "kind is not supported"}
+
+
+def test_extracted_claims_equal_the_functions(spark):
+    from tessera.functions import text as T
+    from tessera.operators import produce
+
+    text = "银行应当于2026年1月1日前缴纳10万元。不得逾期；3 items"
+    got = sorted((r.kind, r.value) for r in produce.extract(spark.createDataFrame([("n", text), ("m", None)], "node_id string, text string")).collect())
+    want = [(k, v) for s in T.sentences(text) for k, vs in (("modal", T.modals_in(s)), ("date", [t for _, _, t in T.date_spans(s)]), ("number", [t for _, _, t in T.number_spans(s)])) for v in vs]
+    assert got == sorted(want) and ("modal", "应当") in got
+
+    def mine(frames):
+        for f in frames:
+            yield f[["node_id"]].assign(kind="k", value="v", quote=f["text"])
+
+    assert produce.extract(spark.createDataFrame([("n", text)], "node_id string, text string"), mine).first().quote == text
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from tessera.sources import shared
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session())
