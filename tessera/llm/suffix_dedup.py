@@ -1,25 +1,31 @@
-"""Exact substring dedup with a logarithmic family of suffix indexes.
+"""Exact substring dedup with a logarithmic family of sampled suffix arrays.
 
 A byte of a document goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id.
 
-Suffixes are indexed where a string of that length must be noticed: of every window of ``length`` bytes the position
-whose first ``GRAM`` bytes hash lowest is an anchor, so equal windows hold equal anchors at equal places. Documents come
-in batches of ascending ids. A batch gets the array of its anchors' suffixes, sorted and unique by their leading gram,
-and is merge-scanned against the arrays of the levels before it; a gram that a second document holds makes a hit for all
-its holders. The new array then merges with the levels of its own size, as in a binary counter, so each entry is
-rewritten as often as the logarithm of the number of batches.
-
-Hits are then compared byte by byte. Each is sent with all bytes around it that a window over it can cover. Equal
-surroundings are one entry, of the smallest document; all others that hold them lose them whole. Where a gram has
-several surroundings, their windows are compared one place at a time. What a task has found to be equal within a slice
-is reduced before it is shuffled, both for the arrays and for the surroundings, so a passage that very many documents
-share costs each task one entry. A text that a smaller document has whole goes whole, without being compared. Texts are
-shuffled twice, compressed, by document; nothing of them passes the driver, which keeps
-only the batch bounds.
-
-Defined results: a null text is empty; texts shorter than ``length`` bytes lose nothing; rows with equal ids do not
-count against each other; a row with a null id loses nothing and counts against none; other columns are not read; an
-empty table gives an empty one.
+Suffixes are sampled where a string of that length must be noticed: of every window of ``length`` bytes the position whose
+first ``GRAM`` bytes hash lowest is an anchor, so equal windows hold equal anchors at equal places (a suffix array sampled
+by minimizers). Documents come in batches of ascending ids. A batch gets the array of its anchors' suffixes in the order of
+their bytes; an array keeps the head of each suffix, ``GRAM`` bytes, and of suffixes with one head the smallest document.
+The array is merge-scanned against those of the levels before it: neighbours in suffix order are compared by the length of
+their common prefix, and where that reaches the whole head and their documents differ, there is a hit for all its holders.
+The new array then merges with the levels of its own size, as in a binary counter, so each entry is rewritten as often as
+the logarithm of the number of batches. A bulk load takes ``n_batches`` batches whatever its size, as each batch reads all
+levels before it.
+
+Hits are then extended to both sides. Each is sent with all bytes around it that a window over it can cover. Equal
+surroundings are one entry, of the smallest document; all others that hold them lose them whole. Where a head has several
+surroundings, their windows are compared one place at a time. A head with more hits than ``HOT_HITS``, and than its share
+of all, is split by further bytes instead: each window over it is a row of its own, rows are dealt and sorted by the
+window's bytes, and a task compares neighbours as they come, holding one. What a task has found to be equal within a slice
+is reduced before it is shuffled, both for the arrays and for the surroundings, so a passage that very many documents share
+costs each slice one entry. A text that a smaller document has whole goes whole, without being compared. Texts are
+shuffled twice, compressed, by document (a third time those with a hot head); nothing of them passes the driver, which
+keeps only the batch bounds and the hot heads, at most ``HOT_KEYS``.
+
+Defined results: a null text is empty; texts shorter than ``length`` bytes lose nothing; a very long text is held whole by
+its task; rows with equal ids do not count against each other; a row with a null id loses nothing and counts against none;
+of equal strings those of the smallest id stay, so ties do not arise; other columns are not read; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -33,11 +39,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, scratch, text_of, written
+from .common import HOT_KEYS, drop, join_counted, scratch, text_of, written
 from .decontamination import merged
 
 GRAM = 16
 SLICE = 1_000_000
+#: A head with more hits than this is hot if it has more than a ``HOT_KEYS``-th of all hits.
+HOT_HITS = 20_000
 TOP = np.uint64(2**64 - 1)
 #: Odd multipliers of the hashes: multiples of the golden ratio's and of pi's fraction.
 MULTIPLIERS = [np.uint64((k * 0x9E3779B97F4A7C15 ^ k * 0x243F6A8885A308D3) % 2**64 | 1) for k in range(3, 9)]
@@ -51,10 +59,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Of each position the hash of the GRAM bytes from there; ``data`` has GRAM bytes more than positions."""
     n = len(data) - GRAM
-    first, second = (np.ndarray((n,), "<u8", data, k, (1,)) for k in (0, 8))
+    return _hashes(*(np.ndarray((n,), "<u8", data, k, (1,)) for k in (0, 8)))
+
+
+def _hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(first * MULTIPLIERS[1] + MULTIPLIERS[3]) + second * MULTIPLIERS[2])
 
 
+def head_hashes(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """``gram_hashes`` of heads, which are pairs of numbers in the order of their bytes."""
+    return _hashes(high.byteswap(), low.byteswap())
+
+
+def common_prefix(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """How many bytes each head has in common with the one before it, from the second on."""
+    equal = [(x[1:] ^ x[:-1]).byteswap().view(np.uint8).reshape(-1, 8) == 0 for x in (high, low)]
+    return np.logical_and.accumulate(np.concatenate(equal, axis=1), axis=1).sum(axis=1)
+
+
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     """``pick`` (np.minimum or np.maximum) of each run of ``width`` values."""
     span = 1
@@ -90,6 +112,11 @@ class Slice:
             self.window = np.concatenate((edge.astype(bool), window, np.zeros(length, bool)))
         self.rows = np.searchsorted(self.ends, self.anchors, "right")
 
+    def heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first GRAM bytes of the suffix at each anchor, as two numbers in the order of their bytes."""
+        n = len(self.data) - GRAM
+        return tuple(np.ndarray((n,), ">u8", self.data, k, (1,))[self.anchors].astype(np.uint64) for k in (0, 8))
+
     def reach(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """How many bytes before and after each anchor the windows cover of which it is the lowest."""
         width = length - GRAM + 1
@@ -144,46 +171,49 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _blob_rows(kind: int, grams: np.ndarray, docs: np.ndarray, known: np.ndarray, n: int) -> pa.RecordBatch:
-    """A row per bucket of entries (gram, doc, known)."""
-    b = _buckets(grams, n)
-    order = np.lexsort((grams, b))
+def _blob_rows(kind: int, high: np.ndarray, low: np.ndarray, docs: np.ndarray, known: np.ndarray, n: int) -> pa.RecordBatch:
+    """A row per bucket of entries (head, doc, known), which stay in suffix order."""
+    b = _buckets(head_hashes(high, low), n)
+    order = np.argsort(b, kind="stable")
     starts, _ = _runs(b[order])
     cut = lambda x: [p.tobytes() for p in np.split(x[order], starts[1:])] if len(starts) else []
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(len(starts), kind), pa.int32()),
             pa.array(b[order][starts], pa.int32()),
-            *(pa.array(cut(x), pa.binary()) for x in (grams, docs, known.astype(np.uint8))),
+            *(pa.array(cut(x), pa.binary()) for x in (high, low, docs, known.astype(np.uint8))),
         ],
-        ["kind", "bucket", "grams", "docs", "known"],
+        BLOB_NAMES,
     )
 
 
-BLOBS = "kind int, bucket int, grams binary, docs binary, known binary"
+BLOBS = "kind int, bucket int, high binary, low binary, docs binary, known binary"
+BLOB_NAMES = [x.split()[0] for x in BLOBS.split(", ")]
+PARTS = dict(high=np.uint64, low=np.uint64, docs=np.int64, known=np.uint8)
 HIT, NEW = -1, 0  # a kind over 0 is a level
 
 
-def _scan(grams, docs, known):
-    """Sort entries by gram. Returns unique entries with the smallest document, and (grams, docs) of new hits."""
-    order = np.lexsort((docs, grams))
-    grams, docs, known = grams[order], docs[order], known[order]
-    starts, run = _runs(grams)
-    if not len(starts):
-        return (grams, docs, known), (grams, docs)
+def _scan(high, low, docs, known):
+    """Bring suffixes in order and scan neighbours. Returns entries with one head each and the smallest document, and the
+    (high, low, docs) of new hits."""
+    order = np.lexsort((docs, low, high))
+    high, low, docs, known = (x[order] for x in (high, low, docs, known))
+    if not len(high):
+        return (high, low, docs, known), (high, low, docs)
+    new = np.concatenate(([True], common_prefix(high, low) < GRAM))
+    starts, run = np.flatnonzero(new), np.cumsum(new) - 1
     least, most = docs[starts], np.maximum.reduceat(docs, starts)
     shared = (least < most) | np.maximum.reduceat(known, starts).astype(bool)
     hit = shared[run] & (known == 0)
-    return (grams[starts], least, shared.astype(np.uint8)), (grams[hit], docs[hit])
+    return (high[starts], low[starts], least, shared.astype(np.uint8)), (high[hit], low[hit], docs[hit])
 
 
 def _array_rows(batches, length: int, n: int):
-    """Anchors of documents, unique within a slice, and hits between documents of a slice."""
+    """Suffixes of documents, one of each head within a slice, and hits between documents of a slice."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         for first, s in _slices(batch, length):
-            grams, docs = s.hashes[s.anchors], ids[first:][s.rows]
-            entries, hits = _scan(grams, docs, np.zeros(len(grams), np.uint8))
+            entries, hits = _scan(*s.heads(), ids[first:][s.rows], np.zeros(len(s.rows), np.uint8))
             yield _blob_rows(NEW, *entries, n)
             yield _blob_rows(HIT, *hits, np.zeros(len(hits[0]), np.uint8), n)
 
@@ -192,8 +222,8 @@ def _merge_rows(batches, merging: frozenset[int], n: int):
     """All rows of a bucket: hits pass, the new entries and levels are scanned, and those in ``merging`` are merged."""
     held = {}
     for batch in batches:
-        for kind, *blobs in zip(batch.column("kind").to_pylist(), *(batch.column(c) for c in ("grams", "docs", "known")), strict=True):
-            parts = [np.frombuffer(b.as_buffer(), t) for b, t in zip(blobs, (np.uint64, np.int64, np.uint8), strict=True)]
+        for kind, *blobs in zip(batch.column("kind").to_pylist(), *(batch.column(c) for c in PARTS), strict=True):
+            parts = [np.frombuffer(b.as_buffer(), t) for b, t in zip(blobs, PARTS.values(), strict=True)]
             if kind == HIT:
                 yield _blob_rows(HIT, *parts, n)
             else:
@@ -203,12 +233,13 @@ def _merge_rows(batches, merging: frozenset[int], n: int):
     old = [p for k, ps in held.items() if k not in merging and k != NEW for p in ps]
     new = [p for k, ps in held.items() if k in merging or k == NEW for p in ps]
     every = [np.concatenate(x) for x in zip(*old, *new, strict=True)]
-    _, (grams, docs) = _scan(*every)
-    yield _blob_rows(HIT, grams, docs, np.zeros(len(grams), np.uint8), n)
+    _, hits = _scan(*every)
+    yield _blob_rows(HIT, *hits, np.zeros(len(hits[0]), np.uint8), n)
     if new:
         mine = [np.concatenate(x) for x in zip(*new, strict=True)]
-        (g, d, k), _ = _scan(*mine)
-        yield _blob_rows(NEW, g, d, k | np.isin(g, grams), n)
+        (high, low, docs, known), _ = _scan(*mine)
+        found = np.isin(head_hashes(high, low), head_hashes(*hits[:2]))
+        yield _blob_rows(NEW, high, low, docs, known | found, n)
 
 
 def release(spark: SparkSession) -> None:
@@ -217,9 +248,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def hits(docs: DataFrame, length: int, n_batches: int, n_buckets: int) -> DataFrame:
-    """(doc_id, grams): for each document the grams of its anchors that more documents than one hold, possibly repeated.
-    Builds the index family over ``docs`` (doc_id not null, text) batch by batch."""
+def levels_after(ranks: list[int]) -> tuple[int, int]:
+    """Of levels with ``ranks``, the largest first, how many stay as they are when a batch comes, and the rank of the level
+    that the batch makes with the rest: levels of a size merge as a binary counter carries."""
+    kept, rank = len(ranks), 0
+    while kept and ranks[kept - 1] == rank:
+        kept, rank = kept - 1, rank + 1
+    return kept, rank
+
+
+def hits(docs: DataFrame, length: int, n_batches: int, n_buckets: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, grams): for each document the grams of its anchors that more documents than one hold; and the grams that
+    are hot. Builds the index family over ``docs`` (doc_id not null, text) batch by batch."""
     spark = docs.sparkSession
     shares = [k / n_batches for k in range(1, n_batches)]
     bounds = docs.agg(F.percentile_approx("doc_id", shares, 1000 * n_batches)).first()[0] if shares else []
@@ -231,10 +271,8 @@ def hits(docs: DataFrame, length: int, n_batches: int, n_buckets: int) -> DataFr
             batch = batch.where(F.col("doc_id") > low)
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
-        rank, kept = 0, list(levels)
-        while kept and kept[-1][0] == rank:
-            kept.pop()
-            rank += 1
+        n_kept, rank = levels_after([r for r, _ in levels])
+        kept = levels[:n_kept]
         rows = batch.mapInArrow(partial(_array_rows, length=length, n=n_buckets), BLOBS)
         for k, (_, path) in enumerate(levels, 1):
             level = spark.read.schema(BLOBS).parquet(f"{path}/of=level")
@@ -265,17 +303,20 @@ def hits(docs: DataFrame, length: int, n_batches: int, n_buckets: int) -> DataFr
 
     def flat(batches):
         for batch in batches:
-            for grams, docs in zip(batch.column("grams"), batch.column("docs"), strict=True):
-                arrays = [np.frombuffer(docs.as_buffer(), np.int64), np.frombuffer(grams.as_buffer(), np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["doc_id", "gram"])
+            for high, low, docs in zip(batch.column("high"), batch.column("low"), batch.column("docs"), strict=True):
+                grams = head_hashes(*(np.frombuffer(x.as_buffer(), np.uint64) for x in (high, low)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs.as_buffer(), np.int64)), pa.array(grams.view(np.int64))], ["doc_id", "gram"])
 
     if out is None:
-        return spark.createDataFrame([], "doc_id long, grams array<long>")
+        return spark.createDataFrame([], "doc_id long, grams array<long>"), np.zeros(0, np.int64)
     flat_rows = out.mapInArrow(flat, "doc_id long, gram long")
     by_doc = written(flat_rows.groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "hits")
     for path in found:
         drop(spark, path)
-    return by_doc
+    limit = max(HOT_HITS, (by_doc.agg(F.sum(F.size("grams"))).first()[0] or 0) // HOT_KEYS)
+    counted = by_doc.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    hot = np.array(sorted(r.gram for r in counted.where(F.col("n") > limit).select("gram").collect()), np.int64)
+    return by_doc, hot
 
 
 def _window_hashes(around: np.ndarray, length: int) -> np.ndarray:
@@ -388,13 +429,14 @@ AROUND_NAMES = [f.split()[0] for f in AROUND.split(", ")]
 SPAN_NAMES = AROUND_NAMES[-4:]
 
 
-def _around_rows(batches, length: int, n: int):
-    """For each document with its hits' grams: the hits with what is around them, and spans known from the slice."""
+def _around_rows(batches, length: int, n: int, hot: np.ndarray):
+    """For each document with its hits' grams: the hits but the hot ones with what is around them, and spans known from the
+    slice."""
     reach = length - GRAM
     for batch in batches:
         ids, keys, grams = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy(), batch.column("grams")
         for first, s in _slices(batch, length):
-            wanted = [np.unique(np.array(grams[first + k].values).astype(np.int64)) for k in range(len(s.ends))]
+            wanted = [np.setdiff1d(np.array(grams[first + k].values).astype(np.int64), hot) for k in range(len(s.ends))]
             mine = s.hashes[s.anchors].view(np.int64)
             cuts = np.searchsorted(s.rows, np.arange(len(s.ends) + 1))
             found = [np.isin(mine[a:b], w) for a, b, w in zip(cuts, cuts[1:], wanted, strict=False)]
@@ -438,13 +480,76 @@ def _compared_rows(batches, length: int):
         yield _span_rows(left.windows()).select(SPAN_NAMES)
 
 
+WINDOW = "window binary, doc_id long, key long, at int"
+
+
+def _window_rows(batches, length: int):
+    """For each document with the hot grams that it holds: its windows over them, of each slice's equal ones that of the
+    smallest document, and spans (without a window) that the others lose."""
+    reach = length - GRAM
+    for batch in batches:
+        ids, keys, grams = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy(), batch.column("grams")
+        for first, s in _slices(batch, length):
+            wanted = [np.array(grams[first + k].values).astype(np.int64) for k in range(len(s.ends))]
+            mine, cuts = s.hashes[s.anchors].view(np.int64), np.searchsorted(s.rows, np.arange(len(s.ends) + 1))
+            found = [np.isin(mine[a:b], w) for a, b, w in zip(cuts, cuts[1:], wanted, strict=False)]
+            at = s.anchors[np.concatenate(found)] if found else s.anchors
+            before, after = s.reach(at, length)
+            back = np.arange(reach + 1)
+            fits = (back <= before[:, None]) & (length - back <= after[:, None])
+            start = np.unique((at[:, None] - back)[fits])
+            row = np.searchsorted(s.ends, start, "right")
+            docs, least = ids[first:][row], {}
+            windows = [s.data[a : a + length].tobytes() for a in start.tolist()]
+            for k, w in enumerate(windows):
+                j = least.setdefault(w, k)
+                if docs[k] < docs[j]:
+                    least[w] = k
+            lost = np.array([docs[k] > docs[least[w]] for k, w in enumerate(windows)], bool)
+            column = pa.array([None if gone else w for w, gone in zip(windows, lost.tolist(), strict=True)], pa.binary())
+            place = pa.array(start - s.starts[row], pa.int32())
+            yield pa.RecordBatch.from_arrays([column, pa.array(docs), pa.array(keys[first:][row]), place], ["window", "doc_id", "key", "at"])
+
+
+def _neighbour_rows(batches, length: int):
+    """Spans of rows sorted by window and document that have the window of a smaller document; one window is held."""
+    last, least = None, None
+    for batch in batches:
+        docs, lost = batch.column("doc_id").to_pylist(), []
+        for k, w in enumerate(batch.column("window").to_pylist()):
+            if w is None or w != last:
+                lost += [k] if w is None else []
+                last, least = (w, docs[k]) if w is not None else (last, least)
+            elif docs[k] > least:
+                lost.append(k)
+        rows = batch.take(pa.array(lost, pa.int64()))
+        start = rows.column("at").to_numpy()
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), pa.array(start, pa.int32()), pa.array(start + np.int32(length), pa.int32())], SPAN_NAMES)
+
+
+def hot_spans(docs: DataFrame, found: DataFrame, hot: np.ndarray, length: int, n: int) -> DataFrame:
+    """(doc_id, key, start, end) that documents lose for windows over hot grams; ``docs`` is ``packed``."""
+    known = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def only(batches):
+        for batch in batches:
+            kept = [np.intersect1d(np.array(x.values), known.value) for x in batch.column("grams")]
+            some = pa.array([k for k, x in enumerate(kept) if len(x)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(some), pa.array([x for x in kept if len(x)], pa.list_(pa.int64()))], ["doc_id", "grams"])
+
+    mine = found.mapInArrow(only, "doc_id long, grams array<long>")
+    rows = docs.join(mine, "doc_id").mapInArrow(partial(_window_rows, length=length), WINDOW)
+    dealt = rows.repartition(n, F.coalesce("window", F.unhex(F.lpad(F.hex(F.xxhash64("doc_id", "at")), 16, "0")))).sortWithinPartitions("window", "doc_id")
+    return dealt.mapInArrow(partial(_neighbour_rows, length=length), SPAN)
+
+
 def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id) of documents with a text that no smaller document has whole, and (doc_id, key, n) of the rows whose text
     one has. Those lose all they have without being compared."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n"))
     rows = written(rows, "copies")
     least = rows.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1")
-    later = written(rows.join(least, "sha").where("doc_id > least").select("doc_id", "key", "n"), "copies")
+    later = written(join_counted(rows, written(least, "repeated"), "sha", "c").where("doc_id > least").select("doc_id", "key", "n"), "copies")
     return rows.join(later.select("doc_id", "key"), ["doc_id", "key"], "left_anti").select("doc_id").distinct(), later
 
 
@@ -455,14 +560,16 @@ def repeated_spans(docs: DataFrame, length: int = 50, n_batches: int = 4, bucket
     mine = docs.select("doc_id", text_of().alias("text")).where("doc_id is not null")
     total = mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(16, -(-total // bucket_bytes))
-    found = hits(mine, length, n_batches, n)
+    found, hot = hits(mine, length, n_batches, n)
     release(spark)
     first, later = copies(mine)
     found = found.join(first, "doc_id", "left_semi")
-    near = packed(mine).join(found, "doc_id").mapInArrow(partial(_around_rows, length=length, n=n), AROUND)
+    near = packed(mine).join(found, "doc_id").mapInArrow(partial(_around_rows, length=length, n=n, hot=hot), AROUND)
     dealt = near.repartitionById(n, F.coalesce("bucket", F.pmod(F.hash("doc_id", "start"), F.lit(n))))
     spans = dealt.mapInArrow(partial(_compared_rows, length=length), SPAN)
     whole = later.where(F.col("n") >= length).select("doc_id", "key", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))
+    if len(hot):
+        spans = spans.union(hot_spans(packed(mine), found, hot, length, n))
     spans = written(spans.union(whole), "spans")
     del near, dealt
     release(spark)
