@@ -7,7 +7,7 @@ with a chance of (1 - 0.8^5)^24, or 0.00007. Whoever meets is compared by the se
 
 Equal sets are one node before anything meets. In each bucket that holds several components all nodes are compared with
 one leader, which makes one component of most groups of copies for rows in proportion to their size. Crowded buckets that
-still hold several components then take as leaders, in turn, the nodes whose shingles most of the others have. Last, nodes in different components are compared: in buckets of at most
+still hold several components then take as leader the node whose shingles most of the others have. Last, nodes in different components are compared: in buckets of at most
 ``CROWDED`` nodes all pairs, and the nodes of crowded ones where their sets share one of their rarest shingles, which all
 of the wanted similarity do. Pairs within one component cannot change it. Nothing is capped.
 
@@ -29,7 +29,7 @@ from .components import components
 from .simhash import SLICE, links, majorities, text_hashes
 
 BANDS, ROWS = 24, 5
-CROWDED, ROUNDS = 64, 3
+CROWDED = 64
 #: Of each hash function what is added, and its odd factor.
 _random = np.random.default_rng(7)
 ADDED, FACTORS = (_random.integers(0, 2**64, BANDS * ROWS, np.uint64, endpoint=False) for _ in range(2))
@@ -167,15 +167,8 @@ def near_copies(docs: DataFrame, words: int = 5, fifths: int = 4) -> DataFrame:
     shingles = shared_shingles(crowd().select("node").distinct(), sets)
     central = shingles.select("node", (F.aggregate("hs", F.lit(0).cast("double"), lambda a, x: a + x["c"]) / F.col("size")).alias("central"))
     central = written(central, "central")
-    for k in range(ROUNDS):
-        open_ = crowd().join(central, "node", "left")
-        if open_.isEmpty():
-            break
-        if k:  # a leader from outside the largest component
-            main = open_.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
-            open_ = open_.join(main, "key").withColumn("central", F.when(F.col("root") != F.col("main"), F.col("central")))
-        alike = written(alike.union(_alike(to_leaders(open_, F.col("central")), sets, fifths)), "alike")
-        still = with_roots(alike)
+    alike = written(alike.union(_alike(to_leaders(crowd().join(central, "node", "left"), F.col("central")), sets, fifths)), "alike")
+    still = with_roots(alike)
     few = still.where(F.col("n") <= CROWDED)
     a, b = (few.select("key", F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "xy")
     rest = a.join(b, "key").where("x_root <> y_root and x > y").select(*_ordered("x", "y"))
