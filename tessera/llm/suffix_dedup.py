@@ -44,8 +44,8 @@ from .decontamination import merged
 
 GRAM = 16
 SLICE = 1_000_000
-#: A head with more hits than this is hot if it has more than a ``HOT_KEYS``-th of all hits.
-HOT_HITS = 20_000
+#: A head with more hits than this, whose surroundings are 42 MB, is hot if it has more than a ``HOT_KEYS``-th of all hits.
+HOT_HITS = 500_000
 TOP = np.uint64(2**64 - 1)
 #: Odd multipliers of the hashes: multiples of the golden ratio's and of pi's fraction.
 MULTIPLIERS = [np.uint64((k * 0x9E3779B97F4A7C15 ^ k * 0x243F6A8885A308D3) % 2**64 | 1) for k in range(3, 9)]
@@ -73,8 +73,12 @@ def head_hashes(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 def common_prefix(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """How many bytes each head has in common with the one before it, from the second on."""
-    equal = [(x[1:] ^ x[:-1]).byteswap().view(np.uint8).reshape(-1, 8) == 0 for x in (high, low)]
-    return np.logical_and.accumulate(np.concatenate(equal, axis=1), axis=1).sum(axis=1)
+    first, second = high[1:] ^ high[:-1], low[1:] ^ low[:-1]
+    more = first == 0
+    differing, out = np.where(more, second, first), more.astype(np.int8) * np.int8(8)
+    for k in range(8):
+        out += differing < np.uint64(1 << 8 * k)
+    return out
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -196,13 +200,13 @@ HIT, NEW = -1, 0  # a kind over 0 is a level
 def _scan(high, low, docs, known):
     """Bring suffixes in order and scan neighbours. Returns entries with one head each and the smallest document, and the
     (high, low, docs) of new hits."""
-    order = np.lexsort((docs, low, high))
+    order = np.lexsort((low, high))
     high, low, docs, known = (x[order] for x in (high, low, docs, known))
     if not len(high):
         return (high, low, docs, known), (high, low, docs)
     new = np.concatenate(([True], common_prefix(high, low) < GRAM))
     starts, run = np.flatnonzero(new), np.cumsum(new) - 1
-    least, most = docs[starts], np.maximum.reduceat(docs, starts)
+    least, most = np.minimum.reduceat(docs, starts), np.maximum.reduceat(docs, starts)
     shared = (least < most) | np.maximum.reduceat(known, starts).astype(bool)
     hit = shared[run] & (known == 0)
     return (high[starts], low[starts], least, shared.astype(np.uint8)), (high[hit], low[hit], docs[hit])
