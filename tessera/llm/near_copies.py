@@ -5,9 +5,9 @@ texts of similarity 0.8 are that close, so each text also gets the minima of ``B
 set of shingles, and texts meet in a bucket if all minima of a band agree, which texts of similarity 0.8 miss in all bands
 with a chance of (1 - 0.8^5)^24, or 0.00007. Whoever meets is compared by the sets themselves, so each link is exact.
 
-Equal sets are one node before anything meets. In each bucket that holds several components all nodes are compared with
-one leader, which makes one component of most groups of copies for rows in proportion to their size. Crowded buckets that
-still hold several components then take as leader the node whose shingles most of the others have. Last, nodes in different components are compared: in buckets of at most
+Equal sets are one node before anything meets. In each bucket all nodes are compared with one leader, which makes one
+component of most groups of copies for rows in proportion to their size. Crowded buckets that still hold several components
+then take as leader the node whose shingles most of the others have. Last, nodes in different components are compared: in buckets of at most
 ``CROWDED`` nodes all pairs, and the nodes of crowded ones where their sets share one of their rarest shingles, which all
 of the wanted similarity do. Pairs within one component cannot change it. Nothing is capped.
 
@@ -84,11 +84,15 @@ def shingle_sets(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, fifths: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets have a similarity of at least ``fifths`` / 5."""
+    """Those of ``pairs`` (a, b and other columns) whose sets have a similarity of at least ``fifths`` / 5."""
     of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"in_{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     total, common = F.size("in_a") + F.size("in_b"), F.size(F.array_intersect("in_a", "in_b"))
-    return both.where(common * (5 + fifths) >= total * fifths).select("a", "b")
+    return both.where(common * (5 + fifths) >= total * fifths).select(*pairs.columns)
+
+
+#: Two nodes and the components that they are known to be in.
+PAIR = ["a", "b", "a_root", "b_root"]
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -115,8 +119,8 @@ def shared_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(nodes: DataFrame, shared: DataFrame, fifths: int) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (node, root) with different roots, among them all of a similarity of at least ``fifths``
-    / 5: of two such sets, both sorted from the rarest shingle on, the first ones have one in common, as many as a set can
+    """Pairs (a, b, a_root, b_root) of ``nodes`` (node, root) with different roots, among them all of a similarity of at
+    least ``fifths`` / 5: of two such sets, both sorted from the rarest shingle on, the first ones have one in common, as many as a set can
     lack and one more; and from the first one in common on both have enough left. A shingle that no other of the nodes has
     joins nothing, so it is only counted."""
     most = (F.col("size") - F.ceil(F.col("size") * fifths / 5) + 1).cast("int")
@@ -127,7 +131,8 @@ def prefix_pairs(nodes: DataFrame, shared: DataFrame, fifths: int) -> DataFrame:
     of = lambda c: prefix.select("h", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "root", "size", "left")))
     near = (5 + fifths) * F.least("x_left", "y_left") >= fifths * (F.col("x_size") + F.col("y_size"))
     near &= (F.col("x_root") != F.col("y_root")) & (F.col("x_node") > F.col("y_node"))
-    return of("x").join(of("y"), "h").where(near).select(*_ordered("x_node", "y_node")).distinct()
+    columns = zip(("x_node", "y_node", "x_root", "y_root"), PAIR, strict=True)
+    return of("x").join(of("y"), "h").where(near).select(*(F.col(x).alias(c) for x, c in columns)).distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 5, fifths: int = 4) -> DataFrame:
@@ -148,32 +153,37 @@ def near_copies(docs: DataFrame, words: int = 5, fifths: int = 4) -> DataFrame:
     met = shared.select("node").union(seeds.select("a")).union(seeds.select("b")).distinct()
     sets = written(rows.select("node", "hashes").join(met, "node", "left_semi").dropDuplicates(["node"]), "met")
 
-    def with_roots(found: DataFrame) -> DataFrame:
+    def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``roots`` (node, root) once the alike ones of ``pairs`` are links: components of the roots, not of all nodes."""
+        found = _alike(pairs.distinct(), sets, fifths).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        tops = components(found).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        return written(roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+
+    def several(roots: DataFrame) -> DataFrame:
         """The members of buckets that hold several components."""
-        roots = components(found).withColumnRenamed("node", "of")
-        x = shared.join(roots, F.col("node") == F.col("of"), "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
-        several = x.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        return written(x.join(several, "key"), "open")
+        x = shared.join(roots, "node")
+        some = x.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        return written(x.join(some, "key"), "open")
 
     def to_leaders(x: DataFrame, rank: Column) -> DataFrame:
         best = x.groupBy("key").agg(F.max(F.struct(rank.alias("r"), "node", "root")).alias("leader"))
-        return x.join(best, "key").where("root <> leader.root").select(*_ordered("node", "leader.node")).distinct()
+        led = x.join(best, "key").where("root <> leader.root")
+        return led.select(F.col("node").alias("a"), F.col("leader.node").alias("b"), F.col("root").alias("a_root"), F.col("leader.root").alias("b_root"))
 
-    alike = written(_alike(seeds, sets, fifths), "alike")
-    still = with_roots(alike)
-    alike = written(alike.union(_alike(to_leaders(still, F.xxhash64("node")), sets, fifths)), "alike")
-    still = with_roots(alike)
+    alone = sets.select("node", F.col("node").alias("root"))
+    led = to_leaders(shared.withColumn("root", F.col("node")), F.xxhash64("node"))
+    roots = joined(alone, led.union(seeds.select("a", "b", "a", "b")))
+    still = several(roots)
     crowd = lambda: still.where(F.col("n") > CROWDED)
     shingles = shared_shingles(crowd().select("node").distinct(), sets)
     central = shingles.select("node", (F.aggregate("hs", F.lit(0).cast("double"), lambda a, x: a + x["c"]) / F.col("size")).alias("central"))
     central = written(central, "central")
-    alike = written(alike.union(_alike(to_leaders(crowd().join(central, "node", "left"), F.col("central")), sets, fifths)), "alike")
-    still = with_roots(alike)
+    roots = joined(roots, to_leaders(crowd().join(central, "node", "left"), F.col("central")))
+    still = several(roots)
     few = still.where(F.col("n") <= CROWDED)
-    a, b = (few.select("key", F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "xy")
-    rest = a.join(b, "key").where("x_root <> y_root and x > y").select(*_ordered("x", "y"))
-    rest = rest.union(prefix_pairs(crowd().select("node", "root").distinct(), shingles, fifths)).distinct()
-    roots = components(written(alike.union(_alike(rest, sets, fifths)), "alike"))
+    a, b = (few.select("key", F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    rest = a.join(b, "key").where("a_root <> b_root and a > b").select(*PAIR)
+    roots = joined(roots, rest.union(prefix_pairs(crowd().select("node", "root").distinct(), shingles, fifths)))
     linked = written(roots.join(known.drop("n"), "node"), "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     classes = linked.join(least, "root").select("node", "least")
