@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontamination, packing, pii, quality_rules, simhash, suffix_dedup, token_binary, url_filters, warc
+from . import (
+    bin_completion,
+    classifier,
+    decontamination,
+    fill_middle,
+    packing,
+    pii,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    token_binary,
+    url_filters,
+    vector_codes,
+    warc,
+)
 from .common import scratch, table
 
 #: The rules of the URL query.
@@ -110,6 +124,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_completion.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    digest = F.lit(vector_codes.digest(codebooks)).alias("codebooks_sha256")
+    return coded.select("vec_id", "code", "error", "label_error", digest)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -121,10 +157,23 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_suffix_array": op9_suffix_array,
     "op10_warc": op10_warc,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _W = r"[^\x20\x09-\x0D]+"
 
+#: One round of the codebooks of op13: entries of the parts assigned by ``entries``; and those that no part chose.
+_ROUND = """
+n{k} as (
+  select k, p, arg_min(e, (d, e)) as e from (
+    select parts.k, p, e, sum((x - y) * (x - y)) as d from parts join {entries} using (p, c) group by all) group by all),
+m{k} as (
+  select p, e, c, sum(x) as s, count(*) as n from n{k} join parts using (k, p) group by all),
+b{k} as (
+  select p, e, c, coalesce((s - ((s % n) + n) % n) // n, y)::bigint as y from {entries} left join m{k} using (p, e, c)),"""
+
 ORACLE_SQL = {
     "op1_quality_rules": rf"""
 with d as (
@@ -208,4 +257,45 @@ t as (select k, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last,
 select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
        sha256(from_hex(coalesce(kept || substr(h, 2 * last + 1), h))) as kept_sha256
 from d left join t using (k)""",
+    "op11_fill_in_middle": r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as t,
+         sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+g as (
+  select *, len(t) as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+         ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90
+              then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from g),
+p as (
+  select *, array_to_string(t[1:a], '') as prefix, array_to_string(t[a + 1:b], '') as middle,
+         array_to_string(t[b + 1:], '') as suffix from c)
+select doc_id, n::bigint as n, form,
+       case when form <> 'plain' then length(prefix) end::bigint as prefix_chars,
+       case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256
+from p""",
+    "op13_vector_codes": rf"""
+with kept as materialized (
+  select vec_id, label, row_number() over (order by vec_id, embedding) - 1 as k,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (
+  select k, (i // (len(v) // 16))::int as p, (i % (len(v) // 16))::int as c, v[i + 1] as x
+  from (select k, v, unnest(range(len(v))) as i from kept)),
+b0 as materialized (select p, k as e, c, x as y from parts where k < 64),
+{_ROUND.format(k=1, entries="b0")}
+{_ROUND.format(k=2, entries="b1")}
+{_ROUND.format(k=3, entries="b2")}
+a as (
+  select n3.k, n3.p, n3.e, sum((x - y) * (x - y)) as d from n3 join parts using (k, p) join b2 using (p, e, c) group by all),
+r as (
+  select k, string_agg(lower(printf('%02x', e)), '' order by p) as code, sum(d)::bigint as error from a group by k),
+w as (select sha256(string_agg(y::varchar, ',' order by p, e, c)) as s from b2)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, s as codebooks_sha256
+from kept join r using (k), w""",
 }
