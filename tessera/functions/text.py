@@ -9,6 +9,7 @@ White space means the characters in ``WS``, which Java's ``\\s`` does not cover.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from bisect import bisect_left, insort
@@ -294,15 +295,15 @@ def normalized_range(text: str, query: str) -> tuple[int, int] | None:
         return None
     shown, places = [], []
     words = [(k, unicodedata.normalize("NFKC", c)) for k, c in enumerate(text)]
-    solid = [k for k, c in words if not _SPACE.match(c)]
+    solid = [k for k, c in enumerate(text) if not _SPACE.match(c)]
     keep = re.compile(f"[{KEEP_BETWEEN}]")
     for k, c in words:
-        if not _SPACE.match(c):
+        if not _SPACE.search(c):  # some marks become a space and a mark; they count as white space
             shown.append(c)
             places += [k] * len(c)
             continue
-        right = bisect_left(solid, k)
-        around = [words[solid[i]][1] for i in (right - 1, right) if 0 <= i < len(solid)]
+        left, right = bisect_left(solid, k) - 1, bisect_left(solid, k + 1)
+        around = [words[solid[i]][1] for i in (left, right) if 0 <= i < len(solid)]
         if len(around) == 2 and keep.fullmatch(around[0]) and keep.fullmatch(around[1]) and (not shown or shown[-1] != " "):
             shown.append(" ")
             places.append(k)
@@ -317,25 +318,26 @@ def fnv1a64(data: str) -> str:
     return f"fnv1a64:{h:016x}"
 
 
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+_JSON = json.JSONDecoder(parse_int=str, parse_float=str, parse_constant=_no_constant)
+_FENCE = re.compile(rf"^```(?:json)?{WS}*|{WS}*```$", re.IGNORECASE)
+
+
 def first_json(s: str) -> str | None:
-    """The first balanced JSON object or array in a text, which may be fenced or have words around it."""
-    for m in re.finditer(r"[{\[]", s):
-        depth, quoted, skip = 0, False, False
-        for k in range(m.start(), len(s)):
-            c = s[k]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "{[":
-                depth += 1
-            elif c in "}]":
-                depth -= 1
-                if not depth:
-                    return s[m.start() : k + 1]
-        return None
+    """The JSON of a response: the whole text without its fence if that is JSON, else the first object or array in it that
+    is. An opening bracket whose value does not parse is passed over, and the next one tried."""
+    s = _FENCE.sub("", s.strip(WHITE)).strip(WHITE)
+    openings = (m.start() for m in re.finditer(r"[{\[]", s))
+    for start in (0, *openings) if s else ():
+        try:
+            _, end = _JSON.raw_decode(s, start)
+        except (ValueError, RecursionError):
+            continue
+        if s[start] in "{[" or end == len(s):  # any other value counts only as the whole
+            return s[start:end]
     return None
 
 

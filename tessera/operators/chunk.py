@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import scan
+from tessera.sources.shared import checkpointed
+
 #: The policy of chunks, and stages with the source types that they read.
 MAX_CHARS, OVERLAP = 24_000, 2
 STAGES = (
@@ -42,29 +44,59 @@ def segment_text(sources: DataFrame, segs: DataFrame) -> DataFrame:
     return segs.join(sources.select("source_id", "content"), "source_id").select(*segs.columns, text.alias("text"))
 
 
+def _next_starts(placed: DataFrame, group: str, max_chars: int, overlap: int) -> DataFrame:
+    """(group, at, stop, next): the chunk that would start at each segment ends before ``stop``, the number of segments that
+    end within max_chars of its start; ``next`` is null where no segment is left. The search is a count over
+    segment ends and wanted ends in one order."""
+    ends = placed.select(group, F.col("_end").alias("_value"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("at"))
+    asked = placed.select(group, (F.col("_end") - F.col("_n") + max_chars).alias("_value"), F.lit(1).alias("_kind"), F.col("_at").alias("at"))
+    counted = scan.scanned(ends.unionByName(asked), group, ["_value", "_kind", "at"], scan.Wanted(sums={"_within": (F.col("_kind") == 0).cast("long")}))
+    stops = counted.where("_kind = 1").select(group, "at", F.greatest("_within", F.col("at") + 1).alias("stop"))
+    there = placed.select(F.col(group).alias("_g"), F.col("_at"))
+    x = stops.join(there, F.col(group).eqNullSafe(F.col("_g")) & (F.col("stop") == F.col("_at")), "left")
+    return x.select(group, "at", "stop", F.when(F.col("_at").isNotNull(), F.greatest(F.col("at") + 1, F.col("stop") - overlap)).alias("next"))
+
+
+def _walk(jumps: DataFrame, group: str) -> DataFrame:
+    """(group, at, chunk_index): what is reached from the first segment of each group along (group, at, to), and after how
+    many steps. Pointers double: round k joins what is reached with jumps of 2**k steps, and jumps with themselves."""
+    reached, k = checkpointed(jumps.where("at = 0").select(group, "at", F.lit(0).cast("long").alias("chunk_index"))), 0
+    jumps = checkpointed(jumps.where("to is not null"))
+    while True:
+        on = jumps.select(F.col(group).alias("_g"), F.col("at").alias("_from"), F.col("to").alias("_to"))
+        step = lambda df, c: df.join(on, F.col(group).eqNullSafe(F.col("_g")) & (F.col(c) == F.col("_from")))  # noqa: B023, E731
+        new = checkpointed(step(reached, "at").select(group, F.col("_to").alias("at"), (F.col("chunk_index") + 2**k).alias("chunk_index")))
+        if new.isEmpty():
+            return reached
+        reached, k = reached.unionByName(new), k + 1
+        jumps = checkpointed(step(jumps, "to").select(group, "at", F.col("_to").alias("to")))
+
+
 def chunks(segs: DataFrame, group: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """(group, chunk_index, source_id, segment_index): each chunk takes segments while they fit in max_chars, and the
-    next one starts ``overlap`` segments before its end. ``segs`` has group, source_id, segment_index, ord, start, end.
-
-    The walk over a group's segments sees their order and lengths alone; texts are joined back after it."""
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord", kind="stable").reset_index(drop=True)
-        ends = (frame["end"] - frame["start"]).cumsum()
-        before = ends - (frame["end"] - frame["start"])
-        out, at, n = [], 0, len(frame)
-        while at < n:
-            stop = max(int(ends.searchsorted(before[at] + max_chars, "right")), at + 1)
-            part = frame.loc[at : stop - 1, [group, "source_id", "segment_index"]]
-            out.append(part.assign(chunk_index=len(out)))
-            if stop >= n:
-                break
-            at = max(at + 1, stop - overlap)
-        return pd.concat(out)[[group, "chunk_index", "source_id", "segment_index"]]
-
-    kinds = dict(segs.dtypes)
-    schema = f"{group} {kinds[group]}, chunk_index long, source_id {kinds['source_id']}, segment_index {kinds['segment_index']}"
-    return segs.select(group, "source_id", "segment_index", "ord", "start", "end").groupBy(group).applyInPandas(walk, schema)
+    """(group, chunk_index, source_id, segment_index): each chunk takes segments while they fit in max_chars, at least one,
+    and the next one starts ``overlap`` segments before its end, at least one further. ``segs`` has group, source_id, segment_index, ord, start,
+    end; segments of equal ``ord`` go by source_id and segment_index.
+
+    No group is in one task: places and lengths so far are prefix scans, the end of the chunk from each segment is searched
+    in them, and which segments start a chunk is found by doubling pointers, in as many rounds as the longest group
+    has bits in its number of chunks. Texts are not read."""
+    order = ["ord", "source_id", "segment_index"]
+    n = (F.col("end") - F.col("start")).cast("long")
+    rows = segs.select(group, *order, n.alias("_n"))
+    placed = scan.scanned(rows, group, order, scan.Wanted(sums={"_end": F.col("_n")}, number="_at"))
+    placed = checkpointed(placed.withColumn("_at", F.col("_at") - 1))
+    starts = checkpointed(_next_starts(placed, group, max_chars, overlap))
+    found = _walk(starts.select(group, "at", F.col("next").alias("to")), group)
+    named = found.select(F.col(group).alias("_g"), F.col("at").alias("_from"), "chunk_index")
+    chosen = checkpointed(starts.join(named, F.col(group).eqNullSafe(F.col("_g")) & (F.col("at") == F.col("_from"))).select(group, "at", "stop", "chunk_index"))
+    marks = chosen.select(group, F.col("at").alias("_at"), "chunk_index", F.lit(0).alias("_kind"))
+    both = marks.unionByName(placed.select(group, "_at", "source_id", "segment_index", F.lit(1).alias("_kind")), allowMissingColumns=True)
+    latest = scan.scanned(both, group, ["_at", "_kind"], scan.Wanted(fills={"_last": F.col("chunk_index")})).where("_kind = 1")
+    # a segment is in the last chunk that starts before it, and in up to ``overlap`` chunks before that one
+    each = latest.select(group, "_at", "source_id", "segment_index", F.explode(F.sequence(F.greatest(F.col("_last") - overlap, F.lit(0)), F.col("_last"))).alias("chunk_index"))
+    inside = chosen.select(F.col(group).alias("_g"), F.col("stop"), F.col("chunk_index").alias("_c"))
+    x = each.join(inside, F.col(group).eqNullSafe(F.col("_g")) & (F.col("chunk_index") == F.col("_c")) & (F.col("_at") < F.col("stop")))
+    return x.select(group, "chunk_index", "source_id", "segment_index")
 
 
 def node_plan(chunk_rows: DataFrame, stages=STAGES) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.edit import edit_distance
+from tessera.operators import scan
+
 #: Critical categories with the categories that count as each, and the limits of the gate.
 CRITICAL = {
     "core_requirement": ("key_matter:core_requirement",),
@@ -31,9 +34,11 @@ def critical_category(category: Column) -> Column:
 def match(expected: DataFrame, actual: DataFrame, keys: list[str], id_: str = "id") -> DataFrame:
     """(expected_id, actual_id): rows with equal keys paired one to one, each side by ascending id. Equality is
     transitive, so pairing by rank within a key is what a greedy walk would find."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(id_))
-    e = expected.select(F.col(id_).alias("expected_id"), *(F.col(k).alias(f"e_{k}") for k in keys), rank.alias("n"))
-    a = actual.select(F.col(id_).alias("actual_id"), *(F.col(k).alias(f"a_{k}") for k in keys), rank.alias("m"))
+    rank = scan.Wanted(number="_rank")
+    e = scan.scanned(expected.select(id_, *keys), keys, id_, rank)
+    a = scan.scanned(actual.select(id_, *keys), keys, id_, rank)
+    e = e.select(F.col(id_).alias("expected_id"), *(F.col(k).alias(f"e_{k}") for k in keys), F.col("_rank").alias("n"))
+    a = a.select(F.col(id_).alias("actual_id"), *(F.col(k).alias(f"a_{k}") for k in keys), F.col("_rank").alias("m"))
     same = F.col("n") == F.col("m")
     for k in keys:
         same &= F.col(f"e_{k}").eqNullSafe(F.col(f"a_{k}"))
@@ -58,11 +63,11 @@ def counts(expected: DataFrame, actual: DataFrame, matches: DataFrame, by: str,
 
 def page_accuracy(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Per page of ``expected`` (keys, text): errors (edits; all characters if the page is missing), length, accuracy,
-    and whether it needs review."""
+    and whether it needs review. Edits are counted exactly, in a band that is first as wide as the limit of accuracy allows."""
     a = actual.select(*keys, F.col("text").alias("actual_text"))
     x = expected.join(a, keys, "left")
     n = F.length("text")
-    errors = F.when(F.col("actual_text").isNull(), n).otherwise(F.levenshtein("text", "actual_text"))
+    errors = F.when(F.col("actual_text").isNull(), n).otherwise(edit_distance(1 - LIMITS["ocr"])("text", "actual_text"))
     x = x.withColumns({"errors": errors, "n_chars": n})
     accuracy = 1 - F.col("errors") / F.nullif(F.col("n_chars"), F.lit(0))
     return x.select(*keys, "errors", "n_chars", accuracy.alias("accuracy"), F.coalesce(accuracy < LIMITS["ocr"], F.lit(True)).alias("needs_review"))

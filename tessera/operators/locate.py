@@ -6,10 +6,17 @@ its content. What all citations of a finding must satisfy is a grouped ``bool_an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.functions import search
 from tessera.functions import text as T
+from tessera.operators import scan
 
 UNITS_AT_ONCE = 1_000
 
@@ -30,8 +37,7 @@ def block_units(sources: DataFrame, source_id: str = "source_id", content: str =
 
 def fill_articles(units: DataFrame, heading: Column, by: str = "source_id", order: str = "ord") -> DataFrame:
     """``units`` with ``article``: the heading of the unit, or the last one before it in its source."""
-    until_now = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return units.withColumn("article", F.last(heading, ignorenulls=True).over(until_now))
+    return scan.scanned(units, by, order, scan.Wanted(fills={"article": heading}))
 
 
 def anchors_of_units(units: DataFrame) -> DataFrame:
@@ -136,6 +142,42 @@ def passages(items: DataFrame, docs: DataFrame) -> DataFrame:
     return held.distinct().join(d, "_key").select("item_id", "doc_id").distinct()
 
 
+#: Quotes of about so many characters are one automaton.
+BLOCK_CHARS = 4_000_000
+
+
+def quote_ranges(docs: DataFrame, quotes: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, quote_id, start, end, n) for each text of ``docs`` and quote (quote_id, text) that it holds once both are
+    normalized: the offsets of the first occurrence in the text as it is, the end exclusive, and how often it occurs.
+
+    Quotes are dealt by hash into blocks of about ``block_chars``; the driver holds one block at a time, and texts go once
+    through the automaton of each block, whatever the number of quotes. Null and blank quotes are never found, equal rows of quotes count once, and
+    null texts hold nothing."""
+    q = quotes.select("quote_id", "text").where("text is not null").distinct()
+    kinds = dict(docs.dtypes)["doc_id"], dict(quotes.dtypes)["quote_id"]
+    blocks = max(1, -(-(q.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    schema = f"doc_id {kinds[0]}, quote_id {kinds[1]}, start long, end long, n long"
+    id_type = to_arrow_type(quotes.schema["quote_id"].dataType)
+
+    def through(held: list[tuple]) -> DataFrame:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = search.Quotes(held)
+            for batch in batches:
+                at, found = [], []
+                for k, text in enumerate(batch.column("text")):
+                    for quote, span in automaton.ranges(text.as_py() or "").items():
+                        at.append(k)
+                        found.append((quote, *span))
+                owner = batch.column("doc_id").take(pa.array(at, pa.int64()))
+                ids = pa.array([f[0] for f in found], id_type)
+                yield pa.RecordBatch.from_arrays([owner, ids, *(pa.array([f[i] for f in found], pa.int64()) for i in (1, 2, 3))], ["doc_id", "quote_id", "start", "end", "n"])
+
+        return docs.select("doc_id", "text").mapInArrow(rows, schema)
+
+    own = F.pmod(F.xxhash64("quote_id", "text"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (through([tuple(r) for r in q.where(own == b).collect()]) for b in range(blocks)))
+
+
 def uncovered(sources: DataFrame, anchors: DataFrame) -> DataFrame:
     """Sources that no citation names."""
     return sources.join(anchors.select("source_id").distinct(), "source_id", "left_anti")

@@ -11,20 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import scan
 from tessera.sources.shared import checkpointed
 
 
 def chain(log: DataFrame, key: str, before: str, after: str, time: str, seq: str = "seq", rising: bool = True) -> DataFrame:
     """``log`` with link_ok (the digest before is the digest after of the row before) and time_ok (time does not fall, or with
     ``rising`` it increases)."""
-    w = Window.partitionBy(key).orderBy(seq)
-    first = F.lag(F.lit(1)).over(w).isNull()
-    return log.withColumns(
-        {
-            "link_ok": first | F.coalesce(F.lag(after).over(w) == F.col(before), F.lit(False)),
-            "time_ok": first | F.coalesce((F.lag(time).over(w) < F.col(time)) if rising else (F.lag(time).over(w) <= F.col(time)), F.lit(False)),
-        }
-    )
+    x = scan.scanned(log, key, seq, scan.Wanted(lags={"_after": F.col(after), "_time": F.col(time)}, number="_nth"))
+    first, later = F.col("_nth") == 1, F.col("_time") < F.col(time)
+    later = later if rising else F.col("_time") <= F.col(time)
+    linked = first | F.coalesce(F.col("_after") == F.col(before), F.lit(False))
+    return x.select(*log.columns, linked.alias("link_ok"), (first | F.coalesce(later, F.lit(False))).alias("time_ok"))
 
 
 def chain_summary(checked: DataFrame, key: str, after: str, seq: str = "seq") -> DataFrame:
@@ -54,9 +52,12 @@ def latest(df: DataFrame, key: str | list[str], order: str) -> DataFrame:
 
 def replay(baseline: DataFrame, audits: DataFrame, added: DataFrame) -> DataFrame:
     """Current findings (finding_id, hash, chain_ok): the baseline and findings added by people, each with what its last
-    audit left, and whether its audits chain from its first state."""
+    audit left, and whether its audits chain from its first state: each starts where the one before ended, none changes
+    nothing, and times do not fall; equal times are in order."""
     start = baseline.select("finding_id", "hash").unionByName(added.select("finding_id", "hash"))
-    log = chain(audits, "finding_id", "before_hash", "after_hash", "reviewed_at")
+    log = chain(audits, "finding_id", "before_hash", "after_hash", "reviewed_at", rising=False)
+    changed = F.coalesce(F.col("before_hash") != F.col("after_hash"), F.lit(False))
+    log = log.withColumn("link_ok", F.col("link_ok") & changed)
     first = audits.groupBy("finding_id").agg(F.min_by("before_hash", "seq").alias("_first"))
     folded = chain_summary(log, "finding_id", "after_hash").join(first, "finding_id")
     x = start.join(folded, "finding_id", "left")
@@ -165,8 +166,7 @@ def correct_units(units: DataFrame, corrections: DataFrame) -> DataFrame:
 
 def slices(runs: DataFrame, sizes: Column, by: str, order: str) -> DataFrame:
     """``runs`` with first and last: where each run's outputs stand in one list of all."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = runs.withColumn("_n", sizes).withColumn("last", F.sum("_n").over(w))
+    x = scan.scanned(runs.withColumn("_n", sizes), by, order, scan.Wanted(sums={"last": F.col("_n")}))
     return x.withColumn("first", F.col("last") - F.col("_n")).drop("_n")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import attest, chunk, evaluate, locate, merge, produce, report, review, rules
-from tessera.plans.queries import _MATCHED, _UNITS, big, corpora, query, rounded, table, units_of
+from tessera.plans.queries import _MATCHED, _TRIM, _UNITS, _WS, big, corpora, query, rounded, table, units_of
 from tessera.sources import ingest, sinks
 from tessera.sources.shared import new_path
 
@@ -137,6 +137,21 @@ def parsed_responses(spark, d):
     return found.select("node_id", "refused", F.when(F.col("refused").isNull(), F.length("row.said")).cast("long").alias("n"))
 
 
+@query("""with x as (select conv_id || '-' || turn as node_id, turn % 7 as k, length(text)::bigint as n from conversations)
+select node_id, case when k = 5 then 'no JSON' when k = 6 then 'kind is known' end as refused, case when k < 5 then n end as n from x""")
+def noisy_responses(spark, d):
+    """Answers with brackets that open nothing before the object that counts, fenced or bare, and an answer of brackets alone."""
+    t = F.col("turn") % 7
+    body = F.to_json(F.struct(F.when(t == 6, "z").otherwise("a").alias("kind"), F.col("text").alias("said")))
+    around = {0: ("see [1, note] then ", ""), 1: ("use { first, then ", " or ]"), 2: ("a {x] } ", ""), 3: ("```JSON\n", "\n```"), 4: ("[NaN] ", " [1]")}
+    content = F.when(t == 5, "[[{ no answer ]").otherwise(body)
+    for k, (before, after) in around.items():
+        content = F.when(t == k, F.concat(F.lit(before), body, F.lit(after))).otherwise(content)
+    x = talk(spark, d).select(F.col("id").alias("node_id"), content.alias("content"))
+    found = produce.parse_responses(x, "kind string, said string", {"kind is known": F.col("kind").isin("a", "b")})
+    return found.select("node_id", "refused", F.when(F.col("refused").isNull(), F.length("row.said")).cast("long").alias("n"))
+
+
 @query()
 def extracted_claims(spark, d):
     """What the rule extractor finds in every document, counted by kind."""
@@ -301,13 +316,15 @@ def review_commands(spark, d):
     return both.select(F.col("reason").cast("long").alias("finding_id"), "why")
 
 
-@query("""with t as (select conv_id, turn, sha256(text) as h, lag(sha256(text)) over (partition by conv_id order by turn) as p from conversations), b as (select conv_id, arg_min(h, turn) as first, arg_max(h, turn) as last, max(turn) as m, bool_or(turn % 5 = 4) as bad from t group by conv_id)
+@query("""with t as (select conv_id, turn, sha256(text) as h, lag(sha256(text)) over (partition by conv_id order by turn) as p from conversations), b as (select conv_id, arg_min(h, turn) as first, arg_max(h, turn) as last, max(turn) as m, bool_or(turn % 5 = 4 or h = p or turn % 11 = 6) as bad from t group by conv_id)
 select conv_id as finding_id, last as hash, not bad as chain_ok from b""")
 def replayed_findings(spark, d):
+    """Turns as audits; two of them share a time, some are not linked, some change nothing, and some come before their time."""
+    time = F.when(F.col("turn") % 11 == 6, -1).otherwise(F.floor(F.col("turn") / 2))
     t = table(spark, d, "conversations").withColumn("h", F.sha2("text", 256))
     before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("h").alias("b"))
     log = t.where("turn > 0").join(before, ["conv_id", "turn"], "left")
-    log = log.select(F.col("conv_id").alias("finding_id"), F.col("turn").alias("seq"), F.when(F.col("turn") % 5 == 4, "x").otherwise(F.col("b")).alias("before_hash"), F.col("h").alias("after_hash"), F.col("turn").alias("reviewed_at"))
+    log = log.select(F.col("conv_id").alias("finding_id"), F.col("turn").alias("seq"), F.when(F.col("turn") % 5 == 4, "x").otherwise(F.col("b")).alias("before_hash"), F.col("h").alias("after_hash"), time.alias("reviewed_at"))
     first = t.where("turn = 0").select(F.col("conv_id").alias("finding_id"), F.col("h").alias("hash"))
     even = F.col("finding_id") % 2 == 0
     return review.replay(first.where(even), log, first.where(~even))
@@ -602,3 +619,20 @@ def merged_requirements(spark, d):
     alias = t.select(F.concat("conv_id", F.lit("-"), "turn").alias("finding_id"), F.col("conv_id").cast("string").alias("canonical_id"))
     m = merge.merge_requirements(x, alias)
     return rounded(m.select(F.col("finding_id").cast("long").alias("finding_id"), F.col("requirement_id").cast("long").alias("first"), "conflict", "confidence"), ["confidence"])
+
+
+_KEEP = f"[{T.KEEP_BETWEEN}]"
+_GAP = f"case when regexp_matches(%s, '{_KEEP}') and regexp_matches(%s, '{_KEEP}') then '%s' else '{_WS}*' end"
+_IN_WORD = f"array_to_string(list_transform(range(1, length(w) + 1), lambda i: regexp_escape(w[i]) || case when i < length(w) then {_GAP % ('w[i]', 'w[i + 1]', '')} else '' end), '')"
+
+
+@query(f"""with q as (select distinct item_id, text, string_split_regex({_TRIM % 'text'}, '{_WS}+') as ws from benchmark where regexp_replace(text, '{_WS}', '', 'g') <> ''),
+p as (select item_id, text, array_to_string(list_transform(range(1, len(ws) + 1), lambda k: (list_transform([ws[k]], lambda w: {_IN_WORD}))[1]
+  || case when k < len(ws) then {_GAP % ('ws[k][-1]', 'ws[k + 1][1]', _WS + '+')} else '' end), '') as pattern, regexp_replace(text, '{_WS}', '', 'g') as solid from q),
+d as (select doc_id, text, regexp_replace(text, '{_WS}', '', 'g') as solid from documents where text is not null),
+m as (select doc_id, item_id, d.text, regexp_extract_all(d.text, pattern) as found from d join p on contains(d.solid, p.solid))
+select doc_id, item_id as quote_id, (strpos(text, found[1]) - 1)::bigint as start, (strpos(text, found[1]) - 1 + length(found[1]))::bigint as "end", len(found)::bigint as n from m where len(found) > 0""")
+def quoted_ranges(spark, d):
+    """Where benchmark items stand in documents once both are normalized, by offsets in the documents as they are."""
+    quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
+    return locate.quote_ranges(table(spark, d, "documents").select("doc_id", "text"), quotes)

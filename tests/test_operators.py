@@ -179,6 +179,11 @@ def test_logs(spark):
     base = spark.createDataFrame([("a", "h0"), ("b", "x"), ("c", "k")], "finding_id string, hash string")
     got = {r.finding_id: (r.hash, r.chain_ok) for r in review.replay(base, log, base.limit(0)).collect()}
     assert got == {"a": ("h2", True), "b": ("w", False), "c": ("k", True)}
+    audits = [("a", 1, "h0", "h1", 5), ("a", 2, "h1", "h2", 5), ("b", 1, "x", "x", 1), ("c", 1, "k", "l", 3), ("c", 2, "l", "m", 2), ("d", 1, "o", "p", 1)]
+    log = spark.createDataFrame(audits, "finding_id string, seq long, before_hash string, after_hash string, reviewed_at long")
+    base = spark.createDataFrame([("a", "h0"), ("b", "x"), ("c", "k"), ("d", "other")], "finding_id string, hash string")
+    got = {r.finding_id: r.chain_ok for r in review.replay(base, log, base.limit(0)).collect()}
+    assert got == {"a": True, "b": False, "c": False, "d": False}  # equal times are in order; no change, a falling time, another start are not
     commands = spark.createDataFrame([("a", "modify", "n", "me", "why", "2026-01-01T00:00:00Z"), ("z", "confirm", None, "me", "why", "2026-01-01T00:00:00Z"), ("a", "modify", "h0", "me", "why", "2026-01-01T00:00:00Z"), ("a", "confirm", None, " ", "why", "2026-01-01T00:00:00Z")], "finding_id string, action string, new_hash string, reviewer string, reason string, acted_at string")
     rows, rejects = review.apply_commands(commands, base.withColumn("review_status", F.lit("pending")))
     assert [tuple(r)[:4] for r in rows.collect()] == [("a", "modify", "h0", "n")]

@@ -41,6 +41,10 @@ def test_skeleton_and_digest():
     assert T.normalized_range("额度 为 １ 0万", "额度为1 0万") == (0, 9)
     assert T.normalized_range("abc", "x") is None
     assert T.first_json('so: ```json\n{"a": "}", "b": [1]}\n``` ok') == '{"a": "}", "b": [1]}'
+    assert T.first_json('see [1, note] then {"kind":"a"}') == T.first_json('use { first, then {"kind":"a"}') == '{"kind":"a"}'
+    assert T.first_json('a {x] } {"b":[1]} {"c":2}') == '{"b":[1]}' and T.first_json("```JSON\n[1,2]\n```") == "[1,2]"
+    assert T.first_json('"whole"') == '"whole"' and T.first_json(' 5 {"a":{"b":1}') == '{"b":1}' and T.first_json("[NaN]") is None
+    assert T.first_json("[" * 5000) is None and T.first_json("") is None and T.first_json('{"n":' + "9" * 5000 + "}")
 
 
 def squeeze_brute(s):
