@@ -14,13 +14,13 @@ levels before it.
 
 Hits are then extended to both sides. Each is sent with all bytes around it that a window over it can cover. Equal
 surroundings are one entry, of the smallest document; all others that hold them lose them whole. Where a head has several
-surroundings, their windows are compared one place at a time. A head with more hits than ``HOT_HITS``, and than its share
-of all, is split by further bytes instead: each window over it is a row of its own, rows are dealt and sorted by the
+surroundings, their windows are compared one place at a time. A head with more hits than ``HOT_HITS`` is split by further
+bytes instead: each window over it is a row of its own, rows are dealt and sorted by the
 window's bytes, and a task compares neighbours as they come, holding one. What a task has found to be equal within a slice
 is reduced before it is shuffled, both for the arrays and for the surroundings, so a passage that very many documents share
 costs each slice one entry. A text that a smaller document has whole goes whole, without being compared. Texts are
 shuffled twice, compressed, by document (a third time those with a hot head); nothing of them passes the driver, which
-keeps only the batch bounds and the hot heads, at most ``HOT_KEYS``.
+keeps only the batch bounds and the hot heads, at most one for every ``HOT_HITS`` hits.
 
 Defined results: a null text is empty; texts shorter than ``length`` bytes lose nothing; a very long text is held whole by
 its task; rows with equal ids do not count against each other; a row with a null id loses nothing and counts against none;
@@ -39,12 +39,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, drop, join_counted, scratch, text_of, written
+from .common import drop, join_counted, scratch, text_of, written
 from .decontamination import merged
 
 GRAM = 16
 SLICE = 1_000_000
-#: A head with more hits than this, whose surroundings are 42 MB, is hot if it has more than a ``HOT_KEYS``-th of all hits.
+#: A head with more hits than this is hot, however many there are: its hits are dealt by their windows and not by the head. The
+#: surroundings of so many hits are 42 MB, and comparing them takes about three times that beside them. What the driver holds
+#: of hot heads is 8 bytes for every so many hits.
 HOT_HITS = 500_000
 TOP = np.uint64(2**64 - 1)
 #: Odd multipliers of the hashes: multiples of the golden ratio's and of pi's fraction.
@@ -317,23 +319,27 @@ def hits(docs: DataFrame, length: int, n_batches: int, n_buckets: int) -> tuple[
     by_doc = written(flat_rows.groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "hits")
     for path in found:
         drop(spark, path)
-    limit = max(HOT_HITS, (by_doc.agg(F.sum(F.size("grams"))).first()[0] or 0) // HOT_KEYS)
     counted = by_doc.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    hot = np.array(sorted(r.gram for r in counted.where(F.col("n") > limit).select("gram").collect()), np.int64)
+    hot = np.array(sorted(r.gram for r in counted.where(F.col("n") > HOT_HITS).select("gram").collect()), np.int64)
     return by_doc, hot
 
 
-def _window_hashes(around: np.ndarray, length: int) -> np.ndarray:
-    """Of each row the hashes of its windows, one for each start."""
-    n, size = around.shape
-    out = np.zeros((n, size - length + 1), np.uint64)
-    for base in MULTIPLIERS[3:5]:
-        power = np.uint64(pow(int(base), length, 2**64))
-        prefix = np.zeros((size + 1, n), np.uint64)
-        for k in range(size):
-            prefix[k + 1] = prefix[k] * base + around[:, k] + np.uint64(1)
-        out = _mixed(out + (prefix[length:] - prefix[:-length] * power).T)
-    return out
+def _window_hashes(around: np.ndarray, length: int):
+    """For one start after another the hashes of all rows' windows from it, each rolled on from the one before, so what is
+    held beside the rows is a few numbers a row."""
+    columns = np.ascontiguousarray(around.T)
+    bases = MULTIPLIERS[3:5]
+    held = [np.zeros(len(around), np.uint64) for _ in bases]
+    for s in range(len(columns) - length + 1):
+        for k, base in enumerate(bases):
+            h = held[k]
+            if s:
+                h -= (columns[s - 1] + np.uint64(1)) * np.uint64(pow(int(base), length - 1, 2**64))
+            for column in columns[:length] if not s else columns[s + length - 1 : s + length]:
+                h *= base
+                h += column
+                h += np.uint64(1)
+        yield _mixed(_mixed(held[0]) + held[1])
 
 
 class Around:
@@ -392,10 +398,10 @@ class Around:
         return [np.concatenate(c) for c in zip(*spans, strict=True)]
 
     def _window_spans(self) -> list[list[np.ndarray]]:
-        hashes, out = _window_hashes(self.around, self.length), []
-        for s in range(self.reach + 1):
+        out = []
+        for s, hashes in enumerate(_window_hashes(self.around, self.length)):
             k = np.flatnonzero((self.before >= self.reach - s) & (self.after >= self.length - self.reach + s))
-            key = _mixed(hashes[k, s] + self.grams[k] * MULTIPLIERS[1])
+            key = _mixed(hashes[k] + self.grams[k] * MULTIPLIERS[1])
             order = np.lexsort((self.docs[k], key))
             starts, run = _runs(key[order])
             if not len(starts):

@@ -57,6 +57,17 @@ def test_classifier_and_stages(spark, tmp_path):
     assert pieces and {r.doc_id for r in pieces} <= kept and 400 not in {r.doc_id for r in pieces}
 
 
+def test_clashing_columns_go_through_unchanged(spark, tmp_path):
+    corpus(spark, tmp_path, 160)
+    d = str(tmp_path)
+    names = ("sha", "score", "_score", "row", "node", "of", "stays", "sha_")
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        assert out.where(" or ".join(f"{c} <> concat('{c} of ', doc_id)" for c in names)).count() == 0 < out.count()
+
+
 def test_scores_without_labels(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", "x"), (None, None, "y")], "doc_id long, text string, score string")
     for rows, want in (([], 0.5), ([(1, 1)], 1.0), ([(1, None)], 0.5)):
