@@ -2,7 +2,8 @@
 
 quality classifier (documents that it rejects go), near-duplicates (five-word shingles, a similarity of at least 0.8; the
 document with the smallest id of each group stays), benchmark decontamination (hit passages go, and documents that are mostly hits), personal data (spans are
-masked), packing (a row per piece of a document). All stages but the last return the columns of ``documents``.
+masked), packing (a row per piece of a document). All stages but the last return the columns of ``documents``; further
+columns, whatever their names, go through unchanged.
 """
 
 from __future__ import annotations
@@ -18,10 +19,18 @@ from tessera.llm.queries import tokenizer_path
 LEAST_QUALITY = 0.7
 
 
+def new_name(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` has."""
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on labels of these rows, scores at least ``LEAST_QUALITY``."""
-    scored = classifier.with_scores(docs, table(spark, sf_dir, "labels"), score="_score")
-    return scored.where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    score = new_name(docs, "score")
+    scored = classifier.with_scores(docs, table(spark, sf_dir, "labels"), score=score)
+    return scored.where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     smallest digest of its text, and of repeated rows the one that is least in all columns. Different texts with one id are
     groups of their own. Rows with a null id stay, as no other row can stand for them."""
     small_batches(spark)
-    stay = near_copies.near_copies(docs).where("stays").select("doc_id", "sha").distinct()
-    named = docs.where("doc_id is not null").withColumn("sha", near_copies.text_digest()).join(stay, ["doc_id", "sha"], "left_semi")
-    one = named.groupBy("doc_id", "sha").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    sha = new_name(docs, "sha")
+    stay = near_copies.near_copies(docs.select("doc_id", "text")).where("stays").select("doc_id", F.col("sha").alias(sha)).distinct()
+    named = docs.where("doc_id is not null").withColumn(sha, near_copies.text_digest()).join(stay, ["doc_id", sha], "left_semi")
+    one = named.groupBy("doc_id", sha).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 
