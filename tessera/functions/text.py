@@ -16,9 +16,9 @@ from bisect import bisect_left, insort
 from decimal import Decimal, localcontext
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import pandas_udf, udtf
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 #: White space, characters between which a space is kept, obligation words and their classes.
@@ -271,20 +271,41 @@ def squeezed(s: str) -> str:
     return re.sub(f"(?<![{KEEP_BETWEEN}]){WS}+|{WS}+(?![{KEEP_BETWEEN}])", "", s)
 
 
-def claim_skeleton(s: str) -> str:
-    """``s`` with its dates, numbers and obligation words as typed tokens, squeezed."""
+#: No text without one of these has a date, a number or an obligation word.
+_CLAIMS = re.compile(f"[0-9{''.join(DIGITS)}{''.join(SMALL)}{''.join(c for c, _ in LARGE)}]|{'|'.join(MODALS)}")
+
+
+def protected_spans(s: str) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, token) of what a statement must keep, by kind: ``date`` with overlaps and ``number`` and
+    ``modal`` without, each in order; and ``claim``, the spans that a skeleton replaces and what stands for them. One scan
+    finds whether there is anything; most texts end there."""
+    if not _CLAIMS.search(s):
+        return []
+    found = [(m.start(), k, m.end(), _date(m.groups())) for k, form in enumerate(DATES) for m in form.finditer(s)]
     dates = Taken()
-    for form in DATES:
-        for m in form.finditer(s):
-            dates.add(*m.span(), _date(m.groups()))
+    for start, _, end, token in sorted(found, key=lambda x: (x[1], x[0])):
+        dates.add(start, end, token)
+    numbers, modals = number_spans(s), [(m.start(), m.end(), m[0]) for m in _MODAL.finditer(s)]
     marks = [(a, -b, f"<DATE:{t}> ") for a, b, t in dates.spans]
-    marks += [(a, -b, _typed(t)) for a, b, t in number_spans(s) if dates.free(a, b)]
-    marks += [(m.start(), -m.end(), f"<MODAL:{MODAL_CLASS[m[0]]}> ") for m in _MODAL.finditer(s)]
-    out, at = [], 0
+    marks += [(a, -b, _typed(t)) for a, b, t in numbers if dates.free(a, b)]
+    marks += [(a, -b, f"<MODAL:{MODAL_CLASS[t]}> ") for a, b, t in modals]
+    out = [("date", a, b, t) for a, _, b, t in sorted(found) if t]
+    out += [("number", a, b, t) for a, b, t in numbers] + [("modal", a, b, t) for a, b, t in modals]
+    at = 0
     for start, end, token in sorted(marks, key=lambda x: x[:2]):
         if start >= at:
-            out += [s[at:start], token]
+            out.append(("claim", start, -end, token))
             at = -end
+    return out
+
+
+def claim_skeleton(s: str, spans: list[tuple[str, int, int, str]] | None = None) -> str:
+    """``s`` with its dates, numbers and obligation words as typed tokens, squeezed."""
+    out, at = [], 0
+    for kind, start, end, token in protected_spans(s) if spans is None else spans:
+        if kind == "claim":
+            out += [s[at:start], token]
+            at = end
     return squeezed("".join([*out, s[at:]]))
 
 
@@ -353,9 +374,67 @@ def _each(function, kind: DataType):
 
 
 nfkc = _each(lambda s: unicodedata.normalize("NFKC", s), StringType())
-date_tokens = _each(lambda s: list(dict.fromkeys(t for _, _, t in date_spans(s))), ArrayType(StringType()))
-number_tokens = _each(lambda s: [t for _, _, t in number_spans(s)], ArrayType(StringType()))
-skeleton = _each(claim_skeleton, StringType())
+TOKEN = StructType().add("kind", StringType()).add("start", IntegerType()).add("end", IntegerType()).add("token", StringType())
+
+
+@pandas_udf(StructType().add("tokens", ArrayType(TOKEN)).add("skeleton", StringType()))
+def claims(s: pd.Series) -> pd.DataFrame:
+    """Of each text, in NFKC, its protected tokens and its skeleton; of a null both are null."""
+    tokens, skeletons = [], []
+    for x in s:
+        spans = None if x is None else protected_spans(x)
+        tokens.append(None if x is None else [dict(zip(("kind", "start", "end", "token"), t, strict=True)) for t in spans])
+        skeletons.append(None if x is None else claim_skeleton(x, spans))
+    return pd.DataFrame({"tokens": tokens, "skeleton": skeletons})
+
+
+def _of_kind(tokens: Column, kind: str) -> Column:
+    return F.transform(F.filter(tokens, lambda t: t["kind"] == kind), lambda t: t["token"])
+
+
+def dates_in(tokens: Column) -> Column:
+    """Dates among the tokens of ``claims``, each once."""
+    return F.array_distinct(_of_kind(tokens, "date"))
+
+
+def numbers_in(tokens: Column) -> Column:
+    return _of_kind(tokens, "number")
+
+
+def modals_of(tokens: Column) -> Column:
+    return _of_kind(tokens, "modal")
+
+
+def date_tokens(c) -> Column:
+    return dates_in(claims(c)["tokens"])
+
+
+def number_tokens(c) -> Column:
+    return numbers_in(claims(c)["tokens"])
+
+
+def skeleton(c) -> Column:
+    return claims(c)["skeleton"]
+
+
+@udtf(returnType=TOKEN)
+class ProtectedTokens:
+    """``protected_tokens(text)`` in SQL, for lateral use: a row per token of ``protected_spans``; of a null, none."""
+
+    def eval(self, text: str):
+        if text is not None:
+            yield from protected_spans(text)
+
+
+def register_protected_tokens(spark: SparkSession) -> None:
+    spark.udtf.register("protected_tokens", ProtectedTokens)
+
+
+def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` without the text, a row per protected token of it in NFKC: kind, start, end and token."""
+    return df.select(*(c for c in df.columns if c != text), F.inline(claims(nfkc(text))["tokens"]))
+
+
 digest = _each(fnv1a64, StringType())
 json_of = _each(first_json, StringType())
 

@@ -65,6 +65,89 @@ def replay(baseline: DataFrame, audits: DataFrame, added: DataFrame) -> DataFram
     return x.select("finding_id", F.coalesce("last_hash", "hash").alias("hash"), F.coalesce(ok, F.lit(False)).alias("chain_ok"))
 
 
+def snapshot_hash(snapshot: Column) -> Column:
+    return F.sha2(F.to_json(snapshot, {"ignoreNullFields": "false"}), 256)
+
+
+def _decision_key(action: Column, at: str) -> Column:
+    """What a decision and the audit that it belongs to have in common."""
+    held = ("finding_id", "before_hash", "after_hash", "reviewer", "reason", "before_snapshot", "after_snapshot")
+    return F.sha2(F.to_json(F.struct(action.alias("action"), F.col(at).alias("at"), *held), {"ignoreNullFields": "false"}), 256)
+
+
+def _refused(checks: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()))).alias("refused")
+
+
+AUDIT_RULES = ("known_finding", "hashes_recomputed", "something_changed", "continues", "time_not_fallen", "change_allowed", "decided_once")
+ACTION_RULES = ("id_unique", "id_recomputed", "hashes_recomputed", "added_properly", "bound_to_audit")
+
+
+def replay_snapshots(baseline: DataFrame, audits: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(states, audits, actions): a review log replayed from its snapshots, not from their hashes.
+
+    ``baseline`` has finding_id and snapshot (a struct with finding_id, claim_type, statement, review_status, source_anchors
+    and revision_records of by, at and why); ``audits`` finding_id, seq, before_hash, after_hash, before_snapshot, after_snapshot,
+    reviewer, reason and reviewed_at; ``actions`` action_id, action (add_human, confirm or soft_delete), purpose, acted_at and the same fields,
+    without a snapshot before for what a person added. Snapshots of one table have one type.
+
+    ``refused`` of each audit names the ``AUDIT_RULES`` that it breaks: its finding is in the baseline or was added; both hashes are
+    those of the snapshots, and differ; it starts from the state that the one before it left (the baseline's, or the added
+    one's); its time does not fall; nothing changed but the status to confirmed or deleted, or the statement with the status modified, and
+    one record was added, its own; a change of status alone has one decision like it. ``refused`` of each action names the ``ACTION_RULES``:
+    ids are unique and of their content, hashes those of the snapshots, a person's judgment is new, confirmed, cited and has its one
+    record, and a decision belongs to an audit. States are what the last audit left of each finding."""
+    kinds = ("confirm", "soft_delete")
+    added = actions.where("action = 'add_human'")
+    start = baseline.select("finding_id", F.col("snapshot").alias("after_snapshot"), F.lit(None).cast("string").alias("reviewed_at"))
+    start = start.unionByName(added.select("finding_id", "after_snapshot", F.col("acted_at").alias("reviewed_at")))
+    start = start.withColumns({"seq": F.lit(0).cast("long"), "_kind": F.lit(0)})
+    log = start.unionByName(audits.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    moved = scan.scanned(log, "finding_id", ["_kind", "seq"], scan.Wanted(lags={"_state": F.col("after_snapshot"), "_time": F.col("reviewed_at")}))
+    before, after = F.col("before_snapshot"), F.col("after_snapshot")
+    own = lambda at: F.struct(F.col("reviewer").alias("by"), F.col(at).alias("at"), F.col("reason").alias("why"))
+    same = before["statement"].eqNullSafe(after["statement"])
+    status_only = same & after["review_status"].isin("confirmed", "deleted")
+    status = F.when(status_only, after["review_status"]).otherwise("modified")
+    expected = before.withField("review_status", status).withField("statement", after["statement"])
+    expected = expected.withField("revision_records", F.concat(before["revision_records"], F.array(own("reviewed_at"))))
+    decision = F.when(after["review_status"] == "confirmed", "confirm").otherwise("soft_delete")
+    x = moved.where("_kind = 1").withColumn("_key", F.when(status_only, _decision_key(decision, "reviewed_at")))
+    decided = actions.where(F.col("action").isin(*kinds)).groupBy(_decision_key(F.col("action"), "acted_at").alias("_key")).agg(F.count("*").alias("_decided"))
+    x = x.join(decided, "_key", "left")
+    clock = lambda c: F.unix_micros(F.try_to_timestamp(F.col(c)))
+    checks = {
+        "known_finding": F.col("_state").isNotNull(),
+        "hashes_recomputed": (F.col("before_hash") == snapshot_hash(before)) & (F.col("after_hash") == snapshot_hash(after)),
+        "something_changed": F.col("before_hash") != F.col("after_hash"),
+        "continues": snapshot_hash(F.col("_state")) == snapshot_hash(before),
+        "time_not_fallen": F.col("_time").isNull() | (clock("reviewed_at") >= clock("_time")),
+        "change_allowed": (status_only | ~same) & (snapshot_hash(expected) == snapshot_hash(after)),
+        "decided_once": ~status_only | (F.col("_decided") == 1),
+    }
+    audited = x.select("finding_id", "seq", _refused(checks))
+    used = x.where("_key is not null").select(F.col("_key").alias("_used")).distinct()
+    known = baseline.select("finding_id").distinct().withColumn("_known", F.lit(True))
+    times = added.groupBy("finding_id").agg(F.count("*").alias("_added"))
+    y = action_ids(actions.withColumn("_told", F.col("action_id"))).withColumn("_key", _decision_key(F.col("action"), "acted_at"))
+    y = y.join(used, y["_key"] == used["_used"], "left").join(known, "finding_id", "left").join(times, "finding_id", "left")
+    y = y.join(actions.groupBy(F.col("action_id").alias("_told")).agg(F.count("*").alias("_n")), "_told", "left")
+    human = F.col("action") == "add_human"
+    proper = F.col("before_hash").isNull() & F.col("_known").isNull() & (F.col("_added") == 1) & (after["claim_type"] == "human_judgment")
+    proper &= (after["review_status"] == "confirmed") & (F.size(after["source_anchors"]) > 0) & (F.size(after["revision_records"]) == 1)
+    proper &= snapshot_hash(F.get(after["revision_records"], F.lit(0))) == snapshot_hash(own("acted_at"))
+    mine = (after["finding_id"] == F.col("finding_id")) & (human | (before["finding_id"] == F.col("finding_id")))
+    acted = {
+        "id_unique": F.col("_n") == 1,
+        "id_recomputed": F.col("action_id") == F.col("_told"),
+        "hashes_recomputed": mine & (F.col("after_hash") == snapshot_hash(after)) & (human | (F.col("before_hash") == snapshot_hash(before))),
+        "added_properly": ~human | proper,
+        "bound_to_audit": human | F.col("_used").isNotNull(),
+    }
+    states = log.groupBy("finding_id").agg(F.max_by("after_snapshot", F.struct("_kind", "seq")).alias("snapshot"))
+    return states, audited, y.select("finding_id", F.col("_told").alias("action_id"), _refused(acted))
+
+
 def apply_commands(commands: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(audit rows, rejects with a reason) of review commands (finding_id, action, new_hash, reviewer, reason, acted_at)."""
     x = commands.join(findings.select("finding_id", F.col("hash").alias("before_hash"), "review_status"), "finding_id", "left")

@@ -182,23 +182,24 @@ def claim_rules(findings: DataFrame, evidence: DataFrame) -> DataFrame:
         T.nfkc(protected).alias("c"),
         T.nfkc(F.col("evidence")).alias("e"),
     )
+    x = x.withColumns({f"{c}_claims": T.claims(c) for c in "cse"})  # each text is scanned once
     x = x.withColumns(
         {
-            "c_dates": T.date_tokens("c"),
-            "c_numbers": T.number_tokens("c"),
-            "e_dates": T.date_tokens("e"),
-            "e_numbers": T.number_tokens("e"),
-            "c_skeleton": T.skeleton("c"),
-            "s_skeleton": T.skeleton("s"),
+            "c_dates": T.dates_in(F.col("c_claims.tokens")),
+            "c_numbers": T.numbers_in(F.col("c_claims.tokens")),
+            "e_dates": T.dates_in(F.col("e_claims.tokens")),
+            "e_numbers": T.numbers_in(F.col("e_claims.tokens")),
+            "c_skeleton": F.col("c_claims.skeleton"),
+            "s_skeleton": F.col("s_claims.skeleton"),
         }
     )
     q = x.select("finding_id", F.explode_outer(F.transform("source_anchors", lambda a: a["quote"])).alias("quote"))
-    q = q.withColumn("skeletons", T.skeleton(T.nfkc("quote"))).groupBy("finding_id").agg(F.collect_list("skeletons").alias("skeletons"))
+    q = q.withColumn("skeletons", T.claims(T.nfkc("quote"))["skeleton"]).groupBy("finding_id").agg(F.collect_list("skeletons").alias("skeletons"))
     x = x.join(q, "finding_id", "left")
     within = lambda sk: F.exists("skeletons", lambda y: F.contains(y, F.col(sk)))
     claims = (F.size("c_dates") > 0) | (F.size("c_numbers") > 0)
     associated = ~claims | within("c_skeleton")
-    terms = T.modal_terms(F.col("s"))
+    terms = T.modals_of(F.col("s_claims.tokens"))
     form = F.create_map(*(F.lit(v) for kv in OFFICIAL_LABELS.items() for v in kv))[F.col("category")]
     excerpt = F.get(F.col("source_anchors"), F.lit(0))["quote"]
     modal = (
@@ -209,7 +210,7 @@ def claim_rules(findings: DataFrame, evidence: DataFrame) -> DataFrame:
         )
         .otherwise(
             (((F.size(terms) == 0) & ~claims) | within("s_skeleton"))
-            & (terms == T.modal_terms(F.col("e")))
+            & (terms == T.modals_of(F.col("e_claims.tokens")))
             & (T.single_modal_contexts(F.col("s")) == T.single_modal_contexts(F.col("e")))
         )
     )

@@ -5,6 +5,8 @@ reason in ``refused``."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,12 +66,18 @@ def lines_of_items(items: DataFrame) -> DataFrame:
 
     def assemble(frame: pd.DataFrame) -> pd.DataFrame:
         lines: list[tuple[float, list]] = []
+        heights: list[tuple[float, int]] = []  # of lines, sorted, with their numbers: more than 2 apart, so at most two are near
         for item in frame.sort_values("idx").itertuples(index=False):
-            home = next((members for y, members in lines if abs(y - item.y) <= 2), None)
-            if home is None:
-                lines.append((item.y, [item]))
-            else:
-                home.append(item)
+            near, k = [], bisect_left(heights, (item.y - 2 - abs(item.y) * 1e-12,))
+            while k < len(heights) and heights[k][0] - item.y <= 2:
+                near += [heights[k][1]] if abs(heights[k][0] - item.y) <= 2 else []
+                k += 1
+            if near:
+                lines[min(near)][1].append(item)
+                continue
+            if item.y == item.y:  # an item without a height is a line of its own
+                insort(heights, (item.y, len(lines)))
+            lines.append((item.y, [item]))
         out = []
         for k, (_, members) in enumerate(sorted(lines, key=lambda line: -line[0])):
             members = sorted(members, key=lambda i: i.x)

@@ -362,3 +362,90 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         shared.shared_dir(Session())
+
+
+def test_replay_of_snapshots(spark):
+    snap = "struct<finding_id:string,claim_type:string,statement:string,review_status:string,source_anchors:array<string>,revision_records:array<struct<by:string,at:string,why:string>>>"
+    at = lambda n: f"2026-01-{10 + n}T00:00:00Z"
+
+    def s(i, said, status, revisions, claim="fact"):
+        return (i, claim, said, status, ["a"], [(f"r{k}", t, f"w{k}") for k, t in revisions])
+
+    def audit(i, seq, before, after, time):
+        return (i, seq, before, after, f"r{seq}", f"w{seq}", time)
+
+    base, audits, actions = [], [], []
+    for i in ("good", "gap", "fell", "forged", "still", "undecided", "twice", "sneaky"):
+        base.append((i, s(i, "s0", "pending", [])))
+    one, two = [(1, at(1))], [(1, at(1)), (2, at(1))]
+
+    def regular(i):
+        """A change of the statement, then a confirmation at the same time."""
+        first, second = s(i, "s1", "modified", one), s(i, "s1", "confirmed", two)
+        audits.extend([audit(i, 1, s(i, "s0", "pending", []), first, at(1)), audit(i, 2, first, second, at(1))])
+        actions.append((f"{i}-d", "confirm", i, first, second, "r2", "w2", at(1)))
+
+    for i in ("good", "twice", "gap", "undecided", "unknown"):
+        regular(i)
+    actions.append(actions[1])
+    actions[:] = [a for a in actions if a[2] != "undecided"]
+    audits.append(audit("gap", 3, s("gap", "other", "confirmed", two), s("gap", "s3", "modified", [*two, (3, at(3))]), at(3)))
+    fell = [s("fell", "s1", "modified", one), s("fell", "s2", "modified", [(1, at(1)), (2, at(0))])]
+    audits += [audit("fell", 1, s("fell", "s0", "pending", []), fell[0], at(1)), audit("fell", 2, fell[0], fell[1], at(0))]
+    audits.append(audit("forged", 1, s("forged", "s0", "pending", []), s("forged", "s1", "modified", []), at(1)))
+    audits.append(audit("still", 1, s("still", "s0", "pending", []), s("still", "s0", "pending", []), at(1)))
+    audits.append(audit("sneaky", 1, s("sneaky", "s0", "pending", []), s("sneaky", "s1", "modified", one, "human_judgment"), at(1)))
+    added = s("human", "said", "confirmed", [(9, at(2))], "human_judgment")
+    actions.append(("human-a", "add_human", "human", None, added, "r9", "w9", at(2)))
+    lone = s("good", "s1", "deleted", two)
+    actions.append(("lone", "soft_delete", "good", s("good", "s1", "modified", one), lone, "r2", "w2", at(4)))
+    b = spark.createDataFrame(base, f"finding_id string, snapshot {snap}")
+    hashed = {"before_hash": review.snapshot_hash(F.col("before_snapshot")), "after_hash": review.snapshot_hash(F.col("after_snapshot"))}
+    hashed["before_hash"] = F.when(F.col("before_snapshot").isNotNull(), hashed["before_hash"])
+    log = spark.createDataFrame(audits, f"finding_id string, seq long, before_snapshot {snap}, after_snapshot {snap}, reviewer string, reason string, reviewed_at string").withColumns(hashed)
+    acts = spark.createDataFrame(actions, f"action_id string, action string, finding_id string, before_snapshot {snap}, after_snapshot {snap}, reviewer string, reason string, acted_at string").withColumns(hashed)
+    acts = review.action_ids(acts.withColumn("purpose", F.when(F.col("action") == "add_human", "human_review")))
+    states, audited, acted = review.replay_snapshots(b, log, acts)
+    got = {(r.finding_id, r.seq): r.refused for r in audited.collect() if r.refused}
+    assert got == {
+        ("unknown", 1): ["known_finding", "continues"],
+        ("gap", 3): ["continues"],
+        ("fell", 2): ["time_not_fallen"],
+        ("forged", 1): ["change_allowed"],
+        ("still", 1): ["something_changed", "change_allowed"],
+        ("sneaky", 1): ["change_allowed"],
+        ("undecided", 2): ["decided_once"],
+        ("twice", 2): ["decided_once"],
+    }
+    wrong = sorted((r.finding_id, tuple(r.refused)) for r in acted.collect() if r.refused)
+    assert wrong == [("good", ("bound_to_audit",)), ("twice", ("id_unique",)), ("twice", ("id_unique",))]
+    last = {r.finding_id: r.snapshot.statement for r in states.collect()}
+    assert last["good"] == "s1" and last["human"] == "said" and last["fell"] == "s2" and len(last) == 10
+    tampered = acts.withColumn("reason", F.when(F.col("finding_id") == "human", "else").otherwise(F.col("reason"))).withColumn("after_hash", F.when(F.col("finding_id") == "good", "x").otherwise(F.col("after_hash")))
+    wrong = {r.finding_id: r.refused for r in review.replay_snapshots(b, log, tampered)[2].where("finding_id in ('human', 'good')").collect()}
+    assert wrong["human"] == ["added_properly"] and {"hashes_recomputed", "id_recomputed", "bound_to_audit"} <= set(wrong["good"])
+
+
+def test_lines_of_many_items(spark):
+    import random
+
+    r = random.Random(8)
+    items = [("s", r.choice([1, 2]), k, "w", float(r.randint(0, 500)), r.choice([r.uniform(0, 300), float(r.randint(0, 100))]), 5.0, 8.0) for k in range(2000)]
+    df = spark.createDataFrame(items, "source_id string, page int, idx int, str string, x double, y double, width double, height double").repartition(3)
+    want = {}
+    for page in (1, 2):
+        lines = []
+        for i in sorted((i for i in items if i[1] == page), key=lambda i: i[2]):
+            home = next((line for line in lines if abs(line[0] - i[5]) <= 2), None)
+            if home is None:
+                lines.append(home := [i[5], 0, i[5]])
+            home[1], home[2] = home[1] + 1, min(home[2], i[5])
+        for k, line in enumerate(sorted(lines, key=lambda x: -x[0])):
+            want[page, k] = (line[1], line[2])
+    got = {(r.page, r.line): (len(r.text.replace(" ", "")), r.y) for r in ingest.lines_of_items(df).collect()}
+    assert got == want
+    import time
+
+    many = spark.range(100_000).selectExpr("'s' as source_id", "1 as page", "cast(id as int) as idx", "'w' as str", "cast(id % 7 as double) as x", "cast(hash(id) % 1000000 as double) as y", "1d as width", "1d as height")
+    start = time.time()
+    assert ingest.lines_of_items(many).count() > 10_000 and time.time() - start < 30

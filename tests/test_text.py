@@ -92,3 +92,24 @@ def test_arrow_functions(spark):
     (row,) = column(spark, ["２０２６年１月 共３项"], T.nfkc("s"), T.date_tokens(T.nfkc("s")), T.number_tokens(T.nfkc("s")), T.digest("s"), T.norm_range("s", F.lit("共3项")))
     assert row[0] == "2026年1月 共3项" and row[1] == ["2026-01", "2026"] and row[2] == ["2026年", "1月", "3项"]
     assert tuple(row[4]) == (8, 11)
+
+
+def test_protected_tokens(spark):
+    texts = ["于2026年1月1日前应当缴纳１亿元，不得少于百分之十。", "no claims", "5 and 2024-01-02, 1,000.50 元", None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    rows = T.with_tokens(df).collect()
+    shown = [(r.kind, r.token) for r in rows if r.id == 0]
+    assert shown == [("date", "2026-01-01"), ("date", "2026-01"), ("date", "2026"), ("number", "2026年"), ("number", "1月"), ("number", "1日"), ("number", "100000000元"), ("number", "0.1比例"), ("modal", "应当"), ("modal", "不得"), ("claim", "<DATE:2026-01-01> "), ("claim", "<MODAL:should> "), ("claim", "<AMOUNT:CNY:100000000> "), ("claim", "<MODAL:must_not> "), ("claim", "<RATIO:0.1> ")]
+    assert not [r for r in rows if r.id in (1, 3, 4)]
+    plain = [unicodedata.normalize("NFKC", t) for t in texts if t]
+    for s in plain:
+        for kind, start, end, token in T.protected_spans(s):
+            assert kind != "modal" or s[start:end] == token
+        assert [t for k, _, _, t in T.protected_spans(s) if k == "number"] == [t for _, _, t in T.number_spans(s)]
+        assert [t for k, _, _, t in T.protected_spans(s) if k == "date"] == [t for _, _, t in T.date_spans(s)]
+    T.register_protected_tokens(spark)
+    df.createOrReplaceTempView("claimed")
+    lateral = spark.sql("select id, kind, start, end, token from claimed, lateral protected_tokens(text) where id = 2").collect()
+    assert [tuple(r) for r in lateral] == [(2, *t) for t in T.protected_spans(texts[2])]
+    both = df.select(T.nfkc("text").alias("t")).select(T.date_tokens("t").alias("d"), T.number_tokens("t").alias("n"), T.skeleton("t").alias("s")).collect()
+    assert both[0].d == ["2026-01-01", "2026-01", "2026"] and both[1].n == [] and both[3].s is None and both[1].s == "no claims"
