@@ -15,6 +15,7 @@ import unicodedata
 from bisect import bisect_left, insort
 from decimal import Decimal, localcontext
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -332,11 +333,73 @@ def normalized_range(text: str, query: str) -> tuple[int, int] | None:
     return None if at < 0 else (places[at], places[at + len(query) - 1] + 1)
 
 
+FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+
+
+def _fnv(data: bytes, h: int = FNV_START) -> int:
+    for b in data:
+        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
 def fnv1a64(data: str) -> str:
-    h = 0xCBF29CE484222325
-    for b in data.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return f"fnv1a64:{h:016x}"
+    return f"fnv1a64:{_fnv(data.encode('utf-8', 'surrogatepass')):016x}"
+
+
+def fnv1a64_all(texts: list[str], alone: int = 16) -> list[str]:
+    """``fnv1a64`` of many texts, a byte of all of them at a time, the longest first; what is left when no more than
+    ``alone`` go on is hashed by itself."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    size = np.array([len(r) for r in raw], np.int64)
+    order = np.argsort(-size, kind="stable")
+    data, starts = np.frombuffer(b"".join(raw), np.uint8), (np.cumsum(size) - size)[order]
+    ascending, h = np.sort(size), np.full(len(raw), FNV_START, np.uint64)
+    k = 0
+    while (n := len(raw) - int(np.searchsorted(ascending, k, "right"))) > alone:
+        h[:n] = (h[:n] ^ data[starts[:n] + k]) * np.uint64(FNV_PRIME)
+        k += 1
+    for i in range(n):
+        h[i] = _fnv(raw[order[i]][k:], int(h[i]))
+    out = np.empty_like(h)
+    out[order] = h
+    return [f"fnv1a64:{x:016x}" for x in out.tolist()]
+
+
+def _number(token: str) -> str:
+    """A JSON number in one form: plain digits without needless zeros, or with an exponent where those would be many."""
+    with localcontext() as ctx:
+        ctx.prec, ctx.Emax, ctx.Emin = len(token) + 2, 999_999_999, -999_999_999
+        value = Decimal(token).normalize()
+        if not value:
+            return "0"
+        return format(value, "f") if -40 <= value.adjusted() <= 40 else str(value)
+
+
+class _Plain(str):
+    """The text of a number, as it is to be written."""
+
+
+def _shown(x) -> str:
+    if isinstance(x, _Plain):
+        return x
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{_quoted(k)}:{_shown(x[k])}" for k in sorted(x)) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(_shown, x)) + "]"
+    return _quoted(x)
+
+
+_quoted = json.JSONEncoder(ensure_ascii=False).encode
+
+
+def canonical(s: str) -> str | None:
+    """JSON in one form: keys in the order of their characters at every depth, numbers in one form, no white space, no
+    needless escapes; of a repeated key the last value counts. Null where the text is no JSON."""
+    read = lambda token: _Plain(_number(token))
+    try:
+        return _shown(json.loads(s, parse_int=read, parse_float=read, parse_constant=_no_constant))
+    except (ValueError, RecursionError):
+        return None
 
 
 def _no_constant(name: str):
@@ -435,7 +498,21 @@ def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*(c for c in df.columns if c != text), F.inline(claims(nfkc(text))["tokens"]))
 
 
-digest = _each(fnv1a64, StringType())
+canonical_json = _each(canonical, StringType())
+
+
+@pandas_udf(StringType())
+def digest(s: pd.Series) -> pd.Series:
+    there = s.notna()
+    out = pd.Series([None] * len(s), dtype=object)
+    out[there.to_numpy()] = fnv1a64_all(s[there].tolist())
+    return out
+
+
+def json_digest(c: Column | str) -> Column:
+    """SHA-256 of JSON in its one form: equal for values that differ in the order of keys, in white space or in how numbers
+    are written; null where the text is no JSON."""
+    return F.sha2(canonical_json(c), 256)
 json_of = _each(first_json, StringType())
 
 

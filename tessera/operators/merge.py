@@ -1,7 +1,7 @@
 """Findings and their parts merged by key: the first in order wins, lists are united in order of first sight.
 
-Aggregates are combined before the shuffle where Spark can; ordered lists hold one key's rows only. A key that very many
-rows share should be reduced first with ``first_of``, which keeps no lists."""
+Aggregates are combined before the shuffle where Spark can. United lists are made element by element: equal ones of a key
+meet before anything is gathered, so what a key gathers is what its result holds, however many rows share it."""
 
 from __future__ import annotations
 
@@ -28,25 +28,31 @@ def first_of(df: DataFrame, keys: list[Column], order: str = "ord") -> DataFrame
     return rows.select("r.*", "n_rows")
 
 
-def _united(column: str, order: str) -> Column:
-    """All elements of an array column, each once, by the rows' order."""
-    return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(column).alias("x")))), lambda s: s["x"])))
+def _united(rows: DataFrame, keys: list[str], column: str, order: str) -> DataFrame:
+    """(keys, column): all elements of an array column, each once, by the rows' order and their places."""
+    x = rows.select(*keys, F.col(order).alias("_o"), F.posexplode(column).alias("_p", "_x"))
+    first = x.groupBy(*keys, "_x").agg(F.min(F.struct("_o", "_p")).alias("_at"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda s: s["_x"]).alias(f"_{column}"))
 
 
 def merge_findings(findings: DataFrame, keys: list[Column] | None = None, order: str = "ord") -> DataFrame:
-    """One finding per key: the first, with the citations and parents of all, ``required_review`` if any needs it, and
-    the revision records of all, one after the other."""
+    """One finding per key: the first, with the citations and parents of all, each once, ``required_review`` if any needs
+    it, and the revision records of all, one after the other."""
     named = {f"_k{i}": k for i, k in enumerate(keys or dedup_key())}
-    revisions = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "revision_records"))), lambda s: s["revision_records"]))
-    rows = findings.withColumns(named).groupBy(*named).agg(
-        F.min_by(F.struct(*findings.columns), order).alias("r"),
-        _united("source_anchors", order).alias("_anchors"),
-        _united("inference_parents", order).alias("_parents"),
-        F.bool_or("required_review").alias("_review"),
-        revisions.alias("_revisions"),
-    )
-    new = {"source_anchors": "_anchors", "inference_parents": "_parents", "required_review": "_review", "revision_records": "_revisions"}
-    return rows.select(*(F.col(new[c]).alias(c) if c in new else F.col(f"r.{c}") for c in findings.columns))
+    x = findings.withColumns(named)
+    revisions = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("revision_records") > 0, F.struct(order, "revision_records")))), lambda s: s["revision_records"]))
+    rows = x.groupBy(*named).agg(F.min_by(F.struct(*findings.columns), order).alias("r"), F.bool_or("required_review").alias("_required_review"), revisions.alias("_revision_records"))
+    for column in ("source_anchors", "inference_parents"):
+        other = _united(x, list(named), column, order)
+        other = other.select(*(F.col(k).alias(f"_o{k}") for k in named), f"_{column}")
+        same = F.lit(True)
+        for k in named:
+            same &= F.col(k).eqNullSafe(F.col(f"_o{k}"))
+        rows = rows.join(other, same, "left").drop(*(f"_o{k}" for k in named))
+    kinds = dict(findings.dtypes)
+    own = {c: F.coalesce(f"_{c}", F.array().cast(kinds[c])) for c in ("source_anchors", "inference_parents")}
+    own |= {c: F.col(f"_{c}") for c in ("required_review", "revision_records")}
+    return rows.select(*(own.get(c, F.col(f"r.{c}")).alias(c) for c in findings.columns))
 
 
 def aliases(findings: DataFrame, keys: list[Column] | None = None, order: str = "ord") -> DataFrame:

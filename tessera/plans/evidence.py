@@ -68,7 +68,7 @@ def exact_facts(spark, d):
     t = F.col("turn")
     kind = F.when(t % 2 == 0, "regulatory_text").otherwise("official_interpretation")
     quote = F.when(t % 3 == 0, F.lit("")).otherwise(F.col("text"))
-    return talk(spark, d).select("id", produce.exact_fact(F.substring("text", 1, 20), cite(kind, quote)).alias("exact"))
+    return talk(spark, d).select("id", produce.exact_fact(F.col("text"), cite(kind, quote)).alias("exact"))
 
 
 @query("""select doc_id::varchar as source_doc, case when doc_id % 5 = 0 then 'reserved id' when doc_id % 5 = 1 then 'not a regulation' when doc_id % 5 = 2 then 'value is not quoted' end as refused from documents""")
@@ -498,10 +498,12 @@ def ground_truths(spark, d):
     return n.unionByName(bad.withColumn("n", F.lit(None).cast("long")))
 
 
-@query("""select conv_id as source_id, turn as page, text as text, (turn % 3 = 0)::bigint * 1 as n_low, trim(text) = '' as failed from conversations where not regexp_matches(text, '\\s\\s') and text = trim(text)""")
+@query(f"""with t as (select conv_id, turn, {_TRIM % "coalesce(text, '')"} as text from conversations)
+select conv_id as source_id, turn as page, text, (turn % 3 = 0)::bigint * 1 as n_low, text = '' as failed from t""")
 def recognized_pages(spark, d):
-    """Turns as recognized pages of one line; every third has one symbol of low confidence in its first word."""
-    t = table(spark, d, "conversations").where(~F.col("text").rlike(r"\s\s") & (F.col("text") == F.trim("text")))
+    """Turns as recognized pages of one line, a word for each piece between spaces; every third has one symbol of low
+    confidence in its first word."""
+    t = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     words = F.transform(F.split("text", " "), lambda w, k: F.struct(F.array(F.struct(w.alias("text"), F.when((F.col("turn") % 3 == 0) & (k == 0), 50.0).otherwise(90.0).alias("confidence"))).alias("symbols")))
     nest = lambda c, name: F.array(F.struct(c.alias(name)))
     x = t.select(F.col("conv_id").alias("source_id"), F.col("turn").alias("page"), nest(nest(nest(words, "words"), "lines"), "paragraphs").alias("blocks"))
@@ -590,10 +592,10 @@ def sources_of_chunks(spark, d):
     return chunk.source_ids(x, "conv_id").select("conv_id", F.array_join("source_ids", ",").alias("roles"))
 
 
-@query("""with s as (select conv_id, text from conversations where turn % 2 = 0 union select conv_id, substr(text, 1, 9) from conversations where turn = 1) select conv_id as chunk_id, text from s""")
+@query("""with s as (select conv_id, text from conversations where turn % 2 = 0 union select conv_id, text from conversations where turn = 1) select conv_id as chunk_id, text from s""")
 def scope_texts(spark, d):
     t = table(spark, d, "conversations").select(F.col("conv_id").alias("chunk_id"), "turn", "text")
-    return chunk.scope_texts(t.where("turn % 2 = 0"), t.where("turn = 1").select("chunk_id", F.substring("text", 1, 9).alias("quote")))
+    return chunk.scope_texts(t.where("turn % 2 = 0"), t.where("turn = 1").select("chunk_id", F.col("text").alias("quote")))
 
 
 @query("select conv_id as finding_id from conversations group by conv_id having bool_and(turn % 6 <> 5)")

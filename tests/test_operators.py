@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import attest, chunk, evaluate, locate, merge, report, review, rules
 from tessera.plans import queries
-from tessera.sources import ingest, sinks
+from tessera.sources import exchange, ingest, sinks
 
 ANCHOR = "struct<source_id:string,source_type:string,page:int,article:string,paragraph_index:int,quote:string>"
 FINDING = (
@@ -449,3 +449,53 @@ def test_lines_of_many_items(spark):
     many = spark.range(100_000).selectExpr("'s' as source_id", "1 as page", "cast(id as int) as idx", "'w' as str", "cast(id % 7 as double) as x", "cast(hash(id) % 1000000 as double) as y", "1d as width", "1d as height")
     start = time.time()
     assert ingest.lines_of_items(many).count() > 10_000 and time.time() - start < 30
+
+
+def test_merged_findings_unite_lists_in_order(spark):
+    a = "array<struct<source_id:string,quote:string>>"
+    rows = [
+        ("f2", "fact", "c", "Said", 2, [("s", "b"), ("s", "a")], ["p2"], False, ["r2"]),
+        ("f1", "fact", "c", " Said ", 1, [("s", "a"), (None, "n"), ("s", "a")], ["p1", "p2"], False, ["r1", "r1"]),
+        ("f3", "fact", "c", "Ｓaid", 3, [], [], True, []),
+        ("f4", "fact", "c", "else", 4, [], [], False, []),
+        ("f5", None, "c", "else", 5, [("t", "q")], [], False, []),
+    ]
+    df = spark.createDataFrame(rows, f"finding_id string, claim_type string, category string, statement string, ord int, source_anchors {a}, inference_parents array<string>, required_review boolean, revision_records array<string>").repartition(3)
+    out = merge.merge_findings(df)
+    assert out.columns == df.columns
+    got = {r.finding_id: r for r in out.collect()}
+    assert set(got) == {"f1", "f4", "f5"}
+    assert [tuple(x) for x in got["f1"].source_anchors] == [("s", "a"), (None, "n"), ("s", "b")]
+    assert got["f1"].inference_parents == ["p1", "p2"] and got["f1"].required_review and got["f1"].revision_records == ["r1", "r1", "r2"]
+    assert got["f4"].source_anchors == [] == got["f4"].revision_records and [tuple(x) for x in got["f5"].source_anchors] == [("t", "q")]
+    assert merge.merge_findings(df.limit(0)).count() == 0
+
+
+def test_strict_imports(spark):
+    from pyspark.sql.types import ArrayType, StructType
+
+    item = StructType().add("a", "long").add("b", ArrayType(StructType().add("c", "double")))
+    kind = StructType().add("id", "string").add("items", ArrayType(item)).add("note", "string")
+    held = [("p1", [(1, [(1.0, "x"), (2.5, "x")], "x")], None, "x"), ("p2", [], "n", "x"), ("p3", None, "n", "x")]
+    rows = spark.createDataFrame(held, "id string, items array<struct<a:long,b:array<struct<c:double,token:string>>,token:string>>, note string, token string")
+    told = [r.value for r in exchange.envelopes(rows, kind, name="session-backup").collect()]
+    assert not [t for t in told if "token" in t or "x" in t]
+    lines = [
+        *told, "", "[1]", '"x"', told[0].replace('"version":1', '"version":2'), told[0].replace('"version":1,', ""), told[0].replace("session-backup", "other"),
+        told[0].replace('"kind"', '"more":1,"kind"'), told[0].replace('"c":1.0', '"c":1.0,"d":2'), told[0].replace('"note":null', '"note":null,"n":1'), told[0].replace(',"note":null', ""),
+        told[0].replace('"a":1', '"a":"one"'), told[0].replace('"p1"', "null"), told[1], told[0].replace("p1", "old"), told[1].replace("p2", "p4").replace(",", " , "),
+    ]
+    df = spark.createDataFrame(list(enumerate(lines)), "ord long, value string").repartition(3)
+    old = spark.createDataFrame([("old",)], "id string")
+    good, bad = exchange.admit(df, kind, old, "id", name="session-backup")
+    assert {r.ord: r.id for r in good.collect()} == {0: "p1", 1: "p2", 2: "p3", len(lines) - 1: "p4"}
+    assert [r.why for r in bad.orderBy("ord").collect()] == ["not JSON", "not an object", "not an object", "another version", "another version", "another envelope", "another envelope", "another payload", "another payload", "another payload", "another payload", "another payload", "known id", "known id"]
+    got = good.where("ord = 0").first()
+    assert [tuple(x.b[1]) for x in got["items"]] == [(2.5,)] and good.where("ord = 2").first()["items"] is None
+
+
+def test_lists_bear_with_broken_payloads(spark):
+    payloads = ['{"project":{"projectName":"n","workflowStep":"s","findings":[1,2]}}', "{", "null", "{}", '{"project":[]}', '{"project":{"findings":"x","projectName":null}}', None, '{"project":{}}']
+    rows = [(f"p{k}", 2, f"t{k}", p) for k, p in enumerate(payloads)] + [("p0", 1, "t99", "{"), ("p7", 3, "t0", "{")]
+    got = exchange.listed(spark.createDataFrame(rows, "project_id string, revision int, updated_at string, payload string")).collect()
+    assert [tuple(r) for r in got] == [("p5", "p5", "unknown", 2, "t5", 0), ("p0", "n", "s", 2, "t0", 2)]

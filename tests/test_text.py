@@ -113,3 +113,22 @@ def test_protected_tokens(spark):
     assert [tuple(r) for r in lateral] == [(2, *t) for t in T.protected_spans(texts[2])]
     both = df.select(T.nfkc("text").alias("t")).select(T.date_tokens("t").alias("d"), T.number_tokens("t").alias("n"), T.skeleton("t").alias("s")).collect()
     assert both[0].d == ["2026-01-01", "2026-01", "2026"] and both[1].n == [] and both[3].s is None and both[1].s == "no claims"
+
+
+def test_digests_of_many():
+    r = random.Random(9)
+    texts = ["", "hello", "é😀", "x" * 3000, *("".join(r.choice("abé😀 ") for _ in range(r.randint(0, 60))) for _ in range(300))]
+    for alone in (0, 16, 10**6):
+        assert T.fnv1a64_all(texts, alone) == [T.fnv1a64(t) for t in texts]
+    assert T.fnv1a64_all([]) == [] and T.fnv1a64_all(['"hello"']) == ["fnv1a64:dcdd4ba1ec7623eb"]
+
+
+def test_canonical_json(spark):
+    one = '{"a":{"k":[1,{"p":"é","q":null}],"x":100},"b":-0.5}'
+    same = [one, ' { "b" : -5e-1, "a": {"x": 1E2, "k":[1.0,{"q":null,"p":"\\u00e9"}]} } ', '{"b":-0.50,"b":-0.500,"a":{"x":100.000,"k":[1,{"q":null,"p":"é"}]}}']
+    assert {T.canonical(s) for s in same} == {one}
+    assert T.canonical("1e500") == "1E+500" and T.canonical("-0.0") == "0" and T.canonical("9" * 30 + ".10") == "9" * 30 + ".1"
+    assert T.canonical("[NaN]") is T.canonical("{") is T.canonical("") is None and T.canonical("[" * 100_000) is None
+    assert T.canonical('{"b":1,"a":{"d":[],"c":{}}}') == '{"a":{"c":{},"d":[]},"b":1}' and T.canonical('"x"') == '"x"'
+    got = spark.createDataFrame([(s,) for s in [*same, None, "{"]], "s string").select(T.json_digest("s").alias("h"), T.digest("s").alias("f")).collect()
+    assert len({r.h for r in got[:3]}) == 1 and got[0].h and got[3].h is got[3].f is got[4].h is None and got[4].f == T.fnv1a64("{")
