@@ -8,8 +8,8 @@ with a chance of (1 - 0.8^5)^24, or 0.00007. Whoever meets is compared by the se
 Equal sets are one node before anything meets. In each bucket all nodes are compared with one leader, which makes one
 component of most groups of copies for rows in proportion to their size. Crowded buckets that still hold several components
 then take as leader the node whose shingles most of the others have. Last, nodes in different components are compared: in buckets of at most
-``CROWDED`` nodes all pairs, and the nodes of crowded ones where their sets share one of their rarest shingles, which all
-of the wanted similarity do. Pairs within one component cannot change it. Nothing is capped.
+``CROWDED`` nodes all pairs, and the nodes of crowded ones where their sets share one of their rarest shingles and their
+sketches are near, as those of all of the wanted similarity are. Pairs within one component cannot change it. Nothing is capped.
 
 Defined results: a null or empty text, or one without words, has the empty set, which equals only itself; texts of fewer
 words than a shingle are one shingle; a very long text costs time and memory in proportion to its words; rows with a null
@@ -30,6 +30,8 @@ from .simhash import SLICE, links, majorities, text_hashes
 
 BANDS, ROWS = 24, 5
 CROWDED = 64
+#: Words of 64 bits in a sketch of a set.
+SKETCH = 8
 #: Of each hash function what is added, and its odd factor.
 _random = np.random.default_rng(7)
 ADDED, FACTORS = (_random.integers(0, 2**64, BANDS * ROWS, np.uint64, endpoint=False) for _ in range(2))
@@ -53,34 +55,64 @@ def text_digest() -> Column:
     return F.unhex(F.sha2(text_of(), 256))
 
 
-def shingle_sets(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
-    """(doc_id, sha, node, fp, keys, hashes) of each row of ``docs`` (doc_id, text): the digest of its text, a digest of
-    its set of shingles, their SimHash fingerprint, the keys of its bands, and the set."""
+def _sliced(batch, words: int, seed: int):
+    """(first row, lists of shingle hashes, sets of them) of slices of a batch's texts."""
+    lists, first, n = [], 0, 0
+    for k, t in enumerate(batch.column("text")):
+        lists.append(text_hashes(t.as_py(), words, seed))
+        n += len(lists[-1])
+        if n > SLICE or k + 1 == len(batch):
+            yield first, lists, [np.unique(np.array(x, np.uint64)) for x in lists]
+            lists, first, n = [], k + 1, 0
+
+
+def _nodes(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+
+
+def shingle_keys(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
+    """(doc_id, sha, node, fp, keys) of each row of ``docs`` (doc_id, text): the digest of its text, a digest of its set of
+    shingles, their SimHash fingerprint, and the keys of its bands."""
 
     def rows(batches):
         for batch in batches:
-            lists, first, n = [], 0, 0
-            for k, t in enumerate(batch.column("text")):
-                lists.append(text_hashes(t.as_py(), words, seed))
-                n += len(lists[-1])
-                if n > SLICE or k + 1 == len(batch):
-                    held = [np.unique(np.array(x, np.uint64)) for x in lists]
-                    some = [x for x in held if len(x)]
-                    found = iter(band_keys(some) if some else [])
-                    columns = [
-                        batch.column("doc_id").slice(first, len(held)),
-                        batch.column("sha").slice(first, len(held)),
-                        pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in held], pa.binary()),
-                        pa.array(majorities(lists)),
-                        pa.array([next(found) if len(x) else [] for x in held], pa.list_(pa.int64())),
-                        pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64())),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "node", "fp", "keys", "hashes"])
-                    lists, first, n = [], k + 1, 0
+            for first, lists, held in _sliced(batch, words, seed):
+                some = [x for x in held if len(x)]
+                found = iter(band_keys(some) if some else [])
+                columns = [
+                    batch.column("doc_id").slice(first, len(held)),
+                    batch.column("sha").slice(first, len(held)),
+                    _nodes(held),
+                    pa.array(majorities(lists)),
+                    pa.array([next(found) if len(x) else [] for x in held], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "node", "fp", "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
     source = docs.select("doc_id", text_digest().alias("sha"), "text")
-    return source.mapInArrow(rows, f"doc_id {kind}, sha binary, node binary, fp long, keys array<long>, hashes array<long>")
+    return source.mapInArrow(rows, f"doc_id {kind}, sha binary, node binary, fp long, keys array<long>")
+
+
+def sketch(x: np.ndarray) -> np.ndarray:
+    """``SKETCH`` words of bits, each the parity of the shingles that fall on it. Two sketches differ in at most as many bits
+    as shingles are in one of the sets alone."""
+    odd = np.bincount((x % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def shingle_sets(docs: DataFrame, words: int, chosen: DataFrame, seed: int = 42) -> DataFrame:
+    """(node, hashes, bits) of the texts whose digests ``chosen`` (sha) has: their sets of shingles and the sets' sketches.
+    Sets are made again from the texts and not kept from the search for candidates: they are larger than the texts."""
+
+    def rows(batches):
+        for batch in batches:
+            for _, _, held in _sliced(batch, words, seed):
+                sets = pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))
+                bits = pa.array([sketch(x) for x in held], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([_nodes(held), sets, bits], ["node", "hashes", "bits"])
+
+    texts = docs.select(text_digest().alias("sha"), text_of().alias("text")).groupBy("sha").agg(F.first("text").alias("text"))
+    return texts.join(chosen, "sha", "left_semi").mapInArrow(rows, "node binary, hashes array<long>, bits array<long>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, fifths: int) -> DataFrame:
@@ -118,18 +150,23 @@ def shared_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return written(rare.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("hs")), "shared")
 
 
-def prefix_pairs(nodes: DataFrame, shared: DataFrame, fifths: int) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, shared: DataFrame, sets: DataFrame, fifths: int) -> DataFrame:
     """Pairs (a, b, a_root, b_root) of ``nodes`` (node, root) with different roots, among them all of a similarity of at
     least ``fifths`` / 5: of two such sets, both sorted from the rarest shingle on, the first ones have one in common, as many as a set can
-    lack and one more; and from the first one in common on both have enough left. A shingle that no other of the nodes has
-    joins nothing, so it is only counted."""
+    lack and one more; from the first one in common on both have enough left; and their sketches differ in no more bits than
+    the sets may differ in shingles, which few others pass. A shingle that no other of the nodes has joins nothing, so it is
+    only counted."""
     most = (F.col("size") - F.ceil(F.col("size") * fifths / 5) + 1).cast("int")
     alone = F.col("size") - F.size("hs")
     parts = F.posexplode(F.slice("hs", F.lit(1), most - alone)["h"]).alias("at", "h")
-    prefix = shared.join(nodes, "node").where(most > alone).select("node", "root", "size", alone.alias("alone"), parts)
-    prefix = written(prefix.select("h", "node", "root", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
-    of = lambda c: prefix.select("h", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "root", "size", "left")))
+    words = [f"bits_{k}" for k in range(SKETCH)]
+    sketches = sets.select("node", *(F.col("bits")[k].alias(w) for k, w in enumerate(words)))
+    prefix = shared.join(nodes, "node").join(sketches, "node").where(most > alone).select("node", "root", "size", *words, alone.alias("alone"), parts)
+    prefix = written(prefix.select("h", "node", "root", "size", *words, (F.col("size") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
+    of = lambda c: prefix.select("h", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "root", "size", "left", *words)))
     near = (5 + fifths) * F.least("x_left", "y_left") >= fifths * (F.col("x_size") + F.col("y_size"))
+    apart = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in words), F.lit(0))
+    near &= (5 + fifths) * apart <= (5 - fifths) * (F.col("x_size") + F.col("y_size"))
     near &= (F.col("x_root") != F.col("y_root")) & (F.col("x_node") > F.col("y_node"))
     columns = zip(("x_node", "y_node", "x_root", "y_root"), PAIR, strict=True)
     return of("x").join(of("y"), "h").where(near).select(*(F.col(x).alias(c) for x, c in columns)).distinct()
@@ -140,9 +177,9 @@ def near_copies(docs: DataFrame, words: int = 5, fifths: int = 4) -> DataFrame:
     links, its own included, and whether the row stands for its component: of the rows with that id those with the
     smallest digest. Texts link if their sets of shingles of ``words`` words have a similarity of at least ``fifths`` / 5.
     Components of different texts with one id have the same component_id, and each has a row that stays."""
-    rows = written(shingle_sets(docs, words), "sets")
+    rows = written(shingle_keys(docs, words), "keys")
     known = rows.groupBy("node").agg(
-        F.min("fp").alias("fp"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "sha"))).alias("first"), F.count("*").alias("n")
+        F.min("fp").alias("fp"), F.min("sha").alias("sha"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "sha"))).alias("first"), F.count("*").alias("n")
     )
     known = written(known, "known")
     members = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key")).distinct()
@@ -151,7 +188,7 @@ def near_copies(docs: DataFrame, words: int = 5, fifths: int = 4) -> DataFrame:
     shared = written(members.join(sizes, "key"), "buckets")
     seeds = written(simhash_pairs(known.select("node", "fp")), "seeds")
     met = shared.select("node").union(seeds.select("a")).union(seeds.select("b")).distinct()
-    sets = written(rows.select("node", "hashes").join(met, "node", "left_semi").dropDuplicates(["node"]), "met")
+    sets = written(shingle_sets(docs, words, known.join(met, "node").select("sha")), "met")
 
     def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
         """``roots`` (node, root) once the alike ones of ``pairs`` are links: components of the roots, not of all nodes."""
@@ -183,8 +220,8 @@ def near_copies(docs: DataFrame, words: int = 5, fifths: int = 4) -> DataFrame:
     few = still.where(F.col("n") <= CROWDED)
     a, b = (few.select("key", F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
     rest = a.join(b, "key").where("a_root <> b_root and a > b").select(*PAIR)
-    roots = joined(roots, rest.union(prefix_pairs(crowd().select("node", "root").distinct(), shingles, fifths)))
-    linked = written(roots.join(known.drop("n"), "node"), "linked")
+    roots = joined(roots, rest.union(prefix_pairs(crowd().select("node", "root").distinct(), shingles, sets, fifths)))
+    linked = written(roots.join(known.drop("n", "sha"), "node"), "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     classes = linked.join(least, "root").select("node", "least")
     named = written(known.join(classes, "node", "left").select("node", "n", F.coalesce("least", "first").alias("of")), "named")

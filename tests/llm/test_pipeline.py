@@ -1,13 +1,16 @@
 """The classifier's accuracy on held-out labels, and the pipeline's stages on planted cases."""
 
+import itertools
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import classifier
+from tessera.llm import classifier, near_copies
+from tessera.llm.common import written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -116,3 +119,30 @@ def test_near_copies_with_changed_words(spark, monkeypatch):
     table = spark.createDataFrame([(i, " ".join(t), "xx", "s", 0) for i, t in docs], DOCS).repartition(3)
     kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, table, "").collect()}
     assert kept == {i for i in root if find(i) == i}
+
+
+def test_sketches_differ_in_no_more_than_the_sets():
+    r = np.random.default_rng(2)
+    for n in (0, 5, 140, 3000):
+        x, y = (np.unique(r.integers(0, 2**64, n, np.uint64)) for _ in range(2))
+        y = np.unique(np.concatenate([x[: n * 9 // 10], y[: n // 10]]))
+        apart = int(np.bitwise_count((near_copies.sketch(x) ^ near_copies.sketch(y)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(x, y)) and near_copies.sketch(x).shape == (near_copies.SKETCH,)
+
+
+def test_candidates_of_templated_texts(spark):
+    """Texts of one template share most words, but none two are alike: hardly any pair is a candidate."""
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(4000)]
+    common = [r.choice(words) for _ in range(140)]
+    sentences = [[r.choice(words) for _ in range(14)] for _ in range(50)]
+    texts = [" ".join(common + [w for s in r.sample(sentences, 6) for w in s]) for _ in range(600)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(600, texts[0] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen = docs.select(near_copies.text_digest().alias("sha")).distinct()
+    sets = written(near_copies.shingle_sets(docs, 5, chosen), "sets")
+    nodes = sets.select("node", F.col("node").alias("root"))
+    pairs = near_copies.prefix_pairs(nodes, near_copies.shared_shingles(nodes.select("node"), sets), sets, 4).count()
+    held = {x.node: set(x.hashes) for x in sets.collect()}
+    like = sum(len(a & b) >= 0.8 * len(a | b) for a, b in itertools.combinations(held.values(), 2))
+    assert 1 <= like <= pairs <= like + 60
