@@ -5,6 +5,8 @@ meet before anything is gathered, so what a key gathers is what its result holds
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,14 @@ def _united(rows: DataFrame, keys: list[str], column: str, order: str) -> DataFr
     return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda s: s["_x"]).alias(f"_{column}"))
 
 
+def _with_united(one: DataFrame, rows: DataFrame, keys: list[str], column: str, order: str) -> DataFrame:
+    """``one``, a row per key, with ``_column``: the elements that the key's ``rows`` hold, an empty list if there are none."""
+    other = _united(rows, keys, column, order).select(*(F.col(k).alias(f"_o{k}") for k in keys), F.col(f"_{column}").alias("_found"))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_o{k}")) for k in keys))
+    none = F.array().cast(dict(rows.dtypes)[column])
+    return one.join(other, same, "left").withColumn(f"_{column}", F.coalesce("_found", none)).drop("_found", *(f"_o{k}" for k in keys))
+
+
 def merge_findings(findings: DataFrame, keys: list[Column] | None = None, order: str = "ord") -> DataFrame:
     """One finding per key: the first, with the citations and parents of all, each once, ``required_review`` if any needs
     it, and the revision records of all, one after the other."""
@@ -42,16 +52,10 @@ def merge_findings(findings: DataFrame, keys: list[Column] | None = None, order:
     x = findings.withColumns(named)
     revisions = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("revision_records") > 0, F.struct(order, "revision_records")))), lambda s: s["revision_records"]))
     rows = x.groupBy(*named).agg(F.min_by(F.struct(*findings.columns), order).alias("r"), F.bool_or("required_review").alias("_required_review"), revisions.alias("_revision_records"))
-    for column in ("source_anchors", "inference_parents"):
-        other = _united(x, list(named), column, order)
-        other = other.select(*(F.col(k).alias(f"_o{k}") for k in named), f"_{column}")
-        same = F.lit(True)
-        for k in named:
-            same &= F.col(k).eqNullSafe(F.col(f"_o{k}"))
-        rows = rows.join(other, same, "left").drop(*(f"_o{k}" for k in named))
-    kinds = dict(findings.dtypes)
-    own = {c: F.coalesce(f"_{c}", F.array().cast(kinds[c])) for c in ("source_anchors", "inference_parents")}
-    own |= {c: F.col(f"_{c}") for c in ("required_review", "revision_records")}
+    united = ("source_anchors", "inference_parents")
+    for column in united:
+        rows = _with_united(rows, x, list(named), column, order)
+    own = {c: F.col(f"_{c}") for c in (*united, "required_review", "revision_records")}
     return rows.select(*(own.get(c, F.col(f"r.{c}")).alias(c) for c in findings.columns))
 
 
@@ -83,13 +87,14 @@ def merge_requirements(requirements: DataFrame, alias: DataFrame, order: str = "
     structures differ."""
     x = requirements.join(alias.select("finding_id", "canonical_id"), "finding_id", "left")
     x = x.withColumn("finding_id", F.coalesce("canonical_id", "finding_id")).drop("canonical_id")
-    return x.groupBy("finding_id").agg(
+    one = x.groupBy("finding_id").agg(
         F.min_by("requirement_id", order).alias("requirement_id"),
         F.min("confidence").alias("confidence"),
         F.bool_or("manual_verification_required").alias("manual_verification_required"),
-        _united("source_anchors", order).alias("source_anchors"),
         (F.count_distinct(signature()) > 1).alias("conflict"),
     )
+    both = _with_united(one, x, ["finding_id"], "source_anchors", order).withColumnRenamed("_source_anchors", "source_anchors")
+    return both.select("finding_id", "requirement_id", "confidence", "manual_verification_required", "source_anchors", "conflict")
 
 
 def merge_relationships(relationships: DataFrame, alias: DataFrame) -> DataFrame:
