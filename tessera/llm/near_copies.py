@@ -30,6 +30,8 @@ from .simhash import SLICE, links, majorities, text_hashes
 
 BANDS, ROWS = 24, 5
 CROWDED = 64
+#: Shingles of a crowd whose counts come to the driver, at most.
+FREQUENT = 100_000
 #: Words of 64 bits in a sketch of a set.
 SKETCH = 8
 #: Of each hash function what is added, and its odd factor.
@@ -140,29 +142,64 @@ def simhash_pairs(nodes: DataFrame, radius: int = 2) -> DataFrame:
     return same.union(near.select(*_ordered("at_a", "at_b"))).distinct()
 
 
-def shared_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, size, hs) of ``nodes`` (node): the size of its set, and (c, h) of its shingles that c > 1 of the nodes have,
-    the rarest first."""
-    x = written(sets.join(nodes, "node"), "crowd")
-    each = x.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
-    seen = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").withColumn("c", F.col("n"))
-    rare = join_counted(each, written(seen, "shingles"), "h").where("c is not null")
-    return written(rare.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("hs")), "shared")
+def frequent(crowd: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles of ``crowd`` (node, hashes) that more than a ``FREQUENT``-th of all its shingles are, so
+    no more than ``FREQUENT`` of them, sorted by hash."""
+    total = crowd.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    counted = crowd.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    found = counted.where(F.col("n") > max(1, total // FREQUENT)).collect()
+    hashes, counts = np.array([r.h for r in found], np.int64), np.array([r.n for r in found], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
 
 
-def prefix_pairs(nodes: DataFrame, shared: DataFrame, sets: DataFrame, fifths: int) -> DataFrame:
+def _counts(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each shingle how often it is counted among the common ones, 0 if it is none."""
+    known, counts = common
+    if not len(known):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, counts[at], 0)
+
+
+def centrality(crowd: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(node, central): the mean count of a node's shingles, higher where more of the others have them."""
+
+    def rows(batches):
+        for batch in batches:
+            found = [float(_counts(np.array(x.values), common).mean()) if len(x.values) else 0.0 for x in batch.column("hashes")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.float64())], ["node", "central"])
+
+    return crowd.select("node", "hashes").mapInArrow(rows, "node binary, central double")
+
+
+def prefix_pairs(nodes: DataFrame, crowd: DataFrame, common: tuple[np.ndarray, np.ndarray], fifths: int) -> DataFrame:
     """Pairs (a, b, a_root, b_root) of ``nodes`` (node, root) with different roots, among them all of a similarity of at
-    least ``fifths`` / 5: of two such sets, both sorted from the rarest shingle on, the first ones have one in common, as many as a set can
-    lack and one more; from the first one in common on both have enough left; and their sketches differ in no more bits than
-    the sets may differ in shingles, which few others pass. A shingle that no other of the nodes has joins nothing, so it is
-    only counted."""
-    most = (F.col("size") - F.ceil(F.col("size") * fifths / 5) + 1).cast("int")
-    alone = F.col("size") - F.size("hs")
-    parts = F.posexplode(F.slice("hs", F.lit(1), most - alone)["h"]).alias("at", "h")
+    least ``fifths`` / 5; ``crowd`` has their sets and sketches. Of two such sets, both sorted from the rarest shingle on (those that are
+    not common first, by hash), the first ones have one in common, as many as a set can lack and one more; from the first one in
+    common on both have enough left; and their sketches differ in no more bits than the sets may differ in shingles, which few
+    others pass."""
     words = [f"bits_{k}" for k in range(SKETCH)]
-    sketches = sets.select("node", *(F.col("bits")[k].alias(w) for k, w in enumerate(words)))
-    prefix = shared.join(nodes, "node").join(sketches, "node").where(most > alone).select("node", "root", "size", *words, alone.alias("alone"), parts)
-    prefix = written(prefix.select("h", "node", "root", "size", *words, (F.col("size") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
+
+    def rows(batches):
+        names = ["h", "node", "root", "size", "left"]
+        for batch in batches:
+            owner, h, size, left = [], [], [], []
+            for k, x in enumerate(batch.column("hashes")):
+                held = np.array(x.values)
+                most = len(held) - -(-len(held) * fifths // 5) + 1
+                order = np.lexsort((held, _counts(held, common)))[:most]
+                owner.append(np.full(len(order), k))
+                h.append(held[order])
+                size.append(np.full(len(order), len(held)))
+                left.append(len(held) - np.arange(len(order)))
+            at = pa.array(np.concatenate(owner or [np.zeros(0, np.int64)]).astype(np.int64))
+            flat = [pa.array(np.concatenate(c or [np.zeros(0, np.int64)]).astype(np.int64)) for c in (h, size, left)]
+            yield pa.RecordBatch.from_arrays([flat[0], *(batch.column(c).take(at) for c in ("node", "root")), *flat[1:], *(batch.column(w).take(at) for w in words)], names + words)
+
+    sketched = crowd.join(nodes, "node").select("node", "root", "hashes", *(F.col("bits")[k].alias(w) for k, w in enumerate(words)))
+    schema = "h long, node binary, root binary, size long, left long, " + ", ".join(f"{w} long" for w in words)
+    prefix = written(sketched.mapInArrow(rows, schema), "prefixes")
     of = lambda c: prefix.select("h", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "root", "size", "left", *words)))
     near = (5 + fifths) * F.least("x_left", "y_left") >= fifths * (F.col("x_size") + F.col("y_size"))
     apart = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in words), F.lit(0))
@@ -212,15 +249,15 @@ def near_copies(docs: DataFrame, words: int = 5, fifths: int = 4) -> DataFrame:
     roots = joined(alone, led.union(seeds.select("a", "b", "a", "b")))
     still = several(roots)
     crowd = lambda: still.where(F.col("n") > CROWDED)
-    shingles = shared_shingles(crowd().select("node").distinct(), sets)
-    central = shingles.select("node", (F.aggregate("hs", F.lit(0).cast("double"), lambda a, x: a + x["c"]) / F.col("size")).alias("central"))
-    central = written(central, "central")
+    crowded = written(sets.join(crowd().select("node").distinct(), "node"), "crowd")
+    common = frequent(crowded)
+    central = written(centrality(crowded, common), "central")
     roots = joined(roots, to_leaders(crowd().join(central, "node", "left"), F.col("central")))
     still = several(roots)
     few = still.where(F.col("n") <= CROWDED)
     a, b = (few.select("key", F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
     rest = a.join(b, "key").where("a_root <> b_root and a > b").select(*PAIR)
-    roots = joined(roots, rest.union(prefix_pairs(crowd().select("node", "root").distinct(), shingles, sets, fifths)))
+    roots = joined(roots, rest.union(prefix_pairs(crowd().select("node", "root").distinct(), crowded, common, fifths)))
     linked = written(roots.join(known.drop("n", "sha"), "node"), "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     classes = linked.join(least, "root").select("node", "least")

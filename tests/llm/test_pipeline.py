@@ -142,7 +142,7 @@ def test_candidates_of_templated_texts(spark):
     chosen = docs.select(near_copies.text_digest().alias("sha")).distinct()
     sets = written(near_copies.shingle_sets(docs, 5, chosen), "sets")
     nodes = sets.select("node", F.col("node").alias("root"))
-    pairs = near_copies.prefix_pairs(nodes, near_copies.shared_shingles(nodes.select("node"), sets), sets, 4).count()
+    pairs = near_copies.prefix_pairs(nodes, sets, near_copies.frequent(sets), 4).count()
     held = {x.node: set(x.hashes) for x in sets.collect()}
     like = sum(len(a & b) >= 0.8 * len(a | b) for a, b in itertools.combinations(held.values(), 2))
     assert 1 <= like <= pairs <= like + 60
