@@ -143,10 +143,17 @@ def simhash_pairs(nodes: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def frequent(crowd: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of shingles of ``crowd`` (node, hashes) that more than a ``FREQUENT``-th of all its shingles are, so
-    no more than ``FREQUENT`` of them, sorted by hash."""
+    """(hashes, counts) of shingles of ``crowd`` (node, hashes) that are more than a ``FREQUENT``-th of all its shingles, so
+    no more than ``FREQUENT`` of them, sorted by hash. Tasks count their batches first, and a shingle that a batch holds once is not
+    counted there: counts only order shingles, and any order finds the same pairs."""
+
+    def rows(batches):
+        for batch in batches:
+            held, n = np.unique(batch.column("hashes").flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(held[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
+
     total = crowd.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    counted = crowd.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    counted = crowd.select("hashes").mapInArrow(rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     found = counted.where(F.col("n") > max(1, total // FREQUENT)).collect()
     hashes, counts = np.array([r.h for r in found], np.int64), np.array([r.n for r in found], np.int64)
     order = np.argsort(hashes)
