@@ -426,6 +426,26 @@ def test_replay_of_snapshots(spark):
     assert wrong["human"] == ["added_properly"] and {"hashes_recomputed", "id_recomputed", "bound_to_audit"} <= set(wrong["good"])
 
 
+def test_audits_without_a_decision_spread_over_tasks(spark):
+    """Audits that change the statement have no decision to meet, and must not all be dealt to the task of the null key."""
+    snap = "struct<finding_id:string,claim_type:string,statement:string,review_status:string,source_anchors:array<string>,revision_records:array<struct<by:string,at:string,why:string>>>"
+    state = lambda said: F.struct(F.col("id").cast("string"), F.lit("fact"), F.lit(said), F.lit("modified"), F.array(F.lit("a")), F.array()).cast(snap)
+    rows = spark.range(2000).select("id", state("s0").alias("before_snapshot"), state("s1").alias("after_snapshot"))
+    log = rows.select(F.col("id").cast("string").alias("finding_id"), F.lit(1).cast("long").alias("seq"), "before_snapshot", "after_snapshot", F.lit("r").alias("reviewer"), F.lit("w").alias("reason"), F.lit("2026-01-01T00:00:00Z").alias("reviewed_at"), F.lit("x").alias("before_hash"), F.lit("y").alias("after_hash"))
+    acts = log.where("finding_id = '7'").withColumnRenamed("reviewed_at", "acted_at").withColumns({"action_id": F.lit(""), "action": F.lit("confirm"), "purpose": F.lit("")})
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        audited = review.replay_snapshots(rows.select(F.col("id").cast("string").alias("finding_id"), F.col("before_snapshot").alias("snapshot")), log, acts)[1]
+        sizes = [r["n"] for r in audited.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum(F.size("refused"))).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 2000 and max(sizes) < 1000
+
+
 def test_lines_of_many_items(spark):
     import random
 
