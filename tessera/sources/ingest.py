@@ -6,8 +6,11 @@ reason in ``refused``."""
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from itertools import pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,37 +67,68 @@ def lines_of_items(items: DataFrame) -> DataFrame:
     height). An item belongs to the first line whose height on the page is within 2; lines run down the page, items
     across it; a gap of more than a fifth of the height, and more than 1, between letters or digits is a space."""
 
-    def assemble(frame: pd.DataFrame) -> pd.DataFrame:
-        lines: list[tuple[float, list]] = []
+    def assemble(page: pa.Table) -> pa.Table:
+        page = page.take(np.argsort(page.column("idx").to_numpy(), kind="stable"))
+        x, y, width, height = (page.column(c).cast(pa.float64()).to_numpy() for c in ("x", "y", "width", "height"))
+        said = np.array([t or "" for t in page.column("str").to_pylist()], object)
+        # the line of an item follows from its height alone, as later lines never come first; one without a height is a line of its own
+        shown, first, which = np.unique(y, return_index=True, return_inverse=True, equal_nan=False)
+        line_of, tops = np.zeros(len(shown), np.int64), []
         heights: list[tuple[float, int]] = []  # of lines, sorted, with their numbers: more than 2 apart, so at most two are near
-        for item in frame.sort_values("idx").itertuples(index=False):
-            near, k = [], bisect_left(heights, (item.y - 2 - abs(item.y) * 1e-12,))
-            while k < len(heights) and heights[k][0] - item.y <= 2:
-                near += [heights[k][1]] if abs(heights[k][0] - item.y) <= 2 else []
+        for u in np.argsort(first, kind="stable").tolist():
+            at, near = float(shown[u]), []
+            k = bisect_left(heights, (at - 2 - abs(at) * 1e-12,))
+            while k < len(heights) and heights[k][0] - at <= 2:
+                near += [heights[k][1]] if abs(heights[k][0] - at) <= 2 else []
                 k += 1
-            if near:
-                lines[min(near)][1].append(item)
-                continue
-            if item.y == item.y:  # an item without a height is a line of its own
-                insort(heights, (item.y, len(lines)))
-            lines.append((item.y, [item]))
-        out = []
-        for k, (_, members) in enumerate(sorted(lines, key=lambda line: -line[0])):
-            members = sorted(members, key=lambda i: i.x)
-            text, last = "", None
-            for i in members:
-                if last is not None and last.str[-1:].isascii() and last.str[-1:].isalnum() and i.str[:1].isascii() and i.str[:1].isalnum():
-                    text += " " * (i.x - last.x - last.width > max(1, 0.2 * max(last.height, i.height)))
-                text += i.str
-                last = i if i.str else last
-            x, y = min(i.x for i in members), min(i.y for i in members)
-            right, top = max(i.x + i.width for i in members), max(i.y + i.height for i in members)
-            out.append((frame["source_id"].iloc[0], frame["page"].iloc[0], k, text, x, y, right - x, top - y))
-        return pd.DataFrame(out, columns=["source_id", "page", "line", "text", "x", "y", "width", "height"])
+            if not near:
+                if at == at:
+                    insort(heights, (at, len(tops)))
+                tops.append(at)
+            line_of[u] = min(near, default=len(tops) - 1)
+        rank = np.zeros(len(tops), np.int64)
+        rank[sorted(range(len(tops)), key=lambda n: -tops[n])] = np.arange(len(tops))
+        line = rank[line_of[which]]
+        order = np.lexsort((x, line))
+        line, x, y, width, height, said = (c[order] for c in (line, x, y, width, height, said))
+        starts = np.flatnonzero(np.diff(line, prepend=-1))
+        filled = np.flatnonzero(said != "")
+        last, now = filled[:-1], filled[1:]
+        high = np.where(height[now] > height[last], height[now], height[last])
+        wide = x[now] - x[last] - width[last] > np.where(0.2 * high > 1, 0.2 * high, 1.0)
+        for k, n in zip(last[wide & (line[last] == line[now])].tolist(), now[wide & (line[last] == line[now])].tolist(), strict=True):
+            a, b = said[k][-1], said[n][0]
+            if a.isascii() and a.isalnum() and b.isascii() and b.isalnum():
+                said[n] = " " + said[n]
+        texts = ["".join(part) for part in np.split(said, starts[1:])]
+        left, low = np.fmin.reduceat(x, starts), np.fmin.reduceat(y, starts)
+        right, top = np.fmax.reduceat(x + width, starts), np.fmax.reduceat(y + height, starts)
+        keys = [pa.array([page.column(c)[0].as_py()] * len(starts), page.schema.field(c).type) for c in ("source_id", "page")]
+        found = [pa.array(np.arange(len(starts)), pa.int32()), pa.array(texts, pa.string()), *(pa.array(c, pa.float64()) for c in (left, low, right - left, top - low))]
+        return pa.table([*keys, *found], names=["source_id", "page", "line", "text", "x", "y", "width", "height"])
 
     kind = dict(items.dtypes)["source_id"]
     schema = f"source_id {kind}, page int, line int, text string, x double, y double, width double, height double"
-    return items.groupBy("source_id", "page").applyInPandas(assemble, schema).withColumn("text", T.collapse_ws(F.col("text")))
+    rows = items.select("source_id", F.col("page").cast("int").alias("page"), "idx", "str", "x", "y", "width", "height")
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []  # the page that is open, and its rows so far
+        for batch in batches:
+            keys, done = list(zip(batch.column("source_id").to_pylist(), batch.column("page").to_pylist(), strict=True)), []
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for low, high in pairwise(cuts):
+                if held and keys[low] != at:
+                    done.append(assemble(pa.Table.from_batches(held)))
+                    held = []
+                at = keys[low]
+                held.append(batch.slice(low, high - low))
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+        if held:
+            yield from assemble(pa.Table.from_batches(held)).to_batches()
+
+    dealt = rows.repartition("source_id", "page").sortWithinPartitions("source_id", "page")
+    return dealt.mapInArrow(pages, schema).withColumn("text", T.collapse_ws(F.col("text")))
 
 
 def low_text(units: DataFrame, keys: list[str], least: int = LOW_TEXT) -> DataFrame:

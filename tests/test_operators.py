@@ -227,6 +227,21 @@ def test_lines_of_items(spark):
     assert (got[0].x, got[0].y, got[0].width, got[0].height) == (0.0, 99.0, 76.0, 12.0)
 
 
+def test_lines_of_pages_cut_by_batches(spark):
+    """Pages go through one function batch by batch; the heights of a page hold over the cuts."""
+    items = [(f"s{p}", 1, k, f"w{k}", float(k % 3) * 10, 100.0 - (k // 3) * 5, 5.0, 8.0) for p in range(7) for k in range(9)]
+    df = spark.createDataFrame(items, "source_id string, page int, idx int, str string, x double, y double, width double, height double")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        lines = ingest.lines_of_items(df)
+        assert "MapInArrow" in lines._jdf.queryExecution().executedPlan().toString()
+        got = {(r.source_id, r.line): r.text for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert got == {(f"s{p}", k): f"w{3 * k} w{3 * k + 1} w{3 * k + 2}" for p in range(7) for k in range(3)}
+
+
 def test_pages(spark):
     units = spark.createDataFrame([("s", 1, 0, "text"), ("s", 2, 0, "bad")], "source_id string, page int, paragraph_index int, text string")
     ocr = spark.createDataFrame([("s", 2, "seen", False), ("s", 3, "", True)], "source_id string, page int, text string, failed boolean")
