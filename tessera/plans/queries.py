@@ -684,7 +684,8 @@ def claim_tokens(spark, d):
 @query()
 def normalized_texts(spark, d):
     x = table(spark, d, "documents").select("doc_id", T.nfkc("text").alias("t"))
-    return x.select("doc_id", F.sha2(T.squeeze(F.col("t")), 256).alias("squeezed"), F.sha2(T.compact(F.col("t")), 256).alias("compact"), F.length(T.strip_ws(F.col("t"))).cast("long").alias("n_solid"))
+    x = x.withColumn("s", T.squeeze(F.col("t")))  # once for both forms that need it
+    return x.select("doc_id", F.sha2("s", 256).alias("squeezed"), F.sha2(T.without_punctuation(F.col("s")), 256).alias("compact"), F.length(T.strip_ws(F.col("t"))).cast("long").alias("n_solid"))
 
 
 # -- streams -----------------------------------------------------------------------------------------------------

@@ -132,3 +132,15 @@ def test_canonical_json(spark):
     assert T.canonical('{"b":1,"a":{"d":[],"c":{}}}') == '{"a":{"c":{},"d":[]},"b":1}' and T.canonical('"x"') == '"x"'
     got = spark.createDataFrame([(s,) for s in [*same, None, "{"]], "s string").select(T.json_digest("s").alias("h"), T.digest("s").alias("f")).collect()
     assert len({r.h for r in got[:3]}) == 1 and got[0].h and got[3].h is got[3].f is got[4].h is None and got[4].f == T.fnv1a64("{")
+
+
+def test_squeeze_looks_back_only_from_white_space(spark):
+    """The expression gives what the plain function gives, and does not look behind at every character."""
+    import random
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab1条一。. \t\n\u3000\u00a0") for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.squeeze(F.col("t")).alias("s"), T.strip_ws(F.col("t")).alias("n"))
+    assert all(x.s == T.squeezed(x.t) and x.n == "".join(c for c in x.t if c not in T.WHITE) for x in df.collect())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert ", (?<" not in plan
