@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import attest, chunk, evaluate, locate, merge, report, review, rules
 from tessera.sources import ingest
-from tessera.sources.shared import new_path
+from tessera.sources.shared import bounded_batches, new_path
 from tessera.streaming import logs
 
 QUERIES: dict = {}
@@ -31,6 +31,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

@@ -8,6 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Of an Arrow batch: the session's 10,000 rows would be 10,000 whole texts in a Python worker, and several copies of them.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless it has set smaller ones."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it names none and runs in local mode, a folder of this machine."""
     sc = spark.sparkContext
