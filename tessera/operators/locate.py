@@ -21,16 +21,21 @@ from tessera.operators import scan
 UNITS_AT_ONCE = 1_000
 
 
+def _plain_ends(content: str) -> Column:
+    """CRLF and CR as LF; a text without CR is not searched."""
+    return F.when(F.contains(content, F.lit("\r")), F.regexp_replace(content, "\r\n|\r", "\n")).otherwise(F.col(content))
+
+
 def line_units(sources: DataFrame, source_id: str = "source_id", content: str = "content") -> DataFrame:
     """One unit per line that is not blank: source_id, paragraph_index from 0 and text, trimmed. CRLF and CR end lines."""
-    lines = F.split(F.regexp_replace(content, "\r\n|\r", "\n"), "\n")
+    lines = F.split(_plain_ends(content), "\n")
     units = F.filter(F.transform(lines, T.trim_ws), lambda x: x != "")
     return sources.select(F.col(source_id).alias("source_id"), F.posexplode(units).alias("paragraph_index", "text"))
 
 
 def block_units(sources: DataFrame, source_id: str = "source_id", content: str = "content") -> DataFrame:
     """One unit per block of lines between blank lines."""
-    blocks = F.split(F.regexp_replace(content, "\r\n|\r", "\n"), f"\n{T.WS}*\n")
+    blocks = F.split(_plain_ends(content), f"\n{T.WS}*\n")
     units = F.filter(F.transform(blocks, T.trim_ws), lambda x: x != "")
     return sources.select(F.col(source_id).alias("source_id"), F.posexplode(units).alias("paragraph_index", "text"))
 
@@ -59,22 +64,24 @@ def unique_sources(sources: DataFrame) -> DataFrame:
     return sources.groupBy("source_id").agg(F.count("*").alias("n_sources"), F.min("source_type").alias("known_type"))
 
 
-def authorized_units(units: DataFrame, sources: DataFrame) -> DataFrame:
-    """Units of a source that is known once, has their type, and contains their text, once both are normalized. Units are
-    cut to parts of at most ``UNITS_AT_ONCE`` of a source, and the content meets each part in one row, so it is copied
-    neither for each unit nor do all units of a source stand in one row."""
+def authorized_units(units: DataFrame, sources: DataFrame, normal: str | None = None) -> DataFrame:
+    """Units of a source that is known once, has their type, and contains their text, once both are normalized; ``normal``
+    names a column for the normalized text, which ``locate_quotes`` then takes. Units are cut to parts of at most ``UNITS_AT_ONCE`` of a
+    source, and the content meets each part in one row, so it is copied neither for each unit nor do all units of a source stand in one row."""
     x = units.withColumn("_text", T.normalize("text"))
     part = F.pmod(F.xxhash64(*units.columns), F.ceil(F.count("*").over(Window.partitionBy("source_id")) / UNITS_AT_ONCE))
     kept = x.withColumn("_part", part).groupBy("source_id", "_part").agg(F.collect_list(F.struct("_text", *units.columns)).alias("_units"))
     single = sources.groupBy("source_id").agg(F.count("*").alias("n"), F.min("source_type").alias("_type"), F.min("content").alias("_raw"))
     single = single.where("n = 1").select("source_id", "_type", T.normalize("_raw").alias("_content"))
     inside = F.filter("_units", lambda u: (u["source_type"] == F.col("_type")) & F.contains(F.col("_content"), u["_text"]))
-    return kept.join(single, "source_id").select(F.explode(inside).alias("u")).select(*(F.col(f"u.{c}") for c in units.columns))
+    more = [F.col("u._text").alias(normal)] if normal else []
+    return kept.join(single, "source_id").select(F.explode(inside).alias("u")).select(*(F.col(f"u.{c}") for c in units.columns), *more)
 
 
 def locate_quotes(anchors: DataFrame, units: DataFrame, keys: tuple[str, ...] = ("finding_id", "anchor_ord")) -> DataFrame:
     """For each citation whether a unit agrees in page, then paragraph, then article, then contains the quote. Texts are
-    compared normalized (``functions.text.normalize``); ``anchors`` has source_id, page, paragraph_index, article and quote besides ``keys``.
+    compared normalized (``functions.text.normalize``); ``anchors`` has source_id, page, paragraph_index, article and quote besides
+    ``keys``, and ``units`` may have their normalized text as ``normal_text``.
 
     Pages are joined as distinct keys and units by paragraph, so a long page is not met by all of its citations."""
     a = anchors.withColumns({"_article": T.normalize(F.coalesce("article", F.lit(""))), "_quote": T.normalize("quote")})
@@ -83,7 +90,7 @@ def locate_quotes(anchors: DataFrame, units: DataFrame, keys: tuple[str, ...] =
         F.col("page").alias("u_page"),
         F.col("paragraph_index").alias("u_paragraph"),
         T.normalize(F.coalesce("article", F.lit(""))).alias("u_article"),
-        T.normalize("text").alias("u_text"),
+        (F.col("normal_text") if "normal_text" in units.columns else T.normalize("text")).alias("u_text"),
     )
     page = (F.col("source_id") == F.col("p_source")) & F.col("page").eqNullSafe(F.col("p_page"))
     pages = units.select(F.col("source_id").alias("p_source"), F.col("page").alias("p_page")).distinct()

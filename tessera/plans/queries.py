@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import attest, chunk, evaluate, locate, merge, report, review, rules
 from tessera.sources import ingest
-from tessera.sources.shared import bounded_batches, new_path
+from tessera.sources.shared import bounded_batches, checkpointed, new_path
 from tessera.streaming import logs
 
 QUERIES: dict = {}
@@ -74,7 +74,7 @@ filled as (
 
 def filled_units(spark, d):
     heading = F.when(F.endswith("text", F.lit(".")) & (F.length("text") < 30), F.col("text"))
-    return locate.fill_articles(units_of(spark, d), heading, "source_id", "paragraph_index")
+    return locate.fill_articles(checkpointed(units_of(spark, d)), heading, "source_id", "paragraph_index")
 
 
 @query(f"with {_FILLED} select source_id, paragraph_index, text, article from filled")
@@ -126,7 +126,7 @@ select source_id, count(*)::bigint as n_quotes, count(*)::bigint as n_page,
        count(*) filter (paragraph_ok and replace(a, ' ', '') = replace(art, ' ', '') and contains(text, quote))::bigint as n_quote
 from j group by source_id""")
 def quote_locate(spark, d):
-    units = filled_units(spark, d).withColumn("page", F.floor(F.col("paragraph_index") / 20))
+    units = checkpointed(filled_units(spark, d).withColumn("page", F.floor(F.col("paragraph_index") / 20)))
     found = locate.locate_quotes(planted_anchors(units), units)
     by = found.withColumn("source_id", F.substring_index("finding_id", "-", 1).cast("long")).groupBy("source_id")
     n = lambda c: F.count_if(F.col(c)).alias("n_" + c.removesuffix("_ok"))
@@ -211,7 +211,7 @@ r as (select unnest(['source_id', 'source_type', 'locator_page', 'locator_paragr
                  case when k % 10 = 5 then 'failed' else 'passed' end, case when k % 10 = 5 then 'failed' else 'passed' end, case when k % 10 = 9 then 'failed' else 'passed' end]) as status from j)
 select rule, status, count(*)::bigint as n from r group by all""")
 def validate_findings(spark, d):
-    units = filled_units(spark, d).withColumns({"page": F.floor(F.col("paragraph_index") / 20), "source_type": F.lit("regulatory_text")})
+    units = checkpointed(filled_units(spark, d).withColumns({"page": F.floor(F.col("paragraph_index") / 20), "source_type": F.lit("regulatory_text")}))
     sources = sources_of(spark, d).withColumn("source_type", F.lit("regulatory_text"))
     pairs = spark.createDataFrame([], "official_source_id long, primary_source_ids array<string>")
     findings = planted_findings(spark, d, units)

@@ -144,3 +144,12 @@ def test_squeeze_looks_back_only_from_white_space(spark):
     assert all(x.s == T.squeezed(x.t) and x.n == "".join(c for c in x.t if c not in T.WHITE) for x in df.collect())
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert ", (?<" not in plan
+
+
+def test_normal_text_of_one_string():
+    rng = random.Random(11)
+    pieces = ["a", "Z", "9", "零", "条", "é", "ﬁ", "１", "´", ",", "。", " ", "  ", "\t", "\n", " ", "　", "﻿", "\x85", "\x1c", "\x1f", " "]
+    for _ in range(3000):
+        s = "".join(rng.choice(pieces[: rng.choice((3, 10, 18, len(pieces)))]) for _ in range(rng.randint(0, 12)))
+        assert T.normal_text(s) == squeeze_brute(unicodedata.normalize("NFKC", s)), repr(s)
+    assert T.normal_text(" a b , c\x0b\x0cd ") == "a b,c d" and T.normal_text("") == ""
