@@ -534,3 +534,25 @@ def test_lists_bear_with_broken_payloads(spark):
     rows = [(f"p{k}", 2, f"t{k}", p) for k, p in enumerate(payloads)] + [("p0", 1, "t99", "{"), ("p7", 3, "t0", "{")]
     got = exchange.listed(spark.createDataFrame(rows, "project_id string, revision int, updated_at string, payload string")).collect()
     assert [tuple(r) for r in got] == [("p5", "p5", "unknown", 2, "t5", 0), ("p0", "n", "s", 2, "t0", 2)]
+
+
+def test_claims_are_kept_without_joining_findings_that_name_no_parent(spark):
+    anchor = "struct<source_id:bigint,source_type:string,page:bigint,article:string,paragraph_index:bigint,quote:string>"
+    cite = lambda *quotes: [(1, "regulatory_text", 0, None, 0, q) for q in quotes]
+    rows = [
+        ("a", "regulatory_fact", "x", "plain é", cite("plain é"), None),
+        ("b", "regulatory_fact", "x", "不得逾期3日", cite("其一", "银行不得逾期３日。"), []),
+        ("c", "regulatory_fact", "x", "不得逾期4日", cite("银行不得逾期3日。"), []),
+        ("d", "human_judgment", "x", "2026-01-02", None, []),
+        ("e", "ai_inference", "x", "逾期3日", cite("no"), ["b", "gone"]),
+        ("f", "regulatory_fact", "x", "机构应报告", cite("机构应 报告"), []),
+        ("g", "regulatory_fact", "x", None, cite("q"), []),
+    ]
+    f = spark.createDataFrame(rows, f"finding_id string, claim_type string, category string, statement string, source_anchors array<{anchor}>, inference_parents array<string>")
+    got = {r.finding_id: (r.modal_ok, r.dates_ok, r.numbers_ok, r.alone_ok) for r in rules.claim_rules(f).collect()}
+    assert got["a"] == got["b"] == got["f"] == (True, True, True, True)
+    assert got["c"] == (False, False, False, True) and got["d"] == (True, True, True, True)
+    assert got["e"] == (True, False, False, False) and got["g"] == (False, None, None, True)
+    assert {r.finding_id: r.evidence for r in rules.evidence_texts(f).collect()}["e"] == "no\n不得逾期3日\n其一\n银行不得逾期３日。"
+    sizes = [r.parent_id for r in rules.parents_of(f).where("p is not null").collect()]
+    assert sizes == ["b"]
