@@ -118,7 +118,15 @@ def every(rows: DataFrame, owners: DataFrame, key: str, checks: list[str]) -> Da
     return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in checks})
 
 
-GRAM, STEP = 16, 8
+GRAM, STEP, BLOCK = 16, 8, 64
+
+
+def pieces_of(blocks: Column, n: int) -> Column:
+    """Every piece of ``n`` characters of a text that is cut into blocks of ``BLOCK``, more than ``n`` of them."""
+    longer = F.transform(blocks, lambda b, k: F.concat(b, F.coalesce(F.substr(F.get(blocks, k + 1), F.lit(1), F.lit(n - 1)), F.lit(""))))
+    starts = lambda b: F.sequence(F.lit(1), F.greatest(F.length(b) - n + 1, F.lit(1)))
+    cut = F.transform(longer, lambda b: F.transform(starts(b), lambda k: F.substr(b, k, F.lit(n))))
+    return F.filter(F.flatten(cut), lambda x: F.length(x) == n)
 
 
 def passages(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -128,23 +136,25 @@ def passages(items: DataFrame, docs: DataFrame) -> DataFrame:
     a multiple of STEP in the document. So documents give their grams of GRAM characters at every STEP, items those at
     their first STEP places, and both meet where grams are equal; only then is the text compared, at the one place where
     the item must stand. Shorter items have no such gram: for each length that one of them has, the documents give all
-    their pieces of that length, each once. Equal texts are looked through once."""
+    their pieces of that length, each once. Equal texts are looked through once. Texts are cut by one pass, as a place in a
+    text is found by counting from its start: pieces are taken from cuts, never from places of the whole."""
     i = items.where("text <> ''").select("item_id", F.col("text").alias("item_text")).distinct()
     named = docs.select("doc_id", "text", F.sha2("text", 256).alias("_key")).where("text is not null")
     texts, d = named.select("_key", "text").dropDuplicates(["_key"]), named.select("_key", "doc_id").distinct()
     least = GRAM + STEP - 1
     at = F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(STEP)), lambda k: F.xxhash64(F.substr(F.col("item_text"), k, F.lit(GRAM))))).alias("at", "h")
     asked = i.where(F.length("item_text") >= least).select("item_id", at)
-    places = F.sequence(F.lit(0), F.floor((F.length("text") - GRAM) / STEP).cast("int"))
-    grams = F.transform(places, lambda k: F.struct(F.xxhash64(F.substr(F.col("text"), k * STEP + 1, F.lit(GRAM))).alias("h"), (k * STEP).alias("start")))
-    found = texts.where(F.length("text") >= least).select("_key", F.explode(grams).alias("g")).select("_key", "g.h", "g.start")
+    cut = F.regexp_extract_all("text", F.lit(f"(?s)(.{{{STEP}}})"), 1)
+    grams = F.zip_with(F.slice("_cut", 1, F.size("_cut") - 1), F.slice("_cut", 2, F.size("_cut") - 1), lambda a, b: F.xxhash64(F.concat(a, b)))
+    found = texts.where(F.length("text") >= least).select("_key", cut.alias("_cut")).select("_key", F.posexplode(grams).alias("_k", "h"))
+    found = found.select("_key", "h", (F.col("_k") * STEP).alias("start"))
     near = found.join(asked, "h").select("item_id", "_key", (F.col("start") - F.col("at")).alias("start")).distinct()
     checked = near.join(i, "item_id").join(texts, "_key")
     held = checked.where(F.substr(F.col("text"), F.col("start") + 1, F.length("item_text")) == F.col("item_text")).select("item_id", "_key")
     short = i.where(F.length("item_text") < least)
     for n in sorted(r[0] for r in short.select(F.length("item_text")).distinct().collect()):  # at most least - 1 lengths
-        pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda k: F.substr(F.col("text"), k, F.lit(n))))  # noqa: B023
-        mine = texts.where(F.length("text") >= n).select("_key", F.explode(pieces).alias("item_text"))
+        blocks = texts.where(F.length("text") >= n).select("_key", F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{BLOCK}}})"), 1).alias("_cut"))
+        mine = blocks.select("_key", F.explode(F.array_distinct(pieces_of(F.col("_cut"), n))).alias("item_text"))
         held = held.unionByName(mine.join(short, "item_text").select("item_id", "_key"))
     return held.distinct().join(d, "_key").select("item_id", "doc_id").distinct()
 

@@ -556,3 +556,16 @@ def test_claims_are_kept_without_joining_findings_that_name_no_parent(spark):
     assert {r.finding_id: r.evidence for r in rules.evidence_texts(f).collect()}["e"] == "no\n不得逾期3日\n其一\n银行不得逾期３日。"
     sizes = [r.parent_id for r in rules.parents_of(f).where("p is not null").collect()]
     assert sizes == ["b"]
+
+
+def test_pieces_and_grams_are_cut_without_counting_from_the_start(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab😀é\n") for _ in range(n)) for n in (1, 5, 63, 64, 65, 66, 70, 127, 128, 129, 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{locate.BLOCK}}})"), 1)
+    for n in (1, 2, 7, 22):
+        got = {r.doc_id: r.p for r in df.select("doc_id", locate.pieces_of(blocks, n).alias("p")).collect()}
+        assert [got[k] for k in range(len(texts))] == [[t[i : i + n] for i in range(len(t) - n + 1)] for t in texts]
+    items = [(k, t[i : i + n]) for k, (t, i, n) in enumerate((rng.choice(texts[5:]), rng.randint(0, 40), rng.choice((3, 22, 23, 24, 31, 60))) for _ in range(80))]
+    found = locate.passages(spark.createDataFrame(items, "item_id long, text string"), df)
+    assert sorted(map(tuple, found.collect())) == sorted((k, d) for k, x in items if x for d, t in enumerate(texts) if x in t)
