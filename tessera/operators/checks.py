@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.rules import long_form, tilings
+from tessera.sources.shared import checkpointed, dealt
 
 #: Fields of a requirement in the order of its text, those that it must have, and marks of strength that a
 #: person must read.
@@ -57,7 +58,7 @@ def atomic_structure(findings: DataFrame, requirements: DataFrame) -> DataFrame:
     mine = requirements.withColumn("_keys", keys_of(F.col("source_anchors"))).groupBy("finding_id").agg(
         F.count("*").alias("_n"), *(F.first(c).alias(f"_{c}") for c in FIELDS), F.first("manual_verification_required").alias("_manual"), F.first("_keys").alias("_keys")
     )
-    x = findings.select("finding_id", "category", "statement", "source_anchors").join(mine, "finding_id", "left")
+    x = dealt(findings.select("finding_id", "category", "statement", "source_anchors"), "finding_id").join(mine, "finding_id", "left")
     quote = F.get(F.col("source_anchors"), F.lit(0))["quote"]
     x = x.withColumns({"_quote": T.nfkc(quote), "_said": T.nfkc("statement"), "_force": T.nfkc("_strength")})
     value = {f: T.compact(F.col("_force") if f == "strength" else T.nfkc(f"_{f}")) for f in FIELDS}
@@ -78,6 +79,8 @@ def atomic_structure(findings: DataFrame, requirements: DataFrame) -> DataFrame:
         .when(absent, "failed")
     )
     x = x.withColumns({"_early": early, "strength_review": (F.col("category") == "atomic_requirement") & (F.coalesce("_n", F.lit(0)) == 1) & single})
+    # kept, as what follows reads it again and again, and each reading would normalize all texts anew
+    x = checkpointed(x.select("finding_id", "_early", "strength_review", "_text", *(f"v_{f}" for f in FIELDS)))
     open_ = x.where("_early is null")
     fields = open_.select(F.col("finding_id").alias("req_id"), F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(f"v_{f}").alias("value")) for k, f in enumerate(FIELDS)))).alias("f"))
     fields = fields.select("req_id", "f.field", "f.value").where("value is not null")
@@ -92,7 +95,7 @@ def artifact_rules(findings: DataFrame, requirements: DataFrame, relationships:
     for others, citations within those of what they belong to, one relationship per inference, and conflicts bound to a
     fact, an explanation and their pending finding."""
     f = findings.select("finding_id", "category", "claim_type", F.array_sort("inference_parents").alias("parents"), keys_of(F.col("source_anchors")).alias("keys"))
-    one = f.groupBy("finding_id").agg(*(F.first(c).alias(c) for c in ("category", "claim_type", "parents", "keys")), F.count("*").alias("n"))
+    one = dealt(f, "finding_id").groupBy("finding_id").agg(*(F.first(c).alias(c) for c in ("category", "claim_type", "parents", "keys")), F.count("*").alias("n"))
     prefixed = lambda p: one.select(*(F.col(c).alias(f"{p}_{c}") for c in one.columns))
     rows = lambda df, entity, key, checks: long_form(df, key, checks).select(F.lit(entity).alias("entity"), F.col(key).cast("string").alias("id"), "rule", "ok")
     per_finding = one.join(counted(requirements, "finding_id", "n_req"), "finding_id", "left")
@@ -110,12 +113,12 @@ def artifact_rules(findings: DataFrame, requirements: DataFrame, relationships:
         },
     )
     r = requirements.withColumn("own", keys_of(F.col("source_anchors"))).join(prefixed("f"), F.col("finding_id") == F.col("f_finding_id"), "left")
-    r = r.join(counted(requirements, "requirement_id", "n_id"), "requirement_id")
+    r = dealt(r, "requirement_id").join(counted(requirements, "requirement_id", "n_id"), "requirement_id")
     out = out.unionByName(
         rows(r, "requirement", "requirement_id", {"id_unique": F.col("n_id") == 1, "of_atomic_finding": F.col("f_category") == "atomic_requirement", "cites_within": within(F.col("own"), F.col("f_keys"))})
     )
     ends = relationships.select("relationship_id", F.explode("from_finding_ids").alias("end")).join(prefixed("p"), F.col("end") == F.col("p_finding_id"), "left")
-    ends = ends.groupBy("relationship_id").agg(F.bool_and(F.col("p_finding_id").isNotNull()).alias("known"), F.array_distinct(F.flatten(F.collect_list("p_keys"))).alias("above"))
+    ends = dealt(ends.select("relationship_id", "p_finding_id", "p_keys"), "relationship_id").groupBy("relationship_id").agg(F.bool_and(F.col("p_finding_id").isNotNull()).alias("known"), F.array_distinct(F.flatten(F.collect_list("p_keys"))).alias("above"))
     x = relationships.withColumn("own", keys_of(F.col("source_anchors"))).join(ends, "relationship_id", "left").join(prefixed("t"), F.col("to_finding_id") == F.col("t_finding_id"), "left")
     out = out.unionByName(
         rows(

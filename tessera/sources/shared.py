@@ -43,3 +43,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "kept")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as the session shuffles to. Tasks that are put together by bytes would take
+    millions of small rows, as those are packed tightly and unfold in memory; what is dealt by number stays apart."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
