@@ -48,6 +48,15 @@ def long_form(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     return df.select(F.col(key), F.explode(each).alias("r")).select(key, "r.rule", "r.ok")
 
 
+def tallied(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """(key, rule, ok, n): the rows of ``long_form`` counted. Rules are counted side by side and unfolded after, so one row of a key is
+    shuffled and not one for each rule."""
+    by = df.groupBy(key).agg(F.count("*").alias("_rows"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(f"_ok_{k}") for k, c in enumerate(rules.values())))
+    held = lambda k, ok: F.col(f"_ok_{k}") if ok else F.col("_rows") - F.col(f"_ok_{k}")
+    each = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(ok).alias("ok"), held(k, ok).alias("n")) for k, name in enumerate(rules) for ok in (True, False)))
+    return by.select(key, F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("r")).select(key, "r.*")
+
+
 def finding_rules(findings: DataFrame) -> DataFrame:
     """Row rules of findings: what each claim type must cite, and closed values."""
     claim, anchors = F.col("claim_type"), F.col("source_anchors")

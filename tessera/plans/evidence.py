@@ -169,8 +169,7 @@ def atomic_responses(spark, d):
     findings = x.distinct().select("node_id", "finding_id", F.when(k % 4 == 0, "x").otherwise("atomic_requirement").alias("category"), F.when(k % 2 == 0, "pending_confirmation").otherwise("regulatory_fact").alias("claim_type"), cite("regulatory_text", F.lit("q")).alias("source_anchors"))
     own = cite(F.when(k % 5 == 0, "official_interpretation").otherwise("regulatory_text"), F.when(k % 6 == 0, "z").otherwise("q"))
     requirements = x.where("l_linenumber <> 3").select("node_id", "finding_id", F.col("finding_id").alias("requirement_id"), own.alias("source_anchors"), F.array(F.lit("object")).alias("missing_facts"))
-    found = produce.atomic_response_rules(findings, requirements)
-    return found.groupBy("requirement_id", "rule", "ok").agg(F.count("*").alias("rows"))
+    return produce.atomic_response_rules(findings, requirements, form=rules.tallied).withColumnRenamed("n", "rows")
 
 
 @query("""select o_orderkey::varchar as conflict_id, unnest(['sides_known', 'other_side_explains', 'sides_are_paired', 'cites_within_both', 'cites_both_kinds']) as rule,
