@@ -118,7 +118,7 @@ def parse_evidence(sources: DataFrame, outcomes: DataFrame, parsed: DataFrame, u
     facts = [by_session, by_parsed, inside, places, unit_digests(parsed), same_rows(parsed, session, UNIT, "u_same"), same_rows(expected, citations, ANCHOR, "c_same")]
     x = reduce(lambda a, b: a.join(b.withColumnRenamed("owner_id", "source_id"), "source_id", "left"), facts, s.join(o, "source_id", "left"))
     x = x.join(ocr.select("source_id", (F.size("refused") == 0).alias("ocr_ok")), "source_id", "left") if ocr is not None else x.withColumn("ocr_ok", F.lit(None).cast("boolean"))
-    plain = lambda c: T.trim_ws(F.regexp_replace(c, "\r\n?", "\n"))
+    plain = lambda c: T.trim_ws(F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c))
     n = lambda c: F.coalesce(c, F.lit(0))
     own = F.coalesce("p_pages", F.array().cast("array<int>"))
     count, seen = F.col("o.page_count"), F.col("o.successful_pages")
@@ -140,7 +140,7 @@ def parse_evidence(sources: DataFrame, outcomes: DataFrame, parsed: DataFrame, u
         "characters_agree": F.col("o.total_characters") == utf16_length("content"),
         "digest_agrees": F.col("o.ordered_unit_digest") == F.coalesce("digest", F.lit(provenance.NO_ROOT)),
         "units_agree": F.coalesce("u_same", F.lit(True)),
-        "content_is_rebuilt": plain(F.coalesce("p_content", F.lit(""))) == plain("content"),
+        "content_is_rebuilt": plain(F.coalesce("p_content", F.lit(""))) == plain(F.col("content")),
         "citations_agree": F.coalesce("c_same", F.lit(True)),
         "locators_unique": F.coalesce("c_unique", F.lit(True)),
         "unit_ids_filled": F.coalesce("p_ids_filled", F.lit(True)),

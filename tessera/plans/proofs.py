@@ -10,6 +10,7 @@ from tessera.functions import text as T
 from tessera.operators import locate, parsing, provenance, review
 from tessera.plans.queries import _WS, query, table
 from tessera.sources import exchange
+from tessera.sources.shared import checkpointed
 
 # -- evidence of parsing -----------------------------------------------------------------------------------------
 
@@ -20,8 +21,10 @@ def parsed_documents(spark, d) -> dict:
     """Documents as sources with their outcomes; what is wrong with one follows from its id modulo 30."""
     f = F.col("source_id") % 30
     docs = table(spark, d, "documents").where("text is not null")
-    sources = docs.select(F.col("doc_id").alias("source_id"), F.when(F.col("lang") == "en", "regulatory_text").otherwise("official_interpretation").alias("source_type"), F.regexp_replace("text", "\n", "\n\n").alias("content"))
-    lines = locate.line_units(sources).join(sources.select("source_id", "source_type"), "source_id")
+    sources = docs.select(F.col("doc_id").alias("source_id"), F.when(F.col("lang") == "en", "regulatory_text").otherwise("official_interpretation").alias("source_type"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("content"))
+    # kept, as evidence is asked of sources and units many times
+    sources = checkpointed(sources)
+    lines = checkpointed(locate.line_units(sources).join(sources.select("source_id", "source_type"), "source_id"))
     ord_ = F.col("paragraph_index")
     units = lines.select(
         "source_id",
