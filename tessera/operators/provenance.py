@@ -5,13 +5,15 @@ replacement and the seal of the version before it, so versions of a project form
 it from what is stored now and names what differs; what follows a broken version is derived from it and named as such.
 
 The fold is a tree over artifacts in the order of their paths: a round joins up to ``FAN`` neighbours, so no task or row holds a
-version's artifacts, however many it has, and there are as many rounds as the largest version has digits in base ``FAN``.
+large version's artifacts, however many it has, and there are as many rounds as the largest version has digits in base ``FAN``.
+A version with at most ``FAN`` artifacts is one row, folded and compared where its artifacts already lie together.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,7 @@ from tessera.sources.shared import checkpointed
 FAN = 1_000
 #: The root of a version without artifacts.
 NO_ROOT = hashlib.sha256(b"").hexdigest()
+PROBLEM_ROWS = "array<struct<path:string,problem:string>>"
 PROBLEMS = (
     "manifest changed",
     "artifact changed",
@@ -41,9 +44,35 @@ def leaf(path: Column, digest: Column) -> Column:
     return F.sha2(F.concat(F.octet_length(path).cast("string"), F.lit(":"), path, F.coalesce(digest, F.lit(""))), 256)
 
 
-def roots(artifacts: DataFrame, fan: int = FAN) -> DataFrame:
-    """(version_id, root, n) of artifacts (version_id, path, digest): rounds of digests of at most ``fan`` digests in order."""
-    rows = artifacts.select("version_id", "path", leaf(F.col("path"), F.col("digest")).alias("h"))
+def packed(text: Column) -> Column:
+    """A text as bytes, a digest in half as many; different texts stay different."""
+    return F.when(text.rlike(r"^[0-9a-f]{64}\z"), F.concat(F.lit(b"\1"), F.unhex(text))).otherwise(F.concat(F.lit(b"\0"), text.cast("binary")))
+
+
+def split(fan: int, *tables: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Each table's artifacts of versions with at most ``fan`` in every table, and those of versions with more; the second
+    list is empty if there are none."""
+    named = [t.where("version_id is not null") for t in tables]
+    many = checkpointed(reduce(DataFrame.unionByName, (t.groupBy("version_id").count().where(F.col("count") > fan).select("version_id") for t in named)).distinct())
+    if many.isEmpty():
+        return named, []
+    return [t.join(many, "version_id", "left_anti") for t in named], [t.join(many, "version_id", "left_semi") for t in named]
+
+
+def held(few: DataFrame) -> DataFrame:
+    """(version_id, held) of versions with few artifacts: these in order, each with its path, leaf and digest. Rows that lie
+    together by version are not shuffled again."""
+    row = F.struct("path", F.unhex(leaf(F.col("path"), F.col("digest"))).alias("h"), "digest")
+    return few.groupBy("version_id").agg(F.array_sort(F.collect_list(row)).alias("held"))
+
+
+def _root_of_held() -> Column:
+    h = F.transform("held", lambda x: F.lower(F.hex(x["h"])))
+    return F.when(F.size("held") == 1, h[0]).otherwise(F.sha2(F.array_join(h, ""), 256))
+
+
+def _rounds(many: DataFrame, fan: int) -> DataFrame:
+    rows = many.select("version_id", "path", leaf(F.col("path"), F.col("digest")).alias("h"))
     placed = scan.scanned(rows, "version_id", ["path", "h"], scan.Wanted(number="at"))
     level = checkpointed(placed.select("version_id", (F.col("at") - 1).alias("at"), "h"))
     counts = level.groupBy("version_id").agg(F.count("*").alias("n"))
@@ -54,6 +83,14 @@ def roots(artifacts: DataFrame, fan: int = FAN) -> DataFrame:
     return level.select("version_id", F.col("h").alias("root")).join(counts, "version_id")
 
 
+def roots(artifacts: DataFrame, fan: int = FAN) -> DataFrame:
+    """(version_id, root, n) of artifacts (version_id, path, digest): digests of at most ``fan`` digests in order, in one
+    aggregation for versions with no more artifacts, in rounds for the others."""
+    few, many = split(fan, artifacts)
+    found = held(few[0]).select("version_id", _root_of_held().alias("root"), F.size("held").cast("long").alias("n"))
+    return found.unionByName(_rounds(many[0], fan)) if many else found
+
+
 def text_digest(column: str) -> Column:
     return F.sha2(F.coalesce(F.col(column), F.lit("")), 256)
 
@@ -63,9 +100,13 @@ def sealed(versions: DataFrame, manifest: DataFrame, fan: int = FAN) -> DataFram
     replacement_hash, parent_seal (null for a project's first) and seal. The versions of a project are read in order of their
     numbers, one at a time."""
     x = versions.join(roots(manifest, fan), "version_id", "left").select(
+        *versions.columns, F.unhex(F.coalesce("root", F.lit(NO_ROOT))).alias("root"), F.coalesce("n", F.lit(0)).cast("long").alias("n_artifacts")
+    )
+    # digests of texts are made, and that of the root is written out, after rows have been dealt
+    x = x.repartition("project_id").select(
         *versions.columns,
-        F.coalesce("root", F.lit(NO_ROOT)).alias("root"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_artifacts"),
+        F.lower(F.hex("root")).alias("root"),
+        "n_artifacts",
         text_digest("directive").alias("directive_hash"),
         text_digest("replacement").alias("replacement_hash"),
     )
@@ -84,8 +125,29 @@ def sealed(versions: DataFrame, manifest: DataFrame, fan: int = FAN) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parents, pa.string()), pa.array(seals, pa.string())], [*batch.schema.names, "parent_seal", "seal"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in x.dtypes)
-    dealt = x.repartition("project_id").sortWithinPartitions("project_id", "number", "version_id")
-    return dealt.mapInArrow(rows, f"{schema}, parent_seal string, seal string")
+    return x.sortWithinPartitions("project_id", "number", "version_id").mapInArrow(rows, f"{schema}, parent_seal string, seal string")
+
+
+def _once() -> Column:
+    """Of what is held under equal paths the first."""
+    return F.filter("held", lambda x, i: (i == 0) | ~x["path"].eqNullSafe(F.get("held", i - 1)["path"]))
+
+
+def _of_path(path: Column, problem: Column | str) -> Column:
+    return F.struct(path.cast("string").alias("path"), (F.lit(problem) if isinstance(problem, str) else problem).alias("problem"))
+
+
+def _differences() -> Column:
+    """The problems of artifacts, from ``_both``: what was and what is in order of paths, so equal paths are neighbours."""
+    other = lambda y, x, side: F.coalesce((y["side"] == side) & y["path"].eqNullSafe(x["path"]), F.lit(False))
+
+    def one(x: Column, i: Column) -> Column:
+        after, before = F.get("_both", i + 1), F.get("_both", i - 1)
+        changed = F.when(~after["digest"].eqNullSafe(x["digest"]), _of_path(x["path"], "artifact changed"))
+        of_was = F.when(other(after, x, 1), changed).otherwise(_of_path(x["path"], "artifact missing"))
+        return F.when(x["side"] == 0, of_was).when(~other(before, x, 0), _of_path(x["path"], "artifact added"))
+
+    return F.coalesce(F.array_compact(F.transform("_both", one)), F.array().cast(PROBLEM_ROWS))
 
 
 def verified(versions: DataFrame, manifest: DataFrame, artifacts: DataFrame, fan: int = FAN) -> DataFrame:
@@ -93,30 +155,52 @@ def verified(versions: DataFrame, manifest: DataFrame, artifacts: DataFrame, fan
     path is null for what concerns a version. ``versions`` is as ``sealed`` gives it, with its directive and replacement as
     they are now, ``manifest`` (version_id, path, digest) is what was sealed, and ``artifacts`` what is there now.
 
-    Equal paths of a version count once each way; a null digest is its own value. Versions without a problem give no row."""
-    versions = checkpointed(versions)
-    own = versions.select("project_id", "version_id", "number")
-    now = roots(manifest, fan).select("version_id", F.col("root").alias("_root"))
-    before = scan.scanned(versions, "project_id", ["number", "version_id"], scan.Wanted(lags={"_before": F.col("seal")}))
-    x = before.join(now, "version_id", "left").withColumn("_root", F.coalesce("_root", F.lit(NO_ROOT)))
+    Equal paths of a version count once each way; a null digest is its own value. Versions without a problem give no row.
+    Artifacts of a version are compared in one row if it has at most ``fan``, else by path."""
     told = F.sha2(F.concat(F.coalesce("parent_seal", F.lit("")), "root", "directive_hash", "replacement_hash"), 256)
-    checks = {
-        "manifest changed": F.col("_root") != F.col("root"),
+    # what a version tells by itself is judged before anything is kept or shuffled
+    alone = {
         "directive changed": text_digest("directive") != F.col("directive_hash"),
         "replacement changed": text_digest("replacement") != F.col("replacement_hash"),
         "seal changed": told != F.col("seal"),
-        "parent is another": ~F.col("parent_seal").eqNullSafe(F.col("_before")),
     }
-    found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(name)) for name, c in checks.items())))
-    of_version = x.select("version_id", F.lit(None).cast("string").alias("path"), F.explode(found).alias("problem"))
-    a = manifest.select("version_id", "path", F.struct("digest").alias("was")).dropDuplicates(["version_id", "path"])
-    b = artifacts.select("version_id", "path", F.struct("digest").alias("is")).dropDuplicates(["version_id", "path"])
-    both = a.join(b, ["version_id", "path"], "full_outer")
+    named = lambda checks: F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(name)) for name, c in checks.items())))
+    own = ["project_id", "number", "version_id"]
+    base = checkpointed(versions.select(*own, *(packed(F.col(c)).alias(c) for c in ("root", "parent_seal", "seal")), named(alone).alias("_found")))
+    few, many = split(fan, manifest, artifacts)
+    was = held(few[0]).select("version_id", _root_of_held().alias("_root"), _once().alias("_was"))
+    now = held(few[1]).select("version_id", _once().alias("_is"))
+    x = base.join(was, "version_id", "left").join(now, "version_id", "left").withColumn("_many", F.lit(False))
+    if many:
+        of_many = checkpointed(_compared(*many))
+        x = x.join(_rounds(many[0], fan).select("version_id", F.col("root").alias("_root_of_many")), "version_id", "left")
+        x = x.join(of_many.select("version_id", F.lit(True).alias("_of_many")).distinct(), "version_id", "left")
+        x = x.withColumns({"_root": F.coalesce("_root", "_root_of_many"), "_many": F.col("_of_many").isNotNull()})
+    x = x.withColumn("_found", F.concat("_found", named({"manifest changed": packed(F.coalesce("_root", F.lit(NO_ROOT))) != F.col("root")})))
+    sided = lambda c, side: F.coalesce(F.transform(c, lambda y: F.struct(y["path"], F.lit(side).alias("side"), y["digest"])), F.array().cast(_sided(x, c)))
+    x = x.withColumn("_both", F.when(~F.col("_was").eqNullSafe(F.col("_is")), F.array_sort(F.concat(sided("_was", 0), sided("_is", 1)))))
+    x = x.select(*own, "parent_seal", "seal", "_found", "_many", _differences().alias("_paths"))
+    before = scan.scanned(x, "project_id", own[1:], scan.Wanted(lags={"_before": F.col("seal")}), counted=base)
+    of_version = F.concat("_found", named({"parent is another": ~F.col("parent_seal").eqNullSafe(F.col("_before"))}))
+    found = before.select(*own, "_many", F.concat(F.transform(of_version, lambda p: _of_path(F.lit(None), p)), "_paths").alias("_found"))
+    flagged = found.withColumn("_broken", (F.col("version_id").isNotNull() & (F.col("_many") | (F.size("_found") > 0))).cast("long"))
+    counted = scan.scanned(flagged, "project_id", own[1:], scan.Wanted(sums={"_so_far": F.col("_broken")}), counted=base)
+    derived = F.when(F.col("_so_far") > F.col("_broken"), F.array(_of_path(F.lit(None), PROBLEMS[-1]))).otherwise(F.array().cast(PROBLEM_ROWS))
+    rows = counted.where("version_id is not null").select("project_id", "version_id", F.explode(F.concat("_found", derived)).alias("p")).select("project_id", "version_id", "p.path", "p.problem")
+    return rows.unionByName(of_many.join(base.select("project_id", "version_id"), "version_id").select(*rows.columns)) if many else rows
+
+
+def _sided(x: DataFrame, column: str) -> str:
+    kind = {f.name: f.dataType for f in x.schema[column].dataType.elementType.fields}
+    return f"array<struct<path:{kind['path'].simpleString()},side:int,digest:{kind['digest'].simpleString()}>>"
+
+
+def _compared(manifest: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(version_id, path, problem) of artifacts that differ, by a join on their paths."""
+    first = F.min(F.struct(leaf(F.col("path"), F.col("digest")), "digest"))["digest"]
+    a = manifest.groupBy("version_id", "path").agg(F.struct(first.alias("digest")).alias("was"))
+    b = artifacts.groupBy("version_id", "path").agg(F.struct(first.alias("digest")).alias("is"))
+    same = F.col("a.version_id").eqNullSafe(F.col("b.version_id")) & F.col("a.path").eqNullSafe(F.col("b.path"))
+    both = a.alias("a").join(b.alias("b"), same, "full_outer").select(F.coalesce("a.version_id", "b.version_id").alias("version_id"), F.coalesce("a.path", "b.path").alias("path"), "was", "is")
     why = F.when(F.col("is").isNull(), "artifact missing").when(F.col("was").isNull(), "artifact added").when(~F.col("was.digest").eqNullSafe(F.col("is.digest")), "artifact changed")
-    of_artifacts = both.select("version_id", "path", why.alias("problem")).where("problem is not null")
-    direct = checkpointed(of_version.unionByName(of_artifacts))
-    broken = direct.select("version_id").distinct().withColumn("_broken", F.lit(1))
-    flagged = own.join(broken, "version_id", "left").withColumn("_broken", F.coalesce("_broken", F.lit(0)))
-    counted = scan.scanned(flagged, "project_id", ["number", "version_id"], scan.Wanted(sums={"_so_far": F.col("_broken").cast("long")}))
-    derived = counted.where(F.col("_so_far") > F.col("_broken")).select("version_id", F.lit(None).cast("string").alias("path"), F.lit(PROBLEMS[-1]).alias("problem"))
-    return direct.unionByName(derived).join(own.select("project_id", "version_id"), "version_id").select("project_id", "version_id", "path", "problem")
+    return both.select("version_id", "path", why.alias("problem")).where("problem is not null")

@@ -10,7 +10,7 @@ from tessera.functions import text as T
 from tessera.operators import locate, parsing, provenance, review
 from tessera.plans.queries import _WS, query, table
 from tessera.sources import exchange
-from tessera.sources.shared import checkpointed
+from tessera.sources.shared import checkpointed, dealt
 
 # -- evidence of parsing -----------------------------------------------------------------------------------------
 
@@ -174,9 +174,11 @@ def changed_versions(spark, d):
     versions = table(spark, d, "orders").select(
         F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("number"), F.col("o_orderkey").alias("version_id"), F.col("o_orderpriority").alias("directive"), F.col("o_orderstatus").alias("replacement")
     )
-    n = lines_per_order(spark, d, "version_id")
-    lines = n.select("version_id", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
-    manifest = lines.select("version_id", F.concat(F.lit("line/"), "k").alias("path"), F.md5(F.concat_ws("-", "version_id", "k")).alias("digest"))
+    # counts are shuffled, not lines: what is exploded lies together by version
+    n = dealt(checkpointed(lines_per_order(spark, d, "version_id")), "version_id")
+    one_to_n = F.sequence(F.lit(1).cast("long"), "n")
+    path, digest = F.concat(F.lit("line/"), "k"), F.md5(F.concat_ws("-", "version_id", "k"))
+    manifest = n.select("version_id", F.explode(one_to_n).alias("k")).select("version_id", path.alias("path"), digest.alias("digest"))
     sealed = provenance.sealed(versions, manifest)
     now = sealed.withColumns(
         {
@@ -185,9 +187,10 @@ def changed_versions(spark, d):
             "seal": F.when(i % 50 == 12, "else").otherwise(F.col("seal")),
         }
     )
-    there = manifest.where(~((i % 50 == 8) & (F.col("path") == "line/2"))).withColumn("digest", F.when((i % 50 == 7) & (F.col("path") == "line/1"), "else").otherwise(F.col("digest")))
-    added = n.where(i % 50 == 9).select("version_id", F.lit("line/99").alias("path"), F.lit("new").alias("digest"))
-    return provenance.verified(now, manifest, there.unionByName(added))
+    k, added = F.col("k"), F.array(F.lit(0).cast("long"))
+    there = n.select("version_id", F.explode(F.when(i % 50 == 9, F.concat(added, one_to_n)).otherwise(one_to_n)).alias("k")).where(~((i % 50 == 8) & (k == 2)))
+    there = there.select("version_id", F.when(k == 0, "line/99").otherwise(path).alias("path"), F.when(k == 0, "new").when((i % 50 == 7) & (k == 1), "else").otherwise(digest).alias("digest"))
+    return provenance.verified(now, manifest, there)
 
 
 # -- claims --------------------------------------------------------------------------------------------------------

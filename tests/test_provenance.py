@@ -1,6 +1,7 @@
 """Sealed versions: what was changed is named by version and path; roots against a fold by hand."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,41 @@ def test_seals(project):
     assert got == sorted([("p2", "", "seal changed"), ("p3", "", "parent is another"), *after("p3", "p4", "p5")])
     got = problems(versions.where("version_id <> 'p2'"), manifest.where("version_id <> 'p2'"), manifest.where("version_id <> 'p2'"))
     assert got == sorted([("p3", "", "parent is another"), *after("p4", "p5")])
+
+
+def test_few_and_many_artifacts_against_a_fold_by_hand(spark):
+    rnd = random.Random(3)
+    was, now = {}, {}
+    for k in range(24):
+        v, n = f"v{k:02d}", rnd.choice((0, 1, 3, 4, 9))
+        was[v] = {f"f{j}": rnd.choice(("a", "", None)) for j in range(n)}
+        now[v] = dict(was[v])
+        for _ in range(rnd.choice((0, 0, 2, 4))):
+            path = f"f{rnd.randrange(n + 2)}"
+            if rnd.random() < 0.4:
+                now[v].pop(path, None)
+            else:
+                now[v][path] = rnd.choice(("a", "", None))
+    rows = lambda held: spark.createDataFrame([(v, *f) for v, fs in held.items() for f in fs.items()], FILES).repartition(3)
+    versions = [(f"p{k % 2}", k, v, "do", None) for k, v in enumerate(was)]
+    want, broken = [], set()
+    for project, _, v, *_ in versions:
+        of_v = [("artifact missing" if p not in now[v] else "artifact added" if p not in was[v] else "artifact changed", p) for p in was[v] | now[v] if (p in was[v], was[v].get(p)) != (p in now[v], now[v].get(p))]
+        want += [(v, p, problem) for problem, p in of_v] + after(*[v] * (project in broken))
+        broken |= {project} if of_v else set()
+    sealed = provenance.sealed(spark.createDataFrame(versions, VERSIONS), rows(was), 3)
+    assert {x[2] for x in want} == {"artifact missing", "artifact added", "artifact changed", "derived from a broken version"}
+    assert problems(sealed, rows(was), rows(now)) == sorted(want)
+
+
+def test_artifacts_that_lie_together_are_not_shuffled(spark):
+    def shuffled():
+        store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    n = spark.range(2_000).select(F.col("id").alias("version_id")).repartition(4, "version_id")
+    files = n.select("version_id", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("k")).select("version_id", F.col("k").cast("string").alias("path"), F.md5(F.concat_ws("-", "version_id", "k")).alias("digest"))
+    before = shuffled()
+    assert provenance.roots(files).where("root is not null and n = 30").count() == 2_000
+    assert shuffled() - before < 10 * 60_000  # 60,000 artifacts, of 32 bytes at least
