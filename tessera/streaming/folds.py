@@ -9,8 +9,11 @@ kept in a sink of its own and never judged again. Rows still held in state when
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -19,6 +22,10 @@ from pyspark.sql.types import StructType
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What is known of a chain when its next action comes.
 NO_HEAD = (None, None)
+#: Of an action, and how many of a key go to the state as one row of arrays: a row of its own costs a call for each value.
+ACTION = ("ts", "seq", "before_hash", "after_hash")
+PACKED = 200
+PACKED_ROW = "ts array<long>, seq array<long>, before_hash array<string>, after_hash array<string>"
 
 
 def counted_disorder(spark: SparkSession, path: str, time: str = "ts", schema: StructType | None = None) -> int:
@@ -54,51 +61,69 @@ def judged(head: tuple, rows: list) -> tuple[list, tuple]:
     return out, head
 
 
-class ChainFold(StatefulProcessor):
-    """Per key: the actions that wait for their time as a list, the head of the chain, and the time of the next timer."""
+def packed(rows: list) -> list[tuple]:
+    """Actions as rows of arrays."""
+    return [tuple(map(list, zip(*rows[i : i + PACKED], strict=True))) for i in range(0, len(rows), PACKED)]
+
+
+def packed_by_key(log: DataFrame, key: str, key_type: str) -> DataFrame:
+    """(key, arrays of ``ACTION``) of (key, ``ACTION``): rows of equal keys in an Arrow batch put together, at most ``PACKED``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column(key)))
+            ends = pc.run_end_encode(batch.column(key)).run_ends.to_pylist()
+            starts = [i for a, b in zip([0, *ends], ends, strict=False) for i in range(a, b, PACKED)]
+            offsets = pa.array([*starts, batch.num_rows], pa.int32())
+            lists = (pa.ListArray.from_arrays(offsets, batch.column(c)) for c in ACTION)
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(starts, pa.int64())), *lists], [key, *ACTION])
+
+    return log.select(key, *ACTION).mapInArrow(rows, f"{key} {key_type}, {PACKED_ROW}")
 
-    PENDING = "ts long, seq long, before_hash string, after_hash string"
+
+class ChainFold(StatefulProcessor):
+    """Per key: the actions that wait for their time as a list of packed rows, and the head of the chain. A timer is set for
+    the first action of each batch and, once it has gone off, for the first one that still waits."""
 
     def __init__(self, key: str):
         self.row = Row(key, "seq", "link_ok", "time_ok", "sink")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.PENDING)
+        self.pending = handle.getListState("pending", PACKED_ROW)
         self.head = handle.getValueState("head", "ts long, after_hash string")
-        self.due = handle.getValueState("due", "at long")
-
-    def _wait_until(self, at: int) -> None:
-        held = self.due.get()
-        if held is not None and held[0] <= at:
-            return
-        if held is not None:
-            self.handle.deleteTimer(held[0])
-        self.handle.registerTimer(at)
-        self.due.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now, new = timerValues.getCurrentWatermarkInMs(), []
+        now, new, first = timerValues.getCurrentWatermarkInMs(), [], None
         for r in rows:
-            if r.ts is None or r.ts // 1000 <= now:
-                yield self.row(key[0], r.seq, None, None, "quarantine")
+            known = [t for t in r.ts if t is not None]
+            if len(known) < len(r.ts) or min(known) // 1000 <= now:
+                actions = list(zip(*(r[c] for c in ACTION), strict=True))
+                late = [x[0] is None or x[0] // 1000 <= now for x in actions]
+                for x in (x for x, out in zip(actions, late, strict=True) if out):
+                    yield self.row(key[0], x[1], None, None, "quarantine")
+                kept = [x for x, out in zip(actions, late, strict=True) if not out]
+                new += packed(kept)
+                known = [x[0] for x in kept]
             else:
-                new.append((r.ts, r.seq, r.before_hash, r.after_hash))
+                new.append(tuple(r[c] for c in ACTION))
+            if known:
+                first = min(known) if first is None else min(first, *known)
         if new:
             self.pending.appendList(new)
-            self._wait_until(min(r[0] for r in new) // 1000)
+            self.handle.registerTimer(first // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted((tuple(r) for r in self.pending.get()), key=lambda r: r[:2])
+        held = sorted((x for r in self.pending.get() for x in zip(*r, strict=True)), key=itemgetter(0, 1))
         ready, rest = [r for r in held if r[0] // 1000 <= now], [r for r in held if r[0] // 1000 > now]
         found, head = judged(tuple(self.head.get() or NO_HEAD), ready)
         if head[0] is not None:
             self.head.update(head)
-        self.due.clear()
         if rest:
-            self.pending.put(rest)
-            self._wait_until(rest[0][0] // 1000)
+            self.pending.put(packed(rest))
+            if rest[0][0] // 1000 not in set(self.handle.listTimers()):
+                self.handle.registerTimer(rest[0][0] // 1000)
         else:
             self.pending.clear()
         for seq, link_ok, time_ok in found:
@@ -117,7 +142,7 @@ def fold_stream(log: DataFrame, key: str, delay_ms: int, key_type: str = "long")
     # the clock itself does not go on: late rows are for the fold to set apart, not for Spark to drop
     x = x.select(F.col(key).cast(key_type).alias(key), F.col("seq").cast("long").alias("seq"), "before_hash", "after_hash", F.unix_micros(F.col("_clock")).alias("ts"))
     schema = f"{key} {key_type}, seq long, link_ok boolean, time_ok boolean, sink string"
-    return x.groupBy(key).transformWithState(ChainFold(key), schema, "append", "eventTime")
+    return packed_by_key(x, key, key_type).groupBy(key).transformWithState(ChainFold(key), schema, "append", "eventTime")
 
 
 def run_sinks(stream: DataFrame, out: str, checkpoint: str) -> tuple[DataFrame, StreamingQuery]:
@@ -142,7 +167,8 @@ def read_sinks(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
 def waiting(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
     """(key, ts, seq, before_hash, after_hash): the actions in state that wait for their time."""
     held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "pending").load()
-    return held.select(F.col(f"key.{key}").alias(key), "list_element.*")
+    arrays = held.select(F.col(f"key.{key}").alias(key), "list_element.*")
+    return arrays.select(key, F.explode(F.arrays_zip(*ACTION)).alias("x")).select(key, "x.*")
 
 
 def heads(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
@@ -157,20 +183,23 @@ def closed(spark: SparkSession, checkpoint: str, key: str, key_type: str = "long
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, head = None, NO_HEAD
         for batch in batches:
-            out, columns = [], (key, "kind", "ts", "seq", "before_hash", "after_hash")
-            for k, kind, *row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            out, columns = [], (batch.column(c).to_pylist() for c in (key, "kind", *ACTION))
+            for k, run in groupby(zip(*columns, strict=True), itemgetter(0)):
                 if known != (k,):
                     known, head = (k,), NO_HEAD
-                if kind == 0:
-                    head = (row[0], row[3])
-                    continue
-                (found,), head = judged(head, [tuple(row)])
-                out.append((k, *found, "accepted" if found[1] and found[2] else "refused"))
+                actions = []
+                for _, kind, *row in run:
+                    if kind == 0:
+                        head = (row[0], row[3])  # it comes before all that waits
+                    else:
+                        actions.append(row)
+                found, head = judged(head, actions)
+                out += [(k, *x, "accepted" if x[1] and x[2] else "refused") for x in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((batch.column(key).type, pa.int64(), pa.bool_(), pa.bool_(), pa.string()))], names)
 
     names = [key, "seq", "link_ok", "time_ok", "sink"]
     held = waiting(spark, checkpoint, key).withColumn("kind", F.lit(1))
-    before = heads(spark, checkpoint, key).withColumn("kind", F.lit(0)).join(held.select(key).distinct(), key, "left_semi")
+    before = heads(spark, checkpoint, key).withColumn("kind", F.lit(0))  # of keys without waiting actions nothing comes
     both = held.unionByName(before, allowMissingColumns=True).repartition(F.col(key)).sortWithinPartitions(key, "kind", "ts", "seq")
     return both.mapInArrow(rows, f"{key} {key_type}, seq long, link_ok boolean, time_ok boolean, sink string")
 

@@ -91,3 +91,18 @@ def test_queries_do_not_depend_on_batches(spark, tmp_path, one_by_one):
     assert len(got) == 6 and {r.sink for r in got} == {"accepted", "refused"} and [r.seq for r in got if r.sink == "refused"] == [0]
     assert sorted(r.event_id for r in streams.stream_bounded_repeats(spark, str(tmp_path)).collect()) == [0, 1, 10, 11, 20, 21]
     assert sorted(r.start.day for r in streams.stream_windows(spark, str(tmp_path)).collect()) == [1, 4, 12, 20, 21, 26]
+
+
+def test_actions_of_a_key_wait_packed(spark, tmp_path):
+    base, n = str(tmp_path), 450
+    chain = lambda k, at: (k, at, f"{at - 1}" if at else "", f"{at}", at)
+    for half in (0, 1):
+        put(spark, f"{base}/log", [chain(k, at) for at in range(half, n, 2) for k in (1, 2)])
+    assert run(spark, base, 86_400_000) == []
+    held = spark.read.format("statestore").option("path", f"{base}/checkpoint").option("stateVarName", "pending").load()
+    assert held.count() < 50  # one for each action before
+    want = sorted((k, at, True, True, "accepted") for k in (1, 2) for at in range(n))
+    assert sorted(tuple(r) for r in folds.closed(spark, f"{base}/checkpoint", "k").collect()) == want
+    put(spark, f"{base}/log", [(3, 1, "", "a", 20 * 1440), (1, n + 1, "", "z", None)])
+    got = run(spark, base, 86_400_000)  # both files' timers of a key go off at once
+    assert got == sorted([*want, (1, n + 1, None, None, "quarantine")], key=lambda r: r[:2])
