@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import classifier, decontamination, near_copies, packing, pii
-from tessera.llm.common import scratch, small_batches, table
+from tessera.llm.common import scratch, shuffled, small_batches, table
 from tessera.llm.queries import tokenizer_path
 
 #: A document with a lower score goes.
@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     small_batches(spark)
     sha = new_name(docs, "sha")
     stay = near_copies.near_copies(docs.select("doc_id", "text")).where("stays").select("doc_id", F.col("sha").alias(sha)).distinct()
-    named = docs.where("doc_id is not null").withColumn(sha, near_copies.text_digest()).join(stay, ["doc_id", sha], "left_semi")
+    named = docs.where("doc_id is not null").withColumn(sha, near_copies.text_digest()).join(shuffled(stay), ["doc_id", sha], "left_semi")
     one = named.groupBy("doc_id", sha).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
 

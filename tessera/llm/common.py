@@ -56,6 +56,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is sorted and never broadcast. By its own estimate Spark broadcasts what was written in
+    few bytes: it knows neither how far a file unpacks nor how many rows an explode makes, and all of them would stand in the driver."""
+    return df.hint("merge")
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder made by ``scratch``, on whatever store it is."""
     jvm = spark.sparkContext._jvm
@@ -75,7 +81,7 @@ def join_counted(rows: DataFrame, known: DataFrame, key: str, n: str = "n") -> D
     named = rows.where(F.col(key).isNotNull())
     first = named.join(F.broadcast(known.where(F.col(n) > limit).withColumn("_hot", F.lit(True))), key, "left")
     hot = first.where("_hot").drop("_hot")
-    rest = first.where("_hot is null").select(*rows.columns).join(known.where(F.col(n) <= limit), key, "left")
+    rest = first.where("_hot is null").select(*rows.columns).join(shuffled(known.where(F.col(n) <= limit)), key, "left")
     bare = rows.where(F.col(key).isNull())
     more = [F.lit(None).cast(f.dataType).alias(f.name) for f in known.schema if f.name != key]
     return hot.unionByName(rest).unionByName(bare.select(*rows.columns, *more)).drop(n)

@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffled, written
 
 
 def _stars(links: DataFrame) -> DataFrame:
     """Large star then small star of links (a, b) with a > b; again distinct links with a > b."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = both.join(shuffled(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     large = written(large.where("a > b"), "stars")
     least = large.groupBy("a").agg(F.min("b").alias("m"))
-    near = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    near = large.join(shuffled(least), "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return near.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, text_of, written
+from .common import join_counted, shuffled, text_of, written
 from .components import components
 from .simhash import SLICE, links, majorities, text_hashes
 
@@ -114,13 +114,13 @@ def shingle_sets(docs: DataFrame, words: int, chosen: DataFrame, seed: int = 42)
                 yield pa.RecordBatch.from_arrays([_nodes(held), sets, bits], ["node", "hashes", "bits"])
 
     texts = docs.select(text_digest().alias("sha"), text_of().alias("text")).groupBy("sha").agg(F.first("text").alias("text"))
-    return texts.join(chosen, "sha", "left_semi").mapInArrow(rows, "node binary, hashes array<long>, bits array<long>")
+    return texts.join(shuffled(chosen), "sha", "left_semi").mapInArrow(rows, "node binary, hashes array<long>, bits array<long>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, fifths: int) -> DataFrame:
     """Those of ``pairs`` (a, b and other columns) whose sets have a similarity of at least ``fifths`` / 5."""
     of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"in_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    both = pairs.join(shuffled(of("a")), "a").join(shuffled(of("b")), "b")
     total, common = F.size("in_a") + F.size("in_b"), F.size(F.array_intersect("in_a", "in_b"))
     return both.where(common * (5 + fifths) >= total * fifths).select(*pairs.columns)
 
@@ -138,7 +138,7 @@ def simhash_pairs(nodes: DataFrame, radius: int = 2) -> DataFrame:
     heads = written(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "heads")
     same = join_counted(nodes, heads, "fp").where("node <> head").select(*_ordered("node", "head"))
     of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"at_{c}"))
-    near = links(heads.select("fp"), radius).join(of("a"), "a").join(of("b"), "b")
+    near = links(heads.select("fp"), radius).join(shuffled(of("a")), "a").join(shuffled(of("b")), "b")
     return same.union(near.select(*_ordered("at_a", "at_b"))).distinct()
 
 
@@ -204,7 +204,7 @@ def prefix_pairs(nodes: DataFrame, crowd: DataFrame, common: tuple[np.ndarray, n
             flat = [pa.array(np.concatenate(c or [np.zeros(0, np.int64)]).astype(np.int64)) for c in (h, size, left)]
             yield pa.RecordBatch.from_arrays([flat[0], *(batch.column(c).take(at) for c in ("node", "root")), *flat[1:], *(batch.column(w).take(at) for w in words)], names + words)
 
-    sketched = crowd.join(nodes, "node").select("node", "root", "hashes", *(F.col("bits")[k].alias(w) for k, w in enumerate(words)))
+    sketched = crowd.join(shuffled(nodes), "node").select("node", "root", "hashes", *(F.col("bits")[k].alias(w) for k, w in enumerate(words)))
     schema = "h long, node binary, root binary, size long, left long, " + ", ".join(f"{w} long" for w in words)
     prefix = written(sketched.mapInArrow(rows, schema), "prefixes")
     of = lambda c: prefix.select("h", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "root", "size", "left", *words)))
@@ -213,7 +213,7 @@ def prefix_pairs(nodes: DataFrame, crowd: DataFrame, common: tuple[np.ndarray, n
     near &= (5 + fifths) * apart <= (5 - fifths) * (F.col("x_size") + F.col("y_size"))
     near &= (F.col("x_root") != F.col("y_root")) & (F.col("x_node") > F.col("y_node"))
     columns = zip(("x_node", "y_node", "x_root", "y_root"), PAIR, strict=True)
-    return of("x").join(of("y"), "h").where(near).select(*(F.col(x).alias(c) for x, c in columns)).distinct()
+    return of("x").join(shuffled(of("y")), "h").where(near).select(*(F.col(x).alias(c) for x, c in columns)).distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 5, fifths: int = 4) -> DataFrame:
@@ -229,26 +229,26 @@ def near_copies(docs: DataFrame, words: int = 5, fifths: int = 4) -> DataFrame:
     members = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key")).distinct()
     members = written(members, "members")
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(members.join(sizes, "key"), "buckets")
+    shared = written(members.join(shuffled(sizes), "key"), "buckets")
     seeds = written(simhash_pairs(known.select("node", "fp")), "seeds")
     met = shared.select("node").union(seeds.select("a")).union(seeds.select("b")).distinct()
-    sets = written(shingle_sets(docs, words, known.join(met, "node").select("sha")), "met")
+    sets = written(shingle_sets(docs, words, known.join(shuffled(met), "node").select("sha")), "met")
 
     def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
         """``roots`` (node, root) once the alike ones of ``pairs`` are links: components of the roots, not of all nodes."""
         found = _alike(pairs.distinct(), sets, fifths).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
         tops = components(found).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        return written(roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        return written(roots.join(shuffled(tops), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
 
     def several(roots: DataFrame) -> DataFrame:
         """The members of buckets that hold several components."""
-        x = shared.join(roots, "node")
+        x = shared.join(shuffled(roots), "node")
         some = x.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        return written(x.join(some, "key"), "open")
+        return written(x.join(shuffled(some), "key"), "open")
 
     def to_leaders(x: DataFrame, rank: Column) -> DataFrame:
         best = x.groupBy("key").agg(F.max(F.struct(rank.alias("r"), "node", "root")).alias("leader"))
-        led = x.join(best, "key").where("root <> leader.root")
+        led = x.join(shuffled(best), "key").where("root <> leader.root")
         return led.select(F.col("node").alias("a"), F.col("leader.node").alias("b"), F.col("root").alias("a_root"), F.col("leader.root").alias("b_root"))
 
     alone = sets.select("node", F.col("node").alias("root"))
@@ -256,19 +256,19 @@ def near_copies(docs: DataFrame, words: int = 5, fifths: int = 4) -> DataFrame:
     roots = joined(alone, led.union(seeds.select("a", "b", "a", "b")))
     still = several(roots)
     crowd = lambda: still.where(F.col("n") > CROWDED)
-    crowded = written(sets.join(crowd().select("node").distinct(), "node"), "crowd")
+    crowded = written(sets.join(shuffled(crowd().select("node").distinct()), "node"), "crowd")
     common = frequent(crowded)
     central = written(centrality(crowded, common), "central")
-    roots = joined(roots, to_leaders(crowd().join(central, "node", "left"), F.col("central")))
+    roots = joined(roots, to_leaders(crowd().join(shuffled(central), "node", "left"), F.col("central")))
     still = several(roots)
     few = still.where(F.col("n") <= CROWDED)
     a, b = (few.select("key", F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
-    rest = a.join(b, "key").where("a_root <> b_root and a > b").select(*PAIR)
+    rest = a.join(shuffled(b), "key").where("a_root <> b_root and a > b").select(*PAIR)
     roots = joined(roots, rest.union(prefix_pairs(crowd().select("node", "root").distinct(), crowded, common, fifths)))
-    linked = written(roots.join(known.drop("n", "sha"), "node"), "linked")
+    linked = written(roots.join(shuffled(known.drop("n", "sha")), "node"), "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    classes = linked.join(least, "root").select("node", "least")
-    named = written(known.join(classes, "node", "left").select("node", "n", F.coalesce("least", "first").alias("of")), "named")
+    classes = linked.join(shuffled(least), "root").select("node", "least")
+    named = written(known.join(shuffled(classes), "node", "left").select("node", "n", F.coalesce("least", "first").alias("of")), "named")
     stays = (F.col("doc_id") == F.col("of.doc_id")) & (F.col("sha") == F.col("of.sha"))
     return join_counted(rows.select("doc_id", "sha", "node"), named, "node").select(
         "doc_id", "sha", F.col("of.doc_id").alias("component_id"), F.coalesce(stays, F.lit(False)).alias("stays")

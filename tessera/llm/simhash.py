@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, written
+from .common import join_counted, shuffled, written
 from .components import components
 
 BITS = 64
@@ -102,12 +102,12 @@ def links(fps: DataFrame, radius: int = 2, pairs_up_to: int = 64) -> DataFrame:
         ).alias("t"),
     ).select("fp", "t.k", "t.key")
     sizes = tables.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(tables.join(sizes, ["k", "key"]), "buckets")
+    shared = written(tables.join(shuffled(sizes), ["k", "key"]), "buckets")
     few = shared.where(F.col("n") <= pairs_up_to).select("k", "key", "fp")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = (
         few.withColumnRenamed("fp", "a")
-        .join(few.withColumnRenamed("fp", "b"), ["k", "key"])
+        .join(shuffled(few.withColumnRenamed("fp", "b")), ["k", "key"])
         .where((F.col("a") > F.col("b")) & near)
         .select("a", "b")
     )
@@ -132,8 +132,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fps = written(fingerprints(docs, doc_id, text, words), "fingerprints")
     first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "known")
     roots = components(links(fps, radius)).withColumnRenamed("node", "fp")
-    linked = written(roots.join(first.drop("n"), "fp"), "linked")
+    linked = written(roots.join(shuffled(first.drop("n")), "fp"), "linked")
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    classes = linked.join(least, "root").select("fp", "least_id")
-    known = first.join(classes, "fp", "left").select("fp", "n", F.coalesce("least_id", "first_id").alias("component_id"))
+    classes = linked.join(shuffled(least), "root").select("fp", "least_id")
+    known = first.join(shuffled(classes), "fp", "left").select("fp", "n", F.coalesce("least_id", "first_id").alias("component_id"))
     return join_counted(fps, written(known, "named"), "fp").select("doc_id", "fp", "component_id")
