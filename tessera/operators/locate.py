@@ -26,11 +26,12 @@ def _plain_ends(content: str) -> Column:
     return F.when(F.contains(content, F.lit("\r")), F.regexp_replace(content, "\r\n|\r", "\n")).otherwise(F.col(content))
 
 
-def line_units(sources: DataFrame, source_id: str = "source_id", content: str = "content") -> DataFrame:
-    """One unit per line that is not blank: source_id, paragraph_index from 0 and text, trimmed. CRLF and CR end lines."""
+def line_units(sources: DataFrame, source_id: str = "source_id", content: str = "content", more: tuple[str, ...] = ()) -> DataFrame:
+    """One unit per line that is not blank: source_id, paragraph_index from 0 and text, trimmed, and the source's columns ``more``.
+    CRLF and CR end lines."""
     lines = F.split(_plain_ends(content), "\n")
     units = F.filter(F.transform(lines, T.trim_ws), lambda x: x != "")
-    return sources.select(F.col(source_id).alias("source_id"), F.posexplode(units).alias("paragraph_index", "text"))
+    return sources.select(F.col(source_id).alias("source_id"), *more, F.posexplode(units).alias("paragraph_index", "text"))
 
 
 def block_units(sources: DataFrame, source_id: str = "source_id", content: str = "content") -> DataFrame:

@@ -1,14 +1,15 @@
 """Evidence that sources were parsed whole: outcomes against sources, units and citations, pages, and recognized text.
 
 Every function names the rules that a source breaks. Nothing of a source is gathered in a row but its own text, which is
-a row already: units are compared place by place in two ordered tables, and digests are folded by ``provenance.roots``.
+a row already, and its units' text, which meets it there: else units travel as digests, and those in order are folded, at most
+``provenance.FAN`` in a row.
 Lengths count UTF-16 units, as whoever wrote the outcomes counted them."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -66,12 +67,69 @@ def expected_citations(parsed: DataFrame) -> DataFrame:
     return filled.where(T.trim_ws(F.col("text")) != "").select("owner_id", "ord", *ANCHOR[:-1], F.col("text").alias("quote"))
 
 
-def same_rows(left: DataFrame, right: DataFrame, fields: tuple[str, ...], name: str) -> DataFrame:
-    """(owner_id, name): whether the rows (owner_id, ord, fields) of both are equal, one by one in order."""
-    number = scan.Wanted(number="_nth")
-    a, b = (scan.scanned(x.select("owner_id", "ord", row_hash(*fields).alias(h)), "owner_id", ["ord", h], number).drop("ord") for x, h in ((left, "_a"), (right, "_b")))
-    both = a.join(b, ["owner_id", "_nth"], "full_outer")
-    return both.groupBy("owner_id").agg(F.bool_and(F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).alias(name))
+def digest_of(c: str) -> Column:
+    return F.unhex(F.sha2(F.col(c), 256))
+
+
+def folded(rows: DataFrame, name: str, counted: DataFrame | None = None) -> DataFrame:
+    """(owner_id, name): a digest of the digests h of all rows (owner_id, ord, h) in order, by way of digests of ``provenance.FAN``
+    rows each. Rows are shuffled once, by their owner."""
+    placed = scan.scanned(rows, "owner_id", ["ord", "h"], scan.Wanted(number="_nth"), counted=counted)
+    part = F.floor((F.col("_nth") - 1) / provenance.FAN)
+    of = lambda at: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "h"))), lambda x: F.hex(x["h"])), ""), 256)
+    parts = placed.groupBy("owner_id", part.alias("_part")).agg(F.unhex(of("_nth")).alias("h"))
+    return parts.groupBy("owner_id").agg(of("_part").alias(name))
+
+
+def same_rows(left: DataFrame, right: DataFrame, name: str, counted: tuple[DataFrame | None, DataFrame | None] = (None, None)) -> DataFrame:
+    """(owner_id, name): whether the rows (owner_id, ord, h) of both have equal h, one by one in order."""
+    a, b = (folded(x, c, n) for x, c, n in zip((left, right), ("_a", "_b"), counted, strict=True))
+    return a.join(b, "owner_id", "full_outer").select("owner_id", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias(name))
+
+
+def _bodies(parsed: DataFrame) -> DataFrame:
+    """(owner_id, p_units): an outcome's units in order, with their texts trimmed."""
+    unit = F.struct("ord", T.trim_ws(F.col("text")).alias("t"), "source_type", "page", "unit_id", (F.col("source_id") == F.col("owner_id")).alias("own"))
+    return parsed.groupBy("owner_id").agg(F.array_sort(F.collect_list(unit)).alias("p_units"))
+
+
+def _plain(c: Column) -> Column:
+    return T.trim_ws(F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c))
+
+
+def _with_bodies(sources: DataFrame, parsed: DataFrame) -> DataFrame:
+    """A row per source with what its content and the units of its outcome say together, without these: contents and texts
+    meet here alone, each shuffled once. An id that several sources bear has the units once for each."""
+    same_id = Window.partitionBy("source_id")
+    s = sources.select("source_id", "source_type", "content", row_hash(*sources.columns).alias("_source_hash"))
+    s = s.withColumns({"_k": F.count("*").over(same_id), "_types": F.collect_set("source_type").over(same_id)})
+    k, units = F.col("_k"), F.col("p_units")
+    every = F.transform(units, lambda u: u["t"])
+    # asked after the join, as rows that come from Python no longer count as dealt
+    x = s.join(_bodies(parsed).withColumnRenamed("owner_id", "source_id"), "source_id", "left").withColumn("_within", T.texts_within("content", every))
+    texts = F.filter(every, lambda t: t != "")
+    texts = F.when(k == 1, texts).otherwise(F.flatten(F.transform(texts, lambda t: F.array_repeat(t, F.col("_k").cast("int")))))
+    ids = F.filter(F.transform(units, lambda u: u["unit_id"]), lambda i: i.isNotNull())
+    inside = F.filter(units, lambda u, i: u["own"] & (u["source_type"] == F.col("source_type")) & F.get("_within", i))
+    yes = lambda c: F.coalesce(c, F.lit(True))
+    typed = F.forall("_types", lambda t: F.forall("p_units", lambda u: yes(u["source_type"] == t)))
+    found = {
+        "p_n": F.size(units) * k,
+        "p_pages": F.array_sort(F.array_distinct(F.filter(F.transform(units, lambda u: u["page"]), lambda p: p.isNotNull()))),
+        "p_ids_filled": F.forall(ids, lambda i: T.trim_ws(i) != ""),
+        "p_ids_unique": F.size(F.array_distinct(ids)) == F.size(ids) * k,
+        "p_own": F.forall(units, lambda u: yes(u["own"])) & typed,
+        "p_inside": F.when(k == 1, F.size(inside)),
+    }
+    return x.select(
+        "source_id",
+        "source_type",
+        "_source_hash",
+        (T.trim_ws(F.col("content")) != "").alias("_filled"),
+        utf16_length("content").alias("_length"),
+        (_plain(F.when(units.isNotNull(), F.array_join(texts, "\n\n")).otherwise("")) == _plain(F.col("content"))).alias("_rebuilt"),
+        *(F.when(units.isNotNull(), c).alias(name) for name, c in found.items()),
+    )
 
 
 def broken(checks: dict[str, Column]) -> Column:
@@ -88,37 +146,38 @@ def parse_evidence(sources: DataFrame, outcomes: DataFrame, parsed: DataFrame, u
     ``parsed`` the units of outcomes (owner_id, ord, UNIT) and ``units`` those of the session (ord, UNIT); ``citations``
     those of outcomes (owner_id, ord, ANCHOR). ``ocr`` is what ``ocr_evidence`` gives; a source without a row there is
     complete. A source without an outcome breaks all rules that need one. Of outcomes with one id any is taken, as the source is refused."""
-    s = sources.select("source_id", "source_type", "content", row_hash(*sources.columns).alias("_source_hash"))
     text = T.trim_ws(F.col("text"))
-    session = units.join(s.select("source_id", F.col("source_type").alias("_type")), "source_id").where("source_type = _type")
-    session = session.select(F.col("source_id").alias("owner_id"), "ord", *UNIT)
+    # digests and flags are made where rows lie, so no text is shuffled but in ``_with_bodies``
+    h = lambda fields: F.unhex(row_hash(*fields)).alias("h")
+    held = units.select(
+        "source_id",
+        "source_type",
+        "ord",
+        "page",
+        (text != "").alias("_text"),
+        ((text != "") & F.coalesce((F.col("confidence") > 0) & (F.col("confidence") < float("inf")), F.lit(False))).alias("_sound"),
+        h(UNIT),
+    )
+    session = held.join(sources.select("source_id", F.col("source_type").alias("_type")), "source_id").where("source_type = _type").withColumnRenamed("source_id", "owner_id")
     by_session = session.groupBy("owner_id").agg(
         F.count("*").alias("s_n"),
-        F.bool_or(text != "").alias("s_text"),
+        F.bool_or("_text").alias("s_text"),
         F.bool_and(F.col("page").isNull()).alias("s_unpaged"),
         F.min("page").alias("s_low"),
         F.max("page").alias("s_high"),
         F.bool_and(F.col("page").isNotNull()).alias("s_paged"),
-        F.bool_and((text != "") & F.coalesce((F.col("confidence") > 0) & (F.col("confidence") < float("inf")), F.lit(False))).alias("s_sound"),
-    )
-    body = F.array_sort(F.collect_list(F.struct("ord", text.alias("t"))))
-    pages = F.array_sort(F.collect_set("page"))
-    by_parsed = parsed.join(s.select(F.col("source_id").alias("owner_id"), F.col("source_type").alias("_type")), "owner_id").groupBy("owner_id").agg(
-        F.count("*").alias("p_n"),
-        F.array_join(F.filter(F.transform(body, lambda x: x["t"]), lambda t: t != ""), "\n\n").alias("p_content"),
-        pages.alias("p_pages"),
-        F.bool_and(F.col("unit_id").isNull() | (T.trim_ws(F.col("unit_id")) != "")).alias("p_ids_filled"),
-        (F.count_distinct("unit_id") == F.count("unit_id")).alias("p_ids_unique"),
-        F.bool_and((F.col("source_id") == F.col("owner_id")) & (F.col("source_type") == F.col("_type"))).alias("p_own"),
+        F.bool_and("_sound").alias("s_sound"),
     )
-    inside = locate.authorized_units(parsed.where("source_id = owner_id").drop("owner_id"), sources).groupBy(F.col("source_id").alias("owner_id")).agg(F.count("*").alias("p_inside"))
-    expected = expected_citations(parsed)
-    places = expected.groupBy("owner_id").agg((F.count_distinct(row_hash(*ANCHOR[:-1])) == F.count("*")).alias("c_unique"))
+    cited = parsed.select("owner_id", "ord", *ANCHOR[:-1], (text != "").alias("_text"), digest_of("text").alias("quote"))
+    cited = locate.fill_articles(cited, F.nullif(T.trim_ws(F.col("article")), F.lit("")), "owner_id", "ord").where("_text")
+    places = cited.groupBy("owner_id").agg((F.count_distinct(row_hash(*ANCHOR[:-1])) == F.count("*")).alias("c_unique"))
+    recorded = citations.withColumn("quote", digest_of("quote"))
+    u_same = same_rows(parsed.select("owner_id", "ord", h(UNIT)), session.select("owner_id", "ord", "h"), "u_same", (parsed, units.withColumn("owner_id", F.col("source_id"))))
+    c_same = same_rows(*(c.select("owner_id", "ord", h(ANCHOR)) for c in (cited, recorded)), "c_same", (parsed, citations))
     o = outcomes.groupBy("source_id").agg(F.count("*").alias("o_n"), F.first(F.struct(*(c for c in outcomes.columns if c != "source_id"))).alias("o"))
-    facts = [by_session, by_parsed, inside, places, unit_digests(parsed), same_rows(parsed, session, UNIT, "u_same"), same_rows(expected, citations, ANCHOR, "c_same")]
-    x = reduce(lambda a, b: a.join(b.withColumnRenamed("owner_id", "source_id"), "source_id", "left"), facts, s.join(o, "source_id", "left"))
+    facts = [by_session, places, unit_digests(parsed), u_same, c_same]
+    x = reduce(lambda a, b: a.join(b.withColumnRenamed("owner_id", "source_id"), "source_id", "left"), facts, _with_bodies(sources, parsed).join(o, "source_id", "left"))
     x = x.join(ocr.select("source_id", (F.size("refused") == 0).alias("ocr_ok")), "source_id", "left") if ocr is not None else x.withColumn("ocr_ok", F.lit(None).cast("boolean"))
-    plain = lambda c: T.trim_ws(F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c))
     n = lambda c: F.coalesce(c, F.lit(0))
     own = F.coalesce("p_pages", F.array().cast("array<int>"))
     count, seen = F.col("o.page_count"), F.col("o.successful_pages")
@@ -126,7 +185,7 @@ def parse_evidence(sources: DataFrame, outcomes: DataFrame, parsed: DataFrame, u
     wanted = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
     paged = (count > 0) & (F.array_sort(seen) == wanted) & (F.size(F.array_except(wanted, own)) == 0) & F.coalesce(F.col("s_paged") & (F.col("s_low") >= 1) & (F.col("s_high") <= count), F.lit(True))
     checks = {
-        "content_not_blank": T.trim_ws(F.col("content")) != "",
+        "content_not_blank": F.col("_filled"),
         "has_text_unit": F.col("s_text"),
         "one_outcome": F.col("o_n") == 1,
         "hash_is_sha256": F.col("o.file_hash").rlike("(?i)^[0-9a-f]{64}$"),
@@ -137,10 +196,10 @@ def parse_evidence(sources: DataFrame, outcomes: DataFrame, parsed: DataFrame, u
         "no_ocr_failures": F.size("o.ocr_failed_pages") == 0,
         "fully_extracted": F.col("o.extraction_coverage") == 1,
         "counts_agree": (F.col("o.parsed_unit_count") == n("p_n")) & (F.col("o.parsed_unit_count") == n("s_n")),
-        "characters_agree": F.col("o.total_characters") == utf16_length("content"),
+        "characters_agree": F.col("o.total_characters") == F.col("_length"),
         "digest_agrees": F.col("o.ordered_unit_digest") == F.coalesce("digest", F.lit(provenance.NO_ROOT)),
         "units_agree": F.coalesce("u_same", F.lit(True)),
-        "content_is_rebuilt": plain(F.coalesce("p_content", F.lit(""))) == plain(F.col("content")),
+        "content_is_rebuilt": F.col("_rebuilt"),
         "citations_agree": F.coalesce("c_same", F.lit(True)),
         "locators_unique": F.coalesce("c_unique", F.lit(True)),
         "unit_ids_filled": F.coalesce("p_ids_filled", F.lit(True)),

@@ -59,10 +59,10 @@ def split(fan: int, *tables: DataFrame) -> tuple[list[DataFrame], list[DataFrame
     return [t.join(many, "version_id", "left_anti") for t in named], [t.join(many, "version_id", "left_semi") for t in named]
 
 
-def held(few: DataFrame) -> DataFrame:
-    """(version_id, held) of versions with few artifacts: these in order, each with its path, leaf and digest. Rows that lie
-    together by version are not shuffled again."""
-    row = F.struct("path", F.unhex(leaf(F.col("path"), F.col("digest"))).alias("h"), "digest")
+def held(few: DataFrame, digests: bool = True) -> DataFrame:
+    """(version_id, held) of versions with few artifacts: these in order, each with its path, leaf and, if ``digests``, digest. Rows
+    that lie together by version are not shuffled again."""
+    row = F.struct("path", F.unhex(leaf(F.col("path"), F.col("digest"))).alias("h"), *["digest"] * digests)
     return few.groupBy("version_id").agg(F.array_sort(F.collect_list(row)).alias("held"))
 
 
@@ -87,7 +87,7 @@ def roots(artifacts: DataFrame, fan: int = FAN) -> DataFrame:
     """(version_id, root, n) of artifacts (version_id, path, digest): digests of at most ``fan`` digests in order, in one
     aggregation for versions with no more artifacts, in rounds for the others."""
     few, many = split(fan, artifacts)
-    found = held(few[0]).select("version_id", _root_of_held().alias("root"), F.size("held").cast("long").alias("n"))
+    found = held(few[0], digests=False).select("version_id", _root_of_held().alias("root"), F.size("held").cast("long").alias("n"))
     return found.unionByName(_rounds(many[0], fan)) if many else found
 
 

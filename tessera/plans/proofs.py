@@ -22,9 +22,8 @@ def parsed_documents(spark, d) -> dict:
     f = F.col("source_id") % 30
     docs = table(spark, d, "documents").where("text is not null")
     sources = docs.select(F.col("doc_id").alias("source_id"), F.when(F.col("lang") == "en", "regulatory_text").otherwise("official_interpretation").alias("source_type"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("content"))
-    # kept, as evidence is asked of sources and units many times
-    sources = checkpointed(sources)
-    lines = checkpointed(locate.line_units(sources).join(sources.select("source_id", "source_type"), "source_id"))
+    # units are kept, as evidence is asked of them many times; contents are read anew, as they would take as much disk as the documents
+    lines = checkpointed(locate.line_units(sources, more=("source_type",)))
     ord_ = F.col("paragraph_index")
     units = lines.select(
         "source_id",
@@ -41,20 +40,28 @@ def parsed_documents(spark, d) -> dict:
     parsed = units.withColumn("owner_id", F.col("source_id"))
     counts = units.groupBy("source_id").agg(F.count("*").alias("n"))
     digests = parsing.unit_digests(parsed).select(F.col("owner_id").alias("source_id"), "digest")
-    x = sources.join(counts, "source_id", "left").join(digests, "source_id", "left")
+    # of a content only digests and its length are shuffled
+    told = sources.select(
+        "source_id",
+        "source_type",
+        parsing.row_hash(*sources.columns).alias("source_hash"),
+        F.sha2("content", 256).alias("file_hash"),
+        parsing.utf16_length("content").alias("total_characters"),
+    )
+    x = told.join(counts, "source_id", "left").join(digests, "source_id", "left")
     n, paged = F.coalesce("n", F.lit(0)), f.isin(14, 19)
     outcomes = x.select(
         "source_id",
         F.when(f == 3, "other").otherwise(F.col("source_type")).alias("source_type"),
-        F.when(f == 2, "other").otherwise(parsing.row_hash(*sources.columns)).alias("source_hash"),
-        F.when(f == 1, "short").otherwise(F.sha2("content", 256)).alias("file_hash"),
+        F.when(f == 2, "other").otherwise(F.col("source_hash")).alias("source_hash"),
+        F.when(f == 1, "short").otherwise(F.col("file_hash")).alias("file_hash"),
         F.when(f == 14, 2).when(f == 19, 1).alias("page_count"),
         F.when(paged, F.array(F.lit(1))).otherwise(F.expr(NONE)).alias("successful_pages"),
         F.when(f == 5, F.array(F.lit(1))).otherwise(F.expr(NONE)).alias("failed_pages"),
         F.when(f == 5, 1).otherwise(0).alias("failed_page_count"),
         F.when(f == 6, F.array(F.lit(1))).otherwise(F.expr(NONE)).alias("ocr_failed_pages"),
         (n + F.when(f == 8, 1).otherwise(0)).alias("parsed_unit_count"),
-        (parsing.utf16_length("content") + F.when(f == 9, 1).otherwise(0)).alias("total_characters"),
+        (F.col("total_characters") + F.when(f == 9, 1).otherwise(0)).alias("total_characters"),
         F.when(f == 10, "x").otherwise(F.coalesce("digest", F.lit(provenance.NO_ROOT))).alias("ordered_unit_digest"),
         F.when(f == 7, 0.5).otherwise(1.0).alias("extraction_coverage"),
         (f == 4).alias("finalization_blocked"),
@@ -64,7 +71,8 @@ def parsed_documents(spark, d) -> dict:
         outcomes=outcomes.withColumn("_k", F.explode(F.when(f == 18, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_k"),
         parsed=parsed,
         units=units.withColumn("confidence", F.when((f == 11) & (ord_ == 0), 0.0).otherwise(F.col("confidence"))),
-        citations=parsing.expected_citations(parsed).where(F.col("owner_id") % 30 != 12),
+        # no unit here has an article that the next ones would carry on, so units cite themselves as they lie
+        citations=parsed.where((T.trim_ws(F.col("text")) != "") & (F.col("owner_id") % 30 != 12)).select("owner_id", "ord", *parsing.ANCHOR[:-1], F.col("text").alias("quote")),
     )
 
 
