@@ -81,7 +81,7 @@ def by_ranges(df: DataFrame, keys: list[str], order: list[str], w: Wanted, range
     return x.select(*(c for c in df.columns if c not in out), *(c.alias(name) for name, c in out.items()))
 
 
-def scanned(df: DataFrame, keys: str | list[str], order: str | list[str], wanted: Wanted, hot_rows: int = HOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
+def scanned(df: DataFrame, keys: str | list[str], order: str | list[str], wanted: Wanted, hot_rows: int = HOT_ROWS, *, counted: DataFrame | None = None) -> DataFrame:
     """``df`` with the columns of ``wanted`` over rows of equal ``keys`` in ``order``. ``counted``: a table with as many rows
     of each key, where making ``df`` only to count it would cost more."""
     keys, order = ([x] if isinstance(x, str) else list(x) for x in (keys, order))
