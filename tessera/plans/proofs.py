@@ -23,7 +23,7 @@ def parsed_documents(spark, d) -> dict:
     docs = table(spark, d, "documents").where("text is not null")
     sources = docs.select(F.col("doc_id").alias("source_id"), F.when(F.col("lang") == "en", "regulatory_text").otherwise("official_interpretation").alias("source_type"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("content"))
     # units are kept, as evidence is asked of them many times; contents are read anew, as they would take as much disk as the documents
-    lines = checkpointed(locate.line_units(sources, more=("source_type",)))
+    lines = checkpointed(locate.line_units(sources, more=("source_type",)), "zstd")
     ord_ = F.col("paragraph_index")
     units = lines.select(
         "source_id",

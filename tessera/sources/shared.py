@@ -38,10 +38,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage and computes it once."""
     path = new_path(df.sparkSession, "kept")
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
